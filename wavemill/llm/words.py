@@ -10,6 +10,9 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that separate runs of letters: ASCII other than A-Z and a-z.
+NOT_LETTER = np.arange(256) < 128
+NOT_LETTER[[*range(65, 91), *range(97, 123)]] = False
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE, _SEQ = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _POWERS: dict[int, np.ndarray] = {}
@@ -60,9 +63,9 @@ def _sums(values: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a slice of texts: byte spans, the range of words of each text, and a hash per word."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold_case: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold_case: bool = False, between: np.ndarray = _SPACE):
         n = len(raw)
-        inside = ~_SPACE[raw]
+        inside = ~between[raw]
         before = np.zeros(n + 1, bool)
         before[1:] = inside
         before[offsets] = False  # a word does not run on into the next text
