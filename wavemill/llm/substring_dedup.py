@@ -140,11 +140,19 @@ def _answer(table: pa.Table, stage: int, marks) -> pa.Table:
     return pa.table({"__chunk": pa.array([r[0] for r in rows], pa.int64()), "__bucket": pa.array([r[1] for r in rows], pa.int32()), "__stage": pa.array([stage] * len(rows), pa.int32()), "__bits": pa.array([r[2] for r in rows], pa.binary())})
 
 
+def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(sorted_set, values)
+    at[at == len(sorted_set)] = 0
+    return sorted_set[at] == values
+
+
 def _shared_anchors(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, np.uint32) for x in table.column("__payload").to_pylist()]
     every = np.sort(np.concatenate(parts))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    return _answer(table, 0, (np.isin(p, twice) for p in parts))
+    return _answer(table, 0, (_among(p, twice) for p in parts))
 
 
 def _earlier_windows(table: pa.Table) -> pa.Table:
