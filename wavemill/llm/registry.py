@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, substring_dedup
+from . import fingerprints, language_id, minhash_dedup, mixing, packing, substring_dedup, token_output, toxicity
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
+    "op3_token_output": token_output.op3_token_output,
+    "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_minhash_near_dedup": minhash_dedup.op6_minhash_near_dedup,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_mixing": mixing.OP4_SQL}
