@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, minhash_dedup, mixing, packing, substring_dedup, token_output, toxicity
+from . import fingerprints, interleaved, language_id, minhash_dedup, mixing, packing, substring_dedup, token_output, tool_calls, toxicity
 
 QUERIES = {
+    "op1_tool_calls": tool_calls.op1_tool_calls,
     "op2_language_id": language_id.op2_language_id,
     "op3_token_output": token_output.op3_token_output,
     "op4_mixing": mixing.op4_mixing,
@@ -12,7 +13,8 @@ QUERIES = {
     "op6_minhash_near_dedup": minhash_dedup.op6_minhash_near_dedup,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_interleaved": interleaved.op9_interleaved,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLE_SQL = {"op4_mixing": mixing.OP4_SQL}
+ORACLE_SQL = {"op1_tool_calls": tool_calls.OP1_SQL, "op4_mixing": mixing.OP4_SQL}
