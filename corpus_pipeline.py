@@ -1,11 +1,78 @@
-"""Corpus preparation in stages."""
+"""Corpus preparation: toxicity, near-dedup, substring dedup, mixing to target weights, best-fit packing.
 
-STAGES = []
+Every stage but the last takes and returns the columns of documents (with n_chars kept true to the text); each is written
+as Parquet and reread as the next one's input. Filters keep every document that they do not reject, unlabelled and empty
+ones included.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavemill.llm.common import materialise
+from wavemill.llm.minhash_dedup import near_duplicates
+from wavemill.llm.mixing import WORD, mix, word_count
+from wavemill.llm.packing import pack
+from wavemill.llm.substring_dedup import dedup_substrings
+from wavemill.llm.toxicity import THRESHOLD, fit, held_out, score
+
+#: The stages learn, sample and link across documents, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the threshold; fitted on the labels that are not held out."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
+    return score(docs, model).where(F.col("score") < THRESHOLD).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that repeat a smaller document; documents of which nothing is left go."""
+    cut = dedup_substrings(docs)
+    left = cut.where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a source's last one is cut to the words it is taken for.
+
+    Documents without words have no share in the mix and stay once.
+    """
+    mixed = mix(docs.withColumn("size", word_count()))
+    first_words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int"))
+    part = F.when(F.col("part") == F.col("size"), F.col("text")).when(F.col("part") > 0, F.array_join(first_words, " "))
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.col("whole")).cast("int")
+    copies = F.array_repeat(F.col("text"), whole)
+    copies = F.when((F.col("part") > 0) & (F.col("size") > 0), F.concat(copies, F.array(part))).otherwise(copies)
+    rows = mixed.withColumn("__copies", copies).drop("text").select("*", F.explode("__copies").alias("text"))
+    return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and the sequence that each is in."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mixing),
+    ("best_fit_packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
