@@ -59,10 +59,8 @@ def permutation_entropy(x: Column) -> Column:
     n = F.size(x) - 2
     code = lambda i: (F.get(x, i) <= F.get(x, i + 1)).cast("int") * 4 + (F.get(x, i) <= F.get(x, i + 2)).cast("int") * 2 + (F.get(x, i + 1) <= F.get(x, i + 2)).cast("int")
     codes = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), code)
-    terms = []
-    for k in range(8):
-        p = F.try_divide(F.size(F.filter(codes, lambda c, k=k: c == k)).cast("double"), n.cast("double"))
-        terms.append(F.when(p > 0, -p * F.log2(p)).otherwise(0.0))
+    share = lambda k: F.try_divide(F.size(F.filter(codes, lambda c: c == k)).cast("double"), n.cast("double"))
+    terms = [F.when(share(k) > 0, -share(k) * F.log2(share(k))).otherwise(0.0) for k in range(8)]
     return F.when(n > 0, sum(terms[1:], terms[0]) / 2.584962500721156)
 
 

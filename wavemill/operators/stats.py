@@ -70,7 +70,7 @@ def sign_flip_exact(pairs: DataFrame) -> DataFrame:
     """Exact two-sided sign-flip test of paired values (a, b), for at most 16 pairs: all 2^n sign patterns."""
     d = pairs.where(finite(F.col("a")).isNotNull() & finite(F.col("b")).isNotNull()).agg(F.array_sort(F.collect_list(F.col("a") - F.col("b"))).alias("d"))
     d = d.select(F.when(F.size("d") <= 16, F.col("d")).otherwise(F.raise_error(F.lit("more than 16 pairs"))).alias("d"))
-    flips = d.select("d", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size("d")) - 1)).alias("mask"))
+    flips = d.select("d", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("d")).cast("int") - 1)).alias("mask"))
     flipped = F.aggregate(F.transform("d", lambda v, i: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("int")) > 0, -v).otherwise(v)), F.lit(0.0), lambda a, v: a + v)
     seen = F.aggregate("d", F.lit(0.0), lambda a, v: a + v)
     return flips.agg(F.count(F.lit(1)).alias("patterns"), (F.count_if(F.abs(flipped) >= F.abs(seen) - 1e-12) / F.count(F.lit(1))).alias("p"))

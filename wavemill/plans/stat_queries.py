@@ -19,8 +19,9 @@ def _scores(spark, sf_dir):
 
 
 def mcnemar(spark, sf_dir):
-    rows = tables.lineitem_scores(spark, sf_dir).withColumn("pred", (F.col("y_prob") >= 0.5).cast("int"))
-    wide = rows.groupBy("l_orderkey", "l_linenumber", "y_true").pivot("model", ["discount", "quantity"]).agg(F.first("pred"))
+    hit = lambda c: (c >= 0.5).cast("int")
+    li = tables.table(spark, sf_dir, "lineitem")
+    wide = li.select((F.col("l_returnflag") == "R").cast("int").alias("y_true"), hit(F.col("l_discount") * 10).alias("discount"), hit(F.col("l_quantity") / 50).alias("quantity"))
     out = stats.mcnemar(wide, "y_true", "discount", "quantity")
     return out.select("only_a", "only_b", F.round("statistic", 6).alias("statistic"))
 
