@@ -7,12 +7,13 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.safe import finite, ratio, uniform
 from .metrics import roc_auc
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(chi-square with df degrees of freedom > x): closed form, by recursion over df. For rows of results only."""
 
