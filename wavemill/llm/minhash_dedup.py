@@ -2,17 +2,17 @@
 
 Method. A document's set holds its distinct 5-word shingles (A-Z lower-cased). Documents with equal sets form a class;
 the class' smallest doc_id stands for it from then on, so thousands of copies cost one row. Each class gets a signature
-of `trees` * `depth` minhash values. A tree of the forest orders the classes by its own run of those values; classes with
-a common prefix of `depth` values are neighbours. In a region where many classes share that prefix, the tree goes
-deeper one value at a time: the class with the smallest id of every longer prefix becomes a further neighbour, until
-regions are small. A pair at Jaccard similarity 0.85 shares no prefix in any tree with probability (1 - 0.85^4)^20 <
-4e-7.
-
-Links, in two rounds. First every class is compared with the smallest class of each region it is in. Then, in regions
-whose members did not all fall into one component, the members outside the first one's component are compared with all
-members, in blocks. So no link between the neighbours of a region is lost, and a region of n near copies costs about n
-comparisons instead of n^2. Signatures only rule out pairs that lie five standard deviations under the threshold;
-all others are confirmed on full sets.
+of `TREES` * `DEPTH` minhash values. A tree of the forest orders the classes by the values from its own place on;
+classes with the first `DEPTH` values in common form a region. A pair at Jaccard similarity 0.85 meets in no region of
+any tree with probability (1 - 0.85^4)^20 < 4e-7.
+
+Links, in two rounds. First every class is compared with the smallest class of each region it is in. That settles the
+regions that hold one group of near copies. In the others, the members outside the first one's component are compared
+with all members, in blocks of bounded size: a block sorts its members by the tree's whole order and compares
+longest-common-prefix neighbours, however deep the region's prefixes go; then it compares what is still in different
+components. Pairs never leave a block; it returns at most one link per merge. A pair is looked at in the first tree where
+it meets. Signatures only rule out pairs that lie five standard deviations under the threshold; all others are decided
+on full sets.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; a text of fewer than five words
 has one shingle, the whole; rows that share a doc_id count as one document each, with a common id; a null doc_id is
@@ -31,10 +31,10 @@ from .common import materialise, raw_text, read_table, small_batches
 from .graph import components
 from .words import Windows, Words, mix, window_starts
 
-SHINGLE, TREES, DEPTH, DEEPEST = 5, 20, 4, 8
+SHINGLE, TREES, DEPTH = 5, 20, 4
 CODES = TREES * DEPTH
-#: A region larger than this goes deeper; a block of the second round has as many queries at most.
-REGION, BLOCK = 32, 256
+#: Partners of a class that are confirmed together; shingles of the queries and of the members in a block.
+PARTNERS, ASKED, SHOWN = 256, 100_000, 800_000
 _SEEDS = mix(np.arange(1, CODES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -82,34 +82,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, set_1 long, set_2 long, codes binary")
 
 
-def _tree_order(tree: int) -> np.ndarray:
-    """The places in the signature of a tree's values: its own run first, then a stride through the others."""
-    own = np.arange(tree * DEPTH, (tree + 1) * DEPTH)
-    return np.r_[own, (own[-1] + 1 + 7 * np.arange(DEEPEST - DEPTH)) % CODES]
+def _regions(batches):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = _rows(batch.column(1)).astype(np.uint64)
+        for tree in range(TREES):
+            h = np.full(len(codes), tree + 1, np.uint64)
+            for k in range(tree * DEPTH, (tree + 1) * DEPTH):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), tree, np.int32)), pa.array(h.view(np.int64)), batch.column(0)], names=["tree", "region", "id"])
 
 
-def _prefixes(depths):
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CODES).astype(np.uint64)
-            ids = batch.column(0)
-            for tree in range(TREES):
-                own = codes[:, _tree_order(tree)]
-                h = np.full(len(own), tree + 1, np.uint64)
-                for d in range(DEEPEST):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, d])
-                    if d + 1 in depths:
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids], names=["region", "id"])
-
-    return run
-
-
-def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs whose signatures do not rule the threshold out."""
-    least = threshold - 5 * (threshold * (1 - threshold) / CODES) ** 0.5
-    return (a == b).mean(axis=-1) >= least
+def _alike(same: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs that their signatures, equal at the places `same`, do not rule out."""
+    return same.mean(axis=-1) >= threshold - 5 * (threshold * (1 - threshold) / CODES) ** 0.5
 
 
 def _rows(column) -> np.ndarray:
@@ -120,7 +107,7 @@ def _possible(threshold: float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                ok = _alike(_rows(batch.column(2)), _rows(batch.column(3)), threshold)
+                ok = _alike(_rows(batch.column(2)) == _rows(batch.column(3)), threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -150,7 +137,7 @@ def _confirmed(pairs: DataFrame, codes: DataFrame, texts: DataFrame, percent: in
     """Pairs (a < b) of classes that are links. A class with many partners is dealt over several groups."""
     pairs = pairs.join(codes.select(F.col("id").alias("a"), F.col("codes").alias("codes_a")), "a").join(codes.select(F.col("id").alias("b"), F.col("codes").alias("codes_b")), "b")
     pairs = materialise(pairs.select("a", "b", "codes_a", "codes_b").mapInArrow(_possible(percent / 100), "a long, b long"), "pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
     salted = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     right = salted.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "part", "b", "text")
     left = parts.join(texts.select(F.col("id").alias("a"), "text"), "a").select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hub_part"), F.col("text").alias("hub_text"))
@@ -158,22 +145,47 @@ def _confirmed(pairs: DataFrame, codes: DataFrame, texts: DataFrame, percent: in
     return materialise(links, "links")
 
 
-def _across(threshold: float):
-    """A block of queries against a block of a region's members: pairs of different components that may be links."""
+def _across(percent: int):
+    """Links between different components of a region: a block of its members against a block of queries."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        asks = np.asarray(table.column("asks"))
-        ids, comp, codes = np.asarray(table.column("id")), np.asarray(table.column("component")), _rows(table.column("codes"))
-        found = []
-        q = np.flatnonzero(asks)
-        m = np.flatnonzero(~asks)
-        for i in q.tolist():
-            ok = m[comp[m] != comp[i]]
-            ok = ok[_alike(codes[ok], codes[i], threshold)] if len(ok) else ok
-            found.append(np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        asks = np.asarray(table.column("asks").cast(pa.int8())) > 0
+        ids, comp = np.asarray(table.column("id")), np.unique(np.asarray(table.column("component")), return_inverse=True)[1]
+        codes, tree = _rows(table.column("codes")), table.column("tree")[0].as_py()
+        sets, off = shingle_sets(table.column("text"))
+        size = np.diff(off)
+        names, sets = np.unique(sets, return_inverse=True)
+        mark, links = np.zeros(len(names), bool), []
+
+        def compare(q: int, others: np.ndarray) -> None:
+            """Link q with those of the others that it is not connected with yet and that are similar enough."""
+            nonlocal comp
+            others = others[comp[others] != comp[q]]
+            if not len(others):
+                return
+            same = codes[others] == codes[q]
+            seen = same[:, : tree * DEPTH].reshape(len(others), tree, DEPTH).all(2).any(1)
+            others = others[~seen & _alike(same, percent / 100)]
+            if not len(others):
+                return
+            mark[sets[off[q] : off[q + 1]]] = True
+            n = size[others]
+            begin = np.cumsum(n) - n
+            both = np.add.reduceat(mark[sets[np.arange(n.sum()) + np.repeat(off[others] - begin, n)]].astype(np.int64), begin)
+            mark[sets[off[q] : off[q + 1]]] = False
+            for m in others[100 * both >= percent * (n + size[q] - both)].tolist():
+                if comp[m] != comp[q]:
+                    links.append(sorted((int(ids[q]), int(ids[m]))))
+                    comp = np.where(comp == comp[m], comp[q], comp)
+
+        order = np.lexsort(np.roll(codes, -tree * DEPTH, axis=1)[:, ::-1].T)
+        for left, right in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            compare(left, np.array([right]))
+        members = np.flatnonzero(~asks)
+        for q in np.flatnonzero(asks).tolist():
+            compare(q, members)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
@@ -189,35 +201,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     codes = materialise(codes, "classes")
 
     # regions: common prefixes with more than one class
-    prefixes = codes.select("id", "codes").mapInArrow(_prefixes({DEPTH}), "region long, id long")
-    regions = prefixes.groupBy("region").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(prefixes.join(regions, "region"), "members")
-    star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    dense = codes.join(members.where(F.col("n") > REGION).select("id").distinct(), "id", "left_semi")
-    deep = dense.select("id", "codes").mapInArrow(_prefixes(set(range(DEPTH + 1, DEEPEST + 1))), "region long, id long")
-    hubs = deep.groupBy("region").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    deeper = deep.join(hubs, "region").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    placed = codes.select("id", "codes").mapInArrow(_regions, "tree int, region long, id long")
+    regions = placed.groupBy("region").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(placed.join(regions, "region"), "members")
+    star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
     # whole texts of the classes that have a neighbour: a small part of the input, moved once
     near = members.select("id").distinct()
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(near, "id", "left_semi")
     texts = materialise(rows.groupBy("id").agg(F.max("text").alias("text")), "texts")
-
-    first = _confirmed(star.unionByName(deeper).distinct(), codes, texts, percent)
+    first = _confirmed(star, codes, texts, percent)
     labels = components(first)
 
-    # regions that are not of one component yet: all members against those outside the first member's component
-    with_label = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("region", "hub", "id", F.coalesce("component", "id").alias("component"))
-    with_label = with_label.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    with_label = materialise(with_label.select("region", "id", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("asks")), "open")
-    counts = with_label.groupBy("region").agg(F.count_if("asks").alias("asking"), F.count(F.lit(1)).alias("n")).where("asking > 0 and n > 2")
-    counts = counts.select("region", F.ceil(F.col("asking") / BLOCK).cast("int").alias("q"), F.ceil(F.col("n") / (8 * BLOCK)).cast("int").alias("m"))
-    open_rows = with_label.join(counts, "region").join(codes.select("id", "codes"), "id")
-    asking = open_rows.where("asks").select("region", F.pmod(F.xxhash64("id"), F.col("q")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), "id", "component", "asks", "codes")
-    others = open_rows.select("region", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.pmod(F.hash("id"), F.col("m")).cast("int").alias("j"), "id", "component", F.lit(False).alias("asks"), "codes")
-    across = asking.unionByName(others).groupBy("region", "i", "j").applyInArrow(_across(percent / 100), "a long, b long")
-    second = _confirmed(across.distinct().join(first, ["a", "b"], "left_anti"), codes, texts, percent)
-    labels = components(first.unionByName(second))
+    # regions that are not of one component yet: members outside the hub's component against all members
+    label = labels.select(F.col("node").alias("id"), "component")
+    hub_label = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    at = members.where("n > 2").join(label, "id", "left").join(hub_label, "hub", "left").join(codes.select("id", "n_shingles"), "id")
+    component = F.coalesce("component", "id")
+    at = at.select("tree", "region", "id", "n_shingles", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("asks"))
+    at = materialise(at, "open")
+    blocks = at.groupBy("region").agg(F.sum(F.when(F.col("asks"), F.col("n_shingles"))).alias("asked"), F.sum("n_shingles").alias("shown")).where("asked > 0")
+    blocks = blocks.select("region", F.ceil(F.col("asked") / ASKED).cast("int").alias("q"), F.ceil(F.col("shown") / SHOWN).cast("int").alias("m"))
+    rows = at.join(blocks, "region")
+    asking = rows.where("asks").select("tree", "region", F.pmod(F.xxhash64("id"), F.col("q")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), "id", "component", "asks")
+    others = rows.select("tree", "region", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.pmod(F.hash("id"), F.col("m")).cast("int").alias("j"), "id", "component", F.lit(False).alias("asks"))
+    across = asking.unionByName(others).join(codes.select("id", "codes"), "id").join(texts, "id")
+    second = across.groupBy("region", "i", "j").applyInArrow(_across(percent), "a long, b long")
+    labels = components(first.unionByName(materialise(second, "links")))
 
     # classes, then rows; a class with very many rows is a skewed join that Spark splits
     final = codes.select("id", "set_1", "set_2", F.col("n_shingles").alias("n")).join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("set_1", "set_2", "n", F.coalesce("component", "id").alias("component"))
