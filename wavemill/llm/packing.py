@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, raw_text, read_table, small_batches
-from .tokens import default_path, encoder, text_list
+from .tokens import ENCODE_BYTES, default_path, encoder, text_list
 
 CAPACITY = 2048
 _PIECE = "task long, nth long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -88,7 +88,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         end = np.array([end_id], np.uint32)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=ENCODE_BYTES):
             rows = []
             for doc, x in zip(batch.column(0).to_pylist(), enc.encode(text_list(*raw_text(batch.column(1)))), strict=True):
                 ids = np.concatenate([x, end], dtype="<u4")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, pieces_for, raw_text, read_table, scratch_folder, small_batches
-from .tokens import default_path, encoder, text_list
+from .tokens import ENCODE_BYTES, default_path, encoder, text_list
 
 BLOCK_IDS, PART_IDS = 1 << 19, 1 << 22
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -60,7 +60,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         end = np.array([end_id], np.uint16).tobytes()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=ENCODE_BYTES):
             ids = [x.tobytes() + end for x in enc.encode(text_list(*raw_text(batch.column(1))))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

@@ -12,14 +12,17 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import public_tokenizers
 import regex
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words and pieces of words that a worker keeps; all are dropped when there are more.
-KEPT_WORDS, KEPT_PIECES = 400_000, 250_000
+#: Words and pieces of words that a worker keeps in a young and in an old dictionary each; a full young one becomes the old.
+KEPT_WORDS, KEPT_PIECES = 250_000, 350_000
+#: Text to encode at once: the more, the fewer distinct words.
+ENCODE_BYTES = 4 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -41,6 +44,26 @@ def _byte_letters() -> dict[int, str]:
     return table | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Kept(dict):
+    """Ids by key; a missing key is looked up among the older ones, or else made."""
+
+    def __init__(self, make, older: dict):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, key):
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        self[key] = ids
+        return ids
+
+    def aged(self) -> "_Kept":
+        """A fresh dictionary with this one behind it."""
+        self.older = {}
+        return _Kept(self.make, self)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,57 +78,41 @@ class Encoder:
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.bpe = self.whole.model.tokenize
+        self.pieces = _Kept(self._piece, {})
+        self.words = _Kept(self._word, {})
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            mapped = piece if piece.isascii() and piece.isalpha() else "".join(self.letters[b] for b in piece.encode())
-            ids = np.array([t.id for t in self.whole.model.tokenize(mapped)], np.uint16).tobytes()
-            self.pieces[piece] = ids
-        return ids
-
-    def _learn(self, words) -> None:
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        odd = []
-        for w in words:
-            text = w.decode()
-            if max(text) < "İ":
-                self.words[w] = b"".join(map(self._piece, self.pattern.findall(text.lower())))
-            else:
-                odd.append(w)
-        if odd:
-            for w, e in zip(odd, self.whole.encode_batch([w.decode() for w in odd], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, np.uint16).tobytes()
+        """Ids of one run of letters, digit, or run of other signs, in lower case."""
+        if not (piece.isascii() and piece.isalpha()):
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return array("H", [t.id for t in self.bpe(piece)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not text.isascii() and max(text) >= "İ":
+            return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        if text.isalpha():
+            return self.pieces[text]
+        if text[-1] in ".,!?" and text[:-1].isalpha():
+            return self.pieces[text[:-1]] + self.pieces[text[-1]]
+        return b"".join([self.pieces[p] for p in self.pattern.findall(text)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """16-bit ids of each text."""
-        lists = [t.split() for t in texts]
-        seen = set().union(*lists)
-        miss = [w for w in seen if w not in self.words]
-        if miss:
-            self._learn(miss)
-            if len(miss) < len(seen):  # the words kept so far may just have gone
-                self._learn_again(seen)
-        get = self.words.__getitem__
-        out = []
-        for text, words in zip(texts, lists, strict=True):
-            if any(s in text for s in self.special):
-                ids = self.whole.encode(text.decode(), add_special_tokens=False).ids
-                out.append(np.array(ids, np.uint16))
+        if len(self.words) > KEPT_WORDS:
+            self.words = self.words.aged()
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces = self.pieces.aged()
+        get, out = self.words.__getitem__, []
+        for text in texts:
+            if any([s in text for s in self.special]):
+                out.append(np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, np.uint16))
             else:
-                out.append(np.frombuffer(b"".join(map(get, words)), np.uint16))
+                out.append(np.frombuffer(b"".join(map(get, text.split())), np.uint16))
         return out
 
-    def _learn_again(self, seen) -> None:
-        gone = [w for w in seen if w not in self.words]
-        if gone:
-            self._learn(gone)
-
 
 def text_list(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     whole, cuts = raw.tobytes(), offsets.tolist()
