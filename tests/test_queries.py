@@ -18,6 +18,6 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["D1_D2_filters", "F24_channel_summary", "C5_elimination", "C10_best_size", "M1_logreg", "R5_pca"])
+@pytest.mark.parametrize("name", ["D1_D2_filters", "F24_channel_summary", "C5_elimination", "C10_best_size", "M1_logreg", "R5_pca", "T6_permutation_impact", "T7_ablation_impact"])
 def test_query_without_sql_has_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0

@@ -28,14 +28,15 @@ def rates(cells: DataFrame, beta: float = 2.0) -> DataFrame:
     return out.withColumn("f_beta", ratio((1 + b2) * p * r, b2 * p + r))
 
 
-def roc_auc(rows: DataFrame, by: list[str], y: str = "y_true", score: str = "y_prob") -> DataFrame:
-    """Mann-Whitney AUC with average ranks per group; null where only one class is present.
+def roc_auc(rows: DataFrame, by: list[str], y: str = "y_true", score: str = "y_prob", weight: str | None = None) -> DataFrame:
+    """Mann-Whitney AUC with average ranks per group, rows counting `weight` times; null where one class is missing.
 
     Rows are first summed per distinct score. Sums below a score are taken over cells of the score range, then within
     a cell, so that even millions of distinct scores of one group are spread.
     """
     s = finite(F.col(score))
-    counts = rows.withColumn("__s", s).where(F.col("__s").isNotNull() & F.col(y).isNotNull()).groupBy(*by, "__s").agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    of = lambda label: F.sum(F.when(F.col(y) == label, F.col(weight) if weight else F.lit(1)).otherwise(0))
+    counts = rows.withColumn("__s", s).where(F.col("__s").isNotNull() & F.col(y).isNotNull()).groupBy(*by, "__s").agg(of(1).alias("pos"), of(0).alias("neg"))
     counts = counts.withColumn("__cell", F.floor(F.greatest(F.least(F.col("__s"), F.lit(1e9)), F.lit(-1e9)) * CELLS))
     before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.groupBy(*by, "__cell").agg(F.sum("neg").alias("__n")).withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.safe import finite, ratio, uniform
+from .balance import ranked
 from .metrics import roc_auc
 
 
@@ -102,18 +103,11 @@ def bootstrap_ci(rows: DataFrame, row_id: str, n_boot: int = 1000, ci: float = 0
     """
     w = poisson_weight(uniform(seed, F.col("replicate"), F.col(row_id)))
     drawn = replicates(rows.select(row_id, y, score), n_boot).withColumn("w", w).where("w > 0")
-    auc = _weighted_auc(drawn, "replicate", y, score, "w")
+    auc = roc_auc(drawn, ["replicate"], y, score, "w").withColumnRenamed("roc_auc", "auc")
     low, high = (1 - ci) / 2, 1 - (1 - ci) / 2
     return auc.agg(F.avg("auc").alias("mean"), F.percentile("auc", F.lit(low)).alias("ci_lo"), F.percentile("auc", F.lit(high)).alias("ci_hi"), F.count("auc").alias("samples"))
 
 
-def _weighted_auc(rows: DataFrame, by: str, y: str, score: str, weight: str) -> DataFrame:
-    counts = rows.groupBy(by, score).agg(F.sum(F.when(F.col(y) == 1, F.col(weight)).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 0, F.col(weight)).otherwise(0)).alias("neg"))
-    before = Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(before), F.lit(0)) + F.col("neg") / 2))
-    return won.groupBy(by).agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
-
-
 def permutation_test(rows: DataFrame, row_id: str, a: str, b: str, n_perm: int = 1000, seed: str = "0", y: str = "y") -> DataFrame:
     """AUC difference of two scores and its one-sided permutation p, swapping the scores row by row."""
     swap = uniform(seed, F.col("replicate"), F.col(row_id)) < 0.5
@@ -128,12 +122,12 @@ def permutation_test(rows: DataFrame, row_id: str, a: str, b: str, n_perm: int =
 def surrogates(rows: DataFrame, row_id: str, n: int = 1000, seed: str = "0", y: str = "y", score: str = "p") -> DataFrame:
     """Observed AUC, mean and population std of the AUC under shuffled labels, z and two-sided p.
 
-    A shuffle joins the rows in one seeded order with the labels in another, rank by rank.
+    A shuffle joins the rows in one seeded order with the labels in another, rank by rank; ranks are taken over cells of
+    the seeded hash, so no replicate is sorted in one task.
     """
-    order = Window.partitionBy("replicate")
-    base = replicates(rows.select(row_id, y, score), n)
-    scores_ = base.select("replicate", score, F.row_number().over(order.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("s"), "replicate", row_id)), row_id)).alias("r"))
-    labels = base.select("replicate", y, F.row_number().over(order.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("y"), "replicate", row_id)), row_id)).alias("r"))
+    base = replicates(rows.select(row_id, y, score), n).withColumn("__id", F.concat_ws("|", "replicate", row_id))
+    scores_ = ranked(base.select("replicate", "__id", score), "replicate", "__id", f"{seed}|s", "r")
+    labels = ranked(base.select("replicate", "__id", y), "replicate", "__id", f"{seed}|y", "r").drop("__id")
     null = roc_auc(scores_.join(labels, ["replicate", "r"]), ["replicate"], y, score)
     seen = roc_auc(rows.withColumn("__one", F.lit(1)), ["__one"], y, score).select(F.col("roc_auc").alias("observed"))
     m = null.join(F.broadcast(seen)).groupBy("observed")
@@ -154,10 +148,9 @@ def bootstrap_mean(rows: DataFrame, group: str, value: str, n_boot: int = 1000,
 def channel_significance(scored: DataFrame, n_perm: int = 500, seed: str = "42", y: str = "y", score: str = "p") -> DataFrame:
     """Per channel: AUC of fixed scores, and the share of label permutations that reach it (p < 0.05 is significant)."""
     observed = roc_auc(scored, ["channel"], y, score)
-    order = Window.partitionBy("channel", "replicate")
-    base = replicates(scored.select("channel", "epoch_id", y, score), n_perm)
-    a = base.select("channel", "replicate", score, F.row_number().over(order.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "channel", "replicate", "epoch_id")))).alias("r"))
-    b = base.select("channel", "replicate", y, F.row_number().over(order.orderBy("epoch_id")).alias("r"))
-    null = roc_auc(a.join(b, ["channel", "replicate", "r"]), ["channel", "replicate"], y, score)
+    base = replicates(scored.select("channel", "epoch_id", y, score), n_perm).withColumn("__g", F.concat_ws("|", "channel", "replicate")).withColumn("__id", F.concat_ws("|", "__g", "epoch_id"))
+    a = ranked(base.select("channel", "replicate", "__g", "__id", score), "__g", "__id", f"{seed}|s", "r").drop("__id")
+    b = ranked(base.select("__g", "__id", y), "__g", "__id", f"{seed}|y", "r").drop("__id")
+    null = roc_auc(a.join(b, ["__g", "r"]), ["channel", "replicate"], y, score)
     joined = null.withColumnRenamed("roc_auc", "null_auc").join(observed, "channel")
     return joined.groupBy("channel").agg(F.max("roc_auc").alias("roc_auc"), (F.count_if(F.col("null_auc") >= F.col("roc_auc")) / F.count(F.lit(1))).alias("p")).withColumn("significant", F.col("p") < 0.05)

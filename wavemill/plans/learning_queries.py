@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import balance, linear, metrics, models, selection, tabular
+from ..operators import balance, impact, linear, metrics, models, selection, tabular
 from ..sources import tables
 from .table_queries import ANOVA_SQL, CHI_SQL, GAPS_SQL, _gaps, _labelled
 from .views import DOC, FEAT
@@ -107,6 +107,23 @@ def forward_features(spark, sf_dir):
     return spark.createDataFrame([(k, c, float(s)) for k, (c, s) in enumerate(chosen)], "place int, feature int, auc double")
 
 
+def _folded(spark, sf_dir, width):
+    w, names = _wide(spark, sf_dir, width)
+    return balance.stratified_folds(w, "epoch_id", 3).persist(), names
+
+
+def permutation_impact(spark, sf_dir):
+    return impact.by_permutation(*_folded(spark, sf_dir, 6), n_perm=20)
+
+
+def ablation_impact(spark, sf_dir):
+    return impact.by_ablation(*_folded(spark, sf_dir, 8))
+
+
+def model_based(spark, sf_dir):
+    return selection.model_based(*_wide(spark, sf_dir), "rf", trees=30)
+
+
 def elimination(spark, sf_dir):
     w, names = _wide(spark, sf_dir, 12)
     products = linear.Products(balance.stratified_folds(w, "epoch_id", 3), names)
@@ -132,7 +149,7 @@ def ensemble(spark, sf_dir):
 
 QUERIES = {
     "R1_oversample": oversample, "R2_undersample": undersample, "R3_median_impute": impute, "R4_standardise": standardise, "R5_pca": components, "R6_subsample": subsample, "R7_folds": folds,
-    "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C5_elimination": elimination, "C7_variance": variance,
+    "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C5_elimination": elimination, "C6_model_based": model_based, "C7_variance": variance, "T6_permutation_impact": permutation_impact, "T7_ablation_impact": ablation_impact,
     "C8_forward_selection": forward_features, "C9_ensemble": ensemble, "C10_best_size": best_size, "M1_logreg": _model("logreg"), "M2_svm_rbf": _model("svm_rbf"), "M3_random_forest": _model("rf", trees=50, depth=8),
     "M4_gradient_boosting": _model("gb", trees=20), "M5_knn": knn,
 }
