@@ -131,17 +131,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, max_features:
     weight = np.where(y == 1, rate / n1, (1 - rate) / n0) * n
     w, b = np.zeros(m), float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
     one, two, b1, b2 = np.zeros(m), np.zeros(m), 0.0, 0.0
-    for step in range(1, 401):
+    for step in range(1, 801):
         score = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, weights=w[col], minlength=n), -30, 30)))
         miss = weight * (score - y) / n
-        g = np.bincount(col, weights=miss[row], minlength=m) + 2e-5 * w
+        g = np.bincount(col, weights=miss[row], minlength=m) + 5e-6 * w
         if len(d_row):
             change = np.bincount(d_row, weights=d_val * w[d_col], minlength=len(swapped)) / len(swapped)
             g += 2 * fairness * np.bincount(d_col, weights=d_val * change[d_row], minlength=m)
         gb = miss.sum()
         one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
-        pace = 0.1 * (1 - step / 420)
+        pace = 0.2 * (1 - step / 840)
         w -= pace * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
         b -= pace * (b1 / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.99**step)) + 1e-8)
     return {"features": chosen.astype(np.uint32), "weights": w, "bias": float(b)}
