@@ -48,7 +48,7 @@ def test_batches_do_not_matter(odd_docs):
 def test_toxicity_held_out_quality(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null")
-    r = rows.agg(F.count_if("toxic = 1 and predicted = 1").alias("tp"), F.count_if("toxic = 1").alias("p"), F.count_if("toxic = 0 and predicted = 1").alias("fp"), F.count_if("toxic = 0").alias("n")).first()
+    r = rows.agg(F.expr("count_if(toxic = 1 and predicted = 1)").alias("tp"), F.expr("count_if(toxic = 1)").alias("p"), F.expr("count_if(toxic = 0 and predicted = 1)").alias("fp"), F.expr("count_if(toxic = 0)").alias("n")).first()
     assert r["tp"] / r["p"] > 0.75 and r["fp"] / r["n"] < 0.005
 
 
