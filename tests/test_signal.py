@@ -59,7 +59,8 @@ def test_filters(spark):
     a, b = np.array(out[0]["samples"]), np.array(out[1]["samples"])
     mid = slice(400, 880)
     assert np.abs(a[mid] - ten[mid]).max() < 0.05  # no lag, no loss
-    assert np.abs(b[mid]).max() < 0.05
+    at_60 = lambda v: np.abs(np.fft.rfft(v[384:896] * np.hanning(512)))[120] / 128
+    assert at_60(sixty) == pytest.approx(1, abs=0.01) and at_60(b) < 1e-4
     b_, a_ = signal.band_pass(0.5, 40, 256)
     assert len(b_) == len(a_) == 9 and np.abs(np.roots(a_)).max() == pytest.approx(0.9954, abs=1e-3)
     gain = lambda f: abs(np.polyval(b_, np.exp(2j * np.pi * f / 256)) / np.polyval(a_, np.exp(2j * np.pi * f / 256)))
@@ -140,3 +141,25 @@ def test_npy_is_not_pickle(spark, tmp_path):
     e, _ = epoch_files.read_split(spark, f"file://{tmp_path}", "t")
     with pytest.raises(Exception, match="allow_pickle|pickle"):
         e.collect()
+
+
+def test_models_save_and_ensemble(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from wavemill.operators import models, selection
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((120, 5))
+    y = (x[:, 2] + 0.3 * rng.standard_normal(120) > 0).astype(int)
+    names = [f"f{k}" for k in range(5)]
+    wide = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(120)], "epoch_id long, y int, " + ", ".join(f"{n} double" for n in names))
+    fitted = models.fit("logreg", wide, names)
+    fitted.save(f"{tmp_path}/model")
+    assert len(PipelineModel.load(f"{tmp_path}/model").stages) == 2
+    with pytest.raises(ValueError):
+        models.fit("knn", wide, names).save(f"{tmp_path}/knn")
+    long = spark.createDataFrame([(i, int(y[i]), k, float(x[i, k])) for i in range(120) for k in range(5)], "epoch_id long, y int, feature int, value double")
+    best = selection.ensemble(long, wide, names, ["univariate_f_classif", "model_logreg", "elimination"], 2).orderBy(F.desc("votes")).first()
+    assert best["feature"] == 2 and best["votes"] == 1.0
+    with pytest.raises(ValueError):
+        selection.run_methods(long, wide, names, ["nothing"], 2)

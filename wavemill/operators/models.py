@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.ml.feature import VectorAssembler
 
 MODELS = ("logreg", "svm_rbf", "rf", "gb", "knn")
 
@@ -47,12 +47,27 @@ def fourier_features(names: list[str], gamma: float, count: int = 128, seed: int
     return run(*names)
 
 
-def fit(model: str, train: DataFrame, names: list[str], y: str = "y", trees: int = 300, depth: int = 12, seed: int = 42):
-    """A function that adds y_prob to rows."""
+class Fitted:
+    """A fitted model: adds y_prob to rows; Spark ML ones can be saved."""
+
+    def __init__(self, score, pipeline=None):
+        self.score, self.pipeline = score, pipeline
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return self.score(rows)
+
+    def save(self, path: str) -> None:
+        if self.pipeline is None:
+            raise ValueError("a nearest-neighbour model is its training rows; write those instead")
+        self.pipeline.write().overwrite().save(path)
+
+
+def fit(model: str, train: DataFrame, names: list[str], y: str = "y", trees: int = 300, depth: int = 12, seed: int = 42) -> Fitted:
+    """The fitted model."""
     scale = fit_scale(train, names)
     data = balanced(apply_scale(train, scale), y).withColumn("label", F.col(y).cast("double"))
     if model == "knn":
-        return lambda rows: knn(apply_scale(train, scale), apply_scale(rows, scale), names, y)
+        return Fitted(lambda rows: knn(apply_scale(train, scale), apply_scale(rows, scale), names, y))
     inputs = names
     prepare = lambda rows: apply_scale(rows, scale)
     if model == "svm_rbf":
@@ -73,7 +88,7 @@ def fit(model: str, train: DataFrame, names: list[str], y: str = "y", trees: int
     }[model]()
     fitted = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="v"), stage]).fit(data)
     drop = ["v", "rawPrediction", "probability", "prediction", *(inputs if model == "svm_rbf" else [])]
-    return lambda rows: fitted.transform(prepare(rows)).withColumn("y_prob", vector_to_array("probability")[1]).drop(*drop)
+    return Fitted(lambda rows: fitted.transform(prepare(rows)).withColumn("y_prob", vector_to_array("probability")[1]).drop(*drop), fitted)
 
 
 def knn(train: DataFrame, queries: DataFrame, names: list[str], y: str = "y", k: int = 7, row_id: str = "epoch_id", block: int = 4096) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite, ratio
+from .balance import stratified_folds
 from .linear import Products, score_candidates
+from .tabular import elect, votes
 
 
 def anova_f(rows: DataFrame, feature: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
@@ -102,3 +104,31 @@ def model_based(rows: DataFrame, names: list[str], estimator: str = "rf", y: str
     cut = float(np.median(weight))
     kept = [(f"model_{estimator}", k, float(w)) for k, w in enumerate(weight) if w >= cut]
     return rows.sparkSession.createDataFrame(kept, "method string, feature int, score double")
+
+
+def run_methods(rows: DataFrame, wide: DataFrame, names: list[str], methods: list[str], top: int, y: str = "y") -> DataFrame:
+    """method, feature, score of every named selector: univariate_<way>, model_<estimator>, elimination, variance.
+
+    `rows` is the long form of the columns `names` of `wide`; features are positions in `names`.
+    """
+    out = None
+    for method in methods:
+        kind, _, way = method.partition("_")
+        if kind == "univariate":
+            part = univariate(rows, way, top)
+        elif kind == "model":
+            part = model_based(wide, names, way, y)
+        elif method == "elimination":
+            path = eliminate(Products(stratified_folds(wide, "epoch_id", 3, y=y), names, y))[:top]
+            part = rows.sparkSession.createDataFrame([(method, f, float(top - k)) for k, f in enumerate(path)], "method string, feature int, score double")
+        elif method == "variance":
+            part = by_variance(rows).select(F.lit(method).alias("method"), "feature", F.col("variance").alias("score"))
+        else:
+            raise ValueError(f"unknown method {method!r}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ensemble(rows: DataFrame, wide: DataFrame, names: list[str], methods: list[str], top: int = 20, threshold: float = 0.5, y: str = "y") -> DataFrame:
+    """feature, votes: what enough of the methods select, or else the most voted features."""
+    return elect(votes(run_methods(rows, wide, names, methods, top, y), rows, len(methods)), threshold, top)

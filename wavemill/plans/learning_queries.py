@@ -141,10 +141,7 @@ def ensemble(spark, sf_dir):
     """Votes of univariate, model-based and elimination selectors; at least half of them, or the most voted."""
     rows = tables.embedding_features(spark, sf_dir).where("feature < 16")
     w, names = _wide(spark, sf_dir)
-    kept = selection.eliminate(linear.Products(balance.stratified_folds(w, "epoch_id", 3), names))[:8]
-    chosen = selection.univariate(rows, "f_classif", 8).select("method", "feature").unionByName(selection.model_based(w, names, "logreg").select("method", "feature"))
-    chosen = chosen.unionByName(spark.createDataFrame([("elimination", f) for f in kept], "method string, feature int"))
-    return tabular.elect(tabular.votes(chosen, rows, 3), 0.5, 8)
+    return selection.ensemble(rows, w, names, ["univariate_f_classif", "model_logreg", "elimination"], 8)
 
 
 QUERIES = {
