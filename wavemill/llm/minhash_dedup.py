@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     at = at.select("tree", "region", "id", "n_shingles", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("asks"))
     at = materialise(at, "open")
     blocks = at.groupBy("region").agg(F.sum(F.when(F.col("asks"), F.col("n_shingles"))).alias("asked"), F.sum("n_shingles").alias("shown")).where("asked > 0")
-    blocks = blocks.select("region", F.ceil(F.col("asked") / ASKED).cast("int").alias("q"), F.ceil(F.col("shown") / SHOWN).cast("int").alias("m"))
+    blocks = materialise(blocks.select("region", F.ceil(F.col("asked") / ASKED).cast("int").alias("q"), F.ceil(F.col("shown") / SHOWN).cast("int").alias("m")), "blocks")
     rows = at.join(blocks, "region")
     asking = rows.where("asks").select("tree", "region", F.pmod(F.xxhash64("id"), F.col("q")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), "id", "component", "asks")
     others = rows.select("tree", "region", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.pmod(F.hash("id"), F.col("m")).cast("int").alias("j"), "id", "component", F.lit(False).alias("asks"))
