@@ -127,6 +127,14 @@ ORACLE_SQL = {
     "F22_wide_features": f"""WITH {EMB}, c AS (SELECT epoch_id, unnest([0, 1, 2, 3]) AS ch, x FROM emb), d AS (SELECT epoch_id, ch, x[ch * 16 + 1 : ch * 16 + 16] AS s FROM c),
  m AS (SELECT epoch_id, ch, list_sum(s) / 16 AS mean, sqrt(list_sum(list_transform(s, lambda v: v * v)) / 16) AS rms FROM d)
  SELECT epoch_id, {", ".join(f"round(max({n}) FILTER (ch = {c}), 9) AS ch{c}_{n}" for c in range(4) for n in ("mean", "rms"))} FROM m GROUP BY epoch_id""",
+    "F24_channel_summary": f"""WITH {EMB}, c AS (SELECT epoch_id, y, unnest([0, 1, 2, 3]) AS channel, x FROM emb), d AS (SELECT epoch_id, channel, y, x[channel * 16 + 1 : channel * 16 + 16] AS s FROM c),
+ m AS (SELECT *, list_sum(s) / 16 AS mu, sqrt(list_sum(list_transform(s, lambda v: v * v)) / 16) AS rms FROM d),
+ w AS (SELECT epoch_id, channel, i, (s[i + 1] - mu) * (0.5 - 0.5 * cos(2 * {_PI} * i / 16)) AS v FROM (SELECT *, unnest(range(16)) AS i FROM m)),
+ z AS (SELECT epoch_id, channel, k, sum(v * cos(2 * {_PI} * i * k / 16)) AS re, sum(v * sin(2 * {_PI} * i * k / 16)) AS im FROM w CROSS JOIN (SELECT unnest(range(0, 9)) AS k) GROUP BY epoch_id, channel, k),
+ pw AS (SELECT epoch_id, channel, k, (re * re + im * im) / (16 * 6.0) * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END AS v FROM z),
+ t AS (SELECT p.epoch_id, p.channel, b.band, sum((p.v + q.v) / 2) AS area FROM pw p JOIN pw q ON p.epoch_id = q.epoch_id AND p.channel = q.channel AND q.k = p.k + 1 JOIN {_BANDS_SQL} ON p.k >= b.lo AND q.k < b.hi GROUP BY p.epoch_id, p.channel, b.band)
+ SELECT m.epoch_id, m.channel::INT AS channel, m.y, any_value(round(m.rms, 9)) AS rms, {", ".join(f"coalesce(round(max(t.area) FILTER (t.band = '{b}'), 9), 0) AS bp_{b}" for b in signal.BANDS)}
+ FROM m LEFT JOIN t ON t.epoch_id = m.epoch_id AND t.channel = m.channel GROUP BY m.epoch_id, m.channel, m.y""",
     "P1_prefix_limit": "SELECT c::INT AS channel, count(*) AS n, sum((label >= 5)::INT)::BIGINT AS ones FROM embeddings CROSS JOIN (SELECT unnest(range(4)) AS c) WHERE vec_id < 100 GROUP BY c",
     "P2_channel_project": """SELECT vec_id AS epoch_id, p.pos::INT AS channel, round(embedding[p.ch * 16 + 1]::DOUBLE, 9) AS head FROM embeddings CROSS JOIN (VALUES (2, 0), (0, 1)) p(ch, pos)""",
     "P6_band_mask": f"""WITH {EMB}, s AS (SELECT epoch_id, unnest(range(64)) AS f, unnest(x) AS v FROM emb) SELECT b.band, count(*) AS bins, round(sum(v), 6) AS total FROM s JOIN {_BANDS_SQL} ON f >= b.lo AND f < b.hi GROUP BY b.band""",

@@ -109,6 +109,12 @@ ORACLE_SQL = {
  o AS (SELECT auc AS observed FROM a WHERE rep = -1), t AS (SELECT avg(auc) AS mean, stddev_pop(auc) AS std FROM a WHERE rep >= 0)
  SELECT round(observed, 6) AS observed, round(mean, 6) AS mean, round(std, 6) AS std, round((observed - mean) / std, 6) AS z,
   round((SELECT count(*) FROM a WHERE rep >= 0 AND abs(auc - mean) >= abs(observed - mean)) / {FEW}, 6) AS p FROM o CROSS JOIN t""",
+    "T8_channel_significance": f"""WITH e AS (SELECT vec_id AS epoch_id, c AS channel, (label >= 5)::INT AS y, embedding[c * 16 + 1]::DOUBLE AS p FROM embeddings CROSS JOIN (SELECT unnest(range(4)) AS c)),
+ x AS (SELECT channel || '|' || r AS g, channel || '|' || r || '|' || epoch_id AS id, p, y FROM e CROSS JOIN (SELECT unnest(range(40)) AS r)),
+ l AS (SELECT g, p, row_number() OVER (PARTITION BY g ORDER BY md5('42|s|' || id), id) AS r FROM x), m AS (SELECT g, y, row_number() OVER (PARTITION BY g ORDER BY md5('42|y|' || id), id) AS r FROM x),
+ b AS (SELECT l.g AS rep, p, y, 1 AS w FROM l JOIN m ON l.g = m.g AND l.r = m.r UNION ALL SELECT channel || '|', p, y, 1 FROM e), {_AUC},
+ o AS (SELECT c::INT AS channel, (SELECT auc FROM a WHERE rep = c || '|') AS roc_auc, (SELECT count(*) FROM a WHERE rep LIKE c || '|_%' AND auc >= (SELECT auc FROM a WHERE rep = c || '|')) / 40 AS p FROM (SELECT unnest(range(4)) AS c))
+ SELECT channel, round(roc_auc, 6) AS roc_auc, round(p, 6) AS p, p < 0.05 AS significant FROM o""",
     "T9_bootstrap_mean": f"""WITH v AS (SELECT o_orderpriority, year(o_orderdate) AS yr, round(avg(o_totalprice), 4) AS v FROM orders GROUP BY 1, 2), l AS (SELECT o_orderpriority, list(v ORDER BY v) AS v FROM v GROUP BY 1),
  d AS (SELECT o_orderpriority, v, rep, unnest(range(len(v))) AS i FROM l CROSS JOIN (SELECT unnest(range(100)) AS rep)),
  m AS (SELECT o_orderpriority, rep, avg(v[floor({uniform_sql("'42|' || rep || '|' || i")} * len(v))::INT + 1]) AS m FROM d GROUP BY 1, 2)
