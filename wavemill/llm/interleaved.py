@@ -210,6 +210,7 @@ def text_pages(docs: DataFrame) -> DataFrame:
 def op9_interleaved(spark, sf_dir: str) -> DataFrame:
     store = materialise(text_pages(read_table(spark, sf_dir, "documents")), "media", codec="uncompressed")
     parts = parse_pages(store, "doc_id").where("kind = 'media'")
-    rows = attach_media(parts, media_features(store))
+    # written apart, so that the join has plain inputs and a digest of very many documents can be split
+    rows = attach_media(parts, materialise(media_features(store), "features"))
     n_bytes = F.split("caption", " ")[0].cast("long").alias("n_bytes")
     return rows.select("doc_id", n_bytes, *_FEATURES[1:])
