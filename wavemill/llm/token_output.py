@@ -33,12 +33,15 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
-    size = 1 + (v > 0xFF) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    size = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF) + np.uint8(1)
+    width = 2 if size.max(initial=1) <= 2 else 4
+    kept = np.arange(width, dtype=np.uint8) < size[:, None]
+    data = v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[kept]
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = size - 1
-    control = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.sum(1, dtype=np.uint8).tobytes(), data.tobytes()
+    four = codes.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -71,7 +74,7 @@ def _frequencies(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         raw, _ = raw_text(batch.column(0))
-        total += np.bincount(np.frombuffer(raw.tobytes(), np.uint16), minlength=1 << 16)
+        total += np.bincount(raw.view(np.uint16), minlength=1 << 16)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
