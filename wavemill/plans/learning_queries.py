@@ -65,14 +65,24 @@ def variance(spark, sf_dir):
     return selection.by_variance(rows, 0.01).select("feature", F.round("variance", 9).alias("variance"))
 
 
-def knn(spark, sf_dir):
+def _standard_wide(spark, sf_dir):
     rows = tables.embedding_features(spark, sf_dir)
     z = tabular.standardise(rows).groupBy("epoch_id", "y").pivot("feature", list(range(64))).agg(F.first("value"))
     names = [f"f{k}" for k in range(64)]
-    z = z.withColumnsRenamed({str(k): n for k, n in enumerate(names)})
+    return z.withColumnsRenamed({str(k): n for k, n in enumerate(names)}), names
+
+
+def knn(spark, sf_dir):
+    z, names = _standard_wide(spark, sf_dir)
     return models.knn(z.where("epoch_id >= 100"), z.where("epoch_id < 100"), names).select("epoch_id", F.round("y_prob", 6).alias("y_prob"))
 
 
+def knn_held_out(spark, sf_dir):
+    """A hundredth of the rows, at every table size, against all others."""
+    z, names = _standard_wide(spark, sf_dir)
+    return models.knn(z.where("epoch_id % 100 <> 0"), z.where("epoch_id % 100 = 0"), names)
+
+
 def _model(name, **options):
     def run(spark, sf_dir):
         w, names = _wide(spark, sf_dir)
@@ -148,7 +158,7 @@ QUERIES = {
     "R1_oversample": oversample, "R2_undersample": undersample, "R3_median_impute": impute, "R4_standardise": standardise, "R5_pca": components, "R6_subsample": subsample, "R7_folds": folds,
     "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C5_elimination": elimination, "C6_model_based": model_based, "C7_variance": variance, "T6_permutation_impact": permutation_impact, "T7_ablation_impact": ablation_impact,
     "C8_forward_selection": forward_features, "C9_ensemble": ensemble, "C10_best_size": best_size, "M1_logreg": _model("logreg"), "M2_svm_rbf": _model("svm_rbf"), "M3_random_forest": _model("rf", trees=50, depth=8),
-    "M4_gradient_boosting": _model("gb", trees=20), "M5_knn": knn,
+    "M4_gradient_boosting": _model("gb", trees=20), "M5_knn": knn, "M5_knn_held_out": knn_held_out,
 }
 _L = "l AS (SELECT doc_id, y, (row_number() OVER (PARTITION BY y ORDER BY md5('42|' || doc_id), doc_id) - 1) AS r FROM doc), n AS (SELECT y, count(*) AS n FROM doc GROUP BY y)"
 ORACLE_SQL = {

@@ -14,6 +14,10 @@ from .views import EVT
 FEW = 50
 
 
+def _all_scores(spark, sf_dir):
+    return tables.event_scores(spark, sf_dir).select(F.concat_ws("-", "recording", "epoch_id").alias("row"), "p", "y")
+
+
 def _scores(spark, sf_dir):
     return tables.event_scores(spark, sf_dir).where("recording <= 5").select(F.concat_ws("-", "recording", "epoch_id").alias("row"), "p", "y")
 
@@ -55,6 +59,19 @@ def surrogate(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in ("observed", "mean", "std", "z", "p")))
 
 
+def bootstrap_all(spark, sf_dir):
+    """All series and the operator's 1,000 replicates, as the next two; SQL is too slow for these."""
+    return stats.bootstrap_ci(_all_scores(spark, sf_dir), "row")
+
+
+def permutation_all(spark, sf_dir):
+    return stats.permutation_test(_all_scores(spark, sf_dir).withColumn("q", F.round(1 - F.col("p"), 9)), "row", "p", "q")
+
+
+def surrogate_all(spark, sf_dir):
+    return stats.surrogates(_all_scores(spark, sf_dir), "row")
+
+
 def bootstrap_mean(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
     out = stats.bootstrap_mean(o, "o_orderpriority", "v", 100)
@@ -87,6 +104,7 @@ _POISSON = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _cuts())
 QUERIES = {
     "T1_bootstrap_ci": bootstrap, "T2_permutation": permutation, "T3_mcnemar": mcnemar, "T4_kruskal": kruskal, "T5_surrogate": surrogate,
     "T8_channel_significance": channel_significance, "T9_bootstrap_mean": bootstrap_mean, "T10_signflip_exact": sign_flip,
+    "T1_bootstrap_ci_all": bootstrap_all, "T2_permutation_all": permutation_all, "T5_surrogate_all": surrogate_all,
 }
 ORACLE_SQL = {
     "T1_bootstrap_ci": f"""WITH {_ROWS}, x AS (SELECT rep, p, y, {uniform_sql("'0|' || rep || '|' || row")} AS u FROM s CROSS JOIN rep), b AS (SELECT rep, p, y, {_POISSON} AS w FROM x), {_AUC}

@@ -42,7 +42,14 @@ def class_counts(spark, sf_dir):
 
 def values_by_type(spark, sf_dir):
     """Metric values collected per model in row order: a bounded list of each type's first ten events."""
-    e = tables.table(spark, sf_dir, "events").where("event_id < 50")
+    return _collected(tables.table(spark, sf_dir, "events").where("event_id < 50"))
+
+
+def values_by_type_all(spark, sf_dir):
+    return _collected(tables.table(spark, sf_dir, "events"))
+
+
+def _collected(e):
     return e.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"].cast("string")), ",").alias("values"))
 
 
@@ -124,8 +131,11 @@ def stable_top_k(spark, sf_dir):
 
 
 def sorted_paths(spark, sf_dir):
-    p = tables.table(spark, sf_dir, "customer").select("c_name", "c_custkey")
-    return p.orderBy("c_name").limit(50)
+    return sorted_paths_all(spark, sf_dir).limit(50)
+
+
+def sorted_paths_all(spark, sf_dir):
+    return tables.table(spark, sf_dir, "customer").select("c_name", "c_custkey").orderBy("c_name")
 
 
 def select_k_best(spark, sf_dir):
@@ -203,9 +213,9 @@ _FOLDS = """l AS (SELECT doc_id, quality AS y, (row_number() OVER (PARTITION BY
 QUERIES = {
     "S1_pair_files": pair_files, "S4_describe_events": describe, "S5_channel_names": channel_names, "S5_default_names": default_names, "S6_metrics_document": metrics_document, "S11_flat_rows": flat_rows,
     "P3_P4_feature_projection": project_features, "P5_drop_missing": drop_missing, "P8_significance_flag": significance_flag,
-    "A1_class_counts": class_counts, "A2_values_by_type": values_by_type, "A3_summary_by_type": summary, "A4_medians": medians, "A6_percentiles": percentiles, "A7_votes": votes, "A8_argmax": argmax,
+    "A1_class_counts": class_counts, "A2_values_by_type": values_by_type, "A2_values_by_type_all": values_by_type_all, "A3_summary_by_type": summary, "A4_medians": medians, "A6_percentiles": percentiles, "A7_votes": votes, "A8_argmax": argmax,
     "A9_fold_mean": folds_mean, "A10_report": report, "J2_J3_feature_join": features_join, "J4_grid": grid, "J5_pairs": model_pairs, "J6_paired_values": paired_values, "J7_name_lookup": name_lookup,
-    "O1_sorted_names": sorted_paths, "O2_stable_topk": stable_top_k, "O4_select_k_best": select_k_best, "O5_vote_fallback": vote_fallback, "O6_elected": elected, "U1_union_rows": union_rows, "U3_anti": remaining,
+    "O1_sorted_names": sorted_paths, "O1_sorted_names_all": sorted_paths_all, "O2_stable_topk": stable_top_k, "O4_select_k_best": select_k_best, "O5_vote_fallback": vote_fallback, "O6_elected": elected, "U1_union_rows": union_rows, "U3_anti": remaining,
 }
 ORACLE_SQL = {
     "S1_pair_files": """SELECT '/train/a/' || source || '/' || format('{:06d}', doc_id) AS stem, stem || '_X.npy' AS x_path, stem || '_y.npy' AS y_path FROM documents WHERE doc_id % 3 <> 0""",
