@@ -78,6 +78,26 @@ def sign_flip_exact(pairs: DataFrame) -> DataFrame:
     return flips.agg(F.count(F.lit(1)).alias("patterns"), (F.count_if(F.abs(flipped) >= F.abs(seen) - 1e-12) / F.count(F.lit(1))).alias("p"))
 
 
+def sign_flip_random(pairs: DataFrame, row_id: str, n_perm: int = 1000, seed: str = "42") -> DataFrame:
+    """Two-sided sign-flip test of any number of paired values (a, b) over n_perm seeded random sign patterns.
+
+    patterns, p = (patterns that reach the observed sum, and one) / (n_perm + 1); p is null without pairs. Sums within
+    rounding of the observed one reach it.
+    """
+    d = pairs.where(finite(F.col("a")).isNotNull() & finite(F.col("b")).isNotNull()).select(F.col(row_id), (F.col("a") - F.col("b")).alias("d"))
+    flip = (F.col("replicate") > 0) & (uniform(seed, F.col("replicate"), F.col(row_id)) < 0.5)
+    sums = replicates(d, n_perm + 1).groupBy("replicate").agg(F.sum(F.when(flip, -F.col("d")).otherwise(F.col("d"))).alias("s"))
+    seen = d.agg(F.abs(F.sum("d")).alias("seen"), (F.sum(F.abs("d")) * 1e-12).alias("slack"))
+    reached = F.count_if((F.col("replicate") > 0) & (F.abs("s") >= F.col("seen") - F.col("slack")))
+    return sums.join(F.broadcast(seen)).agg(F.lit(n_perm).cast("long").alias("patterns"), F.when(F.count(F.lit(1)) > 0, (reached + 1) / F.lit(n_perm + 1)).alias("p"))
+
+
+def sign_flip(pairs: DataFrame, row_id: str, n_perm: int = 1000, seed: str = "42") -> DataFrame:
+    """patterns, p of the exact test for at most 16 pairs, of the random one for more."""
+    few = pairs.where(finite(F.col("a")).isNotNull() & finite(F.col("b")).isNotNull()).limit(17).count() <= 16
+    return sign_flip_exact(pairs) if few else sign_flip_random(pairs, row_id, n_perm, seed)
+
+
 def replicates(rows: DataFrame, n: int) -> DataFrame:
     """Every row once per replicate."""
     return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

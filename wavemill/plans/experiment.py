@@ -102,14 +102,15 @@ def run_grid(train: DataFrame, test: DataFrame, s: Settings) -> DataFrame:
 
 
 def statistical_validation(rows: DataFrame, metric: str = "metric_roc_auc", n_boot: int = 1000) -> dict[str, DataFrame]:
-    """Kruskal-Wallis over models, bootstrap intervals, exact pairwise tests and a summary of experiment rows."""
+    """Kruskal-Wallis over models, bootstrap intervals, pairwise sign-flip tests (exact for at most 16 cells) and a summary of experiment rows."""
     names = sorted(r["model"] for r in rows.select("model").distinct().collect())
     keys = [c for c in ("repeat", "max_channels", "balance") if c in rows.columns]
     pair = []
     for a, b in combinations(names, 2):
         left = rows.where(F.col("model") == a).select(*keys, F.col(metric).alias("a"))
         right = rows.where(F.col("model") == b).select(*keys, F.col(metric).alias("b"))
-        pair.append(stats.sign_flip_exact(left.join(right, keys)).select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "patterns", "p"))
+        cells = left.join(right, keys).withColumn("cell", F.concat_ws("|", *keys))
+        pair.append(stats.sign_flip(cells, "cell").select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "patterns", "p"))
     return {
         "kruskal_wallis": stats.kruskal_wallis(rows, "model", metric),
         "bootstrap": stats.bootstrap_mean(rows, "model", metric, n_boot),

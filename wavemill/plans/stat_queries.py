@@ -43,6 +43,14 @@ def sign_flip(spark, sf_dir):
     return out.select("patterns", F.round("p", 9).alias("p"))
 
 
+def sign_flip_random(spark, sf_dir):
+    """Every odd recording against the next one, over all epochs that both have."""
+    e = tables.event_scores(spark, sf_dir).withColumn("pair", F.floor((F.col("recording") + 1) / 2))
+    a = e.where("recording % 2 = 1").select("pair", "epoch_id", F.col("p").alias("a"))
+    b = e.where("recording % 2 = 0").select("pair", "epoch_id", F.col("p").alias("b"))
+    return stats.sign_flip_random(a.join(b, ["pair", "epoch_id"]).withColumn("row", F.concat_ws("-", "pair", "epoch_id")), "row")
+
+
 def bootstrap(spark, sf_dir):
     out = stats.bootstrap_ci(_scores(spark, sf_dir), "row", FEW)
     return out.select(*(F.round(c, 9).alias(c) for c in ("mean", "ci_lo", "ci_hi")), "samples")
@@ -105,6 +113,7 @@ QUERIES = {
     "T1_bootstrap_ci": bootstrap, "T2_permutation": permutation, "T3_mcnemar": mcnemar, "T4_kruskal": kruskal, "T5_surrogate": surrogate,
     "T8_channel_significance": channel_significance, "T9_bootstrap_mean": bootstrap_mean, "T10_signflip_exact": sign_flip,
     "T1_bootstrap_ci_all": bootstrap_all, "T2_permutation_all": permutation_all, "T5_surrogate_all": surrogate_all,
+    "T10_signflip_random": sign_flip_random,
 }
 ORACLE_SQL = {
     "T1_bootstrap_ci": f"""WITH {_ROWS}, x AS (SELECT rep, p, y, {uniform_sql("'0|' || rep || '|' || row")} AS u FROM s CROSS JOIN rep), b AS (SELECT rep, p, y, {_POISSON} AS w FROM x), {_AUC}
