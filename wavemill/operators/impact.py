@@ -11,6 +11,7 @@ from .balance import ranked
 from .linear import Products, score_candidates
 from .metrics import roc_auc
 from .stats import replicates
+from .tabular import fill_columns
 
 
 def by_permutation(rows: DataFrame, names: list[str], n_perm: int = 200, seed: str = "42", row_id: str = "epoch_id", y: str = "y", fold: str = "fold") -> DataFrame:
@@ -20,10 +21,11 @@ def by_permutation(rows: DataFrame, names: list[str], n_perm: int = 200, seed: s
     """
     products = Products(rows, names, y, fold)
     w = products.weights(list(range(len(names))))
+    rows = fill_columns(rows, products.fill)
     score = F.lit(float(w[-1]))
     for c, v in zip(names, w, strict=False):
-        score = score + F.coalesce(F.col(c), F.lit(0.0)) * float(v)
-    terms = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), (F.coalesce(F.col(c), F.lit(0.0)) * float(v)).alias("term")) for k, (c, v) in enumerate(zip(names, w, strict=False)))))
+        score = score + F.col(c) * float(v)
+    terms = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), (F.col(c) * float(v)).alias("term")) for k, (c, v) in enumerate(zip(names, w, strict=False)))))
     base = rows.select(row_id, y, score.alias("s"))
     seen = roc_auc(base.withColumn("one", F.lit(1)), ["one"], y, "s").first()["roc_auc"]
     long = replicates(rows.select(row_id, y, score.alias("s"), terms.alias("t")).select(row_id, y, "s", "t.*"), n_perm)

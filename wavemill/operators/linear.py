@@ -13,26 +13,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import roc_auc
+from .tabular import column_medians, fill_columns
 
 
 class Products:
-    """Cross products (with a constant) per fold and class."""
+    """Cross products (with a constant) per fold and class; gaps count as the column's median."""
 
     def __init__(self, rows: DataFrame, names: list[str], y: str = "y", fold: str = "fold"):
         self.names = names
+        self.fill = column_medians(rows, names)
         m = len(names) + 2
 
         def partial(parts):
             sums: dict[int, np.ndarray] = {}
             for pdf in parts:
-                x = np.column_stack([np.nan_to_num(pdf[names].to_numpy(float)), np.ones(len(pdf)), 2.0 * pdf[y].to_numpy(float) - 1])
+                x = np.column_stack([pdf[names].to_numpy(float), np.ones(len(pdf)), 2.0 * pdf[y].to_numpy(float) - 1])
                 for k in np.unique(pdf[fold]):
                     part = x[(pdf[fold] == k).to_numpy()]
                     sums[k] = sums.get(k, 0) + part.T @ part
             for k, s in sums.items():
                 yield pd.DataFrame({"fold": [int(k)], "g": [s.ravel().tolist()]})
 
-        partials = rows.select(*names, y, fold).where(F.col(y).isNotNull()).mapInPandas(partial, "fold int, g array<double>")
+        partials = fill_columns(rows, self.fill).select(*names, y, fold).where(F.col(y).isNotNull()).mapInPandas(partial, "fold int, g array<double>")
         total = partials.select("fold", F.posexplode("g").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
         self.by_fold = {}
         for r in total.toLocalIterator():  # folds x features^2 numbers
@@ -72,11 +74,11 @@ def score_candidates(rows: DataFrame, products: Products, candidates: dict[int,
 
     def run(parts):
         for pdf in parts:
-            x = np.column_stack([np.nan_to_num(pdf[names].to_numpy(float)), np.ones(len(pdf))])
+            x = np.column_stack([pdf[names].to_numpy(float), np.ones(len(pdf))])
             for c in candidates:
                 w = np.stack([table[c, k] for k in pdf[fold]]) if len(pdf) else np.zeros((0, x.shape[1]))
                 yield pd.DataFrame({"candidate": c, "fold": pdf[fold].to_numpy(), "y": pdf[y].to_numpy(), "s": (x * w).sum(1)})
 
-    scored = rows.select(*names, y, fold).where(F.col(y).isNotNull()).mapInPandas(run, "candidate int, fold int, y int, s double")
+    scored = fill_columns(rows, products.fill).select(*names, y, fold).where(F.col(y).isNotNull()).mapInPandas(run, "candidate int, fold int, y int, s double")
     means = roc_auc(scored, ["candidate", "fold"], "y", "s").groupBy("candidate").agg(F.avg("roc_auc").alias("auc")).collect()  # a row per candidate
     return {r["candidate"]: r["auc"] if r["auc"] is not None else float("nan") for r in means}

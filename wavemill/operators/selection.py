@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.safe import finite, ratio
 from .balance import stratified_folds
 from .linear import Products, score_candidates
-from .tabular import elect, votes
+from .tabular import column_medians, elect, fill_columns, votes
 
 
 def anova_f(rows: DataFrame, feature: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
@@ -93,8 +93,8 @@ def best_size(rows: DataFrame, products: Products, sizes: list[int], y: str = "y
 
 
 def model_based(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42) -> DataFrame:
-    """method, feature, score of features whose importance is at least the median importance."""
-    data = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="skip").transform(rows).select("v", F.col(y).cast("double").alias("label"))
+    """method, feature, score of features whose importance is at least the median importance; gaps count as medians."""
+    data = VectorAssembler(inputCols=names, outputCol="v").transform(fill_columns(rows, column_medians(rows, names))).select("v", F.col(y).cast("double").alias("label"))
     if estimator == "rf":
         weight = RandomForestClassifier(featuresCol="v", numTrees=trees, seed=seed).fit(data).featureImportances.toArray()
     elif estimator == "logreg":

@@ -20,6 +20,17 @@ def impute_median(rows: DataFrame, feature: str = "feature", value: str = "value
     return fill.withColumn(value, F.coalesce(finite(F.col(value)), F.col("median"), F.lit(0.0))).drop("median")
 
 
+def column_medians(rows: DataFrame, names: list[str]) -> dict[str, float]:
+    """Exact median of the finite values of each column, 0 for a column without any."""
+    med = rows.agg(*(F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in names)).first()
+    return {c: 0.0 if med[c] is None else med[c] for c in names}
+
+
+def fill_columns(rows: DataFrame, fill: dict[str, float]) -> DataFrame:
+    """Missing and infinite values of the columns replaced by the numbers given."""
+    return rows.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(v)) for c, v in fill.items()})
+
+
 def standardise(rows: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """(value - mean) / population standard deviation; a constant feature is only centred."""
     stats = rows.groupBy(feature).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
