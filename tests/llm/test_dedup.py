@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from wavemill.llm import minhash_dedup
 from wavemill.llm.graph import components
 from wavemill.llm.minhash_dedup import near_duplicates, op6_minhash_near_dedup
 from wavemill.llm.substring_dedup import dedup_substrings, op5_substring_dedup
@@ -45,8 +46,52 @@ def test_substring_query(spark, sf):
     assert got == want
 
 
-def linked(df):
-    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect()}
+def linked(df, percent=85):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, percent).collect()}
+
+
+def thue_morse():
+    """Two different words of equal length that polynomials modulo a power of two can't tell apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_fool_polynomials(spark):
+    one, other = thue_morse()
+    rest = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([other, *rest])), (3, " ".join([one[:64], *rest])), (4, " ".join([other[:64], *rest])), (5, one), (6, other), (7, " ".join([one] * 5)), (8, " ".join([other] * 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cut(df) == sorted(brute.substring_dedup(rows)) and sum(r[2] for r in cut(df)) == 0
+    assert linked(df) == brute.components(rows)
+
+
+def test_rows_of_one_document_link_what_each_of_them_links(spark):
+    prose = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(1, prose("x")), (5, prose("x") + " tail"), (5, prose("y")), (7, prose("y")), (8, prose("z")), (8, prose("u")), (9, prose("u") + " end"), (10, None), (10, prose("z"))]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_shingles > 0").collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (8, 8), (9, 8), (10, 8)}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_dense_regions_take_more_forests(spark, percent, monkeypatch):
+    """Texts that share most shingles without being near copies, among them pairs at the threshold."""
+    monkeypatch.setattr(minhash_dedup, "WIDE", 8)
+    rng = random.Random(6)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for family in range(90):
+        words = list(base)
+        for k in rng.sample(range(0, 200, 7), 6):
+            words[k] = f"f{family}x{k}"
+        for copy in range(1 + family % 3):
+            own = list(words)
+            for k in rng.sample(range(3, 200, 7), rng.choice([0, 2, 3])):
+                own[k] = f"c{family}x{copy}"
+            rows.append((len(rows) * 7 % 1009, " ".join(own)))
+    want = brute.components(rows, percent)
+    assert 40 < len({c for _, c in want.values()}) < len(rows)
+    assert linked(spark.createDataFrame(rows, "doc_id long, text string"), percent) == want
 
 
 def test_near_dedup_of_odd_documents(odd_docs, no_docs):

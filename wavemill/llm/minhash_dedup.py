@@ -1,41 +1,50 @@
-"""Near-dedup by a MinHash LSH forest, with every link confirmed on the full shingle sets.
-
-Method. A document's set holds its distinct 5-word shingles (A-Z lower-cased). Documents with equal sets form a class;
-the class' smallest doc_id stands for it from then on, so thousands of copies cost one row. Each class gets a signature
-of `TREES` * `DEPTH` minhash values. A tree of the forest orders the classes by the values from its own place on;
-classes with the first `DEPTH` values in common form a region. A pair at Jaccard similarity 0.85 meets in no region of
-any tree with probability (1 - 0.85^4)^20 < 4e-7.
-
-Links, in two rounds. First every class is compared with the smallest class of each region it is in. That settles the
-regions that hold one group of near copies. In the others, the members outside the first one's component are compared
-with all members, in blocks of bounded size: a block sorts its members by the tree's whole order and compares
-longest-common-prefix neighbours, however deep the region's prefixes go; then it compares what is still in different
-components. Pairs never leave a block; it returns at most one link per merge. A pair is looked at in the first tree where
-it meets. Signatures only rule out pairs that lie five standard deviations under the threshold; all others are decided
-on full sets.
+"""Near-dedup by a MinHash LSH forest, with every link confirmed on the shingles themselves.
+
+Method. A document's set holds its distinct 5-word shingles (A-Z lower-cased). Rows with equal sets form a class, named
+by its smallest doc_id and that row's text, so thousands of copies cost one row. Each class is signed with CODES minhash
+values. An order of the forest sorts the classes by these values, beginning at a place of its own; classes are candidates
+where they are neighbours in an order with a long common prefix.
+
+How long the prefix must be depends on the region. A region (classes with a common prefix, at first of DEPTHS[0] values)
+of more than WIDE classes is split by more values, and again, until it is small enough; its members are then compared
+with their neighbours in the order up to the region's ends. A deeper prefix is shared by fewer similar pairs: a pair at
+similarity s has d values in common with probability s^d. So the orders grow with the depth: each class adds up the
+logarithm of its chance to miss a partner, and as long as that chance is over MISS, it takes part in a further forest
+with fresh hash functions. Sparse classes need one forest, classes of dense regions several; no region is cut off.
+
+Before that, neighbours of the first few orders are linked, whatever the regions' sizes: families of near copies become
+one component each, and a region of one component holds no candidates. Candidates that their signatures put more than
+five standard deviations under the threshold are ruled out; the others are confirmed on their shingles, word by word
+(no hashes). Classes are told apart by their size and 128 bits of hashes that mix every word non-linearly.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; a text of fewer than five words
-has one shingle, the whole; rows that share a doc_id count as one document each, with a common id; a null doc_id is
-kept unlinked with a null component. Only doc_id and the text are read; other columns are ignored, whatever their names.
-An empty table gives an empty result.
+has one shingle, the whole; rows that share a doc_id are one document, which links whatever its rows link; a null doc_id
+is kept unlinked with a null component. Very long texts are handled whole, one at a time. Only doc_id and the text are
+read; other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw_text, read_table, small_batches
+from .common import discard, materialise, raw_text, read_table, small_batches
 from .graph import components
-from .words import Windows, Words, mix, window_starts
+from .words import Windows, Words, mix, run_names, window_starts
 
-SHINGLE, TREES, DEPTH = 5, 20, 4
-CODES = TREES * DEPTH
-#: Partners of a class that are confirmed together; shingles of the queries and of the members in a block.
-PARTNERS, ASKED, SHOWN = 256, 100_000, 800_000
-_SEEDS = mix(np.arange(1, CODES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+SHINGLE, CODES = 5, 128
+#: Values that a region's members have in common: at first, and after each split.
+DEPTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 64, CODES)
+#: Classes of a region that is not split further; chance to miss a link; orders whose neighbours are linked at first.
+WIDE, MISS, FIRST_ORDERS = 64, 1e-5, 3
+#: Shingles of the partners that are confirmed together.
+SHOWN = 300_000
+_PAIR = "a long, a_key long, b long, b_key long, n_b long"
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -61,176 +70,229 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else h), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
 
 
-def _sign(batches):
-    for batch in small_batches(batches):
-        sets, off = shingle_sets(batch.column(1))
-        n = np.diff(off)
-        full = np.flatnonzero(n)
-        at = off[:-1][full]
-        one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        codes = np.zeros((len(n), CODES), np.uint16)
-        if len(full):
-            one[full] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at)
-            two[full] = np.add.reduceat(mix(sets ^ np.uint64(0x14057B7EF767814F)), at)
-            for k in range(CODES):
-                least = np.minimum.reduceat((sets ^ _SEEDS[k]) * _SEEDS[CODES - 1 - k], at)
-                codes[full, k] = (mix(least) >> np.uint64(48)).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in codes], pa.binary())], names=["doc_id", "n_shingles", "set_1", "set_2", "codes"])
+def _sign(forest: int):
+    """doc_id, key, n_shingles, two hashes of the set, and the minhash values (big-endian, so that bytes sort alike)."""
+    seeds = mix(np.arange(1, 2 * CODES + 1, dtype=np.uint64) + np.uint64(forest * 2 * CODES)) | np.uint64(1)
+
+    def run(batches):
+        for batch in small_batches(batches):
+            sets, off = shingle_sets(batch.column(2))
+            n = np.diff(off)
+            full = np.flatnonzero(n)
+            at = off[:-1][full]
+            one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            codes = np.zeros((len(n), CODES), ">u2")
+            if len(full):
+                one[full] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at)
+                two[full] = np.add.reduceat(mix(sets ^ np.uint64(0x14057B7EF767814F)), at)
+                for k in range(CODES):
+                    least = np.minimum.reduceat((sets ^ seeds[k]) * seeds[CODES + k], at)
+                    codes[full, k] = mix(least) >> np.uint64(48)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in codes], pa.binary())],
+                names=["doc_id", "key", "n_shingles", "set_1", "set_2", "codes"],
+            )
+
+    return run
+
+
+def signatures(docs: DataFrame, forest: int = 0) -> DataFrame:
+    """Signed rows of docs(doc_id, key, text)."""
+    return docs.select("doc_id", "key", "text").mapInArrow(_sign(forest), "doc_id long, key long, n_shingles long, set_1 long, set_2 long, codes binary")
+
+
+def certainty(depth: int, percent: int) -> float:
+    """What an order adds to a class' certainty: - log of the chance that it parts a pair at the threshold before `depth`."""
+    return -math.log1p(-((percent / 100) ** depth))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, set_1 long, set_2 long, codes binary")
+def orders_for(percent: int) -> int:
+    """Orders of a forest: enough for MISS, with some to spare, where no region is split."""
+    return math.ceil(-1.2 * math.log(MISS) / certainty(DEPTHS[0], percent))
 
 
-def _regions(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = _rows(batch.column(1)).astype(np.uint64)
-        for tree in range(TREES):
-            h = np.full(len(codes), tree + 1, np.uint64)
-            for k in range(tree * DEPTH, (tree + 1) * DEPTH):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), tree, np.int32)), pa.array(h.view(np.int64)), batch.column(0)], names=["tree", "region", "id"])
+def _placed(classes: DataFrame, orders: int) -> DataFrame:
+    """order, region, id and key: each class once in every order, with the region of its first values."""
+    placed = classes.select("id", "key", "codes", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("order"))
+    return placed.select("order", "id", "key", _region(_label(orders), DEPTHS[0]).alias("region"))
 
 
-def _alike(same: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs that their signatures, equal at the places `same`, do not rule out."""
-    return same.mean(axis=-1) >= threshold - 5 * (threshold * (1 - threshold) / CODES) ** 0.5
+def _label(orders: int):
+    """The values in the sequence of an order."""
+    return F.expr(f"substring(concat(codes, codes), order * {2 * max(CODES // orders, 1)} + 1, {2 * CODES})")
 
 
-def _rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, CODES)
+def _region(label, depth: int):
+    return F.xxhash64("order", F.substring(label, 1, 2 * depth))
 
 
-def _possible(threshold: float):
+def _neighbours(percent: int, window: int):
+    """Candidates among the rows of a place, which follow each other in the order of their labels."""
+    share = percent / 100
+    least = share - 5 * (share * (1 - share) / CODES) ** 0.5
+
     def run(batches):
+        held = None
         for batch in batches:
-            if batch.num_rows:
-                ok = _alike(_rows(batch.column(2)) == _rows(batch.column(3)), threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            if not batch.num_rows:
+                continue
+            fresh = 0 if held is None else held.num_rows
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            place, ids, keys, n, component = (np.asarray(table.column(c)) for c in ("place", "id", "key", "n", "component"))
+            codes = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint16).reshape(-1, CODES)
+            found = []
+            for gap in range(1, min(window, len(place) - 1) + 1):
+                i = np.arange(max(fresh - gap, 0), len(place) - gap)
+                i = i[place[i] == place[i + gap]]
+                if not len(i):
+                    break
+                j = i + gap
+                ok = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                for part in range(0, len(i), 4096):
+                    x, y = i[part : part + 4096], j[part : part + 4096]
+                    alike = (codes[x] == codes[y]).mean(1) >= least
+                    found.append(np.stack([x[alike], y[alike]]))
+            x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+            swap = (ids[x] > ids[y]) | ((ids[x] == ids[y]) & (keys[x] > keys[y]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids[x], keys[x], ids[y], keys[y], n[y])], names=["a", "a_key", "b", "b_key", "n_b"])
+            cuts = np.flatnonzero(place[1:] != place[:-1])  # only rows of the last place can meet rows to come
+            keep = max(len(place) - window, int(cuts[-1]) + 1 if len(cuts) else 0)
+            held = pa.RecordBatch.from_arrays([c.chunk(0) for c in table.slice(keep).combine_chunks().columns], names=table.column_names)
 
     return run
 
 
 def _confirm(percent: int):
-    """Links of one text (left) with partner texts (right), on their whole sets."""
+    """Links of one text (left) with partner texts (right), by their shingles as words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         links = []
         if left.num_rows and right.num_rows:
-            hub, _ = shingle_sets(left.column("hub_text").slice(0, 1))
-            for part in right.combine_chunks().to_batches(max_chunksize=64):
-                sets, off = shingle_sets(part.column(part.schema.get_field_index("text")))
-                size = np.diff(off)
-                at = np.minimum(np.searchsorted(hub, sets), max(len(hub) - 1, 0))
-                both = np.add.reduceat(np.r_[hub[at] == sets, False].astype(np.int64), off[:-1]) * (size > 0)
-                ok = 100 * both >= percent * (size + len(hub) - both)
-                links += np.asarray(part.column(part.schema.get_field_index("b")))[ok].tolist()
+            texts = pa.chunked_array([*left.column("hub_text").slice(0, 1).cast(pa.large_string()).chunks, *right.column("text").cast(pa.large_string()).chunks])
+            words = Words(*raw_text(texts), fold_case=True)
+            runs = run_names(words.names(), SHINGLE)
+            starts, count = window_starts(words.first, SHINGLE)  # shorter texts equal only texts of their own class
+            names = int(runs.max(initial=0)) + 1
+            owner, run = np.divmod(np.unique(np.repeat(np.arange(len(count)), count) * names + runs[starts]), names)
+            size, mark = np.bincount(owner, minlength=len(count)), np.zeros(names, bool)
+            mark[run[owner == 0]] = True
+            both = np.bincount(owner[mark[run]], minlength=len(count))
+            ok = (both > 0) & (100 * both >= percent * (size + size[0] - both))
+            links = np.asarray(right.column("b"))[ok[1:]].tolist()
         a = left.column("hub")[0].as_py() if links else 0
         return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array(links, pa.int64())})
 
     return run
 
 
-def _confirmed(pairs: DataFrame, codes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of classes that are links. A class with many partners is dealt over several groups."""
-    pairs = pairs.join(codes.select(F.col("id").alias("a"), F.col("codes").alias("codes_a")), "a").join(codes.select(F.col("id").alias("b"), F.col("codes").alias("codes_b")), "b")
-    pairs = materialise(pairs.select("a", "b", "codes_a", "codes_b").mapInArrow(_possible(percent / 100), "a long, b long"), "pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-    salted = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    right = salted.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "part", "b", "text")
-    left = parts.join(texts.select(F.col("id").alias("a"), "text"), "a").select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hub_part"), F.col("text").alias("hub_text"))
-    links = left.groupBy("hub", "hub_part").cogroup(right.groupBy("a", "part")).applyInArrow(_confirm(percent), "a long, b long")
-    return materialise(links, "links")
-
-
-def _across(percent: int):
-    """Links between different components of a region: a block of its members against a block of queries."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        asks = np.asarray(table.column("asks").cast(pa.int8())) > 0
-        ids, comp = np.asarray(table.column("id")), np.unique(np.asarray(table.column("component")), return_inverse=True)[1]
-        codes, tree = _rows(table.column("codes")), table.column("tree")[0].as_py()
-        sets, off = shingle_sets(table.column("text"))
-        size = np.diff(off)
-        names, sets = np.unique(sets, return_inverse=True)
-        mark, links = np.zeros(len(names), bool), []
-
-        def compare(q: int, others: np.ndarray) -> None:
-            """Link q with those of the others that it is not connected with yet and that are similar enough."""
-            nonlocal comp
-            others = others[comp[others] != comp[q]]
-            if not len(others):
-                return
-            same = codes[others] == codes[q]
-            seen = same[:, : tree * DEPTH].reshape(len(others), tree, DEPTH).all(2).any(1)
-            others = others[~seen & _alike(same, percent / 100)]
-            if not len(others):
-                return
-            mark[sets[off[q] : off[q + 1]]] = True
-            n = size[others]
-            begin = np.cumsum(n) - n
-            both = np.add.reduceat(mark[sets[np.arange(n.sum()) + np.repeat(off[others] - begin, n)]].astype(np.int64), begin)
-            mark[sets[off[q] : off[q + 1]]] = False
-            for m in others[100 * both >= percent * (n + size[q] - both)].tolist():
-                if comp[m] != comp[q]:
-                    links.append(sorted((int(ids[q]), int(ids[m]))))
-                    comp = np.where(comp == comp[m], comp[q], comp)
-
-        order = np.lexsort(np.roll(codes, -tree * DEPTH, axis=1)[:, ::-1].T)
-        for left, right in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
-            compare(left, np.array([right]))
-        members = np.flatnonzero(~asks)
-        for q in np.flatnonzero(asks).tolist():
-            compare(q, members)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the candidates. A class with many partners is dealt over several groups."""
+    pairs = materialise(pairs.distinct(), "pairs")
+    parts = pairs.groupBy("a", "a_key").agg(F.ceil(F.sum("n_b") / SHOWN).cast("int").alias("parts"))
+    salted = pairs.join(parts, ["a", "a_key"]).withColumn("part", F.pmod(F.xxhash64("b", "b_key"), F.col("parts")).cast("int"))
+    right = salted.join(texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), "text"), ["b", "b_key"]).select("a", "a_key", "part", "b", "text")
+    left = parts.join(texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), "text"), ["a", "a_key"])
+    left = left.select(F.col("a").alias("hub"), F.col("a_key").alias("hub_key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hub_part"), F.col("text").alias("hub_text"))
+    links = materialise(left.groupBy("hub", "hub_key", "hub_part").cogroup(right.groupBy("a", "a_key", "part")).applyInArrow(_confirm(percent), "a long, b long"), "links")
+    discard(pairs)
+    return links
 
-    return run
 
+def _first_candidates(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> DataFrame:
+    """Direct neighbours in the first orders. The orders are cut into ranges, so that a large region is no hot key."""
+    rows = members.where(F.col("order") < FIRST_ORDERS).join(classes.select("id", "key", "n", "codes"), ["id", "key"])
+    rows = rows.select("order", F.col("region").alias("place"), "id", "key", "n", F.col("id").alias("component"), _label(orders).alias("label"))
+    return rows.repartitionByRange("order", "label", "id").sortWithinPartitions("order", "label", "id").drop("order").mapInArrow(_neighbours(percent, 1), _PAIR)
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+
+def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Candidates in different components, what each class' certainty loses to split regions, and scratch tables.
+
+    members(order, region, id, key), classes(id, key, n, codes, component).
+    """
+    rows = members.join(classes.select("id", "key", "component"), ["id", "key"])
+    size = (F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.min_by("key", "id").alias("hub_key"))
+    stats = rows.groupBy("region").agg(*size).where("low <> high")
+    going = rows.join(stats, "region").join(classes.select("id", "key", "n", "codes"), ["id", "key"]).withColumn("label", _label(orders)).drop("codes")
+    levels = []
+    for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], 0), strict=True):
+        level = materialise(going.withColumn("depth", F.lit(depth)), "level")
+        levels.append(level)
+        onward = level.where(f"low <> high and size > {WIDE}")
+        if not deeper or not onward.limit(1).count():
+            break
+        onward = onward.select("order", "id", "key", "n", "component", "label").withColumn("region", _region("label", deeper))
+        going = onward.join(onward.groupBy("region").agg(*size), "region")
+    every = reduce(DataFrame.unionByName, levels)
+    leaves = every.where(f"low <> high and size <= {WIDE}")
+    leaves = leaves.select(F.col("region").alias("place"), "label", "id", "key", "n", "component")
+    pairs = leaves.repartition("place").sortWithinPartitions("place", "label", "id", "key").mapInArrow(_neighbours(percent, WIDE), _PAIR)
+    # classes that have every value in common: all of them with the smallest
+    equal = every.where(f"depth = {CODES} and low <> high and size > {WIDE} and id <> hub")
+    pairs = pairs.unionByName(equal.select(F.col("hub").alias("a"), F.col("hub_key").alias("a_key"), F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("n_b")))
+    loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
+    ended = every.where(f"depth > {DEPTHS[0]} and (low = high or size <= {WIDE} or depth = {CODES})")
+    return materialise(pairs.distinct(), "candidates"), ended.groupBy("id", "key").agg(F.sum(loss[F.col("depth")]).alias("lost")), levels
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, for every row of docs.
 
     Links join sets with 100 * intersection >= percent * union.
     """
-    signed = materialise(signatures(docs), "signatures")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    signed = materialise(signatures(rows), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    codes = named.groupBy("set_1", "set_2", "n_shingles").agg(F.min(F.struct("doc_id", "codes")).alias("least")).select(F.col("least.doc_id").alias("id"), "set_1", "set_2", "n_shingles", F.col("least.codes").alias("codes"))
-    codes = materialise(codes, "classes")
+    # equal sets have equal codes
+    classes = named.groupBy("set_1", "set_2", "n_shingles", "codes").agg(F.min("doc_id").alias("id"), F.min_by("key", "doc_id").alias("key"))
+    classes = materialise(classes.withColumnRenamed("n_shingles", "n"), "classes")
+
+    # a document of several rows joins their classes
+    spread = named.groupBy("doc_id").agg(F.min("set_1").alias("s"), F.max("set_1").alias("t"), F.min("set_2").alias("u"), F.max("set_2").alias("v")).where("s <> t or u <> v")
+    own = named.join(spread.select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_1", "set_2", F.col("n_shingles").alias("n"))
+    own = own.join(classes.select("id", "set_1", "set_2", "n"), ["set_1", "set_2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    own = materialise(own.where("a <> b").distinct(), "links")
 
-    # regions: common prefixes with more than one class
-    placed = codes.select("id", "codes").mapInArrow(_regions, "tree int, region long, id long")
-    regions = placed.groupBy("region").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(placed.join(regions, "region"), "members")
-    star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    orders = orders_for(percent)
+    placed = _placed(classes, orders)
+    shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("region")
+    members = materialise(placed.join(shared, "region"), "members")
 
     # whole texts of the classes that have a neighbour: a small part of the input, moved once
-    near = members.select("id").distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(near, "id", "left_semi")
-    texts = materialise(rows.groupBy("id").agg(F.max("text").alias("text")), "texts")
-    first = _confirmed(star, codes, texts, percent)
-    labels = components(first)
-
-    # regions that are not of one component yet: members outside the hub's component against all members
-    label = labels.select(F.col("node").alias("id"), "component")
-    hub_label = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    at = members.where("n > 2").join(label, "id", "left").join(hub_label, "hub", "left").join(codes.select("id", "n_shingles"), "id")
-    component = F.coalesce("component", "id")
-    at = at.select("tree", "region", "id", "n_shingles", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("asks"))
-    at = materialise(at, "open")
-    blocks = at.groupBy("region").agg(F.sum(F.when(F.col("asks"), F.col("n_shingles"))).alias("asked"), F.sum("n_shingles").alias("shown")).where("asked > 0")
-    blocks = materialise(blocks.select("region", F.ceil(F.col("asked") / ASKED).cast("int").alias("q"), F.ceil(F.col("shown") / SHOWN).cast("int").alias("m")), "blocks")
-    rows = at.join(blocks, "region")
-    asking = rows.where("asks").select("tree", "region", F.pmod(F.xxhash64("id"), F.col("q")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), "id", "component", "asks")
-    others = rows.select("tree", "region", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.pmod(F.hash("id"), F.col("m")).cast("int").alias("j"), "id", "component", F.lit(False).alias("asks"))
-    across = asking.unionByName(others).join(codes.select("id", "codes"), "id").join(texts, "id")
-    second = across.groupBy("region", "i", "j").applyInArrow(_across(percent), "a long, b long")
-    labels = components(first.unionByName(materialise(second, "links")))
+    near = members.select("id", "key").distinct()
+    texts = rows.withColumnRenamed("doc_id", "id").join(near, ["id", "key"], "left_semi")
+    texts = materialise(texts.dropDuplicates(["id", "key"]), "texts")
+    links = own.unionByName(_confirmed(_first_candidates(members, classes, orders, percent), texts, percent))
+
+    labels = components(links).select(F.col("node").alias("id"), F.col("component"))
+    active = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("id", "key", "n", "codes", "component")
+    forest, candidates, full, have = 0, [], orders * certainty(DEPTHS[0], percent), None
+    while True:
+        pairs, lost, levels = _forest(members, active, orders, percent)
+        candidates.append(pairs)
+        have = lost.select("id", "key", (full - F.col("lost")).alias("have")) if have is None else have.join(lost, ["id", "key"], "left").select("id", "key", (F.col("have") + full - F.coalesce("lost", F.lit(0.0))).alias("have"))
+        have = materialise(have.where(F.col("have") < -math.log(MISS)), "open")
+        for level in levels:
+            discard(level)
+        if not have.limit(1).count():
+            break
+        forest += 1
+        again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), forest).withColumnRenamed("doc_id", "id")
+        again = again.select("id", "key", F.col("n_shingles").alias("n"), "codes").join(labels, "id", "left")
+        if forest > 1:
+            discard(active)
+        active = materialise(again.withColumn("component", F.coalesce("component", "id")), "signatures")
+        members = _placed(active, orders)
+
+    links = links.unionByName(_confirmed(reduce(DataFrame.unionByName, candidates), texts, percent))
+    labels = components(links).select(F.col("node").alias("id"), "component")
+    for table in (texts, *candidates):
+        discard(table)
 
     # classes, then rows; a class with very many rows is a skewed join that Spark splits
-    final = codes.select("id", "set_1", "set_2", F.col("n_shingles").alias("n")).join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("set_1", "set_2", "n", F.coalesce("component", "id").alias("component"))
+    final = classes.join(labels, "id", "left").select("set_1", "set_2", "n", F.coalesce("component", "id").alias("component"))
     joined = signed.join(final, (signed.set_1 == final.set_1) & (signed.set_2 == final.set_2) & (signed.n_shingles == final.n), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
@@ -238,4 +300,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), 85)

@@ -6,7 +6,10 @@ looking at code points gives the same words.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -14,8 +17,13 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_LETTER = np.arange(256) < 128
 NOT_LETTER[[*range(65, 91), *range(97, 123)]] = False
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE, _SEQ = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_SEQ = 0xD6E8FEB86659FD93 | 1
 _POWERS: dict[int, np.ndarray] = {}
+#: Words of more bytes are hashed one by one by a cryptographic hash.
+LONG_WORD = 64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,21 +36,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_codes(fold_case: bool) -> np.ndarray:
-    codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    if fold_case:
-        codes[65:91] = codes[97:123]
-    return codes
-
-
-_EXACT, _FOLDED = _byte_codes(False), _byte_codes(True)
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base, np.uint64)
+        have = np.full(max(n, 1 << 19), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         if n <= 1 << 22:  # powers for a huge text are not kept
@@ -76,28 +74,72 @@ class Words:
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        self.raw, self._codes = raw, _FOLDED if fold_case else _EXACT
-        self._prefix = None
+        self.raw = _LOWER[raw] if fold_case else raw
+        self._padded = None
 
     def __len__(self) -> int:
         return len(self.start)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of raw[start:end] for many spans."""
-        if self._prefix is None:
-            self._prefix = _sums(self._codes[self.raw] * powers(_BASE, len(self.raw)))
-        return mix((self._prefix[end] - self._prefix[start]) * powers(inverse(_BASE), len(self.raw) + 1)[start] + (end - start).astype(np.uint64))
+        """Hash of raw[start:end] for many spans: eight bytes at a time, each block stirred into what came before."""
+        if self._padded is None:
+            self._padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.raw) + 1, "<u8", self._padded, strides=(1,))
+        left = np.asarray(end - start)
+        h = mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        h = mix(h ^ (eight[start] & _FIRST_BYTES[np.minimum(left, 8)]))
+        going = np.flatnonzero((left > 8) & (left <= LONG_WORD))
+        for k in range(8, LONG_WORD, 8):
+            if not len(going):
+                break
+            h[going] = mix(h[going] ^ (eight[start[going] + k] & _FIRST_BYTES[np.minimum(left[going] - k, 8)]))
+            going = going[left[going] > k + 8]
+        for i in np.flatnonzero(left > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.raw[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
 
     @property
     def hashes(self) -> np.ndarray:
         out = self.span_hash(self.start, self.end)
-        self._prefix = None
+        self._padded = None
         return out
 
+    def names(self) -> np.ndarray:
+        """A number per word; words of these texts have the same one only if they are the same word."""
+        n = len(self)
+        size = self.end - self.start
+        offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
+        inside = np.zeros(len(self.raw) + 1, np.int8)
+        inside[self.start] += 1
+        inside[self.end] -= 1
+        data = self.raw[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return np.asarray(words.dictionary_encode().indices).astype(np.int64)
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
 
+def run_names(words: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n consecutive words, given as exact numbers: the same only for the same run.
+
+    Runs are named by doubling: a run of 2k words is the pair of its halves' names, so no name is a hash.
+    """
+
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        m = min(len(a), len(b))
+        return np.unique(a[:m] * (int(b.max(initial=0)) + 1) + b[:m], return_inverse=True)[1].astype(np.int64)
+
+    out, have, power, reach = words, 0, words, 1
+    while True:
+        if n & reach:
+            out = paired(out, power[have:]) if have else power
+            have += reach
+        if have == n:
+            return out
+        power, reach = paired(power, power[reach:]), 2 * reach
+
+
 class Windows:
     """Hashes of runs of consecutive words."""
 
