@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import brute
 import corpus_pipeline as cp
 from wavemill.llm import toxicity
@@ -25,7 +27,7 @@ def test_stages(spark):
 
     single = materialise(cp.near_dedup(spark, clean, sf), "t")
     assert single.columns == columns
-    keep = {i for i, (_, c) in brute.components(rows_of(clean)).items() if c == i}
+    keep = {i for i, (_, c) in brute.components(rows_of(clean), 80).items() if c == i}
     assert {i for i, _ in rows_of(single)} == keep and len(keep) < clean.count()
 
     cut = materialise(cp.substring_dedup(spark, single, sf), "t")
@@ -67,3 +69,31 @@ def test_stages_take_odd_documents(spark, odd_docs, no_docs):
 def test_run_is_the_stages(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_columns_with_the_operators_names_keep_their_values(spark, odd_docs):
+    """score, n_words, size, part and the like are the documents' own, and go with their rows."""
+    names = ("score", "predicted", "n_words", "n_removed", "kept_text", "size", "source_size", "target", "whole", "part", "taken", "id", "key", "codes", "component_id")
+    docs = odd_docs.drop("n_words", "score").dropDuplicates(["doc_id"])
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")) if k % 2 else F.col("doc_id") * 100 + k)
+    docs = materialise(docs, "t")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert all(r[name] == (f"{name}-{r['doc_id']}" if k % 2 else r["doc_id"] * 100 + k) for k, name in enumerate(names))
+
+
+def test_nulls_in_every_column_and_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, None, None, None, None), (1, text, "en", "a", 3), (1, text, "en", "a", 3), (2, text, None, None, None), (None, text + " x", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sf = "/root/testdata/sf0.001"
+    near = sorted(((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs, sf).collect()), key=str)
+    assert near == sorted([(None, None), (1, text), (1, text), (None, text + " x")], key=str)
+    cut = {(r["doc_id"], r["text"]) for r in cp.substring_dedup(spark, docs, sf).collect()}
+    assert cut == {(None, None), (1, text), (None, "x")}
+    assert (None, None) in {(r["doc_id"], r["text"]) for r in cp.mixing(spark, docs, sf).collect()}

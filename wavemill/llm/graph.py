@@ -11,27 +11,25 @@ from .common import discard, materialise
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of each id in links(a, b): columns node, component.
 
-    Rounds of "take the least label among neighbours, then follow that label's own label"; each round is a shuffle with
-    partial aggregation, is written to the shared folder, and the rounds needed grow with the logarithm of a chain's
-    length. Nothing but a count comes to the driver.
+    Nodes start with the least id among their neighbours and themselves. In each round every group of nodes with one
+    label takes the least label that touches it, and that label's own new label; the rounds needed grow with the
+    logarithm of a chain's length. Each round is written to the shared folder. Nothing but a count comes to the driver.
     """
-    edges = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = materialise(edges, "edges")
+    links = links.where("a <> b")
+    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
-        # the old label's root learns the smaller label too
-        roots = hooked.where("next < component").groupBy(F.col("component").alias("node")).agg(F.min("next").alias("root_next"))
-        moved = hooked.join(roots, "node", "left").select("node", "component", F.least("next", F.coalesce("root_next", "next")).alias("next"))
-        moved = materialise(moved, "labels")
-        jump = moved.select(F.col("node").alias("next"), F.col("next").alias("jumped"))
-        after = moved.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("jumped", "next")).alias("next"))
-        after = materialise(after, "labels")
-        changed = after.where("next <> component").limit(1).count()
-        for t in (labels, moved):
-            discard(t)
-        labels = after.select("node", F.col("next").alias("component"))
-        labels._scratch_path = after._scratch_path
-        if not changed:
+        moves = labels.join(near, "node").groupBy("component").agg(F.min("near").alias("next")).where("next < component")
+        moves = materialise(moves, "moves")
+        if not moves.limit(1).count():
+            for table in (edges, moves):
+                discard(table)
             return labels
+        ahead = moves.select(F.col("component").alias("next"), F.col("next").alias("after"))
+        further = moves.join(ahead, "next", "left").select("component", F.coalesce("after", "next").alias("next"))
+        after = labels.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        after = materialise(after, "labels")
+        for table in (labels, moves):
+            discard(table)
+        labels = after

@@ -39,10 +39,10 @@ from .words import Windows, Words, mix, run_names, window_starts
 
 SHINGLE, CODES = 5, 128
 #: Values that a region's members have in common: at first, and after each split.
-DEPTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 64, CODES)
+DEPTHS = (4, 7, 10, 14, 20, 32, 64, CODES)
 #: Classes of a region that is not split further; chance to miss a link; orders whose neighbours are linked at first.
 WIDE, MISS, FIRST_ORDERS = 64, 1e-5, 3
-#: Shingles of the partners that are confirmed together.
+#: Shingles of a class' partners that one group confirms.
 SHOWN = 300_000
 _PAIR = "a long, a_key long, b long, b_key long, n_b long"
 
@@ -165,24 +165,28 @@ def _neighbours(percent: int, window: int):
 
 
 def _confirm(percent: int):
-    """Links of one text (left) with partner texts (right), by their shingles as words."""
+    """Links of texts with their partners, by their shingles as words. A hub's row comes first, then its partners'."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        links = []
-        if left.num_rows and right.num_rows:
-            texts = pa.chunked_array([*left.column("hub_text").slice(0, 1).cast(pa.large_string()).chunks, *right.column("text").cast(pa.large_string()).chunks])
-            words = Words(*raw_text(texts), fold_case=True)
+    def run(batches):
+        hub = None
+        for batch in small_batches(batches):
+            table = pa.Table.from_batches([batch] if hub is None else [hub, batch]).combine_chunks()
+            is_hub = np.asarray(table.column("is_hub").cast(pa.int8())) > 0
+            group = np.cumsum(is_hub)
+            words = Words(*raw_text(table.column("text")), fold_case=True)
             runs = run_names(words.names(), SHINGLE)
             starts, count = window_starts(words.first, SHINGLE)  # shorter texts equal only texts of their own class
             names = int(runs.max(initial=0)) + 1
             owner, run = np.divmod(np.unique(np.repeat(np.arange(len(count)), count) * names + runs[starts]), names)
-            size, mark = np.bincount(owner, minlength=len(count)), np.zeros(names, bool)
-            mark[run[owner == 0]] = True
-            both = np.bincount(owner[mark[run]], minlength=len(count))
-            ok = (both > 0) & (100 * both >= percent * (size + size[0] - both))
-            links = np.asarray(right.column("b"))[ok[1:]].tolist()
-        a = left.column("hub")[0].as_py() if links else 0
-        return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array(links, pa.int64())})
+            size, named = np.bincount(owner, minlength=len(count)), group[owner] * names + run
+            of_hub = named[is_hub[owner]]  # in order, as its owners are
+            at = np.minimum(np.searchsorted(of_hub, named), max(len(of_hub) - 1, 0))
+            both = np.bincount(owner[of_hub[at] == named], minlength=len(count)) if len(of_hub) else np.zeros(len(count), int)
+            hub_size = np.r_[0, size[is_hub]][group]
+            ok = ~is_hub & (both > 0) & (100 * both >= percent * (size + hub_size - both))
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+            last = np.flatnonzero(is_hub)[-1]
+            hub = pa.RecordBatch.from_arrays([c.combine_chunks().slice(int(last), 1) for c in table.columns], schema=batch.schema)
 
     return run
 
@@ -192,10 +196,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     pairs = materialise(pairs.distinct(), "pairs")
     parts = pairs.groupBy("a", "a_key").agg(F.ceil(F.sum("n_b") / SHOWN).cast("int").alias("parts"))
     salted = pairs.join(parts, ["a", "a_key"]).withColumn("part", F.pmod(F.xxhash64("b", "b_key"), F.col("parts")).cast("int"))
-    right = salted.join(texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), "text"), ["b", "b_key"]).select("a", "a_key", "part", "b", "text")
-    left = parts.join(texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), "text"), ["a", "a_key"])
-    left = left.select(F.col("a").alias("hub"), F.col("a_key").alias("hub_key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hub_part"), F.col("text").alias("hub_text"))
-    links = materialise(left.groupBy("hub", "hub_key", "hub_part").cogroup(right.groupBy("a", "a_key", "part")).applyInArrow(_confirm(percent), "a long, b long"), "links")
+    partners = salted.join(texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), "text"), ["b", "b_key"]).select("a", "a_key", "part", "b", F.lit(False).alias("is_hub"), "text")
+    hubs = parts.join(texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), "text"), ["a", "a_key"])
+    hubs = hubs.select("a", "a_key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"), F.lit(True).alias("is_hub"), "text")
+    rows = hubs.unionByName(partners).repartition("a", "a_key", "part").sortWithinPartitions("a", "a_key", "part", F.desc("is_hub"))
+    links = materialise(rows.select("a", "b", "is_hub", "text").mapInArrow(_confirm(percent), "a long, b long"), "links")
     discard(pairs)
     return links
 

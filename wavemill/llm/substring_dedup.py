@@ -7,14 +7,17 @@ there is a shift d < 7 for which i + d and j + d are both covered. Only the 7-wo
 are hashed and compared across documents; two equal 13-word windows always share an anchor at the same shift. Windows
 around a shared anchor are then extended to the full width and matched by the hash of all their words.
 
-Shape of the job. Documents are dealt into chunks by a hash of doc_id (their number follows the input's size), so a
-chunk holds the same documents in the same order whenever it is computed. Every chunk sends its distinct anchor
-fingerprints, packed by bucket; a bucket answers each chunk with one bit per fingerprint. An anchor or window that is in
-very many documents costs one fingerprint a chunk, so no bucket is hot; no pair of documents is ever made. Anchor
-fingerprints may collide: this only adds candidates, which the full windows (64-bit hash within a bucket) settle.
-
-Defined results: a null text has no words; an empty or short text loses nothing; rows that share a doc_id are texts of
-one document (a window never counts against its own doc_id); a null doc_id counts as the largest. Other columns pass
+Shape of the job. Rows are dealt into chunks by a hash of doc_id and text (the number of chunks follows the input's size),
+so a chunk holds the same rows in the same order whenever it is computed, and rows of one doc_id are spread too; a task
+has many chunks. Every chunk sends its distinct anchor fingerprints, packed by bucket; a bucket answers each chunk with
+one bit per fingerprint. An anchor or window that is in very many documents costs one fingerprint a chunk, so no bucket
+is hot; no pair of documents is ever made. Anchor fingerprints may collide: this only adds candidates, which the full
+windows settle. Within a chunk, windows are told apart word by word; between chunks, by two 64-bit hashes over words
+that are hashed non-linearly, the second one with other multipliers and salts (128 bits: at 10^13 windows, two different
+ones meet with probability 10^-13).
+
+Defined results: a null text has no words; an empty or short text loses nothing; a very long text is handled whole, in a
+chunk with few others; rows that share a doc_id are texts of one document (a window never counts against its own doc_id); a null doc_id counts as the largest. Other columns pass
 through, except those named n_words, n_removed or kept_text, which are replaced. An empty table gives an empty result.
 """
 
@@ -29,10 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import doc_keys, pieces_for, raw_text, read_table, text_bytes
-from .words import Windows, Words, window_starts
+from .words import Windows, Words, mix, run_names, window_starts
 
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 CHUNK_BYTES, BUCKET_BYTES = 3 << 19, 8 << 20
+_OTHER, _OTHER_BASE = np.uint64(0x14057B7EF767814F), 0xA0761D6478BD642F | 1
 _BITS = "__chunk long, __bucket int, __stage int, __bits binary"
 
 
@@ -45,7 +49,8 @@ class _Chunk:
         self.docs = doc_keys(self.table.column("doc_id"))
         raw, offsets = raw_text(self.table.column("text"))
         self.words = Words(raw, offsets)
-        self.seq = Windows(self.words.hashes)
+        self.hashes = self.words.hashes
+        self.seq = Windows(self.hashes)
         starts, count = window_starts(self.words.first, ANCHOR)
         begin = np.repeat(self.words.first[:-1], count)
         keep = np.isin((starts - begin) % PERIOD, COVER) & (np.repeat(self.words.count, count) >= width)
@@ -70,20 +75,21 @@ class _Chunk:
         owner = self.docs[np.repeat(np.arange(len(count)), count)]
         keep = hit[starts + self.width - ANCHOR + 1] > hit[starts]
         self.window, self.owner = starts[keep], owner[keep]
-        h = self.seq.at(self.window, self.width)
-        bucket = (h >> np.uint64(20)) % self.buckets
-        order = np.lexsort((h, bucket))  # by bucket, then hash
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        hs, bs = h[order], bucket[order]
-        new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        self.hash, self.bucket = hs[at], bs[at]
-        self.least = np.minimum.reduceat(self.owner[order], at) if len(at) else np.zeros(0, np.int64)
-        self.group = (np.cumsum(new) - 1)[rank] if len(hs) else np.zeros(0, np.int64)
+        # windows of one name are the same words; a name's hashes are those of any of its windows
+        names = run_names(self.words.names(), self.width)[self.window]
+        _, some, self.group = np.unique(names, return_index=True, return_inverse=True)
+        one, two = self.seq.at(self.window[some], self.width), Windows(mix(self.hashes ^ _OTHER), _OTHER_BASE).at(self.window[some], self.width)
+        bucket = (one >> np.uint64(20)) % self.buckets
+        order = np.lexsort((two, one, bucket))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.group = place[self.group]
+        self.hash, self.hash_2, self.bucket = one[order], two[order], bucket[order]
+        self.least = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.group, self.owner)
 
     def window_rows(self, chunk: int) -> pa.Table:
-        return _packed(chunk, self.bucket, {"__payload": self.hash, "__least": self.least})
+        return _packed(chunk, self.bucket, {"__payload": self.hash, "__second": self.hash_2, "__least": self.least})
 
     def removed(self, flags: dict[int, bytes]) -> np.ndarray:
         """A mark for each word to drop."""
@@ -156,10 +162,15 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 
 
 def _earlier_windows(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("__payload").to_pylist()]
-    least = [np.frombuffer(x, np.int64) for x in table.column("__least").to_pylist()]
-    keys, _, low, _ = _grouped(np.concatenate(parts), np.concatenate(least))
-    return _answer(table, 1, (low[np.searchsorted(keys, p)] < m for p, m in zip(parts, least, strict=True)))
+    read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    one, two, least = read("__payload", np.uint64), read("__second", np.uint64), read("__least", np.int64)
+    a, b, owner = np.concatenate(one), np.concatenate(two), np.concatenate(least)
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+    earlier = np.empty(len(a), bool)
+    earlier[order] = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1] < owner[order]
+    ends = np.cumsum([len(x) for x in one])
+    return _answer(table, 1, (earlier[e - len(x) : e] for x, e in zip(one, ends.tolist(), strict=True)))
 
 
 def _flags(table: pa.Table, stage: int) -> dict[int, bytes]:
@@ -176,8 +187,8 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
     chunks = pieces_for(spark, size, CHUNK_BYTES)
     buckets = pieces_for(spark, size // 4, BUCKET_BYTES, 16)
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    dealt = docs.select(*own, F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("__chunk"))
-    dealt = dealt.repartition(chunks, "__chunk")
+    dealt = docs.select(*own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("__chunk"))
+    dealt = dealt.repartition("__chunk")  # as many partitions as the session sets, whatever the number of chunks
     texts = dealt.select("__chunk", "doc_id", "text")
 
     def anchors(table):
@@ -188,12 +199,12 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
 
     def windows(table, flags):
         if not table.num_rows:
-            return pa.table({"__chunk": pa.array([], pa.int64()), "__bucket": pa.array([], pa.int32()), "__payload": pa.array([], pa.binary()), "__least": pa.array([], pa.binary())})
+            return pa.table({"__chunk": pa.array([], pa.int64()), "__bucket": pa.array([], pa.int32()), "__payload": pa.array([], pa.binary()), "__second": pa.array([], pa.binary()), "__least": pa.array([], pa.binary())})
         chunk = _Chunk(table, width, buckets)
         chunk.extend(_flags(flags, 0))
         return chunk.window_rows(table.column("__chunk")[0].as_py())
 
-    extended = texts.groupBy("__chunk").cogroup(first.groupBy("__chunk")).applyInArrow(windows, "__chunk long, __bucket int, __payload binary, __least binary")
+    extended = texts.groupBy("__chunk").cogroup(first.groupBy("__chunk")).applyInArrow(windows, "__chunk long, __bucket int, __payload binary, __second binary, __least binary")
     second = extended.groupBy("__bucket").applyInArrow(_earlier_windows, _BITS)
 
     schema = T.StructType([f for f in dealt.schema.fields if f.name != "__chunk"])

@@ -143,9 +143,9 @@ def run_names(words: np.ndarray, n: int) -> np.ndarray:
 class Windows:
     """Hashes of runs of consecutive words."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.sums = _sums(hashes * powers(_SEQ, len(hashes)))
-        self.inv = powers(inverse(_SEQ), len(hashes) + 1)
+    def __init__(self, hashes: np.ndarray, base: int = _SEQ):
+        self.sums = _sums(hashes * powers(base, len(hashes)))
+        self.inv = powers(inverse(base), len(hashes) + 1)
 
     def at(self, start: np.ndarray, n) -> np.ndarray:
         return mix((self.sums[start + n] - self.sums[start]) * self.inv[start] + np.asarray(n, np.uint64))
