@@ -9,7 +9,7 @@ length and of the ratios; it is cut at MOST and turned into a likeness of 0 to 1
 are cut into ranges at quantiles; texts are shuffled once, by range; within a range rows stream by in order, whatever
 its size, and each range also receives the first document of the next one.
 
-Defined results: a null text counts as empty; texts without a full window have the digest of the empty bucket table with
+Defined results: a null text counts as empty; very long texts are digested whole, one at a time; texts without a full window have the digest of the empty bucket table with
 their length; equal texts have equal digests; a lone document is its own next one; rows that share a doc_id follow each
 other by text; a null doc_id comes last; extra columns are ignored, whatever their names; an empty table gives an empty
 result.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import pieces_for, raw_text, read_table, slices, text_bytes
 
 BUCKETS, MOST = 256, 480
-RANGE_BYTES, MAX_RANGES = 4 << 20, 20_000
+#: Text of a range; of one where there are over MANY ranges (rows stream by, so memory does not depend on it).
+RANGE_BYTES, WIDE_BYTES, MANY = 4 << 20, 128 << 20, 8192
 _TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 _MULTIPLIERS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
@@ -131,10 +132,10 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document, of its edited text, and their likenesses (see the module's text)."""
     docs = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__at"))
     _, size = text_bytes(docs)
-    ranges = min(pieces_for(docs.sparkSession, size, RANGE_BYTES), MAX_RANGES)
+    ranges = max(min(pieces_for(docs.sparkSession, size, RANGE_BYTES), MANY), -(-size // WIDE_BYTES))
     shares = ", ".join(str((k + 1) / ranges) for k in range(ranges - 1))
     found = docs.agg(F.expr(f"approx_percentile(__at, array({shares}), {max(10_000, 10 * ranges)})").alias("b")).first()["b"] or [0]
-    bounds = np.array(sorted(set(found)), np.int64)  # at most MAX_RANGES numbers
+    bounds = np.array(sorted(set(found)), np.int64)  # a number per range: 6 MB at 100 TB
 
     @F.arrow_udf("int")
     def range_of(at: pa.Array) -> pa.Array:

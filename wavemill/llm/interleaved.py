@@ -7,11 +7,13 @@ media parts with a payload table by digest; parts without a known payload keep t
 Media are stored as 8-bit RGB PNG images of 64 pixels a row (192 bytes), which is lossless; `encode_png` and
 `decode_png` are the whole codec, and decoding checks the format's own checksums.
 
-`op9` gives every document a page with one figure for its text's bytes, writes pages and images to the shared folder,
-parses the written pages, reads the written images back, and joins the two by digest. Rows with an equal text share one
-digest: features are reduced to one row per digest before the join, and a batch stores a repeated image once.
+`op9` makes every document a page: the text's lines as paragraphs, and halfway among them a figure whose image holds the
+text's bytes. Images are written to the shared folder and read back; pages are made and parsed in passing, as text is
+stored once already. Joined by digest, each figure keeps its place among the paragraphs (`position`, and `paragraphs`
+that stand before it in its page) and its caption. Rows with an equal text share one digest: features are reduced to one
+row per digest before the join, and a batch stores a repeated image once.
 
-Defined results: a null text counts as empty; an empty payload is 192 blanks; broken or null HTML gives the parts found;
+Defined results: a null text counts as empty; a very long text is one payload, handled alone; an empty payload is 192 blanks; broken or null HTML gives the parts found;
 repeated rows give repeated parts; a media element without a reference is a part with a null digest; extra columns are
 ignored, whatever their names; empty tables give empty results.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -141,21 +144,27 @@ def parse_html(html: str | None) -> list[dict]:
     return parser.parts
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, position, kind, text, ref, digest (of a `media:` reference) and caption: a row per part of the pages' html."""
+def parse_pages(pages: DataFrame, key: str = "page_id", kinds: tuple[str, ...] = ("text", "media")) -> DataFrame:
+    """key, position, paragraphs, kind, text, ref, digest (of a `media:` reference) and caption: a row per part of the
+    pages' html that is of one of the kinds; positions count all parts, paragraphs the text parts before."""
+    names = ("position", "paragraphs", "kind", "text", "ref", "digest", "caption")
 
     def run(batches):
         for batch in small_batches(batches, "html"):
             found, at = [], []
             for k, html in enumerate(batch.column(1).to_pylist()):
-                parts = parse_html(html)
-                found += [p | {"position": i, "digest": p["ref"][len(SCHEME) :] if (p["ref"] or "").startswith(SCHEME) else None} for i, p in enumerate(parts)]
-                at += [k] * len(parts)
-            names = ("position", "kind", "text", "ref", "digest", "caption")
-            columns = [pa.array([p[n] for p in found], pa.int32() if n == "position" else pa.string()) for n in names]
+                before = 0
+                for i, p in enumerate(parse_html(html)):
+                    if p["kind"] in kinds:
+                        ref = p["ref"] or ""
+                        found.append(p | {"position": i, "paragraphs": before, "digest": ref[len(SCHEME) :] if ref.startswith(SCHEME) else None})
+                        at.append(k)
+                    before += p["kind"] == "text"
+            columns = [pa.array([p[n] for p in found], pa.int32() if n in names[:2] else pa.string()) for n in names]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names=[key, *names])
 
-    return pages.select(key, "html").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, position int, kind string, text string, ref string, digest string, caption string")
+    kept = ", ".join(f"{n} {'int' if n in names[:2] else 'string'}" for n in names)
+    return pages.select(key, "html").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, {kept}")
 
 
 def media_features(store: DataFrame) -> DataFrame:
@@ -189,28 +198,47 @@ def attach_media(parts: DataFrame, payloads: DataFrame) -> DataFrame:
     return parts.join(known, F.col("digest") == F.col("__digest"), "left").drop("__digest")
 
 
-def text_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, html, digest and media (null where the same batch already has this digest): a page with a figure per text."""
+def text_media(docs: DataFrame) -> DataFrame:
+    """digest and media: the image of each text (once for equal texts of a batch)."""
 
     def run(batches):
         for batch in small_batches(batches):
-            html, digests, media, seen = [], [], [], set()
-            for text in text_list(*raw_text(batch.column(1))):
+            found = {}
+            for text in text_list(*raw_text(batch.column(0))):
                 payload = pad(text)
                 digest = hashlib.sha256(payload).hexdigest()
-                html.append(f'<article><figure><img src="{SCHEME}{digest}" width="{UNIT // 3}" height="{len(payload) // UNIT}" alt=""><figcaption>{len(text)} bytes</figcaption></figure></article>')
-                digests.append(digest)
-                media.append(None if digest in seen else encode_png(payload))
-                seen.add(digest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html), pa.array(digests), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
+                if digest not in found:
+                    found[digest] = encode_png(payload)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.binary())], names=["digest", "media"])
+
+    return docs.select("text").mapInArrow(run, "digest string, media binary")
+
+
+def text_page(text: bytes) -> str:
+    """The lines of a text as paragraphs, with a figure of the whole text halfway."""
+    payload = pad(text)
+    lines = [f"<p>{escape(x)}</p>" for x in text.decode().split("\n")]
+    figure = f'<figure><img src="{SCHEME}{hashlib.sha256(payload).hexdigest()}" width="{UNIT // 3}" height="{len(payload) // UNIT}" alt=""><figcaption>{len(text)} bytes</figcaption></figure>'
+    half = len(lines) // 2
+    return "".join(["<article>", *lines[:half], figure, *lines[half:], "</article>"])
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """doc_id and html: the page of each text."""
+
+    def run(batches):
+        for batch in small_batches(batches):
+            html = [text_page(text) for text in text_list(*raw_text(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html, pa.string())], names=["doc_id", "html"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, html string, digest string, media binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, html string")
 
 
 def op9_interleaved(spark, sf_dir: str) -> DataFrame:
-    store = materialise(text_pages(read_table(spark, sf_dir, "documents")), "media", codec="uncompressed")
-    parts = parse_pages(store, "doc_id").where("kind = 'media'")
+    docs = read_table(spark, sf_dir, "documents")
+    store = materialise(text_media(docs), "media", codec="uncompressed")
+    figures = parse_pages(text_pages(docs), "doc_id", kinds=("media",))
     # written apart, so that the join has plain inputs and a digest of very many documents can be split
-    rows = attach_media(parts, materialise(media_features(store), "features"))
+    rows = attach_media(figures, materialise(media_features(store), "features"))
     n_bytes = F.split("caption", " ")[0].cast("long").alias("n_bytes")
-    return rows.select("doc_id", n_bytes, *_FEATURES[1:])
+    return rows.select("doc_id", n_bytes, *_FEATURES[1:], "position", "paragraphs", "caption")

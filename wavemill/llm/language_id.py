@@ -2,11 +2,12 @@
 
 A text's code points are lower-cased and everything but letters becomes a blank; runs of blanks count once. All its 1-,
 2- and 3-grams are hashed into 2^16 buckets. Bucket counts per language are summed over all learning rows on the
-executors (packed blocks of counts, added up as they stream in); the matrix of log probabilities has a fixed number of
-rows and at most MAX_LANGUAGES columns, and goes with the tasks. A batch is scored sparsely: each n-gram picks its row of
-the matrix, and rows are summed per text.
+executors (packed blocks of counts, added up as they stream in). The matrix of log probabilities has a fixed number of
+rows and goes with the tasks, PER_PASS columns at a time: that many languages take one pass over the texts, and each
+further PER_PASS one more, so a table with a dirty language column takes longer but needs no more memory. A batch is
+scored sparsely: each n-gram picks its row of the matrix, and rows are summed per text.
 
-Defined results: a text that is null or has no letter is `und` with score 0, as is every text where nothing could be
+Defined results: a very long text is scored whole; a text that is null or has no letter is `und` with score 0, as is every text where nothing could be
 learnt; an empty table gives an empty result; equal texts get equal predictions; ties go to the first language by code
 point. Rows without a language are scored but not learnt from. Columns named lang_pred or score are replaced, others
 pass through.
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, read_table, slices
+from .common import discard, materialise, raw_text, read_table, slices
 
-BUCKETS, BLOCK, MAX_LANGUAGES = 1 << 16, 1 << 10, 256
+BUCKETS, BLOCK, PER_PASS = 1 << 16, 1 << 10, 256
+#: Languages whose counts a task holds at once.
+HELD = 32
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -76,38 +79,73 @@ def _count(batches):
             for i, j in slices(offsets):
                 for h, _ in _grams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]:
                     into += np.bincount(h, minlength=BUCKETS)
+            if len(counts) > HELD:
+                yield from _blocks({(lang, k): c[k * BLOCK : (k + 1) * BLOCK] for lang, c in counts.items() for k in range(BUCKETS // BLOCK)})
+                counts.clear()
     yield from _blocks({(lang, k): c[k * BLOCK : (k + 1) * BLOCK] for lang, c in counts.items() for k in range(BUCKETS // BLOCK)})
 
 
 def _blocks(sums: dict):
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "block", "counts"])
+    """Sums as rows: which buckets of a block have counts, and those counts."""
+    for k in range(0, len(sums), 1 << 12):
+        part = [(lang, block, np.flatnonzero(c), c) for (lang, block), c in list(sums.items())[k : k + (1 << 12)]]
+        part = [(lang, block, at.astype(np.uint16).tobytes(), c[at].astype(np.int64).tobytes()) for lang, block, at, c in part if len(at)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True) if part else [[]] * 4, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "block", "at", "counts"])
 
 
 def _add(batches):
-    sums: dict = {}
+    """Sums of the rows of one language and block, which follow each other."""
+    key, total = None, None
     for batch in batches:
-        for lang, block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            sums[lang, block] = sums.get((lang, block), 0) + np.frombuffer(counts, np.int64)
-    yield from _blocks(sums)
-
-
-def fit(docs: DataFrame) -> dict:
-    """Languages (by code point) and the (buckets, languages) matrix of log probabilities, from text and lang of docs."""
+        for lang, block, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (lang, block) != key:
+                if key:
+                    yield from _blocks({key: total})
+                key, total = (lang, block), np.zeros(BLOCK, np.int64)
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.int64)
+    if key:
+        yield from _blocks({key: total})
+
+
+_COUNTS = "lang string, block int, at binary, counts binary"
+
+
+class Model:
+    """Languages (by code point), and their counts as a table; the matrix is read PER_PASS languages at a time."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+        self.langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").toLocalIterator()]  # names only
+        self.langs.sort()
+        self._first = None
+
+    def passes(self) -> int:
+        return max(1, -(-len(self.langs) // PER_PASS))
+
+    def matrix(self, k: int = 0) -> dict:
+        """The languages of pass k and the (buckets, languages) matrix of log probabilities."""
+        if k == 0 and self._first is not None:
+            return self._first
+        langs = self.langs[k * PER_PASS : (k + 1) * PER_PASS]
+        rows = self.counts if len(self.langs) <= PER_PASS else self.counts.where(F.col("lang").between(langs[0], langs[-1]))
+        counts, where = np.zeros((BUCKETS, len(langs))), {lang: i for i, lang in enumerate(langs)}
+        for r in rows.toLocalIterator():
+            counts[r["block"] * BLOCK + np.frombuffer(r["at"], np.uint16).astype(int), where[r["lang"]]] = np.frombuffer(r["counts"], np.int64)
+        counts = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * BUCKETS)
+        out = {"langs": langs, "log_p": counts.astype(np.float32)}
+        self._first = out if k == 0 else self._first
+        return out
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of text and lang of docs."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    parts = rows.mapInArrow(_count, "lang string, block int, counts binary").repartition("lang", "block")
-    total = parts.mapInArrow(_add, "lang string, block int, counts binary").toArrow()
-    langs = sorted(set(total.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} can be learnt")
-    counts = np.zeros((BUCKETS, len(langs)))
-    for lang, block, c in zip(*(c.to_pylist() for c in total.columns), strict=True):
-        counts[block * BLOCK : (block + 1) * BLOCK, langs.index(lang)] = np.frombuffer(c, np.int64)
-    counts = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * BUCKETS)
-    return {"langs": langs, "log_p": counts.astype(np.float32)}
+    parts = rows.mapInArrow(_count, _COUNTS).repartition("lang", "block").sortWithinPartitions("lang", "block")
+    return Model(materialise(parts.mapInArrow(_add, _COUNTS), "languages"))
 
 
 def _predict(raw, offsets, model):
+    """Best language of each text with its log probability, the summed probability of all relative to it, and whether the text has a letter."""
     n, k = len(offsets) - 1, len(model["langs"])
     grams, letters = _grams(raw, offsets)
     total = np.zeros((n, k))
@@ -116,29 +154,46 @@ def _predict(raw, offsets, model):
         if len(at):
             for lang in range(k):
                 total[at, lang] += np.add.reduceat(model["columns"][lang][h], off[at])
-    if not k:
-        return np.full(n, "und", object), np.zeros(n)
     best = total.argmax(1)
-    share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-    names = np.array([*model["langs"], "und"], object)
-    return names[np.where(letters, best, k)], np.where(letters, share, 0.0)
+    top = total[np.arange(n), best]
+    return np.array(model["langs"], object)[best], top, np.exp(total - top[:, None]).sum(1), letters
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score, the posterior probability of that language (equal priors)."""
+_FOUND = "struct<lang_pred: string, top: double, rest: double>"
+
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+def _scored(model: dict):
+    @F.arrow_udf(_FOUND)
     def language(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model | {"columns": [np.ascontiguousarray(c).astype(np.float64) for c in model["log_p"].T]}
         for part in parts:
             raw, offsets = raw_text(part)
             found = [_predict(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], own) for i, j in slices(offsets)]
-            names = np.concatenate([x[0] for x in found]) if found else []
-            shares = np.concatenate([x[1] for x in found]) if found else []
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["lang_pred", "score"])
+            names, top, rest, letters = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
+            columns = [pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(rest, pa.float64())]
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "top", "rest"], mask=pa.array(~np.asarray(letters, bool)))
 
-    out = docs.drop("lang_pred", "score").withColumn("__found", language("text"))
-    return out.select("*", "__found.lang_pred", "__found.score").drop("__found")
+    return language
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score, the posterior probability of that language (equal priors)."""
+    out = docs.drop("lang_pred", "score")
+    if not model.langs:
+        return out.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    found, scratch = out.withColumn("__found", _scored(model.matrix())("text")), None
+    for k in range(1, model.passes()):
+        # the better of two passes (the earlier one on a tie), and the sum of both relative to it
+        both = found.withColumn("__next", _scored(model.matrix(k))("text"))
+        a, b = F.col("__found"), F.col("__next")
+        won, lost = F.when(b["top"] > a["top"], b).otherwise(a), F.when(b["top"] > a["top"], a).otherwise(b)
+        merged = F.struct(won["lang_pred"].alias("lang_pred"), won["top"].alias("top"), (won["rest"] + lost["rest"] * F.exp(lost["top"] - won["top"])).alias("rest"))
+        found = materialise(both.withColumn("__found", F.when(a.isNotNull(), merged)).drop("__next"), "languages")
+        if scratch is not None:
+            discard(scratch)
+        scratch = found
+    score = F.coalesce(1 / F.col("__found.rest"), F.lit(0.0))
+    return found.select("*", F.coalesce("__found.lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score")).drop("__found")
 
 
 def held_out(column: str = "doc_id"):

@@ -10,7 +10,7 @@ of a seeded hash: each is taken once more while the rest lasts, the last of them
 the word. The running sums that this needs are taken over cells (a source's rows with a common hash prefix, as long as
 the row count asks for) and then within a cell, so that a source with a third of all rows is spread like any other.
 
-Defined results: a null text has no words; a source of no words has target 0; documents without words are taken 0 times;
+Defined results: a null text has no words; very long texts are counted whole; a source of no words has target 0; documents without words are taken 0 times;
 rows that share a doc_id are ordered by size; a null source is a source of its own, last in order; a null doc_id is
 hashed as an empty id. Columns named size, source_size, target, whole, part or taken are replaced, others pass through.
 An empty table gives an empty result.

@@ -8,7 +8,8 @@ piece of length L go to sequences b, b + 1, ... at offset o". Each piece finds i
 the pieces of that length; ranks are a count within its task plus the counts of the tasks before, so no length, however
 common, meets in one task. Full pieces need no partner and get a sequence of their own at once.
 
-Defined results: a null text counts as empty and has the end id only; rows that share a doc_id are packed one by one;
+Defined results: a null text counts as empty and has the end id only; a very long text is encoded whole and cut into
+pieces; rows that share a doc_id are packed one by one;
 extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 

@@ -8,7 +8,8 @@ Files. `ids/` has a row per block: part (the file's place in doc_id order), firs
 doc_ids and counts (int64 and uint32 arrays), control, data. `ranks/` has the id of each rank. Both are Parquet tables,
 so any store that Spark writes to will do. Blocks hold whole documents of together about BLOCK_IDS ids.
 
-Defined results: a null text counts as empty and has the end id only; rows that share a doc_id are written one after
+Defined results: a null text counts as empty and has the end id only; a very long text is encoded whole and makes a
+block of its own; rows that share a doc_id are written one after
 the other, ordered by their ids; a null doc_id sorts first; extra columns are ignored, whatever their names; an empty
 table gives empty files and an empty result.
 """
@@ -58,11 +59,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and the whole text's ids (little-endian 16-bit), end id included."""
+    """doc_id and the whole text's ids (little-endian, of the encoder's width), end id included."""
 
     def run(batches):
         enc = encoder(path)
-        end = np.array([end_id], np.uint16).tobytes()
+        end = np.array([end_id], enc.kind).tobytes()
         for batch in small_batches(batches, limit=ENCODE_BYTES):
             ids = [x.tobytes() + end for x in enc.encode(text_list(*raw_text(batch.column(1))))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -70,23 +71,28 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def _frequencies(batches):
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        raw, _ = raw_text(batch.column(0))
-        total += np.bincount(raw.view(np.uint16), minlength=1 << 16)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+def _frequencies(size: int, kind):
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            raw, _ = raw_text(batch.column(0))
+            total += np.bincount(np.ascontiguousarray(raw).view(kind), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+
+    return run
+
 
+def _encode_blocks(rank_of: np.ndarray, kind):
+    width = np.dtype(kind).itemsize
 
-def _encode_blocks(rank_of: np.ndarray):
     def run(batches):
         first, docs, ids, held = 0, [], [], 0
 
         def block():
-            values = rank_of[np.frombuffer(b"".join(ids), np.uint16)]
+            values = rank_of[np.frombuffer(b"".join(ids), kind)]
             control, data = pack(values)
-            row = [part, first, len(values), np.array([-1 if d is None else d for d in docs], np.int64).tobytes(), bytes(d is None for d in docs), np.array([len(x) // 2 for x in ids], np.uint32).tobytes(), control, data]
+            row = [part, first, len(values), np.array([-1 if d is None else d for d in docs], np.int64).tobytes(), bytes(d is None for d in docs), np.array([len(x) // width for x in ids], np.uint32).tobytes(), control, data]
             return pa.RecordBatch.from_pylist([dict(zip(_FORMAT.names, row, strict=True))], schema=_FORMAT)
 
         for batch in batches:
@@ -94,7 +100,7 @@ def _encode_blocks(rank_of: np.ndarray):
                 part = p
                 docs.append(d)
                 ids.append(x)
-                held += len(x) // 2
+                held += len(x) // width
                 if held >= BLOCK_IDS:
                     yield block()
                     first, docs, ids, held = first + held, [], [], 0
@@ -111,17 +117,20 @@ _BLOCK_ROW = "part int, first long, n_ids long, doc_ids binary, no_id binary, co
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1) -> None:
     """Tokenise docs and write their ids to `folder` in ascending doc_id order."""
     spark = docs.sparkSession
-    ids = materialise(tokenised(docs, path or default_path(), end_id), "ids")
-    counts = ids.select("ids").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    path = path or default_path()
+    enc = encoder(path)
+    size = max(enc.size, end_id + 1)
+    ids = materialise(tokenised(docs, path, end_id), "ids")
+    counts = ids.select("ids").mapInArrow(_frequencies(size, enc.kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # at most a row per id of the vocabulary
     order = counts["id"].to_numpy(np.int32)
-    rank_of = np.zeros(1 << 16, np.uint32)
+    rank_of = np.zeros(size, np.uint32)
     rank_of[order] = np.arange(len(order))
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(order)), pa.int32()), "id": pa.array(order)})).coalesce(1).write.parquet(f"{folder}/ranks")
     parts = pieces_for(spark, int(counts["n"].sum()), PART_IDS)
     dealt = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    dealt.mapInArrow(_encode_blocks(rank_of), _BLOCK_ROW).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    dealt.mapInArrow(_encode_blocks(rank_of, enc.kind), _BLOCK_ROW).write.option("compression", "zstd").parquet(f"{folder}/ids")
     discard(ids)
 
 
@@ -145,7 +154,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begin = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))
     rows = blocks.mapInArrow(decode, "part int, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary")
-    return rows.join(F.broadcast(begin), "part").select("doc_id", (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return rows.join(begin, "part").select("doc_id", (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def op3_token_output(spark, sf_dir: str) -> DataFrame:

@@ -73,8 +73,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        if self.size > 1 << 16:
-            raise ValueError("ids of more than 16 bits")
+        self.code, self.kind = ("H", np.uint16) if self.size <= 1 << 16 else ("I", np.uint32)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = _byte_letters()
@@ -86,12 +85,12 @@ class Encoder:
         """Ids of one run of letters, digit, or run of other signs, in lower case."""
         if not (piece.isascii() and piece.isalpha()):
             piece = "".join([self.letters[b] for b in piece.encode()])
-        return array("H", [t.id for t in self.bpe(piece)]).tobytes()
+        return array(self.code, [t.id for t in self.bpe(piece)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if not text.isascii() and max(text) >= "İ":
-            return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         text = text.lower()
         if text.isalpha():
             return self.pieces[text]
@@ -100,7 +99,7 @@ class Encoder:
         return b"".join([self.pieces[p] for p in self.pattern.findall(text)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """16-bit ids of each text."""
+        """Ids of each text, of 16 bits where the vocabulary allows."""
         if len(self.words) > KEPT_WORDS:
             self.words = self.words.aged()
         if len(self.pieces) > KEPT_PIECES:
@@ -108,9 +107,9 @@ class Encoder:
         get, out = self.words.__getitem__, []
         for text in texts:
             if any([s in text for s in self.special]):
-                out.append(np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, np.uint16))
+                out.append(np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, self.kind))
             else:
-                out.append(np.frombuffer(b"".join(map(get, text.split())), np.uint16))
+                out.append(np.frombuffer(b"".join(map(get, text.split())), self.kind))
         return out
 
 

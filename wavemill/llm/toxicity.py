@@ -4,12 +4,18 @@ Features are the distinct letter runs of a text (A-Z lower-cased) and their firs
 compounds count. Weights are fitted on a bounded sample of labelled rows: about `per_class` rows of each label
 (parameter, 4,096), chosen by a seeded hash of doc_id; scoring covers every text whole.
 
-Counterfactual term: in each sampled text that names a group (IDENTITY_TERMS), every named term is swapped for each other
-term of its line, and the squared change of the score's logit is added to the loss. Terms of a line then weigh alike,
-and each line starts with a neutral word, so that naming a group neutrally does not raise the score.
+Counterfactual term: in each sampled text that names a group, every named term is swapped for each other term of its
+swap class and for a blank, and the squared change of the score's logit is added to the loss. Terms of a class then
+weigh alike, and the blank draws their weight towards none, so that naming a group neutrally does not raise the score
+(a class' neutral word alone would not: where the corpus lacks it, it would take on the others' weight). Swap classes
+are a parameter; SWAP_CLASSES has them for four languages. The model tells how many pairs it was fitted on (`swapped_pairs`).
+
+The corpus stays on the executors: they sum each feature's counts over the sample and keep those that tell the labels
+apart by SIGMAS standard deviations; the driver gets, for each sampled row, which of these it has, and for each swap
+which of them the swapped word alone accounts for.
 
 Defined results: null and empty texts get the score of a text without features; an unlabelled or null label row is not
-learnt from; a table without labels of both kinds gives the constant score 0 (nothing is flagged); repeated rows are
+learnt from; very long texts are scored whole; a table without labels of both kinds gives the constant score 0 (nothing is flagged); repeated rows are
 scored alike; rows with a null doc_id are scored but not held out. Columns named score or predicted are replaced, others
 pass through. An empty table gives an empty result.
 """
@@ -23,19 +29,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, read_table, slices
+from .common import discard, materialise, raw_text, read_table, slices
 from .words import NOT_LETTER, Words
 
-#: Terms that may be swapped for each other; the first of each line is neutral.
-IDENTITY_TERMS = (
-    ("people", "women", "men", "girls", "boys"),
-    ("people", "muslims", "christians", "jews", "hindus", "atheists"),
-    ("person", "muslim", "christian", "jewish", "hindu", "atheist"),
-    ("person", "black", "white", "asian", "latino", "indigenous"),
-    ("person", "gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("people", "immigrants", "refugees", "foreigners", "natives"),
-    ("person", "deaf", "blind", "disabled", "autistic"),
-)
+#: Terms that may be swapped for each other; the first of each class is neutral. Fixed values.
+SWAP_CLASSES = {
+    "en": (
+        ("people", "women", "men", "girls", "boys"),
+        ("people", "muslims", "christians", "jews", "hindus", "atheists"),
+        ("person", "muslim", "christian", "jewish", "hindu", "atheist"),
+        ("person", "black", "white", "asian", "latino", "indigenous"),
+        ("person", "gay", "straight", "lesbian", "bisexual", "transgender"),
+        ("people", "immigrants", "refugees", "foreigners", "natives"),
+        ("person", "deaf", "blind", "disabled", "autistic"),
+    ),
+    "de": (
+        ("menschen", "frauen", "männer", "mädchen", "jungen"),
+        ("menschen", "muslime", "christen", "juden", "hindus", "atheisten"),
+        ("menschen", "einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+        ("mensch", "schwule", "lesbe", "gehörlose", "blinde", "behinderte"),
+    ),
+    "fr": (
+        ("personnes", "femmes", "hommes", "filles", "garçons"),
+        ("personnes", "musulmans", "chrétiens", "juifs", "hindous", "athées"),
+        ("personnes", "immigrés", "réfugiés", "étrangers", "autochtones"),
+        ("personne", "homosexuel", "lesbienne", "sourd", "aveugle", "handicapé"),
+    ),
+    "es": (
+        ("personas", "mujeres", "hombres", "niñas", "niños"),
+        ("personas", "musulmanes", "cristianos", "judíos", "hindúes", "ateos"),
+        ("personas", "inmigrantes", "refugiados", "extranjeros", "nativos"),
+        ("persona", "homosexual", "lesbiana", "sordo", "ciego", "discapacitado"),
+    ),
+}
+Classes = tuple[tuple[str, ...], ...]
+ALL_CLASSES: Classes = tuple(c for classes in SWAP_CLASSES.values() for c in classes)
+#: How far from equal a feature's share in the two labels must be, in standard deviations; loss weight of swaps.
+SIGMAS, FAIRNESS = 4, 5.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 _SALTS = np.array([0, *PREFIXES], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -54,26 +84,45 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
 
 
 def _term_features(terms) -> dict[str, np.ndarray]:
-    raw, offsets = raw_text(pa.array(list(terms)))
+    raw, offsets = raw_text(pa.array(list(terms), pa.string()))
     words, f = _features(raw, offsets)
     return {t: f[words.first[k] : words.first[k + 1]] for k, t in enumerate(terms)}
 
 
-def _sampled_features(batches):
-    """label, swap (0: the row itself, else the swapped row before it), features."""
-    terms = sorted({t for line in IDENTITY_TERMS for t in line})
-    own = _term_features(terms)
-    code = {int(own[t][0, 0]): t for t in terms}
-    known = np.array(list(code), np.uint32)
-    others = {t: sorted({x for line in IDENTITY_TERMS if t in line for x in line} - {t}) for t in terms}
+def _row_features(batches):
+    """label, and the distinct features of each sampled text."""
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            _, f = _features(*raw_text(pa.array([text or ""])))
-            rows = [np.unique(f)]
-            for h in np.unique(f[:, 0][np.isin(f[:, 0], known)]).tolist():
-                rest = np.unique(f[f[:, 0] != h])
-                rows += [np.union1d(rest, own[t]) for t in others[code[h]]]
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array([r[r > 0].astype(np.uint32).tobytes() for r in rows], pa.binary())], names=["label", "swap", "features"])
+            _, f = _features(*raw_text(pa.array([text or ""], pa.large_string())))
+            own = np.unique(f)
+            own = own[own > 0].astype(np.int64)
+            for k in range(0, len(own), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[k : k + (1 << 16)]), label, np.int32)), pa.array(own[k : k + (1 << 16)])], names=["label", "feature"])
+
+
+def _positions(chosen: np.ndarray, terms: list[str]):
+    """label, places of a text's features in `chosen`, and (term, places that only this word accounts for) of each term in it."""
+    own = _term_features(terms)
+    code = {int(own[t][0, 0]): k for k, t in enumerate(terms)}
+    known = np.array(list(code), np.uint32)
+
+    def places(f):
+        at = np.searchsorted(chosen, f).clip(0, max(len(chosen) - 1, 0))
+        return at[chosen[at] == f].astype(np.int32) if len(chosen) else np.zeros(0, np.int32)
+
+    def run(batches):
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, f = _features(*raw_text(pa.array([text or ""], pa.large_string())))
+                every, named, lost = np.unique(f), [], []
+                for h in np.unique(f[:, 0][np.isin(f[:, 0], known)]).tolist():
+                    named.append(code[h])
+                    lost.append(places(np.setdiff1d(every, f[f[:, 0] != h])).tolist())
+                row = [[label], [places(every).tobytes()], [named], [lost]]
+                kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["label", "places", "named", "lost"])
+
+    return run
 
 
 def sample_labels(labels: DataFrame, per_class: int) -> DataFrame:
@@ -85,47 +134,45 @@ def sample_labels(labels: DataFrame, per_class: int) -> DataFrame:
     return labels.where(u < share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, max_features: int = 4096, fairness: float = 1.0) -> dict:
-    """Weights from a bounded sample: sorted 32-bit features, their weights, and a bias."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, fairness: float | None = None, classes: Classes = ALL_CLASSES) -> dict:
+    """Weights from a bounded sample: sorted 32-bit features, their weights, a bias, and the number of swapped pairs."""
+    fairness = FAIRNESS if fairness is None else fairness
     sample = sample_labels(labels, per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most about 2 * per_class label rows
-    rows = rows.select(F.col("toxic").cast("int").alias("label"), "text").mapInArrow(_sampled_features, "label int, swap int, features binary").toArrow()
-    label, swap = np.asarray(rows.column("label")), np.asarray(rows.column("swap"))
-    features = [np.frombuffer(x, np.uint32) for x in rows.column("features").to_pylist()]
-    none = {"features": np.zeros(0, np.uint32), "weights": np.zeros(0), "bias": -np.inf}
-    own = np.flatnonzero(swap == 0)
-    y = label[own].astype(float)
-    if not 0 < y.sum() < len(y):
+    rows = materialise(rows.select(F.col("toxic").cast("int").alias("label"), "text"), "sample")
+    none = {"features": np.zeros(0, np.uint32), "weights": np.zeros(0), "bias": -np.inf, "swapped_pairs": 0}
+    n1, n0 = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not n1 or not n0:
         return none
-    size = np.array([len(features[i]) for i in own])
-    ids, where = np.unique(np.concatenate([features[i] for i in own]), return_inverse=True)
-    doc = np.repeat(np.arange(len(own)), size)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    df1, df0 = (np.bincount(where, weights=w[doc], minlength=len(ids)) for w in (y, 1 - y))
-    p = (df1 + df0) / len(y)
-    z = (df1 / n1 - df0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    z = np.where(df1 + df0 >= 2, np.abs(z), 0)
-    best = np.argsort(-z, kind="stable")[:max_features]
-    chosen = ids[best[z[best] > 4]]
-    terms = np.unique(np.concatenate([f.ravel() for f in _term_features(sorted({t for line in IDENTITY_TERMS for t in line})).values()]))
-    chosen = np.union1d(chosen, terms[terms > 0])
-
-    def matrix(which):
-        r, c = [], []
-        for k, i in enumerate(which):
-            at = np.searchsorted(chosen, features[i]).clip(0, len(chosen) - 1)
-            at = at[chosen[at] == features[i]]
-            r.append(np.full(len(at), k))
-            c.append(at)
-        return np.concatenate(r), np.concatenate(c)
-
-    row, col = matrix(own)
-    swapped = np.flatnonzero(swap > 0)
-    base = swapped - swap[swapped]
-    d_row, d_col, d_val = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    if len(swapped):
-        (r1, c1), (r0, c0) = matrix(swapped), matrix(base)
-        d_row, d_col, d_val = np.r_[r1, r0], np.r_[c1, c0], np.r_[np.ones(len(c1)), -np.ones(len(c0))]
+    counts = rows.mapInArrow(_row_features, "label int, feature long").groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("df1"), F.count_if(F.col("label") == 0).alias("df0"))
+    share = (F.col("df1") + F.col("df0")) / (n1 + n0)
+    z = (F.col("df1") / n1 - F.col("df0") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    told = counts.where((F.col("df1") + F.col("df0") >= 2) & (F.abs(z) > SIGMAS)).select("feature").toArrow()
+    terms = sorted({t for c in classes for t in c})
+    own = _term_features(terms)
+    term_features = np.unique(np.concatenate([f.ravel() for f in own.values()])) if terms else np.zeros(0, np.uint32)
+    chosen = np.union1d(np.asarray(told.column(0)).astype(np.uint32), term_features[term_features > 0]).astype(np.uint32)
+    table = rows.mapInArrow(_positions(chosen, terms), "label int, places binary, named array<int>, lost array<array<int>>").toArrow()
+    discard(rows)
+    y = np.asarray(table.column("label")).astype(float)
+    parts = [np.frombuffer(x, np.int32) for x in table.column("places").to_pylist()]
+    row, col = np.repeat(np.arange(len(y)), [len(x) for x in parts]), np.concatenate(parts)
+
+    # a swap takes away what only the named word accounts for, and adds what the other one has and the text has not
+    gains = {t: np.searchsorted(chosen, np.unique(f[f > 0])) for t, f in own.items()}
+    others = {t: sorted({x for c in classes if t in c for x in c} - {t}) for t in terms}
+    d_rows, d_cols, d_vals = [], [], []
+    pairs = 0
+    for have, named, lost in zip(parts, table.column("named").to_pylist(), table.column("lost").to_pylist(), strict=True):
+        for k, gone in zip(named, lost, strict=True):
+            rest = np.setdiff1d(have, gone)
+            for t in (*others[terms[k]], None):
+                more = np.setdiff1d(gains[t], rest) if t else np.zeros(0, int)
+                d_rows.append(np.full(len(more) + len(gone), pairs))
+                d_cols.append(np.r_[more, np.array(gone, int)].astype(int))
+                d_vals.append(np.r_[np.ones(len(more)), -np.ones(len(gone))])
+                pairs += 1
+    d_row, d_col, d_val = (np.concatenate(x) if pairs else np.zeros(0, int) for x in (d_rows, d_cols, d_vals))
     n, m = len(y), len(chosen)
     rate = max(labels.where("toxic = 1").count(), 1) / max(labels.where("toxic in (0, 1)").count(), 1)
     weight = np.where(y == 1, rate / n1, (1 - rate) / n0) * n
@@ -136,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, max_features:
         miss = weight * (score - y) / n
         g = np.bincount(col, weights=miss[row], minlength=m) + 5e-6 * w
         if len(d_row):
-            change = np.bincount(d_row, weights=d_val * w[d_col], minlength=len(swapped)) / len(swapped)
+            change = np.bincount(d_row, weights=d_val * w[d_col], minlength=pairs) / pairs
             g += 2 * fairness * np.bincount(d_col, weights=d_val * change[d_row], minlength=m)
         gb = miss.sum()
         one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
@@ -144,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, max_features:
         pace = 0.2 * (1 - step / 840)
         w -= pace * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
         b -= pace * (b1 / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.99**step)) + 1e-8)
-    return {"features": chosen.astype(np.uint32), "weights": w, "bias": float(b)}
+    return {"features": chosen.astype(np.uint32), "weights": w, "bias": float(b), "swapped_pairs": pairs}
 
 
 def _score(raw: np.ndarray, offsets: np.ndarray, model: dict, table: np.ndarray) -> np.ndarray:
