@@ -44,6 +44,8 @@ DEPTHS = (4, 7, 10, 14, 20, 32, 64, CODES)
 WIDE, MISS, FIRST_ORDERS = 64, 1e-5, 3
 #: Shingles of a class' partners that one group confirms.
 SHOWN = 300_000
+#: Further forests grown in one go.
+AT_ONCE = 12
 _PAIR = "a long, a_key long, b long, b_key long, n_b long"
 
 
@@ -70,9 +72,10 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else h), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
 
 
-def _sign(forest: int):
-    """doc_id, key, n_shingles, two hashes of the set, and the minhash values (big-endian, so that bytes sort alike)."""
-    seeds = mix(np.arange(1, 2 * CODES + 1, dtype=np.uint64) + np.uint64(forest * 2 * CODES)) | np.uint64(1)
+def _sign(forests: list[int]):
+    """doc_id, key, n_shingles, two hashes of the set, and the minhash values (big-endian, so that bytes sort alike), for
+    each of the forests' hash functions."""
+    seeds = [mix(np.arange(1, 2 * CODES + 1, dtype=np.uint64) + np.uint64(f * 2 * CODES)) | np.uint64(1) for f in forests]
 
     def run(batches):
         for batch in small_batches(batches):
@@ -81,24 +84,23 @@ def _sign(forest: int):
             full = np.flatnonzero(n)
             at = off[:-1][full]
             one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            codes = np.zeros((len(n), CODES), ">u2")
             if len(full):
                 one[full] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at)
                 two[full] = np.add.reduceat(mix(sets ^ np.uint64(0x14057B7EF767814F)), at)
-                for k in range(CODES):
-                    least = np.minimum.reduceat((sets ^ seeds[k]) * seeds[CODES + k], at)
+            for forest, seed in zip(forests, seeds, strict=True):
+                codes = np.zeros((len(n), CODES), ">u2")
+                for k in range(CODES if len(full) else 0):
+                    least = np.minimum.reduceat((sets ^ seed[k]) * seed[CODES + k], at)
                     codes[full, k] = mix(least) >> np.uint64(48)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in codes], pa.binary())],
-                names=["doc_id", "key", "n_shingles", "set_1", "set_2", "codes"],
-            )
+                columns = [batch.column(0), batch.column(1), pa.array(np.full(len(n), forest, np.int32)), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in codes], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "forest", "n_shingles", "set_1", "set_2", "codes"])
 
     return run
 
 
-def signatures(docs: DataFrame, forest: int = 0) -> DataFrame:
-    """Signed rows of docs(doc_id, key, text)."""
-    return docs.select("doc_id", "key", "text").mapInArrow(_sign(forest), "doc_id long, key long, n_shingles long, set_1 long, set_2 long, codes binary")
+def signatures(docs: DataFrame, forests: list[int]) -> DataFrame:
+    """Signed rows of docs(doc_id, key, text): one per row and forest."""
+    return docs.select("doc_id", "key", "text").mapInArrow(_sign(forests), "doc_id long, key long, forest int, n_shingles long, set_1 long, set_2 long, codes binary")
 
 
 def certainty(depth: int, percent: int) -> float:
@@ -112,9 +114,9 @@ def orders_for(percent: int) -> int:
 
 
 def _placed(classes: DataFrame, orders: int) -> DataFrame:
-    """order, region, id and key: each class once in every order, with the region of its first values."""
-    placed = classes.select("id", "key", "codes", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("order"))
-    return placed.select("order", "id", "key", _region(_label(orders), DEPTHS[0]).alias("region"))
+    """forest, order, region, id and key: each class once in every order, with the region of its first values."""
+    placed = classes.select("forest", "id", "key", "codes", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("order"))
+    return placed.select("forest", "order", "id", "key", _region(_label(orders), DEPTHS[0]).alias("region"))
 
 
 def _label(orders: int):
@@ -123,7 +125,7 @@ def _label(orders: int):
 
 
 def _region(label, depth: int):
-    return F.xxhash64("order", F.substring(label, 1, 2 * depth))
+    return F.xxhash64("forest", "order", F.substring(label, 1, 2 * depth))
 
 
 def _neighbours(percent: int, window: int):
@@ -159,7 +161,7 @@ def _neighbours(percent: int, window: int):
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids[x], keys[x], ids[y], keys[y], n[y])], names=["a", "a_key", "b", "b_key", "n_b"])
             cuts = np.flatnonzero(place[1:] != place[:-1])  # only rows of the last place can meet rows to come
             keep = max(len(place) - window, int(cuts[-1]) + 1 if len(cuts) else 0)
-            held = pa.RecordBatch.from_arrays([c.chunk(0) for c in table.slice(keep).combine_chunks().columns], names=table.column_names)
+            held = pa.RecordBatch.from_arrays([c.chunk(0) for c in table.slice(keep).combine_chunks().columns], schema=batch.schema)
 
     return run
 
@@ -205,41 +207,43 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _first_candidates(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> DataFrame:
+def _first_candidates(classes: DataFrame, orders: int, percent: int) -> DataFrame:
     """Direct neighbours in the first orders. The orders are cut into ranges, so that a large region is no hot key."""
-    rows = members.where(F.col("order") < FIRST_ORDERS).join(classes.select("id", "key", "n", "codes"), ["id", "key"])
-    rows = rows.select("order", F.col("region").alias("place"), "id", "key", "n", F.col("id").alias("component"), _label(orders).alias("label"))
+    rows = classes.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(min(FIRST_ORDERS, orders) - 1)))).withColumn("label", _label(orders))
+    rows = rows.select("order", _region("label", DEPTHS[0]).alias("place"), "id", "key", "n", F.col("id").alias("component"), "label")
     return rows.repartitionByRange("order", "label", "id").sortWithinPartitions("order", "label", "id").drop("order").mapInArrow(_neighbours(percent, 1), _PAIR)
 
 
-def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Candidates in different components, what each class' certainty loses to split regions, and scratch tables.
-
-    members(order, region, id, key), classes(id, key, n, codes, component).
-    """
-    rows = members.join(classes.select("id", "key", "component"), ["id", "key"])
-    size = (F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.min_by("key", "id").alias("hub_key"))
-    stats = rows.groupBy("region").agg(*size).where("low <> high")
-    going = rows.join(stats, "region").join(classes.select("id", "key", "n", "codes"), ["id", "key"]).withColumn("label", _label(orders)).drop("codes")
-    levels = []
-    for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], 0), strict=True):
-        level = materialise(going.withColumn("depth", F.lit(depth)), "level")
-        levels.append(level)
-        onward = level.where(f"low <> high and size > {WIDE}")
-        if not deeper or not onward.limit(1).count():
-            break
-        onward = onward.select("order", "id", "key", "n", "component", "label").withColumn("region", _region("label", deeper))
-        going = onward.join(onward.groupBy("region").agg(*size), "region")
-    every = reduce(DataFrame.unionByName, levels)
-    leaves = every.where(f"low <> high and size <= {WIDE}")
-    leaves = leaves.select(F.col("region").alias("place"), "label", "id", "key", "n", "component")
-    pairs = leaves.repartition("place").sortWithinPartitions("place", "label", "id", "key").mapInArrow(_neighbours(percent, WIDE), _PAIR)
-    # classes that have every value in common: all of them with the smallest
-    equal = every.where(f"depth = {CODES} and low <> high and size > {WIDE} and id <> hub")
-    pairs = pairs.unionByName(equal.select(F.col("hub").alias("a"), F.col("hub_key").alias("a_key"), F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("n_b")))
-    loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
-    ended = every.where(f"depth > {DEPTHS[0]} and (low = high or size <= {WIDE} or depth = {CODES})")
-    return materialise(pairs.distinct(), "candidates"), ended.groupBy("id", "key").agg(F.sum(loss[F.col("depth")]).alias("lost")), levels
+def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Candidates in different components, what each class' certainty loses to split regions (None: nothing), and
+    scratch tables. members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
+    rows = members.join(classes.select("forest", "id", "key", "component"), ["forest", "id", "key"])
+    stats = (F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.min_by("key", "id").alias("hub_key"))
+    opened = rows.join(rows.groupBy("region").agg(*stats).where("low <> high"), "region")
+    opened = opened.join(classes.select("forest", "id", "key", "n", "codes"), ["forest", "id", "key"]).withColumn("label", _label(orders)).drop("codes")
+    opened = materialise(opened, "regions")
+    scratch, lost = [opened], None
+    leaves, wide = opened.where(f"size <= {WIDE}"), opened.where(f"size > {WIDE}")
+    columns = [F.col("region").alias("place"), "label", "id", "key", "n", "component"]
+    pairs = leaves.select(*columns)
+    if wide.limit(1).count():
+        # each row ends in the first of its deeper regions that is small enough or of one component
+        who = ["forest", "order", "id", "key"]
+        deeper = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in DEPTHS[1:]))
+        each = wide.select(*who, "component", F.explode(deeper).alias("at")).select(*who, "component", "at.*")
+        each = each.join(each.groupBy("depth", "region").agg(*stats), ["depth", "region"])
+        ended = each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*who).agg(F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at"))
+        ended = materialise(wide.select(*who, "n", "component", "label").join(ended.select(*who, "at.*"), who), "regions")
+        scratch.append(ended)
+        pairs = pairs.unionByName(ended.where(f"open and size <= {WIDE}").select(*columns))
+        loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
+        lost = ended.groupBy("id", "key").agg(F.sum(loss[F.col("depth")]).alias("lost"))
+    pairs = pairs.repartition("place").sortWithinPartitions("place", "label", "id", "key").mapInArrow(_neighbours(percent, WIDE), _PAIR)
+    if lost is not None:
+        # classes that have every value in common: all of them with the smallest
+        equal = ended.where(f"open and size > {WIDE} and id <> hub")
+        pairs = pairs.unionByName(equal.select(F.col("hub").alias("a"), F.col("hub_key").alias("a_key"), F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("n_b")))
+    return materialise(pairs, "candidates"), lost, scratch
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -248,11 +252,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Links join sets with 100 * intersection >= percent * union.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    signed = materialise(signatures(rows), "signatures")
+    signed = materialise(signatures(rows, [0]).drop("forest"), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets have equal codes
     classes = named.groupBy("set_1", "set_2", "n_shingles", "codes").agg(F.min("doc_id").alias("id"), F.min_by("key", "doc_id").alias("key"))
-    classes = materialise(classes.withColumnRenamed("n_shingles", "n"), "classes")
+    classes = materialise(classes.withColumnRenamed("n_shingles", "n").withColumn("forest", F.lit(0)), "classes")
 
     # a document of several rows joins their classes
     spread = named.groupBy("doc_id").agg(F.min("set_1").alias("s"), F.max("set_1").alias("t"), F.min("set_2").alias("u"), F.max("set_2").alias("v")).where("s <> t or u <> v")
@@ -269,26 +273,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = members.select("id", "key").distinct()
     texts = rows.withColumnRenamed("doc_id", "id").join(near, ["id", "key"], "left_semi")
     texts = materialise(texts.dropDuplicates(["id", "key"]), "texts")
-    links = own.unionByName(_confirmed(_first_candidates(members, classes, orders, percent), texts, percent))
+    links = own.unionByName(_confirmed(_first_candidates(classes, orders, percent), texts, percent))
 
     labels = components(links).select(F.col("node").alias("id"), F.col("component"))
-    active = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("id", "key", "n", "codes", "component")
-    forest, candidates, full, have = 0, [], orders * certainty(DEPTHS[0], percent), None
+    with_component = lambda table: table.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    active = with_component(classes).select("forest", "id", "key", "n", "codes", "component")
+    grown, candidates, full, sure, have = 1, [], orders * certainty(DEPTHS[0], percent), -math.log(MISS), None
     while True:
-        pairs, lost, levels = _forest(members, active, orders, percent)
+        pairs, lost, scratch = _forest(members, active, orders, percent)
         candidates.append(pairs)
-        have = lost.select("id", "key", (full - F.col("lost")).alias("have")) if have is None else have.join(lost, ["id", "key"], "left").select("id", "key", (F.col("have") + full - F.coalesce("lost", F.lit(0.0))).alias("have"))
-        have = materialise(have.where(F.col("have") < -math.log(MISS)), "open")
-        for level in levels:
-            discard(level)
-        if not have.limit(1).count():
+        if lost is not None and have is None:
+            have = lost.select("id", "key", (full - F.col("lost")).alias("have"))
+        elif have is not None:
+            lost = lost if lost is not None else have.limit(0).withColumnRenamed("have", "lost")
+            have = have.join(lost, ["id", "key"], "left").select("id", "key", (F.col("have") + more * full - F.coalesce("lost", F.lit(0.0))).alias("have"))
+        if have is None:
+            break
+        have = materialise(have.where(F.col("have") < sure), "open")
+        least = have.agg(F.min("have")).first()[0]
+        for table in scratch:
+            discard(table)
+        if least is None:
             break
-        forest += 1
-        again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), forest).withColumnRenamed("doc_id", "id")
-        again = again.select("id", "key", F.col("n_shingles").alias("n"), "codes").join(labels, "id", "left")
-        if forest > 1:
+        # as many further forests at once as the least certain class needs at its pace
+        more = min(max(math.ceil((sure - least) * grown / max(least, 1e-9)), 1), AT_ONCE)
+        again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), list(range(grown, grown + more)))
+        again = again.select("forest", F.col("doc_id").alias("id"), "key", F.col("n_shingles").alias("n"), "codes")
+        if grown > 1:
             discard(active)
-        active = materialise(again.withColumn("component", F.coalesce("component", "id")), "signatures")
+        active, grown = materialise(with_component(again), "signatures"), grown + more
         members = _placed(active, orders)
 
     links = links.unionByName(_confirmed(reduce(DataFrame.unionByName, candidates), texts, percent))

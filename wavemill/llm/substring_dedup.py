@@ -35,7 +35,7 @@ from .common import doc_keys, pieces_for, raw_text, read_table, text_bytes
 from .words import Windows, Words, mix, run_names, window_starts
 
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
-CHUNK_BYTES, BUCKET_BYTES = 3 << 19, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 3 << 19, 2 << 20
 _OTHER, _OTHER_BASE = np.uint64(0x14057B7EF767814F), 0xA0761D6478BD642F | 1
 _BITS = "__chunk long, __bucket int, __stage int, __bits binary"
 
