@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import uniform
 
-CELL_DIGITS = 3
+CELL_DIGITS, DRAWS = 3, 1 << 14
 
 
 def class_counts(rows: DataFrame, y: str = "y") -> DataFrame:
@@ -26,30 +26,28 @@ def ranked(rows: DataFrame, group: str, row_id: str, seed: str, out: str = "rank
     return rows.join(cells, [group, "__cell"]).withColumn(out, F.col("__before") + F.col("__r") - 1).drop("__h", "__cell", "__r", "__before")
 
 
-def _class_sizes(rows: DataFrame, y: str) -> dict[int, int]:
-    return {r[y]: r["n"] for r in rows.groupBy(y).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect() if r[y] is not None}
+def _class_sizes(rows: DataFrame, y: str) -> DataFrame:
+    return rows.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"))
 
 
 def undersample(rows: DataFrame, row_id: str, seed: str = "42", y: str = "y") -> DataFrame:
     """As many rows of each class as the smallest one has, without replacement."""
-    sizes = _class_sizes(rows, y)
-    return ranked(rows.where(F.col(y).isNotNull()), y, row_id, seed).where(F.col("rank") < min(sizes.values(), default=0)).drop("rank")
+    least = _class_sizes(rows, y).agg(F.min("n")).first()[0] or 0
+    return ranked(rows.where(F.col(y).isNotNull()), y, row_id, seed).where(F.col("rank") < least).drop("rank")
 
 
 def oversample(rows: DataFrame, row_id: str, seed: str = "42", y: str = "y") -> DataFrame:
     """All rows, and draws with replacement from smaller classes until all are as large; `draw` is null for originals."""
     sizes = _class_sizes(rows, y)
-    most = max(sizes.values(), default=0)
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    # draws are numbered in two steps, so that no row holds a list of them all
+    spans = sizes.where(F.col("n") < most).withColumn("__span", F.explode(F.sequence(F.lit(0), F.floor((F.lit(most) - F.col("n") - 1) / DRAWS))))
+    last = F.least(F.col("__span") * DRAWS + DRAWS, F.lit(most) - F.col("n")) - 1
+    draws = spans.repartition(y, "__span").withColumn("draw", F.explode(F.sequence(F.col("__span") * DRAWS, last)))
+    at = F.floor(uniform(seed, F.col(y), F.col("draw")) * F.col("n")).cast("bigint")
     numbered = ranked(rows, y, row_id, seed)
-    spark, extra = rows.sparkSession, []
-    for label, n in sorted(sizes.items()):
-        if n < most:
-            at = F.floor(uniform(seed, label, F.col("id")) * n).cast("bigint")
-            extra.append(spark.range(most - n).select(F.lit(label).alias(y), at.alias("rank"), F.col("id").alias("draw")))
-    out = numbered.withColumn("draw", F.lit(None).cast("bigint"))
-    for draws in extra:
-        out = out.unionByName(numbered.join(draws, [y, "rank"]))
-    return out.drop("rank")
+    drawn = numbered.join(draws.select(y, at.alias("rank"), "draw"), [y, "rank"])
+    return numbered.withColumn("draw", F.lit(None).cast("bigint")).unionByName(drawn).drop("rank")
 
 
 def subsample(rows: DataFrame, row_id: str, n: int, seed: str = "42") -> DataFrame:

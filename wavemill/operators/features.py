@@ -54,6 +54,12 @@ def complexity():
     return measures
 
 
+def register(spark, fs: float) -> None:
+    """The feature functions under names for SQL: band_powers, stft_powers and complexity of an array of samples."""
+    for name, function in (("band_powers", spectral(fs)), ("stft_powers", spectral(fs, stft=True)), ("complexity", complexity())):
+        spark.udf.register(name, function)
+
+
 def extract(epochs: DataFrame, fs: float, complexity_features: bool = True, time: bool = False, stft: bool = False) -> DataFrame:
     """epochs with one column per feature; NaN becomes null."""
     x, out, names = F.col("samples"), epochs, []

@@ -4,44 +4,52 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .balance import ranked
-from .linear import Products, score_candidates
+from .linear import Products, fold_scores
 from .metrics import roc_auc
 from .stats import replicates
 from .tabular import fill_columns
 
 
 def by_permutation(rows: DataFrame, names: list[str], n_perm: int = 200, seed: str = "42", row_id: str = "epoch_id", y: str = "y", fold: str = "fold") -> DataFrame:
-    """feature, baseline, importance (mean loss of AUC when the column is shuffled), p (share of shuffles without loss).
+    """feature, baseline, importance (mean loss of AUC when the column is shuffled), its std, p (share of shuffles without
+    loss) and significant (p < 0.05).
 
     The score is a dot product, so a shuffled column only changes its own term: rows carry the score and one term.
     """
     products = Products(rows, names, y, fold)
     w = products.weights(list(range(len(names))))
     rows = fill_columns(rows, products.fill)
-    score = F.lit(float(w[-1]))
-    for c, v in zip(names, w, strict=False):
-        score = score + F.col(c) * float(v)
-    terms = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), (F.col(c) * float(v)).alias("term")) for k, (c, v) in enumerate(zip(names, w, strict=False)))))
+    terms = F.zip_with(F.array(*names), F.array(*(F.lit(float(v)) for v in w[:-1])), lambda x, v: x * v)
+    rows = rows.select(row_id, y, terms.alias("terms"))
+    score = F.aggregate("terms", F.lit(float(w[-1])), lambda a, t: a + t)
     base = rows.select(row_id, y, score.alias("s"))
     seen = roc_auc(base.withColumn("one", F.lit(1)), ["one"], y, "s").first()["roc_auc"]
-    long = replicates(rows.select(row_id, y, score.alias("s"), terms.alias("t")).select(row_id, y, "s", "t.*"), n_perm)
+    long = replicates(rows.select(row_id, y, score.alias("s"), F.posexplode("terms").alias("feature", "term")), n_perm)
     long = long.withColumn("g", F.concat_ws("|", "feature", "replicate")).withColumn("id", F.concat_ws("|", "g", row_id))
     a = ranked(long, "g", "id", f"{seed}|a", "r").select("g", "r", "feature", "replicate", y, "s", "term")
     b = ranked(long.select("g", "id", "term"), "g", "id", f"{seed}|b", "r").select("g", "r", F.col("term").alias("other"))
     shuffled = a.join(b, ["g", "r"]).withColumn("s", F.col("s") - F.col("term") + F.col("other"))
     auc = roc_auc(shuffled, ["feature", "replicate"], y, "s")
     loss = F.lit(seen) - F.col("roc_auc")
-    return auc.groupBy("feature").agg(F.lit(seen).alias("baseline"), F.avg(loss).alias("importance"), (F.count_if(loss <= 0) / F.count(F.lit(1))).alias("p"))
+    return auc.groupBy("feature").agg(F.lit(seen).alias("baseline"), F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("std"), (F.count_if(loss <= 0) / F.count(F.lit(1))).alias("p")).withColumn("significant", F.col("p") < 0.05)
 
 
 def by_ablation(rows: DataFrame, names: list[str], y: str = "y", fold: str = "fold") -> DataFrame:
-    """feature, baseline, importance: cross-validated AUC of all features less that without the feature."""
+    """feature, baseline, importance (cross-validated AUC of all features less that without the feature), std over the
+    folds, t, p (two-sided, normal) and significant (p < 0.05)."""
     products = Products(rows, names, y, fold)
     every = list(range(len(names)))
-    scores = score_candidates(rows, products, {-1: every} | {k: [c for c in every if c != k] for k in every}, y, fold)
-    out = [(k, scores[-1], scores[-1] - scores[k]) for k in every if not math.isnan(scores[k])]
-    return rows.sparkSession.createDataFrame(out, "feature int, baseline double, importance double")
+    folds = fold_scores(rows, products, {-1: every} | {k: [c for c in every if c != k] for k in every}, y, fold)
+    base, out = float(np.mean(folds[-1])), []
+    for k in every:
+        if folds.get(k):
+            gain, std = base - float(np.mean(folds[k])), float(np.std(folds[k]))
+            t = gain / (std / math.sqrt(len(folds[k]))) if std > 0 else math.nan
+            p = math.erfc(abs(t) / math.sqrt(2)) if std > 0 else float(abs(gain) < 1e-10)
+            out.append((k, base, gain, std, t, p, p < 0.05))
+    return rows.sparkSession.createDataFrame(out, "feature int, baseline double, importance double, std double, t double, p double, significant boolean")

@@ -63,6 +63,12 @@ class Products:
 
 def score_candidates(rows: DataFrame, products: Products, candidates: dict[int, list[int]], y: str = "y", fold: str = "fold") -> dict[int, float]:
     """Mean held-out ROC-AUC over the folds of each candidate set of features, all in one pass."""
+    scores = fold_scores(rows, products, candidates, y, fold)
+    return {c: float(np.mean(scores[c])) if scores.get(c) else float("nan") for c in candidates}
+
+
+def fold_scores(rows: DataFrame, products: Products, candidates: dict[int, list[int]], y: str = "y", fold: str = "fold") -> dict[int, list[float]]:
+    """Held-out ROC-AUC of each candidate on each fold that has both classes."""
     table = {}
     for c, features in candidates.items():
         for k in products.by_fold:
@@ -80,5 +86,7 @@ def score_candidates(rows: DataFrame, products: Products, candidates: dict[int,
                 yield pd.DataFrame({"candidate": c, "fold": pdf[fold].to_numpy(), "y": pdf[y].to_numpy(), "s": (x * w).sum(1)})
 
     scored = fill_columns(rows, products.fill).select(*names, y, fold).where(F.col(y).isNotNull()).mapInPandas(run, "candidate int, fold int, y int, s double")
-    means = roc_auc(scored, ["candidate", "fold"], "y", "s").groupBy("candidate").agg(F.avg("roc_auc").alias("auc")).collect()  # a row per candidate
-    return {r["candidate"]: r["auc"] if r["auc"] is not None else float("nan") for r in means}
+    out: dict[int, list[float]] = {}
+    for r in roc_auc(scored, ["candidate", "fold"], "y", "s").where("roc_auc is not null").orderBy("candidate", "fold").collect():  # a row per candidate and fold
+        out.setdefault(r["candidate"], []).append(r["roc_auc"])
+    return out

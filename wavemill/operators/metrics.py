@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite, ratio
-
-CELLS = 1024
-
+from .ranks import with_below
 
 def confusion(rows: DataFrame, by: list[str], y: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """tp, tn, fp, fn per group, in one aggregation."""
@@ -31,19 +29,13 @@ def rates(cells: DataFrame, beta: float = 2.0) -> DataFrame:
 def roc_auc(rows: DataFrame, by: list[str], y: str = "y_true", score: str = "y_prob", weight: str | None = None) -> DataFrame:
     """Mann-Whitney AUC with average ranks per group, rows counting `weight` times; null where one class is missing.
 
-    Rows are first summed per distinct score. Sums below a score are taken over cells of the score range, then within
-    a cell, so that even millions of distinct scores of one group are spread.
+    Rows are first summed per distinct score; sums below a score are taken digit by digit (see ranks), so that even
+    millions of distinct scores of one group are spread, however close they lie.
     """
     s = finite(F.col(score))
     of = lambda label: F.sum(F.when(F.col(y) == label, F.col(weight) if weight else F.lit(1)).otherwise(0))
     counts = rows.withColumn("__s", s).where(F.col("__s").isNotNull() & F.col(y).isNotNull()).groupBy(*by, "__s").agg(of(1).alias("pos"), of(0).alias("neg"))
-    counts = counts.withColumn("__cell", F.floor(F.greatest(F.least(F.col("__s"), F.lit(1e9)), F.lit(-1e9)) * CELLS))
-    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy(*by, "__cell").agg(F.sum("neg").alias("__n")).withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy(*by, "__cell").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    joined = counts.join(cells, [*by, "__cell"]) if by else counts.join(cells, "__cell")
-    below = F.col("__below") + F.coalesce(F.sum("neg").over(within), F.lit(0))
-    ranked = joined.withColumn("__won", F.col("pos") * (below + F.col("neg") / 2))
+    ranked = with_below(counts, by, "__s", "neg", "__below").withColumn("__won", F.col("pos") * (F.col("__below") + F.col("neg") / 2))
     return ranked.groupBy(*by).agg(F.try_divide(F.sum("__won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 

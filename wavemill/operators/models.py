@@ -11,27 +11,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.safe import finite
+from .tabular import column_medians, fill_columns
+
 MODELS = ("logreg", "svm_rbf", "rf", "gb", "knn")
 
 
 def fit_scale(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
     """Median, mean and population std of each column after imputing the median; a row of numbers."""
-    med = train.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in names)).first()
-    filled = train.select(*(F.coalesce(c, F.lit(med[c] or 0.0)).alias(c) for c in names))
+    med = column_medians(train, names)
+    filled = fill_columns(train, med)
     stat = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
-    return {c: (med[c] or 0.0, stat[f"m_{c}"] or 0.0, stat[f"s_{c}"] or 1.0) for c in names}
+    return {c: (med[c], stat[f"m_{c}"] or 0.0, stat[f"s_{c}"] or 1.0) for c in names}
 
 
 def apply_scale(rows: DataFrame, scale: dict) -> DataFrame:
-    return rows.withColumns({c: (F.coalesce(F.col(c), F.lit(m)) - F.lit(mean)) / F.lit(s) for c, (m, mean, s) in scale.items()})
+    return rows.withColumns({c: (F.coalesce(finite(F.col(c)), F.lit(m)) - F.lit(mean)) / F.lit(s) for c, (m, mean, s) in scale.items()})
 
 
 def balanced(train: DataFrame, y: str) -> DataFrame:
     """train with weight n / (classes * rows of the class)."""
-    n = {r[y]: r["n"] for r in train.groupBy(y).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
-    total = sum(n.values())
-    w = F.create_map(*(F.lit(v) for k, c in n.items() for v in (k, total / (len(n) * c))))
-    return train.withColumn("weight", w[F.col(y)])
+    sizes = train.groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
+    total, classes = sizes.agg(F.sum("__n"), F.count(F.lit(1))).first()
+    return train.join(sizes, y).withColumn("weight", F.lit(total or 0) / (F.lit(classes) * F.col("__n"))).drop("__n")
 
 
 def fourier_features(names: list[str], gamma: float, count: int = 128, seed: int = 42):
@@ -94,27 +96,29 @@ def fit(model: str, train: DataFrame, names: list[str], y: str = "y", trees: int
 def knn(train: DataFrame, queries: DataFrame, names: list[str], y: str = "y", k: int = 7, row_id: str = "epoch_id", block: int = 4096) -> DataFrame:
     """row_id and y_prob: the share of ones among the k nearest training rows (ties: smaller id).
 
-    The stated queries come in blocks of bounded size; each block passes the training rows once, partition by partition,
-    and only k candidates per query and batch are shuffled.
+    Queries and training rows are dealt into blocks of about `block` rows; each block of queries meets each block of
+    training rows in one group, which returns k candidates per query. Nothing comes to the driver but two counts.
     """
-    count = queries.count()
-    n_blocks = max(1, -(-count // block))
-    keyed = queries.withColumn("__b", F.pmod(F.xxhash64(row_id), F.lit(n_blocks)))
-    out = None
-    for b in range(n_blocks):
-        q = keyed.where(F.col("__b") == b).select(row_id, *names).toPandas()  # about `block` rows
-        ids, qx = q[row_id].to_numpy(), q[names].to_numpy(float)
-
-        def near(parts, ids=ids, qx=qx):
-            for pdf in parts:
-                x = pdf[names].to_numpy(float)
-                for lo in range(0, len(qx), 256):
-                    d = ((qx[lo : lo + 256, None, :] - x[None, :, :]) ** 2).sum(2)
-                    order = np.lexsort((np.broadcast_to(pdf[row_id].to_numpy(), d.shape), d))[:, :k]
-                    r = np.arange(len(d))[:, None]
-                    yield pd.DataFrame({"q": np.repeat(ids[lo : lo + 256], order.shape[1]), "d": d[r, order].ravel(), "t": pdf[row_id].to_numpy()[order].ravel(), "y": pdf[y].to_numpy()[order].ravel()})
-
-        part = train.select(row_id, y, *names).mapInPandas(near, "q long, d double, t long, y int")
-        out = part if out is None else out.unionByName(part)
+    q_blocks, t_blocks = (max(1, -(-table.count() // block)) for table in (queries, train))
+
+    def dealt(table, own, n_own, other, n_other, *columns):
+        table = table.select(F.col(row_id).alias("id"), *columns, F.array(*(F.col(c).cast("double") for c in names)).alias("x"), F.pmod(F.xxhash64(row_id), F.lit(n_own)).alias(own))
+        return table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def near(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(known):
+            q, x = np.stack(asked["x"].to_list()), np.stack(known["x"].to_list())
+            ids, ys = known["id"].to_numpy(), known["y"].to_numpy()
+            for lo in range(0, len(q), 64):
+                d = ((q[lo : lo + 64, None, :] - x[None, :, :]) ** 2).sum(2)
+                order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :k]
+                r = np.arange(len(d))[:, None]
+                out.append(pd.DataFrame({"q": np.repeat(asked["id"].to_numpy()[lo : lo + 64], order.shape[1]), "d": d[r, order].ravel(), "t": ids[order].ravel(), "y": ys[order].ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "d": [], "t": [], "y": []})
+
+    asked = dealt(queries, "qb", q_blocks, "tb", t_blocks).groupBy("qb", "tb")
+    known = dealt(train, "tb", t_blocks, "qb", q_blocks, F.col(y).alias("y")).groupBy("qb", "tb")
+    found = asked.cogroup(known).applyInPandas(near, "q long, d double, t long, y int")
     best = Window.partitionBy("q").orderBy("d", "t")
-    return out.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(F.col("q").alias(row_id)).agg(F.avg("y").alias("y_prob"))
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(F.col("q").alias(row_id)).agg(F.avg("y").alias("y_prob"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.safe import finite, ratio
 from .balance import stratified_folds
 from .linear import Products, score_candidates
+from .metrics import roc_auc
+from .models import fit
 from .tabular import column_medians, elect, fill_columns, votes
 
+#: Estimators of selection by cross-validation, as models.fit names them.
+ESTIMATORS = {"rf": "rf", "svm": "svm_rbf", "logreg": "logreg"}
+
 
 def anova_f(rows: DataFrame, feature: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
     """feature, f: one-way ANOVA between the classes; null for a constant feature."""
@@ -60,16 +65,35 @@ def by_variance(rows: DataFrame, threshold: float = 0.0, feature: str = "feature
     return rows.groupBy(feature).agg(F.var_pop(finite(F.col(value))).alias("variance")).where(F.col("variance") > threshold)
 
 
-def forward(rows: DataFrame, groups: dict[int, list[int]], names: list[str], most: int, step: int = 1, y: str = "y", fold: str = "fold") -> list[tuple[int, float]]:
+def cross_validated(rows: DataFrame, names: list[str], candidates: dict[int, list[int]], estimator: str, y: str = "y", fold: str = "fold") -> dict[int, float]:
+    """Mean held-out ROC-AUC of a classifier of models.MODELS on each candidate set of columns: a fit per candidate and fold."""
+    folds, out = sorted(r[fold] for r in rows.select(fold).distinct().collect()), {}
+    for c, features in candidates.items():
+        columns, scores = [names[f] for f in features], []
+        for k in folds:
+            test = rows.where(F.col(fold) == k)
+            scored = fit(ESTIMATORS[estimator], rows.where(F.col(fold) != k), columns, y)(test.select("epoch_id", y, *columns)).select("epoch_id", "y_prob").join(test.select("epoch_id", y), "epoch_id")
+            scores += [r["roc_auc"] for r in roc_auc(scored.withColumn("one", F.lit(1)), ["one"], y, "y_prob").collect() if r["roc_auc"] is not None]
+        out[c] = float(np.mean(scores)) if scores else float("nan")
+    return out
+
+
+def forward(rows: DataFrame, groups: dict[int, list[int]], names: list[str], most: int, step: int = 1, y: str = "y", fold: str = "fold", estimator: str = "linear") -> list[tuple[int, float]]:
     """Greedy forward selection of groups of columns (a channel's, or one feature each), by cross-validated AUC.
 
     Each round takes the `step` best groups (ties: smaller key), as long as some score exists; returns (group, score).
+    The estimator `linear` (least squares) scores all candidates in one pass; rf, svm and logreg fit each of them.
     """
-    products, chosen = Products(rows, names, y, fold), []
+    chosen = []
+    if estimator == "linear":
+        products = Products(rows, names, y, fold)
+        score = lambda candidates: score_candidates(rows, products, candidates, y, fold)
+    else:
+        score = lambda candidates: cross_validated(rows, names, candidates, estimator, y, fold)
     while len(chosen) < min(most, len(groups)):
         taken = [g for g, _ in chosen]
         left = [g for g in sorted(groups) if g not in taken]
-        scores = score_candidates(rows, products, {g: [c for t in [*taken, g] for c in groups[t]] for g in left}, y, fold)
+        scores = score({g: [c for t in [*taken, g] for c in groups[t]] for g in left})
         ok = sorted((-s, g) for g, s in scores.items() if not np.isnan(s))
         if not ok:
             break
@@ -85,6 +109,17 @@ def eliminate(products: Products, down_to: int = 1) -> list[int]:
     return left + gone[::-1]
 
 
+def eliminate_by(rows: DataFrame, names: list[str], estimator: str, keep: int, share: float = 0.1, y: str = "y") -> list[int]:
+    """The `keep` features that are left when the weakest tenth (at least one) goes after each fit, strongest first."""
+    left = list(range(len(names)))
+    while True:
+        weight = importances(rows, [names[k] for k in left], estimator, y)
+        order = [left[i] for i in np.argsort(-weight, kind="stable")]
+        if len(left) <= keep:
+            return order
+        left = sorted(order[: max(keep, len(left) - max(1, int(len(left) * share)))])
+
+
 def best_size(rows: DataFrame, products: Products, sizes: list[int], y: str = "y", fold: str = "fold") -> tuple[int, dict[int, float]]:
     """The number of features with the best cross-validated AUC along the elimination path (first on ties)."""
     path = eliminate(products)
@@ -92,22 +127,29 @@ def best_size(rows: DataFrame, products: Products, sizes: list[int], y: str = "y
     return max(sorted(scores), key=lambda k: scores[k]), scores
 
 
-def model_based(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42) -> DataFrame:
-    """method, feature, score of features whose importance is at least the median importance; gaps count as medians."""
+def importances(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42) -> np.ndarray:
+    """A number per column: impurity importance of a forest, or the size of a linear model's weight; gaps count as medians."""
     data = VectorAssembler(inputCols=names, outputCol="v").transform(fill_columns(rows, column_medians(rows, names))).select("v", F.col(y).cast("double").alias("label"))
     if estimator == "rf":
-        weight = RandomForestClassifier(featuresCol="v", numTrees=trees, seed=seed).fit(data).featureImportances.toArray()
-    elif estimator == "logreg":
-        weight = np.abs(LogisticRegression(featuresCol="v", elasticNetParam=1.0, regParam=0.01).fit(data).coefficients.toArray())
-    else:
-        raise ValueError(f"unknown estimator {estimator!r}; known: logreg, rf")
+        return RandomForestClassifier(featuresCol="v", numTrees=trees, seed=seed).fit(data).featureImportances.toArray()
+    if estimator == "logreg":
+        return np.abs(LogisticRegression(featuresCol="v", elasticNetParam=1.0, regParam=0.01).fit(data).coefficients.toArray())
+    if estimator == "svm":
+        return np.abs(LinearSVC(featuresCol="v", regParam=0.01).fit(data).coefficients.toArray())
+    raise ValueError(f"unknown estimator {estimator!r}; known: logreg, rf, svm")
+
+
+def model_based(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42) -> DataFrame:
+    """method, feature, score of features whose importance is at least the median importance."""
+    weight = importances(rows, names, estimator, y, trees, seed)
     cut = float(np.median(weight))
     kept = [(f"model_{estimator}", k, float(w)) for k, w in enumerate(weight) if w >= cut]
     return rows.sparkSession.createDataFrame(kept, "method string, feature int, score double")
 
 
 def run_methods(rows: DataFrame, wide: DataFrame, names: list[str], methods: list[str], top: int, y: str = "y") -> DataFrame:
-    """method, feature, score of every named selector: univariate_<way>, model_<estimator>, elimination, variance.
+    """method, feature, score of every named selector: univariate_<way>, model_<estimator>, rfe_<estimator>,
+    elimination (of least-squares weights), variance.
 
     `rows` is the long form of the columns `names` of `wide`; features are positions in `names`.
     """
@@ -118,6 +160,8 @@ def run_methods(rows: DataFrame, wide: DataFrame, names: list[str], methods: lis
             part = univariate(rows, way, top)
         elif kind == "model":
             part = model_based(wide, names, way, y)
+        elif kind == "rfe":
+            part = rows.sparkSession.createDataFrame([(method, f, float(top - k)) for k, f in enumerate(eliminate_by(wide, names, way, top, y=y))], "method string, feature int, score double")
         elif method == "elimination":
             path = eliminate(Products(stratified_folds(wide, "epoch_id", 3, y=y), names, y))[:top]
             part = rows.sparkSession.createDataFrame([(method, f, float(top - k)) for k, f in enumerate(path)], "method string, feature int, score double")

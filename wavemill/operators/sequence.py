@@ -2,7 +2,7 @@
 
 A series may hold a third of all rows, so none of them sorts a whole series in one task: series are cut into chunks of
 consecutive epoch_ids. Windows get the few rows before their chunk as well. The alarm is a finite automaton: each chunk
-tells, for every state it may be entered in, the state it is left in; those small tables are chained per series, and then
+tells, for every state it may be entered in, the state it is left in; those small tables are composed in a tree, and then
 each chunk runs once from its true start state. `epoch_id` counts a series' rows from 0.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK, ALARM_CHUNK = 1 << 16, 256
+CHUNK, ALARM_CHUNK, FAN = 1 << 16, 256, 256
 
 
 def _with_halo(scores: DataFrame, key: str, back: int, chunk: int) -> DataFrame:
@@ -91,15 +91,29 @@ class Alarm:
 
 
 def alarm(scores: DataFrame, rule: Alarm, value: str = "p", key: str = "recording", chunk: int = ALARM_CHUNK) -> DataFrame:
-    """key, epoch_id, value and alarm (0 or 1)."""
+    """key, epoch_id, value and alarm (0 or 1).
+
+    The chunks' tables are composed in a tree, FAN at a time, up to one per series; start states then go down again.
+    """
+    last = scores.agg(F.max("epoch_id")).first()[0] or 0
     rows = scores.select(key, "epoch_id", F.col(value).alias("p"), F.floor(F.col("epoch_id") / chunk).alias("chunk"))
     chunks = rows.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("epoch_id", "p"))).alias("rows"))  # chunk rows at most
-    ends = F.transform(F.sequence(F.lit(0), F.lit(rule.states - 1)), lambda s: F.aggregate("rows", s, lambda state, r: rule.step(state, r["p"])))
-    tables = chunks.select(key, "chunk", ends.alias("ends")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "ends"))).alias("tables"))
-    # a series' small tables, one per chunk, are followed from the off state
-    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("seen"))
-    walked = F.aggregate("tables", start, lambda a, t: F.struct(F.get(t["ends"], a["state"]).alias("state"), F.concat(a["seen"], F.array(a["state"])).alias("seen")))
-    starts = tables.select(key, F.explode(F.arrays_zip(F.col("tables.chunk").alias("chunk"), walked["seen"].alias("state"))).alias("s")).select(key, "s.chunk", "s.state")
+    every = F.sequence(F.lit(0), F.lit(rule.states - 1))
+    level = chunks.select(key, "chunk", F.transform(every, lambda s: F.aggregate("rows", s, lambda state, r: rule.step(state, r["p"]))).alias("ends"))
+    parents, left = [], last // chunk
+    while True:
+        parent = level.groupBy(key, F.floor(F.col("chunk") / FAN).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("chunk", "ends"))).alias("tables"))  # FAN at most
+        parents.append(parent)
+        left //= FAN
+        if not left:
+            break
+        level = parent.select(key, "chunk", F.transform(every, lambda s: F.aggregate("tables", s, lambda state, t: F.get(t["ends"], state))).alias("ends"))
+    starts = None
+    for parent in reversed(parents):
+        parent = parent.withColumn("state", F.lit(0)) if starts is None else parent.join(starts, [key, "chunk"])
+        begin = F.struct(F.col("state").alias("state"), F.array().cast("array<int>").alias("seen"))
+        walked = F.aggregate("tables", begin, lambda a, t: F.struct(F.get(t["ends"], a["state"]).alias("state"), F.concat(a["seen"], F.array(a["state"])).alias("seen")))
+        starts = parent.select(key, F.explode(F.arrays_zip(F.col("tables.chunk").alias("chunk"), walked["seen"].alias("state"))).alias("s")).select(key, "s.chunk", "s.state")
     begin = F.struct(F.col("state").alias("state"), F.array().cast("array<int>").alias("given"))
     ran = F.aggregate("rows", begin, lambda a, r: _advance(rule, a, r))
     out = chunks.join(starts, [key, "chunk"]).select(key, F.explode(F.arrays_zip(F.col("rows.epoch_id").alias("epoch_id"), F.col("rows.p").alias("p"), ran["given"].alias("alarm"))).alias("r"))

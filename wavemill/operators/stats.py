@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.safe import finite, ratio, uniform
 from .balance import ranked
 from .metrics import roc_auc
+from .ranks import with_below
 
 
 @F.pandas_udf(T.DoubleType())
@@ -44,21 +45,15 @@ def mcnemar(rows: DataFrame, y: str, a: str, b: str) -> DataFrame:
     return n.withColumn("statistic", stat).withColumn("p", F.when(total > 0, chi2_tail("statistic", F.lit(1))).otherwise(1.0))
 
 
-def kruskal_wallis(rows: DataFrame, group: str, value: str, cells: int = 1024) -> DataFrame:
+def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
     """h (tie-corrected), groups, p of finite values.
 
-    Ranks come from the counts per distinct value: counts below are summed per cell of the value range and then within a
-    cell, so no task sees all values.
+    Ranks come from the counts per distinct value; counts below are summed digit by digit, so no task sees all values.
     """
     v = finite(F.col(value))
     counts = rows.select(F.col(group).alias("g"), v.alias("v")).where("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    values = counts.groupBy("v").agg(F.sum("n").alias("t")).join(F.broadcast(spread))  # one row
-    values = values.withColumn("c", F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * cells), F.lit(0)))
-    before = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # at most cells + 1 rows
-    below = values.groupBy("c").agg(F.sum("t").alias("k")).withColumn("below", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    inside = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.join(below, "c").select("v", "t", (F.col("below") + F.coalesce(F.sum("t").over(inside), F.lit(0)) + (F.col("t") + 1) / 2).alias("rank"))
+    values = counts.groupBy("v").agg(F.sum("n").alias("t")).withColumn("every", F.lit(0))
+    ranks = with_below(values, ["every"], "v", "t").select("v", "t", (F.col("below") + (F.col("t") + 1) / 2).alias("rank"))
     per_group = counts.join(ranks, "v").groupBy("g").agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("n"))
     h = per_group.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count(F.lit(1)).alias("groups"))
     tie = ranks.agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("tie"))
@@ -119,7 +114,7 @@ def poisson_weight(u: Column) -> Column:
 def bootstrap_ci(rows: DataFrame, row_id: str, n_boot: int = 1000, ci: float = 0.95, seed: str = "0", y: str = "y", score: str = "p") -> DataFrame:
     """mean, ci_lo, ci_hi of the ROC-AUC over Poisson bootstrap samples (one-class samples are dropped).
 
-    Rows are reduced to their distinct (score, class) before the weights are summed per replicate.
+    Each row draws its weight in every replicate; weights are summed per replicate and distinct score before ranking.
     """
     w = poisson_weight(uniform(seed, F.col("replicate"), F.col(row_id)))
     drawn = replicates(rows.select(row_id, y, score), n_boot).withColumn("w", w).where("w > 0")

@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite, ratio
+from . import ranks
 
 
 def medians(rows: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Exact median of the finite values of each feature (midpoint of the two middle ones)."""
-    return rows.groupBy(feature).agg(F.percentile(finite(F.col(value)), F.lit(0.5)).alias("median"))
+    return ranks.quantiles(rows, [feature], value, {"median": 0.5})
 
 
 def impute_median(rows: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Missing and infinite values replaced by the feature's median, or by 0 where a feature has no value at all."""
-    fill = rows.join(medians(rows, feature, value), feature)
+    fill = rows.join(medians(rows, feature, value), feature, "left")
     return fill.withColumn(value, F.coalesce(finite(F.col(value)), F.col("median"), F.lit(0.0))).drop("median")
 
 
 def column_medians(rows: DataFrame, names: list[str]) -> dict[str, float]:
     """Exact median of the finite values of each column, 0 for a column without any."""
-    med = rows.agg(*(F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in names)).first()
-    return {c: 0.0 if med[c] is None else med[c] for c in names}
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(c).cast("double").alias("value")) for k, c in enumerate(names)))).alias("x")).select("x.*")
+    found = {r["feature"]: r["median"] for r in medians(long).collect()}  # a row per column
+    return {c: found.get(k, 0.0) for k, c in enumerate(names)}
 
 
 def fill_columns(rows: DataFrame, fill: dict[str, float]) -> DataFrame:
@@ -46,14 +49,25 @@ def principal_components(rows: DataFrame, names: list[str], k: int) -> tuple[Dat
     return model.transform(vectors).drop("__v", *(f"__{c}" for c in names)), model.explainedVariance.toArray().tolist()
 
 
+def fit_components(rows: DataFrame, names: list[str], k: int):
+    """Function that replaces the columns by the first k component scores pca_0, ..., after imputing and scaling as in rows."""
+    from .models import apply_scale, fit_scale
+
+    scale, k = fit_scale(rows, names), min(k, len(names))
+    vectors = lambda df: VectorAssembler(inputCols=names, outputCol="__v").transform(apply_scale(df, scale))
+    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(vectors(rows))
+    return lambda df: model.transform(vectors(df)).withColumn("__p", vector_to_array("__p")).select(*(c for c in df.columns if c not in names), *(F.col("__p")[i].alias(f"pca_{i}") for i in range(k)))
+
+
 def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """mean, population std, median, min, max, n of the finite values per group."""
     v = finite(F.col(value))
-    return rows.groupBy(by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    moments = rows.groupBy(by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    return moments.join(ranks.quantiles(rows, [by], value, {"median": 0.5}), by, "left").select(by, "mean", "std", "median", "min", "max", "n")
 
 
 def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    return rows.groupBy(by).agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in shares.items()))
+    return ranks.quantiles(rows, [by], value, shares)
 
 
 def argmax(rows: DataFrame, order: str, name: str, score: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import balance, impact, linear, metrics, models, selection, tabular
 from ..sources import tables
+from ..sources.scratch import drop, settle
 from .table_queries import ANOVA_SQL, CHI_SQL, GAPS_SQL, _gaps, _labelled
 from .views import DOC, FEAT
 
@@ -36,9 +37,8 @@ def standardise(spark, sf_dir):
     return out.groupBy("feature").agg(F.round(F.sum(F.abs("value")), 6).alias("total"), F.round(F.max("value"), 6).alias("top"))
 
 
-def _wide(spark, sf_dir, width=16):
-    rows = tables.embedding_features(spark, sf_dir).where(F.col("feature") < width)
-    w = rows.groupBy("epoch_id", "y").pivot("feature", list(range(width))).agg(F.first("value"))
+def _wide(spark, sf_dir, width=64):
+    w = tables.embedding_features(spark, sf_dir).groupBy("epoch_id", "y").pivot("feature", list(range(width))).agg(F.first("value"))
     return w.withColumnsRenamed({str(k): f"f{k}" for k in range(width)}), [f"f{k}" for k in range(width)]
 
 
@@ -74,7 +74,7 @@ def _standard_wide(spark, sf_dir):
 
 def knn(spark, sf_dir):
     z, names = _standard_wide(spark, sf_dir)
-    return models.knn(z.where("epoch_id >= 100"), z.where("epoch_id < 100"), names).select("epoch_id", F.round("y_prob", 6).alias("y_prob"))
+    return models.knn(z.where("epoch_id % 100 <> 0"), z.where("epoch_id % 100 = 0"), names).select("epoch_id", F.round("y_prob", 6).alias("y_prob"))
 
 
 def knn_held_out(spark, sf_dir):
@@ -83,15 +83,21 @@ def knn_held_out(spark, sf_dir):
     return models.knn(z.where("epoch_id % 100 <> 0"), z.where("epoch_id % 100 = 0"), names)
 
 
+METRICS = "model string, tp double, tn double, fp double, fn double, accuracy double, precision double, sensitivity double, specificity double, fpr double, f1 double, f_beta double, roc_auc double"
+
+
 def _model(name, **options):
     def run(spark, sf_dir):
         w, names = _wide(spark, sf_dir)
         w = balance.stratified_folds(w, "epoch_id", 4)
-        train, test = w.where("fold <> 0").persist(), w.where("fold = 0")
+        w = settle(w)
+        train, test = w.where("fold <> 0"), w.where("fold = 0")
         scored = models.fit(name, train, names, **options)(test)
         scored = scored if "y" in scored.columns else scored.join(test.select("epoch_id", "y"), "epoch_id")
         rows = scored.select(F.lit(name).alias("model"), F.col("y").alias("y_true"), "y_prob", (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"))
-        return metrics.compute_metrics(rows, ["model"])
+        rows = metrics.compute_metrics(rows, ["model"]).collect()  # one row
+        drop(w)
+        return spark.createDataFrame(rows, METRICS)
 
     return run
 
@@ -104,61 +110,64 @@ def channels(spark, sf_dir):
     columns = ["rms", *SPECTRAL]
     w = wide(channel_summary(e, 16.0), columns, [0, 1, 2, 3])
     names = w.columns[1:]
-    w = balance.stratified_folds(w.join(e.select("epoch_id", "y").distinct(), "epoch_id"), "epoch_id", 3).persist()
+    w = settle(balance.stratified_folds(w.join(e.select("epoch_id", "y").distinct(), "epoch_id"), "epoch_id", 3))
     groups = {c: [names.index(f"ch{c}_{n}") for n in columns] for c in range(4)}
     chosen = selection.forward(w, groups, names, 3)
+    drop(w)
     return spark.createDataFrame([(k, c, float(s)) for k, (c, s) in enumerate(chosen)], "place int, channel int, auc double")
 
 
 def forward_features(spark, sf_dir):
-    w, names = _wide(spark, sf_dir, 10)
-    w = balance.stratified_folds(w, "epoch_id", 3).persist()
-    chosen = selection.forward(w, {k: [k] for k in range(10)}, names, 4)
+    w, names = _folded(spark, sf_dir)
+    chosen = selection.forward(w, {k: [k] for k in range(len(names))}, names, 4)
+    drop(w)
     return spark.createDataFrame([(k, c, float(s)) for k, (c, s) in enumerate(chosen)], "place int, feature int, auc double")
 
 
-def _folded(spark, sf_dir, width):
-    w, names = _wide(spark, sf_dir, width)
-    return balance.stratified_folds(w, "epoch_id", 3).persist(), names
+def _folded(spark, sf_dir):
+    w, names = _wide(spark, sf_dir)
+    return settle(balance.stratified_folds(w, "epoch_id", 3)), names
 
 
 def permutation_impact(spark, sf_dir):
-    return impact.by_permutation(*_folded(spark, sf_dir, 6), n_perm=20)
+    return impact.by_permutation(*_folded(spark, sf_dir))
 
 
 def ablation_impact(spark, sf_dir):
-    return impact.by_ablation(*_folded(spark, sf_dir, 8))
+    return impact.by_ablation(*_folded(spark, sf_dir))
 
 
 def model_based(spark, sf_dir):
-    return selection.model_based(*_wide(spark, sf_dir), "rf", trees=30)
+    return selection.model_based(*_wide(spark, sf_dir), "rf")
 
 
 def elimination(spark, sf_dir):
-    w, names = _wide(spark, sf_dir, 12)
-    products = linear.Products(balance.stratified_folds(w, "epoch_id", 3), names)
+    w, names = _folded(spark, sf_dir)
+    products = linear.Products(w, names)
+    drop(w)
     return spark.createDataFrame(list(enumerate(selection.eliminate(products))), "place int, feature int")
 
 
 def best_size(spark, sf_dir):
-    w, names = _wide(spark, sf_dir, 12)
-    w = balance.stratified_folds(w, "epoch_id", 3).persist()
-    best, scores = selection.best_size(w, linear.Products(w, names), [3, 6, 9, 12])
+    w, names = _folded(spark, sf_dir)
+    best, scores = selection.best_size(w, linear.Products(w, names), [10, 20, 30, 40, 50])
+    drop(w)
     return spark.createDataFrame([(k, float(s), k == best) for k, s in sorted(scores.items())], "k int, auc double, best boolean")
 
 
 def ensemble(spark, sf_dir):
-    """Votes of univariate, model-based and elimination selectors; at least half of them, or the most voted."""
-    rows = tables.embedding_features(spark, sf_dir).where("feature < 16")
+    """Votes of every kind of selector; at least half of them, or the most voted."""
+    rows = tables.embedding_features(spark, sf_dir)
     w, names = _wide(spark, sf_dir)
-    return selection.ensemble(rows, w, names, ["univariate_f_classif", "model_logreg", "elimination"], 8)
+    methods = ["univariate_f_classif", "univariate_chi2", "univariate_mutual_info", "model_rf", "model_logreg", "elimination"]
+    return selection.ensemble(rows, w, names, methods, 20)
 
 
 QUERIES = {
     "R1_oversample": oversample, "R2_undersample": undersample, "R3_median_impute": impute, "R4_standardise": standardise, "R5_pca": components, "R6_subsample": subsample, "R7_folds": folds,
     "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C5_elimination": elimination, "C6_model_based": model_based, "C7_variance": variance, "T6_permutation_impact": permutation_impact, "T7_ablation_impact": ablation_impact,
-    "C8_forward_selection": forward_features, "C9_ensemble": ensemble, "C10_best_size": best_size, "M1_logreg": _model("logreg"), "M2_svm_rbf": _model("svm_rbf"), "M3_random_forest": _model("rf", trees=50, depth=8),
-    "M4_gradient_boosting": _model("gb", trees=20), "M5_knn": knn, "M5_knn_held_out": knn_held_out,
+    "C8_forward_selection": forward_features, "C9_ensemble": ensemble, "C10_best_size": best_size, "M1_logreg": _model("logreg"), "M2_svm_rbf": _model("svm_rbf"), "M3_random_forest": _model("rf"),
+    "M4_gradient_boosting": _model("gb"), "M5_knn": knn, "M5_knn_held_out": knn_held_out,
 }
 _L = "l AS (SELECT doc_id, y, (row_number() OVER (PARTITION BY y ORDER BY md5('42|' || doc_id), doc_id) - 1) AS r FROM doc), n AS (SELECT y, count(*) AS n FROM doc GROUP BY y)"
 ORACLE_SQL = {
@@ -178,6 +187,6 @@ ORACLE_SQL = {
  SELECT feature, round(sum(n / nn * ln(n * nn / (nb * ny))), 6) AS mi FROM t GROUP BY feature""",
     "C7_variance": f"WITH {FEAT} SELECT feature, round(var_pop(value), 9) AS variance FROM feat GROUP BY feature HAVING var_pop(value) > 0.01",
     "M5_knn": f"""WITH {FEAT}, s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM feat GROUP BY feature), z AS (SELECT epoch_id, y, list((value - m) / s ORDER BY feat.feature) AS v FROM feat JOIN s ON s.feature = feat.feature GROUP BY epoch_id, y),
- d AS (SELECT q.epoch_id, t.epoch_id AS t, t.y, list_sum(list_transform(list_zip(q.v, t.v), lambda p: (p[1] - p[2]) ** 2)) AS d FROM z q JOIN z t ON q.epoch_id < 100 AND t.epoch_id >= 100),
+ d AS (SELECT q.epoch_id, t.epoch_id AS t, t.y, list_sum(list_transform(list_zip(q.v, t.v), lambda p: (p[1] - p[2]) ** 2)) AS d FROM z q JOIN z t ON q.epoch_id % 100 = 0 AND t.epoch_id % 100 <> 0),
  k AS (SELECT *, row_number() OVER (PARTITION BY epoch_id ORDER BY d, t) AS r FROM d) SELECT epoch_id, round(avg(y), 6) AS y_prob FROM k WHERE r <= 7 GROUP BY epoch_id""",
 }

@@ -11,17 +11,13 @@ from ..operators import stats
 from ..sources import tables
 from .views import EVT
 
-FEW = 50
+REPLICATES, CHANNEL_PERMUTATIONS = 1000, 500
 
 
 def _all_scores(spark, sf_dir):
     return tables.event_scores(spark, sf_dir).select(F.concat_ws("-", "recording", "epoch_id").alias("row"), "p", "y")
 
 
-def _scores(spark, sf_dir):
-    return tables.event_scores(spark, sf_dir).where("recording <= 5").select(F.concat_ws("-", "recording", "epoch_id").alias("row"), "p", "y")
-
-
 def mcnemar(spark, sf_dir):
     hit = lambda c: (c >= 0.5).cast("int")
     li = tables.table(spark, sf_dir, "lineitem")
@@ -36,10 +32,10 @@ def kruskal(spark, sf_dir):
 
 
 def sign_flip(spark, sf_dir):
-    e = tables.event_scores(spark, sf_dir).where("epoch_id < 10")
-    a = e.where("recording = 1").select("epoch_id", F.round("p", 6).alias("a"))
-    b = e.where("recording = 2").select("epoch_id", F.round("p", 6).alias("b"))
-    out = stats.sign_flip_exact(a.join(b, "epoch_id"))
+    """Mean scores of even against odd epochs, over all recordings: a pair for each last digit of the recording."""
+    e = tables.event_scores(spark, sf_dir).groupBy((F.col("recording") % 10).alias("cell"))
+    mean = lambda side: F.round(F.avg(F.when(F.col("epoch_id") % 2 == side, F.col("p"))), 6)
+    out = stats.sign_flip_exact(e.agg(mean(0).alias("a"), mean(1).alias("b")))
     return out.select("patterns", F.round("p", 9).alias("p"))
 
 
@@ -52,23 +48,23 @@ def sign_flip_random(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir):
-    out = stats.bootstrap_ci(_scores(spark, sf_dir), "row", FEW)
+    out = stats.bootstrap_ci(_all_scores(spark, sf_dir), "row", REPLICATES)
     return out.select(*(F.round(c, 9).alias(c) for c in ("mean", "ci_lo", "ci_hi")), "samples")
 
 
 def permutation(spark, sf_dir):
-    rows = _scores(spark, sf_dir).withColumn("q", F.round(1 - F.col("p"), 9))
-    out = stats.permutation_test(rows, "row", "p", "q", FEW)
+    rows = _all_scores(spark, sf_dir).withColumn("q", F.round(1 - F.col("p"), 9))
+    out = stats.permutation_test(rows, "row", "p", "q", REPLICATES)
     return out.select(F.round("observed", 9).alias("observed"), F.round("p", 9).alias("p"))
 
 
 def surrogate(spark, sf_dir):
-    out = stats.surrogates(_scores(spark, sf_dir), "row", FEW)
+    out = stats.surrogates(_all_scores(spark, sf_dir), "row", REPLICATES)
     return out.select(*(F.round(c, 6).alias(c) for c in ("observed", "mean", "std", "z", "p")))
 
 
 def bootstrap_all(spark, sf_dir):
-    """All series and the operator's 1,000 replicates, as the next two; SQL is too slow for these."""
+    """Unrounded, as the next two; tests hold them against plain Python on a small table."""
     return stats.bootstrap_ci(_all_scores(spark, sf_dir), "row")
 
 
@@ -82,20 +78,22 @@ def surrogate_all(spark, sf_dir):
 
 def bootstrap_mean(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
-    out = stats.bootstrap_mean(o, "o_orderpriority", "v", 100)
+    out = stats.bootstrap_mean(o, "o_orderpriority", "v", REPLICATES)
     return out.select("o_orderpriority", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
 
 
 def channel_significance(spark, sf_dir):
-    e = tables.embedding_epochs(spark, sf_dir, 4).select("epoch_id", "channel", "y", F.get("samples", F.lit(0)).alias("p"))
-    out = stats.channel_significance(e, 40)
+    """Each channel's score is the sum of its samples."""
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
+    e = tables.embedding_epochs(spark, sf_dir, 4).select("epoch_id", "channel", "y", F.round(total, 6).alias("p"))
+    out = stats.channel_significance(e, CHANNEL_PERMUTATIONS)
     return out.select("channel", F.round("roc_auc", 6).alias("roc_auc"), F.round("p", 6).alias("p"), "significant")
 
 
 _AUC = """k AS (SELECT rep, p, sum(w) FILTER (y = 1) AS pos, sum(w) FILTER (y = 0) AS neg FROM b GROUP BY rep, p),
  u AS (SELECT rep, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k),
  a AS (SELECT rep, sum(pos * (below + neg / 2))::DOUBLE / nullif((sum(pos) * sum(neg))::DOUBLE, 0) AS auc FROM u GROUP BY rep)"""
-_ROWS = f"{EVT}, s AS (SELECT recording || '-' || epoch_id AS row, p, y FROM evt WHERE recording <= 5), rep AS (SELECT unnest(range({FEW})) AS rep)"
+_ROWS = f"{EVT}, s AS (SELECT recording || '-' || epoch_id AS row, p, y FROM evt), rep AS (SELECT unnest(range({REPLICATES})) AS rep)"
 
 
 def _cuts() -> list[float]:
@@ -118,11 +116,11 @@ QUERIES = {
 ORACLE_SQL = {
     "T1_bootstrap_ci": f"""WITH {_ROWS}, x AS (SELECT rep, p, y, {uniform_sql("'0|' || rep || '|' || row")} AS u FROM s CROSS JOIN rep), b AS (SELECT rep, p, y, {_POISSON} AS w FROM x), {_AUC}
  SELECT round(avg(auc), 9) AS mean, round(quantile_cont(auc, 0.025), 9) AS ci_lo, round(quantile_cont(auc, 0.975), 9) AS ci_hi, count(auc) AS samples FROM a""",
-    "T2_permutation": f"""WITH {EVT}, s AS (SELECT recording || '-' || epoch_id AS row, p, round(1 - p, 9) AS q, y FROM evt WHERE recording <= 5), r AS (SELECT unnest(range({FEW + 1})) AS r),
+    "T2_permutation": f"""WITH {EVT}, s AS (SELECT recording || '-' || epoch_id AS row, p, round(1 - p, 9) AS q, y FROM evt), r AS (SELECT unnest(range({REPLICATES + 1})) AS r),
  x AS (SELECT r, y, p, q, r > 0 AND {uniform_sql("'0|' || r || '|' || row")} < 0.5 AS swap FROM s CROSS JOIN r),
  b AS (SELECT r || 'a' AS rep, y, CASE WHEN swap THEN q ELSE p END AS p, 1 AS w FROM x UNION ALL SELECT r || 'b', y, CASE WHEN swap THEN p ELSE q END, 1 FROM x), {_AUC},
  d AS (SELECT r.r, (SELECT auc FROM a WHERE rep = r.r || 'a') - (SELECT auc FROM a WHERE rep = r.r || 'b') AS d FROM r), o AS (SELECT d AS observed FROM d WHERE r = 0)
- SELECT round(observed, 9) AS observed, round((count(*) FILTER (d >= abs(observed)) + 1) / {FEW + 1}, 9) AS p FROM d CROSS JOIN o WHERE r > 0 GROUP BY observed""",
+ SELECT round(observed, 9) AS observed, round((count(*) FILTER (d >= abs(observed)) + 1) / {REPLICATES + 1}, 9) AS p FROM d CROSS JOIN o WHERE r > 0 GROUP BY observed""",
     "T3_mcnemar": """WITH w AS (SELECT (l_returnflag = 'R') AS y, l_discount * 10 >= 0.5 AS a, l_quantity / 50 >= 0.5 AS b FROM lineitem),
  n AS (SELECT count(*) FILTER (a = y AND b <> y) AS only_a, count(*) FILTER (a <> y AND b = y) AS only_b FROM w)
  SELECT only_a, only_b, round(coalesce((abs(only_a - only_b) - 1)::DOUBLE ** 2 / nullif(only_a + only_b, 0), 0), 6) AS statistic FROM n""",
@@ -135,18 +133,19 @@ ORACLE_SQL = {
  b AS (SELECT l.rep, p, y, 1 AS w FROM l JOIN m ON l.rep = m.rep AND l.r = m.r UNION ALL SELECT -1, p, y, 1 FROM s), {_AUC},
  o AS (SELECT auc AS observed FROM a WHERE rep = -1), t AS (SELECT avg(auc) AS mean, stddev_pop(auc) AS std FROM a WHERE rep >= 0)
  SELECT round(observed, 6) AS observed, round(mean, 6) AS mean, round(std, 6) AS std, round((observed - mean) / std, 6) AS z,
-  round((SELECT count(*) FROM a WHERE rep >= 0 AND abs(auc - mean) >= abs(observed - mean)) / {FEW}, 6) AS p FROM o CROSS JOIN t""",
-    "T8_channel_significance": f"""WITH e AS (SELECT vec_id AS epoch_id, c AS channel, (label >= 5)::INT AS y, embedding[c * 16 + 1]::DOUBLE AS p FROM embeddings CROSS JOIN (SELECT unnest(range(4)) AS c)),
- x AS (SELECT channel || '|' || r AS g, channel || '|' || r || '|' || epoch_id AS id, p, y FROM e CROSS JOIN (SELECT unnest(range(40)) AS r)),
+  round((SELECT count(*) FROM a WHERE rep >= 0 AND abs(auc - mean) >= abs(observed - mean)) / {REPLICATES}, 6) AS p FROM o CROSS JOIN t""",
+    "T8_channel_significance": f"""WITH e AS (SELECT vec_id AS epoch_id, c AS channel, (label >= 5)::INT AS y, round(list_reduce(list_prepend(0.0::DOUBLE, embedding[c * 16 + 1 : c * 16 + 16]::DOUBLE[]), lambda a, v: a + v), 6) AS p FROM embeddings CROSS JOIN (SELECT unnest(range(4)) AS c)),
+ x AS (SELECT channel || '|' || r AS g, channel || '|' || r || '|' || epoch_id AS id, p, y FROM e CROSS JOIN (SELECT unnest(range({CHANNEL_PERMUTATIONS})) AS r)),
  l AS (SELECT g, p, row_number() OVER (PARTITION BY g ORDER BY md5('42|s|' || id), id) AS r FROM x), m AS (SELECT g, y, row_number() OVER (PARTITION BY g ORDER BY md5('42|y|' || id), id) AS r FROM x),
  b AS (SELECT l.g AS rep, p, y, 1 AS w FROM l JOIN m ON l.g = m.g AND l.r = m.r UNION ALL SELECT channel || '|', p, y, 1 FROM e), {_AUC},
- o AS (SELECT c::INT AS channel, (SELECT auc FROM a WHERE rep = c || '|') AS roc_auc, (SELECT count(*) FROM a WHERE rep LIKE c || '|_%' AND auc >= (SELECT auc FROM a WHERE rep = c || '|')) / 40 AS p FROM (SELECT unnest(range(4)) AS c))
+ o AS (SELECT c::INT AS channel, (SELECT auc FROM a WHERE rep = c || '|') AS roc_auc, (SELECT count(*) FROM a WHERE rep LIKE c || '|_%' AND auc >= (SELECT auc FROM a WHERE rep = c || '|')) / {CHANNEL_PERMUTATIONS} AS p FROM (SELECT unnest(range(4)) AS c))
  SELECT channel, round(roc_auc, 6) AS roc_auc, round(p, 6) AS p, p < 0.05 AS significant FROM o""",
     "T9_bootstrap_mean": f"""WITH v AS (SELECT o_orderpriority, year(o_orderdate) AS yr, round(avg(o_totalprice), 4) AS v FROM orders GROUP BY 1, 2), l AS (SELECT o_orderpriority, list(v ORDER BY v) AS v FROM v GROUP BY 1),
- d AS (SELECT o_orderpriority, v, rep, unnest(range(len(v))) AS i FROM l CROSS JOIN (SELECT unnest(range(100)) AS rep)),
+ d AS (SELECT o_orderpriority, v, rep, unnest(range(len(v))) AS i FROM l CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep)),
  m AS (SELECT o_orderpriority, rep, avg(v[floor({uniform_sql("'42|' || rep || '|' || i")} * len(v))::INT + 1]) AS m FROM d GROUP BY 1, 2)
  SELECT o_orderpriority, round(quantile_cont(m, 0.025), 4) AS ci_lo, round(quantile_cont(m, 0.975), 4) AS ci_hi FROM m GROUP BY 1""",
-    "T10_signflip_exact": f"""WITH {EVT}, d AS (SELECT row_number() OVER (ORDER BY round(a.p, 6) - round(b.p, 6)) - 1 AS i, round(a.p, 6) - round(b.p, 6) AS d FROM evt a JOIN evt b ON a.epoch_id = b.epoch_id AND a.recording = 1 AND b.recording = 2 AND a.epoch_id < 10),
+    "T10_signflip_exact": f"""WITH {EVT}, c AS (SELECT recording % 10 AS cell, round(avg(p) FILTER (epoch_id % 2 = 0), 6) - round(avg(p) FILTER (epoch_id % 2 = 1), 6) AS d FROM evt GROUP BY 1),
+ d AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i, d FROM c WHERE d IS NOT NULL),
  m AS (SELECT unnest(range((2 ** (SELECT count(*) FROM d))::BIGINT)) AS mask), f AS (SELECT mask, sum(CASE WHEN (mask // (2 ** i)::BIGINT) % 2 = 1 THEN -d ELSE d END) AS s FROM m CROSS JOIN d GROUP BY mask)
  SELECT count(*) AS patterns, round(count(*) FILTER (abs(s) >= abs((SELECT sum(d) FROM d)) - 1e-12) / count(*), 9) AS p FROM f""",
 }

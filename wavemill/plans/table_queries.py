@@ -41,8 +41,8 @@ def class_counts(spark, sf_dir):
 
 
 def values_by_type(spark, sf_dir):
-    """Metric values collected per model in row order: a bounded list of each type's first ten events."""
-    return _collected(tables.table(spark, sf_dir, "events").where("event_id < 50"))
+    """Metric values of each type in row order, as the source of a box plot."""
+    return _collected(tables.table(spark, sf_dir, "events"))
 
 
 def values_by_type_all(spark, sf_dir):
@@ -113,11 +113,11 @@ def model_pairs(spark, sf_dir):
 
 
 def paired_values(spark, sf_dir):
-    """Values of two series by position, cut to the shorter one."""
-    e = tables.event_scores(spark, sf_dir)
-    a = e.where("recording = 1").select("epoch_id", F.col("p").alias("a"))
-    b = e.where("recording = 2").select("epoch_id", F.col("p").alias("b"))
-    return a.join(b, "epoch_id").select("epoch_id", "a", "b")
+    """Values of every odd series and the next one by position, cut to the shorter one."""
+    e = tables.event_scores(spark, sf_dir).withColumn("pair", F.floor((F.col("recording") + 1) / 2))
+    a = e.where("recording % 2 = 1").select("pair", "epoch_id", F.col("p").alias("a"))
+    b = e.where("recording % 2 = 0").select("pair", "epoch_id", F.col("p").alias("b"))
+    return a.join(b, ["pair", "epoch_id"]).select("pair", "epoch_id", "a", "b")
 
 
 def name_lookup(spark, sf_dir):
@@ -131,7 +131,7 @@ def stable_top_k(spark, sf_dir):
 
 
 def sorted_paths(spark, sf_dir):
-    return sorted_paths_all(spark, sf_dir).limit(50)
+    return sorted_paths_all(spark, sf_dir)
 
 
 def sorted_paths_all(spark, sf_dir):
@@ -155,7 +155,7 @@ def union_rows(spark, sf_dir):
 
 
 def remaining(spark, sf_dir):
-    n = tables.table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    n = tables.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
     return tables.table(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
@@ -230,7 +230,7 @@ ORACLE_SQL = {
     "P5_drop_missing": "SELECT count(*) FILTER (event_id % 7 <> 0) AS a, count(*) FILTER (event_id % 5 <> 0) AS b, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0) AS pairs FROM events WHERE value IS NOT NULL",
     "P8_significance_flag": "SELECT p < 0.05::DOUBLE AS significant, count(*) AS n FROM (SELECT round(avg(l_discount), 9) AS p FROM lineitem GROUP BY l_shipdate) GROUP BY 1",
     "A1_class_counts": """SELECT '{' || string_agg('"' || y || '":' || n, ',' ORDER BY y) || '}' AS counts FROM (SELECT quality AS y, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1)""",
-    "A2_values_by_type": "SELECT event_type, string_agg(value::VARCHAR, ',' ORDER BY event_id) AS values FROM events WHERE event_id < 50 GROUP BY event_type",
+    "A2_values_by_type": "SELECT event_type, string_agg(value::VARCHAR, ',' ORDER BY event_id) AS values FROM events GROUP BY event_type",
     "A3_summary_by_type": """SELECT event_type, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, round(quantile_cont(value, 0.5), 9) AS median, round(min(value), 9) AS min, round(max(value), 9) AS max, count(value) AS n FROM events GROUP BY event_type""",
     "A4_medians": f"WITH {GAPS_SQL} SELECT feature, round(quantile_cont(value, 0.5), 9) AS median FROM gap GROUP BY feature",
     "A6_percentiles": "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 6) AS lo, round(quantile_cont(o_totalprice, 0.5), 6) AS mid, round(quantile_cont(o_totalprice, 0.975), 6) AS hi FROM orders GROUP BY o_orderpriority",
@@ -243,14 +243,14 @@ ORACLE_SQL = {
     "J2_J3_feature_join": "SELECT vec_id AS epoch_id, round(embedding[1]::DOUBLE, 9) AS first, round(embedding[64]::DOUBLE, 9) AS last, (label >= 5)::INT AS y FROM embeddings",
     "J4_grid": "SELECT r_regionkey AS max_channels, n_name AS balance FROM region CROSS JOIN nation",
     "J5_pairs": "SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey",
-    "J6_paired_values": f"WITH {EVT} SELECT a.epoch_id, a.p AS a, b.p AS b FROM evt a JOIN evt b ON a.epoch_id = b.epoch_id AND a.recording = 1 AND b.recording = 2",
+    "J6_paired_values": f"WITH {EVT} SELECT (a.recording + 1) // 2 AS pair, a.epoch_id, a.p AS a, b.p AS b FROM evt a JOIN evt b ON a.epoch_id = b.epoch_id AND a.recording % 2 = 1 AND b.recording = a.recording + 1",
     "J7_name_lookup": "SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name",
-    "O1_sorted_names": "SELECT c_name, c_custkey FROM customer ORDER BY c_name LIMIT 50",
+    "O1_sorted_names": "SELECT c_name, c_custkey FROM customer ORDER BY c_name",
     "O2_stable_topk": "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25",
     "O4_select_k_best": f"WITH {FEAT}, {ANOVA_SQL} SELECT feature, round(f, 6) AS score FROM (SELECT * FROM af ORDER BY f DESC, feature LIMIT 8)",
     "O5_vote_fallback": "SELECT feature, votes FROM (SELECT p_size AS feature, (count(*) % 5)::DOUBLE AS votes FROM part GROUP BY p_size) ORDER BY votes DESC, feature DESC LIMIT 10",
     "O6_elected": f"""WITH {_VOTES}, p AS (SELECT * FROM v WHERE votes >= 1), b AS (SELECT * FROM v ORDER BY votes DESC, feature DESC LIMIT 12)
  SELECT * FROM p WHERE (SELECT count(*) FROM p) >= 12 UNION ALL SELECT * FROM b WHERE (SELECT count(*) FROM p) < 12""",
     "U1_union_rows": "SELECT nation, count(*) AS n, round(sum(balance), 2) AS balance FROM (SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY nation",
-    "U3_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "U3_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 }

@@ -55,7 +55,7 @@ def read_split(spark: SparkSession, root: str, split: str) -> tuple[DataFrame, D
 def channel_names(spark: SparkSession, channels: DataFrame, names: list[str] | None = None, path: str | None = None) -> DataFrame:
     """channel, name: from a file (one name a line), else a list, else CH00, CH01, ...; a wrong number falls back."""
     if path is not None:
-        names = [r["value"].strip() for r in spark.read.text(path).limit(100_000).collect() if r["value"].strip()]
+        names = [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
     default = F.format_string("CH%02d", "channel")
     count = channels.select("channel").distinct().count()
     if not names or len(names) != count:

@@ -20,7 +20,7 @@ def flatten(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.MapType):
-            keys = df.select(F.explode(F.map_keys(f.name)).alias("k")).distinct().orderBy("k").limit(1000).collect()
+            keys = df.select(F.explode(F.map_keys(f.name)).alias("k")).distinct().orderBy("k").collect()  # a column each
             out += [F.col(f.name).getItem(r["k"]).alias(f"{f.name}.{r['k']}") for r in keys]
         elif isinstance(f.dataType, T.ArrayType | T.StructType):
             out.append(F.to_json(f.name).alias(f.name))
@@ -37,6 +37,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_scores(scores: DataFrame, path: str) -> None:
-    """model, recording, epoch_id, y_true, y_prob, y_pred as Parquet, a folder per model."""
-    scores.write.mode("overwrite").partitionBy("model").parquet(path)
+def write_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """model, epoch_id, y_true, y_prob, y_pred (and what else scores has) as Parquet, a folder per model."""
+    scores.write.mode(mode).partitionBy("model").parquet(path)
+
+
+def write_lines(values: list, path: str, spark) -> None:
+    """A text file with a line per value."""
+    spark.createDataFrame([(str(v),) for v in values], "value string").coalesce(1).write.mode("overwrite").text(path)
