@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             discard(table)
         if least is None:
             break
-        # as many further forests at once as the least certain class needs at its pace
-        more = min(max(math.ceil((sure - least) * grown / max(least, 1e-9)), 1), AT_ONCE)
+        # as many further forests at once as the least certain class needs at its pace, and half as many more
+        more = min(max(math.ceil(1.5 * (sure - least) * grown / max(least, 1e-9)), 1), AT_ONCE)
         again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), list(range(grown, grown + more)))
         again = again.select("forest", F.col("doc_id").alias("id"), "key", F.col("n_shingles").alias("n"), "codes")
         if grown > 1:
