@@ -8,28 +8,43 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Smallest reachable id of each id in links(a, b): columns node, component.
+def _round(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels (node, was, component) after one round; `was` is the component before it."""
+    near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+    moves = labels.select("node", "component").join(near, "node").groupBy("component").agg(F.min("near").alias("next")).where("next < component")
+    ahead = moves.select(F.col("component").alias("next"), F.col("next").alias("after"))
+    further = moves.join(ahead, "next", "left").select("component", F.coalesce("after", "next").alias("next"))
+    return labels.select("node", "component").join(further, "component", "left").select("node", F.col("component").alias("was"), F.coalesce("next", "component").alias("component"))
+
+
+def components(links: DataFrame, whole: bool = True) -> DataFrame:
+    """Smallest reachable id of each id in links(a, b): columns node, component. If not `whole`, two rounds must do: ids
+    of one label are connected, but connected ids may have several labels.
 
     Nodes start with the least id among their neighbours and themselves. In each round every group of nodes with one
     label takes the least label that touches it, and that label's own new label; the rounds needed grow with the
-    logarithm of a chain's length. Each round is written to the shared folder. Nothing but a count comes to the driver.
+    logarithm of a chain's length. Every second round is written to the shared folder, until the last of them moved no
+    node. Nothing but a count comes to the driver.
     """
     links = links.where("a <> b")
     edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    labels, written = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), []
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moves = labels.join(near, "node").groupBy("component").agg(F.min("near").alias("next")).where("next < component")
-        moves = materialise(moves, "moves")
-        if not moves.limit(1).count():
-            for table in (edges, moves):
-                discard(table)
-            return labels
-        ahead = moves.select(F.col("component").alias("next"), F.col("next").alias("after"))
-        further = moves.join(ahead, "next", "left").select("component", F.coalesce("after", "next").alias("next"))
-        after = labels.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        after = materialise(after, "labels")
-        for table in (labels, moves):
+        labels = materialise(_round(edges, _round(edges, labels)), "labels")
+        for table in written:
             discard(table)
-        labels = after
+        written = [labels]
+        if not whole or not labels.where("component <> was").limit(1).count():
+            discard(edges)
+            return labels.select("node", "component")
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components over links(a, b), among them those that gave `labels`, which need not be whole: labels are linked."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    anew = components(ends.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")))
+    anew = anew.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    old = labels.join(anew, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    fresh = anew.join(labels.select("node"), anew.component == labels.node, "left_anti")
+    return old.unionByName(fresh.select(F.col("component").alias("node"), F.col("least").alias("component")))

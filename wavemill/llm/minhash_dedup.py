@@ -12,8 +12,8 @@ similarity s has d values in common with probability s^d. So the orders grow wit
 logarithm of its chance to miss a partner, and as long as that chance is over MISS, it takes part in a further forest
 with fresh hash functions. Sparse classes need one forest, classes of dense regions several; no region is cut off.
 
-Before that, neighbours of the first few orders are linked, whatever the regions' sizes: families of near copies become
-one component each, and a region of one component holds no candidates. Candidates that their signatures put more than
+Before that, neighbours of the first few orders are linked, whatever the regions' sizes: most families of near copies
+become one component each, and a region of one component holds no candidates. Candidates that their signatures put more than
 five standard deviations under the threshold are ruled out; the others are confirmed on their shingles, word by word
 (no hashes). Classes are told apart by their size and 128 bits of hashes that mix every word non-linearly.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, raw_text, read_table, small_batches
-from .graph import components
+from .graph import components, joined_components
 from .words import Windows, Words, mix, run_names, window_starts
 
 SHINGLE, CODES = 5, 128
@@ -275,8 +275,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = materialise(texts.dropDuplicates(["id", "key"]), "texts")
     links = own.unionByName(_confirmed(_first_candidates(classes, orders, percent), texts, percent))
 
-    labels = components(links).select(F.col("node").alias("id"), F.col("component"))
-    with_component = lambda table: table.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labels = components(links, whole=False)
+    with_component = lambda table: table.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     active = with_component(classes).select("forest", "id", "key", "n", "codes", "component")
     grown, candidates, full, sure, have = 1, [], orders * certainty(DEPTHS[0], percent), -math.log(MISS), None
     while True:
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         members = _placed(active, orders)
 
     links = links.unionByName(_confirmed(reduce(DataFrame.unionByName, candidates), texts, percent))
-    labels = components(links).select(F.col("node").alias("id"), "component")
+    labels = joined_components(labels, links).withColumnRenamed("node", "id")
     for table in (texts, *candidates):
         discard(table)
 
