@@ -1,6 +1,7 @@
 """Substring dedup and near-dedup against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,52 @@ def test_words_that_fool_polynomials(spark):
     assert linked(df) == brute.components(rows)
 
 
+def colliding_words():
+    """Two words of equal `span_hash`, by inverting what its second block is stirred into."""
+    import numpy as np
+
+    from wavemill.llm.words import Words, mix
+
+    block = lambda b: np.frombuffer(b, "<u8")
+    begin = mix(np.array([16], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    rng = np.random.default_rng(1)
+    first = np.frombuffer(rng.integers(97, 123, (500_000, 8), np.uint8).tobytes(), "<u8")
+    second = (mix(begin ^ first) ^ mix(begin ^ block(b"abcdefgh")) ^ block(b"ijklmnop")).view(np.uint8).reshape(-1, 8)
+    k = int(np.flatnonzero((((second > 32) & (second < 65)) | ((second > 90) & (second < 127))).all(1))[0])
+    words = "abcdefghijklmnop", (first[k : k + 1].tobytes() + second[k].tobytes()).decode()
+    w = Words(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, 33]))
+    one, other = w.span_hash(w.start, w.end).tolist()
+    assert words[0] != words[1] and one == other
+    return words
+
+
+def test_words_of_equal_quick_hash(spark):
+    one, other = colliding_words()
+    rest = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([other, *rest])), (5, one), (6, other), (7, " ".join([one] * 13)), (8, " ".join([other] * 13)), (9, " ".join([one, other] * 7)), (10, " ".join([other, one] * 7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cut(df) == sorted(brute.substring_dedup(rows))
+    assert linked(df) == brute.components(rows)
+
+
+@pytest.mark.parametrize(("texts", "words"), [(120, 20_000), (300, 6_000), (200, 2_000)])
+def test_long_near_copies_take_few_forests(spark, texts, words, monkeypatch):
+    """Families of long texts that differ in a word each: every region holds them all, until they are one component."""
+    grown, made = [], minhash_dedup.signatures
+    monkeypatch.setattr(minhash_dedup, "signatures", lambda docs, forests: grown.extend(forests) or made(docs, forests))
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for i in range(texts):
+        own = list(base)
+        own[(i * 37) % words] = f"own{i}"
+        rows.append((1000 - 3 * i, " ".join(own)))
+    least = min(i for i, _ in rows)
+    began = time.monotonic()
+    got = linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert {c for _, c in got.values()} == {least} and len(got) == texts
+    assert len(grown) <= 3 and time.monotonic() - began < 60
+
+
 def test_rows_of_one_document_link_what_each_of_them_links(spark):
     prose = lambda k: " ".join(f"{k}w{i}" for i in range(60))
     rows = [(1, prose("x")), (5, prose("x") + " tail"), (5, prose("y")), (7, prose("y")), (8, prose("z")), (8, prose("u")), (9, prose("u") + " end"), (10, None), (10, prose("z"))]

@@ -25,7 +25,7 @@ def test_words(texts):
     whole = raw.tobytes()
     got = [whole[a:b].decode() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
     assert [got[w.first[k] : w.first[k + 1]] for k in range(len(texts))] == [WORD.findall(t) for t in texts]
-    h = w.hashes
+    h = w.span_hash(w.start, w.end)
     assert len(set(zip(got, h.tolist(), strict=True))) == len(set(got))
     seq = Windows(h)
     starts, count = window_starts(w.first, 2)
@@ -36,7 +36,8 @@ def test_words(texts):
 
 def test_case_folding_is_ascii_only():
     raw, off = raw_text(pa.array(["Ab aB É é"]))
-    h = Words(raw, off, fold_case=True).hashes
+    w = Words(raw, off, fold_case=True)
+    h = w.span_hash(w.start, w.end)
     assert h[0] == h[1] and h[2] != h[3]
 
 

@@ -17,9 +17,8 @@ def _round(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.select("node", "component").join(further, "component", "left").select("node", F.col("component").alias("was"), F.coalesce("next", "component").alias("component"))
 
 
-def components(links: DataFrame, whole: bool = True) -> DataFrame:
-    """Smallest reachable id of each id in links(a, b): columns node, component. If not `whole`, two rounds must do: ids
-    of one label are connected, but connected ids may have several labels.
+def components(links: DataFrame) -> DataFrame:
+    """Smallest reachable id of each id in links(a, b): columns node, component.
 
     Nodes start with the least id among their neighbours and themselves. In each round every group of nodes with one
     label takes the least label that touches it, and that label's own new label; the rounds needed grow with the
@@ -34,17 +33,26 @@ def components(links: DataFrame, whole: bool = True) -> DataFrame:
         for table in written:
             discard(table)
         written = [labels]
-        if not whole or not labels.where("component <> was").limit(1).count():
+        if not labels.where("component <> was").limit(1).count():
             discard(edges)
-            return labels.select("node", "component")
+            out = labels.select("node", "component")
+            out._scratch_path = labels._scratch_path
+            return out
 
 
 def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components over links(a, b), among them those that gave `labels`, which need not be whole: labels are linked."""
+    """Components over links(a, b) and those that gave `labels`: ids of further links join the labels' components."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    anew = components(ends.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")))
+    ends = materialise(ends.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")).where("a <> b").distinct(), "links")
+    if not ends.limit(1).count():
+        discard(ends)
+        return labels
+    anew = components(ends)
     anew = anew.select(F.col("node").alias("component"), F.col("component").alias("least"))
     old = labels.join(anew, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
     fresh = anew.join(labels.select("node"), anew.component == labels.node, "left_anti")
-    return old.unionByName(fresh.select(F.col("component").alias("node"), F.col("least").alias("component")))
+    out = materialise(old.unionByName(fresh.select(F.col("component").alias("node"), F.col("least").alias("component"))), "labels")
+    for table in (ends, labels):
+        discard(table)
+    return out

@@ -12,10 +12,12 @@ similarity s has d values in common with probability s^d. So the orders grow wit
 logarithm of its chance to miss a partner, and as long as that chance is over MISS, it takes part in a further forest
 with fresh hash functions. Sparse classes need one forest, classes of dense regions several; no region is cut off.
 
-Before that, neighbours of the first few orders are linked, whatever the regions' sizes: most families of near copies
-become one component each, and a region of one component holds no candidates. Candidates that their signatures put more than
-five standard deviations under the threshold are ruled out; the others are confirmed on their shingles, word by word
-(no hashes). Classes are told apart by their size and 128 bits of hashes that mix every word non-linearly.
+Before that, neighbours of the first few orders are linked, whatever the regions' sizes (classes of equal values with the
+first of them), and the components of the confirmed links are found: most families of near copies are one component each
+then, and a region of one component holds no candidates. After each forest its candidates are confirmed and the components
+completed before the certainty is counted: a class has a partner to miss only in regions that still hold another component.
+Candidates that their signatures put more than five standard deviations under the threshold are ruled out; the others are
+confirmed on their shingles, word by word (no hashes). Classes are told apart by the 128-bit BLAKE2b digest of their sets.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; a text of fewer than five words
 has one shingle, the whole; rows that share a doc_id are one document, which links whatever its rows link; a null doc_id
@@ -25,8 +27,8 @@ read; other columns are ignored, whatever their names. An empty table gives an e
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, raw_text, read_table, small_batches
 from .graph import components, joined_components
-from .words import Windows, Words, mix, run_names, window_starts
+from .words import Words, mix, run_names, window_starts
 
 SHINGLE, CODES = 5, 128
 #: Values that a region's members have in common: at first, and after each split.
@@ -47,52 +49,74 @@ SHOWN = 300_000
 #: Further forests grown in one go.
 AT_ONCE = 12
 _PAIR = "a long, a_key long, b long, b_key long, n_b long"
+_ROW = ["forest", "order", "id", "key"]
 
 
-def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all texts, one after the other, and how many each text has; repeats included."""
-    seq = Windows(words.hashes)
+def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each shingle of all texts, one text after the other, and how many shingles each text has;
+    repeats included. The hashes stir in the two halves of each word's BLAKE2b digest, word after word."""
+    names, digests = words.named_digests()
     starts, count = window_starts(words.first, SHINGLE)
     short = (words.count > 0) & (words.count < SHINGLE)
-    if not short.any():
-        return seq.at(starts, SHINGLE), count
     size = np.where(short, words.count, SHINGLE)
-    count = np.where(short, 1, count)
-    begin = np.cumsum(count) - count
-    at = np.arange(int(count.sum())) - np.repeat(begin - words.first[:-1], count)
-    return seq.at(at, np.repeat(size, count)), count
-
-
-def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted within each text, and the n + 1 offsets of the texts."""
+    if short.any():
+        count = np.where(short, 1, count)
+        begin = np.cumsum(count) - count
+        starts = np.arange(int(count.sum())) - np.repeat(begin - words.first[:-1], count)
+    size = np.repeat(size, count)
+    both = []
+    for half in (0, 1):
+        of_word = digests[:, half][names]
+        h = mix(of_word[starts] + size.astype(np.uint64))
+        for k in range(1, SHINGLE):
+            if short.any():
+                more = np.flatnonzero(size > k)
+                h[more] = mix(h[more] ^ of_word[starts[more] + k])
+            else:
+                h = mix(h ^ of_word[starts + k])
+        both.append(h)
+    return *both, count
+
+
+def shingle_sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles' two hashes, sorted within each text, and the n + 1 offsets of the texts."""
     raw, offsets = raw_text(column)
-    h, count = shingles(Words(raw, offsets, fold_case=True))
+    one, two, count = shingles(Words(raw, offsets, fold_case=True))
     ends = np.cumsum(count)
-    sets = [np.unique(h[e - c : e]) for e, c in zip(ends.tolist(), count.tolist(), strict=True)]
-    return (np.concatenate(sets) if sets else h), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
+    owner = np.repeat(np.arange(len(count)), count)
+    order = np.concatenate([e - c + np.argsort(one[e - c : e]) for e, c in zip(ends.tolist(), count.tolist(), strict=True)]) if len(count) else ends
+    same = one[order][1:] == one[order][:-1]
+    same &= owner[1:] == owner[:-1]
+    other = two[order][1:] != two[order][:-1]
+    if (same & other).any():  # shingles that only their second hash tells apart
+        order = np.lexsort((two, one, owner))
+        same = (one[order][1:] == one[order][:-1]) & (owner[1:] == owner[:-1])
+        other = two[order][1:] != two[order][:-1]
+    kept = np.flatnonzero(np.r_[True, ~same | other]) if len(order) else order
+    order, size = order[kept], np.bincount(owner[kept], minlength=len(count))
+    return one[order], two[order], np.r_[0, np.cumsum(size)].astype(np.int64)
 
 
 def _sign(forests: list[int]):
-    """doc_id, key, n_shingles, two hashes of the set, and the minhash values (big-endian, so that bytes sort alike), for
+    """doc_id, key, n_shingles, the two halves of the set's digest, and the minhash values (big-endian, so that bytes sort alike), for
     each of the forests' hash functions."""
     seeds = [mix(np.arange(1, 2 * CODES + 1, dtype=np.uint64) + np.uint64(f * 2 * CODES)) | np.uint64(1) for f in forests]
 
     def run(batches):
         for batch in small_batches(batches):
-            sets, off = shingle_sets(batch.column(2))
+            sets, second, off = shingle_sets(batch.column(2))
             n = np.diff(off)
             full = np.flatnonzero(n)
             at = off[:-1][full]
-            one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(full):
-                one[full] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at)
-                two[full] = np.add.reduceat(mix(sets ^ np.uint64(0x14057B7EF767814F)), at)
+            raw, more = memoryview(sets.tobytes()), memoryview(second.tobytes())
+            each = [hashlib.blake2b(b"".join([raw[8 * i : 8 * j], more[8 * i : 8 * j]]), digest_size=16).digest() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            one, two = np.frombuffer(b"".join(each), np.int64).reshape(-1, 2).T
             for forest, seed in zip(forests, seeds, strict=True):
                 codes = np.zeros((len(n), CODES), ">u2")
                 for k in range(CODES if len(full) else 0):
                     least = np.minimum.reduceat((sets ^ seed[k]) * seed[CODES + k], at)
                     codes[full, k] = mix(least) >> np.uint64(48)
-                columns = [batch.column(0), batch.column(1), pa.array(np.full(len(n), forest, np.int32)), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in codes], pa.binary())]
+                columns = [batch.column(0), batch.column(1), pa.array(np.full(len(n), forest, np.int32)), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(one)), pa.array(np.ascontiguousarray(two)), pa.array([r.tobytes() for r in codes], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "forest", "n_shingles", "set_1", "set_2", "codes"])
 
     return run
@@ -151,6 +175,9 @@ def _neighbours(percent: int, window: int):
                 j = i + gap
                 ok = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
+                if window == 1 and len(i):  # rows of one label follow its first row, not each other
+                    fresh_run = np.r_[True, (place[1:] != place[:-1]) | (codes[1:] != codes[:-1]).any(1)]
+                    i = np.where(fresh_run[j], i, np.maximum.accumulate(np.where(fresh_run, np.arange(len(place)), 0))[i])
                 for part in range(0, len(i), 4096):
                     x, y = i[part : part + 4096], j[part : part + 4096]
                     alike = (codes[x] == codes[y]).mean(1) >= least
@@ -194,8 +221,7 @@ def _confirm(percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the candidates. A class with many partners is dealt over several groups."""
-    pairs = materialise(pairs.distinct(), "pairs")
+    """Links (a, b) among the candidates, a scratch table that goes. A class with many partners is dealt over several groups."""
     parts = pairs.groupBy("a", "a_key").agg(F.ceil(F.sum("n_b") / SHOWN).cast("int").alias("parts"))
     salted = pairs.join(parts, ["a", "a_key"]).withColumn("part", F.pmod(F.xxhash64("b", "b_key"), F.col("parts")).cast("int"))
     partners = salted.join(texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), "text"), ["b", "b_key"]).select("a", "a_key", "part", "b", F.lit(False).alias("is_hub"), "text")
@@ -214,36 +240,48 @@ def _first_candidates(classes: DataFrame, orders: int, percent: int) -> DataFram
     return rows.repartitionByRange("order", "label", "id").sortWithinPartitions("order", "label", "id").drop("order").mapInArrow(_neighbours(percent, 1), _PAIR)
 
 
-def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
-    """Candidates in different components, what each class' certainty loses to split regions (None: nothing), and
-    scratch tables. members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
-    rows = members.join(classes.select("forest", "id", "key", "component"), ["forest", "id", "key"])
+def _within(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with the number of rows, the least and the largest component of their region."""
     stats = (F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.min_by("key", "id").alias("hub_key"))
-    opened = rows.join(rows.groupBy("region").agg(*stats).where("low <> high"), "region")
-    opened = opened.join(classes.select("forest", "id", "key", "n", "codes"), ["forest", "id", "key"]).withColumn("label", _label(orders)).drop("codes")
-    opened = materialise(opened, "regions")
-    scratch, lost = [opened], None
-    leaves, wide = opened.where(f"size <= {WIDE}"), opened.where(f"size > {WIDE}")
-    columns = [F.col("region").alias("place"), "label", "id", "key", "n", "component"]
-    pairs = leaves.select(*columns)
+    return rows.join(rows.groupBy(*by).agg(*stats), by)
+
+
+def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates in different components, and the regions of all depths of each row of a wide region (None: no region is
+    wide; else a scratch table). members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
+    rows = members.join(classes.select("forest", "id", "key", "component"), ["forest", "id", "key"])
+    opened = _within(rows, ["region"]).where("low <> high").join(classes.select("forest", "id", "key", "n", "codes"), ["forest", "id", "key"])
+    opened = materialise(opened.withColumn("label", _label(orders)).drop("codes", "low", "high"), "regions")
+    wide, columns = opened.where(f"size > {WIDE}"), [F.col("region").alias("place"), "label", "id", "key", "n", "component"]
+    pairs, each, ended = opened.where(f"size <= {WIDE}").select(*columns), None, None
     if wide.limit(1).count():
-        # each row ends in the first of its deeper regions that is small enough or of one component
-        who = ["forest", "order", "id", "key"]
-        deeper = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in DEPTHS[1:]))
-        each = wide.select(*who, "component", F.explode(deeper).alias("at")).select(*who, "component", "at.*")
-        each = each.join(each.groupBy("depth", "region").agg(*stats), ["depth", "region"])
-        ended = each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*who).agg(F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at"))
-        ended = materialise(wide.select(*who, "n", "component", "label").join(ended.select(*who, "at.*"), who), "regions")
-        scratch.append(ended)
-        pairs = pairs.unionByName(ended.where(f"open and size <= {WIDE}").select(*columns))
-        loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
-        lost = ended.groupBy("id", "key").agg(F.sum(loss[F.col("depth")]).alias("lost"))
+        # a row is compared in the first of its deeper regions that is small enough, unless one of one component comes first
+        depths = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in DEPTHS))
+        each = wide.select(*_ROW, "component", F.explode(depths).alias("at")).select(*_ROW, "component", "at.*")
+        each = materialise(_within(each, ["depth", "region"]).drop("component"), "depths")
+        closed = F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at")
+        ended = each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(closed).select(*_ROW, "at.*").where("open")
+        ended = materialise(wide.select(*_ROW, "n", "component", "label").join(ended, _ROW), "regions")
+        pairs = pairs.unionByName(ended.where(f"size <= {WIDE}").select(*columns))
     pairs = pairs.repartition("place").sortWithinPartitions("place", "label", "id", "key").mapInArrow(_neighbours(percent, WIDE), _PAIR)
-    if lost is not None:
+    if ended is not None:
         # classes that have every value in common: all of them with the smallest
-        equal = ended.where(f"open and size > {WIDE} and id <> hub")
+        equal = ended.where(f"size > {WIDE} and id <> hub")
         pairs = pairs.unionByName(equal.select(F.col("hub").alias("a"), F.col("hub_key").alias("a_key"), F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("n_b")))
-    return materialise(pairs, "candidates"), lost, scratch
+    pairs = materialise(pairs.distinct(), "pairs")
+    for table in (opened, ended):
+        if table is not None:
+            discard(table)
+    return pairs, each
+
+
+def _lost(each: DataFrame, with_component, percent: int) -> DataFrame:
+    """id, key and what a class' certainty loses to wide regions that still have several components."""
+    rows = with_component(each.select(*_ROW, "depth", "region", "size"))
+    two = rows.groupBy("depth", "region").agg((F.min("component") != F.max("component")).alias("open"))
+    depth = rows.join(two, ["depth", "region"]).where(f"not open or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(F.min("depth").alias("depth"))
+    loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
+    return depth.groupBy("id", "key").agg(F.sum(loss[F.col("depth")]).alias("lost"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -273,44 +311,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = members.select("id", "key").distinct()
     texts = rows.withColumnRenamed("doc_id", "id").join(near, ["id", "key"], "left_semi")
     texts = materialise(texts.dropDuplicates(["id", "key"]), "texts")
-    links = own.unionByName(_confirmed(_first_candidates(classes, orders, percent), texts, percent))
+    first = _confirmed(materialise(_first_candidates(classes, orders, percent).distinct(), "pairs"), texts, percent)
+    labels = components(own.unionByName(first))
+    for table in (own, first):
+        discard(table)
 
-    labels = components(links, whole=False)
-    with_component = lambda table: table.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    active = with_component(classes).select("forest", "id", "key", "n", "codes", "component")
-    grown, candidates, full, sure, have = 1, [], orders * certainty(DEPTHS[0], percent), -math.log(MISS), None
+    def with_component(table: DataFrame) -> DataFrame:
+        return table.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    active, grown, more = classes.select("forest", "id", "key", "n", "codes"), 0, 1
+    full, sure, have = orders * certainty(DEPTHS[0], percent), -math.log(MISS), None
     while True:
-        pairs, lost, scratch = _forest(members, active, orders, percent)
-        candidates.append(pairs)
-        if lost is not None and have is None:
-            have = lost.select("id", "key", (full - F.col("lost")).alias("have"))
-        elif have is not None:
-            lost = lost if lost is not None else have.limit(0).withColumnRenamed("have", "lost")
-            have = have.join(lost, ["id", "key"], "left").select("id", "key", (F.col("have") + more * full - F.coalesce("lost", F.lit(0.0))).alias("have"))
+        pairs, each = _forest(members, with_component(active), orders, percent)
+        links = _confirmed(pairs, texts, percent)
+        labels = joined_components(labels, links)  # whole, before any region is called open
+        grown += more
+        for table in (links, members, *([active] if have is not None else [])):
+            discard(table)
+        if each is None:
+            break  # every class that took part has been compared with all its neighbours
+        lost = _lost(each, with_component, percent)
         if have is None:
-            break
-        have = materialise(have.where(F.col("have") < sure), "open")
-        least = have.agg(F.min("have")).first()[0]
-        for table in scratch:
+            fresh = lost.select("id", "key", (full - F.col("lost")).alias("have"))
+        else:
+            fresh = have.join(lost, ["id", "key"], "left").select("id", "key", (F.col("have") + more * full - F.coalesce("lost", F.lit(0.0))).alias("have"))
+        fresh = materialise(fresh.where(F.col("have") < sure), "open")
+        for table in (each, *([have] if have is not None else [])):
             discard(table)
+        have, least = fresh, fresh.agg(F.min("have")).first()[0]
         if least is None:
             break
-        # as many further forests at once as the least certain class needs at its pace, and half as many more
-        more = min(max(math.ceil(1.5 * (sure - least) * grown / max(least, 1e-9)), 1), AT_ONCE)
+        # as many further forests at once as the least certain class needs at its pace
+        more = min(max(math.ceil((sure - least) * grown / max(least, 1e-9)), 1), AT_ONCE)
         again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), list(range(grown, grown + more)))
-        again = again.select("forest", F.col("doc_id").alias("id"), "key", F.col("n_shingles").alias("n"), "codes")
-        if grown > 1:
-            discard(active)
-        active, grown = materialise(with_component(again), "signatures"), grown + more
-        members = _placed(active, orders)
-
-    links = links.unionByName(_confirmed(reduce(DataFrame.unionByName, candidates), texts, percent))
-    labels = joined_components(labels, links).withColumnRenamed("node", "id")
-    for table in (texts, *candidates):
-        discard(table)
+        active = materialise(again.select("forest", F.col("doc_id").alias("id"), "key", F.col("n_shingles").alias("n"), "codes"), "signatures")
+        members = materialise(_placed(active, orders), "members")
+    discard(texts)
 
     # classes, then rows; a class with very many rows is a skewed join that Spark splits
-    final = classes.join(labels, "id", "left").select("set_1", "set_2", "n", F.coalesce("component", "id").alias("component"))
+    final = with_component(classes).select("set_1", "set_2", "n", "component")
     joined = signed.join(final, (signed.set_1 == final.set_1) & (signed.set_2 == final.set_2) & (signed.n_shingles == final.n), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

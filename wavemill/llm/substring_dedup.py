@@ -12,9 +12,9 @@ so a chunk holds the same rows in the same order whenever it is computed, and ro
 has many chunks. Every chunk sends its distinct anchor fingerprints, packed by bucket; a bucket answers each chunk with
 one bit per fingerprint. An anchor or window that is in very many documents costs one fingerprint a chunk, so no bucket
 is hot; no pair of documents is ever made. Anchor fingerprints may collide: this only adds candidates, which the full
-windows settle. Within a chunk, windows are told apart word by word; between chunks, by two 64-bit hashes over words
-that are hashed non-linearly, the second one with other multipliers and salts (128 bits: at 10^13 windows, two different
-ones meet with probability 10^-13).
+windows settle. Within a chunk, windows are told apart word by word; between chunks, by the 128-bit BLAKE2b digest of their
+words' 128-bit BLAKE2b digests. No result rests on the quick hashes, and nobody knows two words or windows that those
+digests confuse (at 10^13 windows, chance would do it with probability 10^-13).
 
 Defined results: a null text has no words; an empty or short text loses nothing; a very long text is handled whole, in a
 chunk with few others; rows that share a doc_id are texts of one document (a window never counts against its own doc_id); a null doc_id counts as the largest. Other columns pass
@@ -23,6 +23,7 @@ through, except those named n_words, n_removed or kept_text, which are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import compress
 
 import numpy as np
@@ -32,11 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import doc_keys, pieces_for, raw_text, read_table, text_bytes
-from .words import Windows, Words, mix, run_names, window_starts
+from .words import Windows, Words, run_names, window_starts
 
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 CHUNK_BYTES, BUCKET_BYTES = 3 << 19, 2 << 20
-_OTHER, _OTHER_BASE = np.uint64(0x14057B7EF767814F), 0xA0761D6478BD642F | 1
 _BITS = "__chunk long, __bucket int, __stage int, __bits binary"
 
 
@@ -49,13 +49,12 @@ class _Chunk:
         self.docs = doc_keys(self.table.column("doc_id"))
         raw, offsets = raw_text(self.table.column("text"))
         self.words = Words(raw, offsets)
-        self.hashes = self.words.hashes
-        self.seq = Windows(self.hashes)
+        self.names, self.digests = self.words.named_digests()
         starts, count = window_starts(self.words.first, ANCHOR)
         begin = np.repeat(self.words.first[:-1], count)
         keep = np.isin((starts - begin) % PERIOD, COVER) & (np.repeat(self.words.count, count) >= width)
         self.anchor = starts[keep]
-        h = self.seq.at(self.anchor, ANCHOR)
+        h = Windows(self.digests[self.names, 0]).at(self.anchor, ANCHOR)
         key = ((h >> np.uint64(32)) % self.buckets << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         owner = self.docs[np.repeat(np.arange(len(count)), count)[keep]]
         self.keys, self.which, low, high = _grouped(key, owner)
@@ -75,10 +74,12 @@ class _Chunk:
         owner = self.docs[np.repeat(np.arange(len(count)), count)]
         keep = hit[starts + self.width - ANCHOR + 1] > hit[starts]
         self.window, self.owner = starts[keep], owner[keep]
-        # windows of one name are the same words; a name's hashes are those of any of its windows
-        names = run_names(self.words.names(), self.width)[self.window]
+        # windows of one name are the same words; a name's digest is that of any of its windows
+        names = run_names(self.names, self.width)[self.window]
         _, some, self.group = np.unique(names, return_index=True, return_inverse=True)
-        one, two = self.seq.at(self.window[some], self.width), Windows(mix(self.hashes ^ _OTHER), _OTHER_BASE).at(self.window[some], self.width)
+        words, size = memoryview(self.digests[self.names].tobytes()), 16 * self.width
+        each = [hashlib.blake2b(words[k : k + size], digest_size=16).digest() for k in (16 * self.window[some]).tolist()]
+        one, two = np.frombuffer(b"".join(each), np.uint64).reshape(-1, 2).T
         bucket = (one >> np.uint64(20)) % self.buckets
         order = np.lexsort((two, one, bucket))
         place = np.empty_like(order)

@@ -1,4 +1,7 @@
-"""Words, word windows and their 64-bit hashes, vectorised over the raw UTF-8 of many texts at once.
+"""Words, word windows and their hashes, vectorised over the raw UTF-8 of many texts at once.
+
+`span_hash` and `Windows` are quick and can be made to collide: they serve where a collision only adds a candidate or a
+feature. What decides a result is named exactly (`names`, `run_names`) or by 128 bits of BLAKE2b (`digests`).
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. All of those bytes are ASCII, so looking at bytes and
 looking at code points gives the same words.
@@ -98,14 +101,7 @@ class Words:
             h[i] = int.from_bytes(hashlib.blake2b(self.raw[start[i] : end[i]], digest_size=8).digest(), "little")
         return h
 
-    @property
-    def hashes(self) -> np.ndarray:
-        out = self.span_hash(self.start, self.end)
-        self._padded = None
-        return out
-
-    def names(self) -> np.ndarray:
-        """A number per word; words of these texts have the same one only if they are the same word."""
+    def _encoded(self) -> pa.DictionaryArray:
         n = len(self)
         size = self.end - self.start
         offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
@@ -114,7 +110,17 @@ class Words:
         inside[self.end] -= 1
         data = self.raw[np.cumsum(inside[:-1], dtype=np.int8) > 0]
         words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        return np.asarray(words.dictionary_encode().indices).astype(np.int64)
+        return words.dictionary_encode()
+
+    def names(self) -> np.ndarray:
+        """A number per word; words of these texts have the same one only if they are the same word."""
+        return np.asarray(self._encoded().indices).astype(np.int64)
+
+    def named_digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' names, and by name the two 64-bit halves of the word's BLAKE2b digest."""
+        encoded = self._encoded()
+        each = [hashlib.blake2b(w, digest_size=16).digest() for w in encoded.dictionary.to_pylist()]
+        return np.asarray(encoded.indices).astype(np.int64), np.frombuffer(b"".join(each), np.uint64).reshape(-1, 2)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
