@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,14 @@ from .graph import components, joined_components
 from .words import Words, mix, run_names, window_starts
 
 SHINGLE, CODES = 5, 128
-#: Values that a region's members have in common: at first, and after each split.
+#: Values that a region's members have in common: at first, and after each split; depths that are looked at together.
 DEPTHS = (4, 7, 10, 14, 20, 32, 64, CODES)
+LEVELS = (DEPTHS[:3], DEPTHS[3:6], DEPTHS[6:])
 #: Classes of a region that is not split further; chance to miss a link; orders whose neighbours are linked at first.
 WIDE, MISS, FIRST_ORDERS = 64, 1e-5, 3
 #: Shingles of a class' partners that one group confirms.
 SHOWN = 300_000
-#: Further forests grown in one go.
+#: Further forests grown in one go, at most.
 AT_ONCE = 12
 _PAIR = "a long, a_key long, b long, b_key long, n_b long"
 _ROW = ["forest", "order", "id", "key"]
@@ -152,8 +154,23 @@ def _region(label, depth: int):
     return F.xxhash64("forest", "order", F.substring(label, 1, 2 * depth))
 
 
-def _neighbours(percent: int, window: int):
-    """Candidates among the rows of a place, which follow each other in the order of their labels."""
+def _met_before(same: np.ndarray, order: np.ndarray, depths: np.ndarray, others: np.ndarray, step: int) -> np.ndarray:
+    """Pairs that an earlier order of the forest compares too: they have as many values in common from its place on as both
+    rows' depth there. same: equal values, from the pair's own order on; depths: by order, 0 where a row is not compared."""
+    twice = np.concatenate([same, same], axis=1)
+    first_other = np.where(twice, 2 * CODES, np.arange(2 * CODES))
+    first_other = np.minimum.accumulate(first_other[:, ::-1], axis=1)[:, ::-1]
+    met, row = np.zeros(len(same), bool), np.arange(len(same))
+    for earlier in range(depths.shape[1] - 1):
+        at = CODES - (order - earlier) * step
+        depth = depths[:, earlier]
+        met |= (earlier < order) & (depth > 0) & (depth == others[:, earlier]) & (first_other[row, np.minimum(at, CODES)] - at >= depth)
+    return met
+
+
+def _neighbours(percent: int, window: int, orders: int = 0):
+    """Candidates among the rows of a place, which follow each other in the order of their labels; with `orders`, those that
+    no earlier order of the forest gives."""
     share = percent / 100
     least = share - 5 * (share * (1 - share) / CODES) ** 0.5
 
@@ -166,6 +183,8 @@ def _neighbours(percent: int, window: int):
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             place, ids, keys, n, component = (np.asarray(table.column(c)) for c in ("place", "id", "key", "n", "component"))
             codes = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint16).reshape(-1, CODES)
+            if orders:
+                order, depths = np.asarray(table.column("order")), np.asarray(table.column("depths").combine_chunks().flatten()).reshape(-1, orders)
             found = []
             for gap in range(1, min(window, len(place) - 1) + 1):
                 i = np.arange(max(fresh - gap, 0), len(place) - gap)
@@ -180,7 +199,11 @@ def _neighbours(percent: int, window: int):
                     i = np.where(fresh_run[j], i, np.maximum.accumulate(np.where(fresh_run, np.arange(len(place)), 0))[i])
                 for part in range(0, len(i), 4096):
                     x, y = i[part : part + 4096], j[part : part + 4096]
-                    alike = (codes[x] == codes[y]).mean(1) >= least
+                    same = codes[x] == codes[y]
+                    alike = np.flatnonzero(same.mean(1) >= least)
+                    if orders:
+                        a, b = x[alike], y[alike]
+                        alike = alike[~_met_before(same[alike], order[a], depths[a], depths[b], max(CODES // orders, 1))]
                     found.append(np.stack([x[alike], y[alike]]))
             x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
             swap = (ids[x] > ids[y]) | ((ids[x] == ids[y]) & (keys[x] > keys[y]))
@@ -246,38 +269,59 @@ def _within(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(rows.groupBy(*by).agg(*stats), by)
 
 
-def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidates in different components, and the regions of all depths of each row of a wide region (None: no region is
-    wide; else a scratch table). members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
+def _deeper(wide: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The regions of each row of a wide region down to where it ends (scratch tables), and where that is, if the region is
+    to be compared: the first depth at which it is small enough, unless one of one component comes first."""
+    left, tables, ends = wide.select(*_ROW, "component", "label"), [], []
+    for level in LEVELS:
+        depths = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in level))
+        each = left.select(*_ROW, "component", F.explode(depths).alias("at")).select(*_ROW, "component", "at.*")
+        each = materialise(_within(each, ["depth", "region"]).drop("component"), "depths")
+        end = F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at")
+        ended = materialise(each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(end).select(*_ROW, "at.*"), "ends")
+        tables.append(each)
+        ends.append(ended)
+        left = left.join(ended, _ROW, "left_anti")
+        if not left.limit(1).count():
+            break
+    ended = reduce(DataFrame.unionByName, ends).where("open")
+    ended = materialise(wide.select(*_ROW, "n", "component", "label").join(ended, _ROW), "regions")
+    for table in ends:
+        discard(table)
+    return tables, ended
+
+
+def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, list[DataFrame] | None]:
+    """Candidates in different components, and the regions of several depths of each row of a wide region (None: no region
+    is wide; else scratch tables). members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
     rows = members.join(classes.select("forest", "id", "key", "component"), ["forest", "id", "key"])
     opened = _within(rows, ["region"]).where("low <> high").join(classes.select("forest", "id", "key", "n", "codes"), ["forest", "id", "key"])
     opened = materialise(opened.withColumn("label", _label(orders)).drop("codes", "low", "high"), "regions")
-    wide, columns = opened.where(f"size > {WIDE}"), [F.col("region").alias("place"), "label", "id", "key", "n", "component"]
-    pairs, each, ended = opened.where(f"size <= {WIDE}").select(*columns), None, None
+    wide, columns = opened.where(f"size > {WIDE}"), [*_ROW, "n", "component", "label", "region", "depth"]
+    compared, each, ended = opened.where(f"size <= {WIDE}").withColumn("depth", F.lit(DEPTHS[0])).select(*columns), None, None
     if wide.limit(1).count():
-        # a row is compared in the first of its deeper regions that is small enough, unless one of one component comes first
-        depths = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in DEPTHS))
-        each = wide.select(*_ROW, "component", F.explode(depths).alias("at")).select(*_ROW, "component", "at.*")
-        each = materialise(_within(each, ["depth", "region"]).drop("component"), "depths")
-        closed = F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at")
-        ended = each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(closed).select(*_ROW, "at.*").where("open")
-        ended = materialise(wide.select(*_ROW, "n", "component", "label").join(ended, _ROW), "regions")
-        pairs = pairs.unionByName(ended.where(f"size <= {WIDE}").select(*columns))
-    pairs = pairs.repartition("place").sortWithinPartitions("place", "label", "id", "key").mapInArrow(_neighbours(percent, WIDE), _PAIR)
+        each, ended = _deeper(wide)
+        compared = compared.unionByName(ended.where(f"size <= {WIDE}").select(*columns))
+    compared = materialise(compared, "compared")
+    at = F.map_from_entries(F.collect_list(F.struct("order", "depth")))
+    depths = F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda o: F.coalesce(F.element_at("at", o), F.lit(0)))
+    depths = compared.groupBy("forest", "id", "key").agg(at.alias("at")).select("forest", "id", "key", depths.alias("depths"))
+    pairs = compared.join(depths, ["forest", "id", "key"]).select(F.col("region").alias("place"), "order", "label", "id", "key", "n", "component", "depths")
+    pairs = pairs.repartition("place").sortWithinPartitions("place", "label", "id", "key").mapInArrow(_neighbours(percent, WIDE, orders), _PAIR)
     if ended is not None:
         # classes that have every value in common: all of them with the smallest
         equal = ended.where(f"size > {WIDE} and id <> hub")
         pairs = pairs.unionByName(equal.select(F.col("hub").alias("a"), F.col("hub_key").alias("a_key"), F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("n_b")))
     pairs = materialise(pairs.distinct(), "pairs")
-    for table in (opened, ended):
+    for table in (opened, compared, ended):
         if table is not None:
             discard(table)
     return pairs, each
 
 
-def _lost(each: DataFrame, with_component, percent: int) -> DataFrame:
+def _lost(each: list[DataFrame], with_component, percent: int) -> DataFrame:
     """id, key and what a class' certainty loses to wide regions that still have several components."""
-    rows = with_component(each.select(*_ROW, "depth", "region", "size"))
+    rows = with_component(reduce(DataFrame.unionByName, each).select(*_ROW, "depth", "region", "size"))
     two = rows.groupBy("depth", "region").agg((F.min("component") != F.max("component")).alias("open"))
     depth = rows.join(two, ["depth", "region"]).where(f"not open or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(F.min("depth").alias("depth"))
     loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
@@ -336,13 +380,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         else:
             fresh = have.join(lost, ["id", "key"], "left").select("id", "key", (F.col("have") + more * full - F.coalesce("lost", F.lit(0.0))).alias("have"))
         fresh = materialise(fresh.where(F.col("have") < sure), "open")
-        for table in (each, *([have] if have is not None else [])):
+        for table in (*each, *([have] if have is not None else [])):
             discard(table)
         have, least = fresh, fresh.agg(F.min("have")).first()[0]
         if least is None:
             break
-        # as many further forests at once as the least certain class needs at its pace
-        more = min(max(math.ceil((sure - least) * grown / max(least, 1e-9)), 1), AT_ONCE)
+        # as many further forests at once as the least certain class needs at its pace, but no more than there are: each
+        # completes components, which leaves less to do
+        more = min(max(math.ceil((sure - least) * grown / max(least, 1e-9)), 1), grown, AT_ONCE)
         again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), list(range(grown, grown + more)))
         active = materialise(again.select("forest", F.col("doc_id").alias("id"), "key", F.col("n_shingles").alias("n"), "codes"), "signatures")
         members = materialise(_placed(active, orders), "members")
