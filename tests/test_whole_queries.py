@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from wavemill.plans import catalogue, stat_queries
+from wavemill.operators.replicates import PRIME, poisson_cuts
+from wavemill.plans import catalogue
 
 
 def md5(text):
@@ -19,6 +20,13 @@ def uniform(text):
     return int(md5(text)[:8], 16) / 4294967296
 
 
+def draw(row, r, seed="0"):
+    """The draw of a row in a replicate and its tie-breaking hash."""
+    part = lambda text, k: int(md5(text)[8 * k : 8 * k + 8], 16) % PRIME
+    h, (b, c, d) = part(f"{seed}|{row}", 0), (part(f"{seed}|{r}", k) for k in range(3))
+    return (h * h % PRIME * b + h * c + d) % PRIME, part(f"{seed}|{row}", 1)
+
+
 def auc(y, p, w=None):
     y, p, w = np.array(y), np.array(p), np.array(w if w is not None else [1] * len(y))
     pos, neg = y == 1, y == 0
@@ -49,9 +57,9 @@ def run(spark, name, sf):
 
 
 def test_bootstrap(spark, small):
-    rows, cuts = scores(small[1]), stat_queries._cuts()
+    rows, cuts = scores(small[1]), poisson_cuts()
     got = run(spark, "T1_bootstrap_ci_all", small[0]).first()
-    draws = [auc([y for _, _, y in rows], [p for _, p, _ in rows], [sum(uniform(f"0|{r}|{i}") >= c for c in cuts) for i, _, _ in rows]) for r in range(1000)]
+    draws = [auc([y for _, _, y in rows], [p for _, p, _ in rows], [sum(draw(i, r)[0] >= c for c in cuts) for i, _, _ in rows]) for r in range(1000)]
     assert got["samples"] == 1000
     assert (got["mean"], got["ci_lo"], got["ci_hi"]) == pytest.approx((np.mean(draws), *np.percentile(draws, [2.5, 97.5])), abs=1e-9)
 
@@ -61,7 +69,7 @@ def test_permutation(spark, small):
     got = run(spark, "T2_permutation_all", small[0]).first()
     y, d = [y for _, _, y in rows], []
     for r in range(1001):
-        swap = [r > 0 and uniform(f"0|{r}|{i}") < 0.5 for i, _, _ in rows]
+        swap = [r > 0 and 2 * draw(i, r)[0] < PRIME for i, _, _ in rows]
         a, b = zip(*((round(1 - p, 9), p) if s else (p, round(1 - p, 9)) for s, (_, p, _) in zip(swap, rows, strict=True)), strict=True)
         d.append(auc(y, a) - auc(y, b))
     assert got["observed"] == pytest.approx(d[0], abs=1e-9)
@@ -73,9 +81,8 @@ def test_surrogates(spark, small):
     got = run(spark, "T5_surrogate_all", small[0]).first()
     null = []
     for r in range(1000):
-        p = [p for _, p, _ in sorted(rows, key=lambda x: md5(f"0|s|{r}|{x[0]}"))]
-        y = [y for _, _, y in sorted(rows, key=lambda x: md5(f"0|y|{r}|{x[0]}"))]
-        null.append(auc(y, p))
+        least = sorted(range(len(rows)), key=lambda k: draw(rows[k][0], r))[: sum(y for _, _, y in rows)]
+        null.append(auc([int(k in least) for k in range(len(rows))], [p for _, p, _ in rows]))
     assert (got["mean"], got["std"]) == pytest.approx((np.mean(null), np.std(null)), abs=1e-9)
 
 

@@ -1,18 +1,19 @@
-"""Statistical procedures. Replicates are rows: a resample is a weighted or shuffled view, never a loop over data."""
+"""Statistical procedures. Resampled and shuffled metrics of large tables come from `replicates`; the sign-flip test and the
+bootstrap of means, whose inputs are a row per cell of an experiment, take replicates as rows."""
 
 from __future__ import annotations
 
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.safe import finite, ratio, uniform
-from .balance import ranked
-from .metrics import roc_auc
+from .metrics import confusion, rates, roc_auc
 from .ranks import with_below
+from .replicates import METRICS, replicated
 
 
 @F.pandas_udf(T.DoubleType())
@@ -98,55 +99,42 @@ def replicates(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def poisson_weight(u: Column) -> Column:
-    """A Poisson(1) draw from a uniform number: how often a row is in a bootstrap sample."""
-    p, total, cut = math.exp(-1), 0.0, []
-    for k in range(12):
-        total += p
-        cut.append(total)
-        p /= k + 1
-    out = F.lit(0)
-    for c in cut:
-        out = out + (u >= c).cast("int")
-    return out
+def _asked(metric: str) -> str:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+    return metric
 
 
-def bootstrap_ci(rows: DataFrame, row_id: str, n_boot: int = 1000, ci: float = 0.95, seed: str = "0", y: str = "y", score: str = "p") -> DataFrame:
-    """mean, ci_lo, ci_hi of the ROC-AUC over Poisson bootstrap samples (one-class samples are dropped).
-
-    Each row draws its weight in every replicate; weights are summed per replicate and distinct score before ranking.
-    """
-    w = poisson_weight(uniform(seed, F.col("replicate"), F.col(row_id)))
-    drawn = replicates(rows.select(row_id, y, score), n_boot).withColumn("w", w).where("w > 0")
-    auc = roc_auc(drawn, ["replicate"], y, score, "w").withColumnRenamed("roc_auc", "auc")
+def bootstrap_ci(rows: DataFrame, row_id: str, n_boot: int = 1000, ci: float = 0.95, seed: str = "0", y: str = "y", score: str = "p", metric: str = "roc_auc", pred: str | None = None, beta: float = 2.0) -> DataFrame:
+    """mean, ci_lo, ci_hi of a metric over Poisson bootstrap samples (samples in which it has no value are dropped)."""
+    each = replicated(rows, "bootstrap", row_id, n_boot, seed, y, score, pred, beta=beta).select(F.col(_asked(metric)).alias("m"))
     low, high = (1 - ci) / 2, 1 - (1 - ci) / 2
-    return auc.agg(F.avg("auc").alias("mean"), F.percentile("auc", F.lit(low)).alias("ci_lo"), F.percentile("auc", F.lit(high)).alias("ci_hi"), F.count("auc").alias("samples"))
+    return each.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(low)).alias("ci_lo"), F.percentile("m", F.lit(high)).alias("ci_hi"), F.count("m").alias("samples"))
 
 
-def permutation_test(rows: DataFrame, row_id: str, a: str, b: str, n_perm: int = 1000, seed: str = "0", y: str = "y") -> DataFrame:
-    """AUC difference of two scores and its one-sided permutation p, swapping the scores row by row."""
-    swap = uniform(seed, F.col("replicate"), F.col(row_id)) < 0.5
-    base = replicates(rows.select(row_id, y, a, b), n_perm + 1).withColumn("swap", (F.col("replicate") > 0) & swap)
-    pair = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.when(F.col("swap"), F.col(b)).otherwise(F.col(a)).alias("s")), F.struct(F.lit("b").alias("side"), F.when(F.col("swap"), F.col(a)).otherwise(F.col(b)).alias("s"))))
-    long = base.select("replicate", y, pair.alias("x")).select("replicate", y, "x.side", "x.s")
-    auc = roc_auc(long, ["replicate", "side"], y, "s").groupBy("replicate").agg((F.max(F.when(F.col("side") == "a", F.col("roc_auc"))) - F.max(F.when(F.col("side") == "b", F.col("roc_auc")))).alias("d"))
-    seen = auc.where("replicate = 0").select(F.col("d").alias("observed"))
-    return auc.where("replicate > 0").join(F.broadcast(seen)).groupBy("observed").agg(((F.count_if(F.col("d") >= F.abs("observed")) + 1) / F.lit(n_perm + 1)).alias("p"))
+def permutation_test(rows: DataFrame, row_id: str, a: str, b: str, n_perm: int = 1000, seed: str = "0", y: str = "y", metric: str = "roc_auc", beta: float = 2.0) -> DataFrame:
+    """Difference of a metric between two scores and its one-sided permutation p, swapping the scores row by row."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(a).alias("s")), F.struct(F.lit(1).alias("side"), F.col(b).alias("s"))))
+    long = rows.select(row_id, y, sides.alias("x")).select(row_id, y, "x.side", "x.s")
+    each = replicated(long, "swap", row_id, n_perm + 1, seed, y, "s", side="side", beta=beta)
+    of = lambda g: F.max(F.when(F.col("g") == g, F.col(_asked(metric))))
+    each = each.groupBy("replicate").agg((of("a") - of("b")).alias("d"))
+    seen = each.where("replicate = 0").select(F.col("d").alias("observed"))
+    return each.where("replicate > 0").join(F.broadcast(seen)).groupBy("observed").agg(((F.count_if(F.col("d") >= F.abs("observed")) + 1) / F.lit(n_perm + 1)).alias("p"))
 
 
-def surrogates(rows: DataFrame, row_id: str, n: int = 1000, seed: str = "0", y: str = "y", score: str = "p") -> DataFrame:
-    """Observed AUC, mean and population std of the AUC under shuffled labels, z and two-sided p.
+def _observed(rows: DataFrame, by: list[str], metric: str, y: str, score: str, pred: str | None, beta: float) -> DataFrame:
+    if metric == "roc_auc":
+        return roc_auc(rows, by, y, score).withColumnRenamed("roc_auc", "observed")
+    given = rows.where(finite(F.col(score)).isNotNull() & F.col(y).isNotNull()).withColumn("__pred", F.col(pred).cast("int") if pred else (F.col(score) >= 0.5).cast("int"))
+    return rates(confusion(given, by, y, "__pred"), beta).select(*by, F.col(metric).alias("observed"))
 
-    A shuffle joins the rows in one seeded order with the labels in another, rank by rank; ranks are taken over cells of
-    the seeded hash, so no replicate is sorted in one task.
-    """
-    base = replicates(rows.select(row_id, y, score), n).withColumn("__id", F.concat_ws("|", "replicate", row_id))
-    scores_ = ranked(base.select("replicate", "__id", score), "replicate", "__id", f"{seed}|s", "r")
-    labels = ranked(base.select("replicate", "__id", y), "replicate", "__id", f"{seed}|y", "r").drop("__id")
-    null = roc_auc(scores_.join(labels, ["replicate", "r"]), ["replicate"], y, score)
-    seen = roc_auc(rows.withColumn("__one", F.lit(1)), ["__one"], y, score).select(F.col("roc_auc").alias("observed"))
-    m = null.join(F.broadcast(seen)).groupBy("observed")
-    out = m.agg(F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std"), F.collect_list("roc_auc").alias("all"))
+
+def surrogates(rows: DataFrame, row_id: str, n: int = 1000, seed: str = "0", y: str = "y", score: str = "p", metric: str = "roc_auc", pred: str | None = None, beta: float = 2.0) -> DataFrame:
+    """Observed metric, its mean and population std under shuffled labels, z and two-sided p."""
+    null = replicated(rows, "labels", row_id, n, seed, y, score, pred, beta=beta).select(F.col(_asked(metric)).alias("m"))
+    seen = _observed(rows.withColumn("__one", F.lit(1)), ["__one"], metric, y, score, pred, beta).select("observed")
+    out = null.join(F.broadcast(seen)).groupBy("observed").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.collect_list("m").alias("all"))
     far = F.size(F.filter("all", lambda v: F.abs(v - F.col("mean")) >= F.abs(F.col("observed") - F.col("mean"))))
     return out.select("observed", "mean", "std", ratio(F.col("observed") - F.col("mean"), F.col("std")).alias("z"), (far / F.lit(n)).alias("p"))
 
@@ -160,12 +148,9 @@ def bootstrap_mean(rows: DataFrame, group: str, value: str, n_boot: int = 1000,
     return means.groupBy(group).agg(F.percentile("m", F.lit((1 - ci) / 2)).alias("ci_lo"), F.percentile("m", F.lit(1 - (1 - ci) / 2)).alias("ci_hi"))
 
 
-def channel_significance(scored: DataFrame, n_perm: int = 500, seed: str = "42", y: str = "y", score: str = "p") -> DataFrame:
-    """Per channel: AUC of fixed scores, and the share of label permutations that reach it (p < 0.05 is significant)."""
-    observed = roc_auc(scored, ["channel"], y, score)
-    base = replicates(scored.select("channel", "epoch_id", y, score), n_perm).withColumn("__g", F.concat_ws("|", "channel", "replicate")).withColumn("__id", F.concat_ws("|", "__g", "epoch_id"))
-    a = ranked(base.select("channel", "replicate", "__g", "__id", score), "__g", "__id", f"{seed}|s", "r").drop("__id")
-    b = ranked(base.select("__g", "__id", y), "__g", "__id", f"{seed}|y", "r").drop("__id")
-    null = roc_auc(a.join(b, ["__g", "r"]), ["channel", "replicate"], y, score)
-    joined = null.withColumnRenamed("roc_auc", "null_auc").join(observed, "channel")
-    return joined.groupBy("channel").agg(F.max("roc_auc").alias("roc_auc"), (F.count_if(F.col("null_auc") >= F.col("roc_auc")) / F.count(F.lit(1))).alias("p")).withColumn("significant", F.col("p") < 0.05)
+def channel_significance(scored: DataFrame, n_perm: int = 500, seed: str = "42", y: str = "y", score: str = "p", metric: str = "roc_auc", pred: str | None = None, beta: float = 2.0) -> DataFrame:
+    """Per channel: a metric of fixed scores, and the share of label permutations that reach it (p < 0.05 is significant)."""
+    observed = _observed(scored, ["channel"], _asked(metric), y, score, pred, beta).select(F.col("channel").cast("string").alias("g"), "channel", F.col("observed").alias(metric))
+    null = replicated(scored, "labels", "epoch_id", n_perm, seed, y, score, pred, group="channel", beta=beta).select("g", F.col(metric).alias("null"))
+    joined = null.join(F.broadcast(observed), "g")
+    return joined.groupBy("channel").agg(F.max(metric).alias(metric), (F.count_if(F.col("null") >= F.col(metric)) / F.count(F.lit(1))).alias("p")).withColumn("significant", F.col("p") < 0.05)
