@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from wavemill.llm import minhash_dedup
+from wavemill.llm import graph, minhash_dedup
 from wavemill.llm.graph import components
 from wavemill.llm.minhash_dedup import near_duplicates, op6_minhash_near_dedup
 from wavemill.llm.substring_dedup import dedup_substrings, op5_substring_dedup
@@ -173,7 +173,9 @@ def test_near_dedup_query(spark, sf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(3)
     chain = [(k, k + 1) for k in range(0, 40)]
     links = chain + [(100, 101), (101, 105), (300, 100)] + [(rng.randint(500, 900), rng.randint(500, 900)) for _ in range(250)]

@@ -43,7 +43,7 @@ from .words import Words, mix, run_names, window_starts
 SHINGLE, CODES = 5, 128
 #: Values that a region's members have in common: at first, and after each split; depths that are looked at together.
 DEPTHS = (4, 7, 10, 14, 20, 32, 64, CODES)
-LEVELS = (DEPTHS[:3], DEPTHS[3:6], DEPTHS[6:])
+LEVELS = (DEPTHS[:4], DEPTHS[4:])
 #: Classes of a region that is not split further; chance to miss a link; orders whose neighbours are linked at first.
 WIDE, MISS, FIRST_ORDERS = 64, 1e-5, 3
 #: Shingles of a class' partners that one group confirms.
@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         return table.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     active, grown, more = classes.select("forest", "id", "key", "n", "codes"), 0, 1
-    full, sure, have = orders * certainty(DEPTHS[0], percent), -math.log(MISS), None
+    full, sure, have, regions = orders * certainty(DEPTHS[0], percent), -math.log(MISS), None, []
     while True:
         pairs, each = _forest(members, with_component(active), orders, percent)
         links = _confirmed(pairs, texts, percent)
@@ -374,14 +374,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             discard(table)
         if each is None:
             break  # every class that took part has been compared with all its neighbours
-        lost = _lost(each, with_component, percent)
-        if have is None:
-            fresh = lost.select("id", "key", (full - F.col("lost")).alias("have"))
-        else:
-            fresh = have.join(lost, ["id", "key"], "left").select("id", "key", (F.col("have") + more * full - F.coalesce("lost", F.lit(0.0))).alias("have"))
-        fresh = materialise(fresh.where(F.col("have") < sure), "open")
-        for table in (*each, *([have] if have is not None else [])):
-            discard(table)
+        # earlier forests' regions count anew: components that have grown together since leave less to miss
+        regions += each
+        lost = _lost(regions, with_component, percent)
+        certain = F.lit(grown * full) - F.coalesce("lost", F.lit(0.0))
+        fresh = lost if have is None else have.select("id", "key").join(lost, ["id", "key"], "left")
+        fresh = materialise(fresh.select("id", "key", certain.alias("have")).where(F.col("have") < sure), "open")
+        if have is not None:
+            discard(have)
         have, least = fresh, fresh.agg(F.min("have")).first()[0]
         if least is None:
             break
@@ -391,7 +391,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), list(range(grown, grown + more)))
         active = materialise(again.select("forest", F.col("doc_id").alias("id"), "key", F.col("n_shingles").alias("n"), "codes"), "signatures")
         members = materialise(_placed(active, orders), "members")
-    discard(texts)
+    for table in (texts, *regions):
+        discard(table)
 
     # classes, then rows; a class with very many rows is a skewed join that Spark splits
     final = with_component(classes).select("set_1", "set_2", "n", "component")
