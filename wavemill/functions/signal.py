@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import numpy as np
 
+#: Pairs of templates compared at once.
+PAIRS = 1 << 21
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0)}
 
 
@@ -46,35 +50,80 @@ def stft_bands(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
     return {k: v.mean(-1) for k, v in _trapezoid(np.abs(z) ** 2, np.fft.rfftfreq(size, 1 / fs)).items()}
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    """-ln of the ratio of template matches of length m + 1 and m within r standard deviations (maximum norm)."""
-    s = x.std()
-    tolerance = r * (s if s > 0 else 1.0) if 0 < r < 1 else 0.2 * (s if s > 0 else 1.0)
-    n = len(x) - m
+def _each(measure):
+    """A measure of signals (rows of equal length) that takes one signal as well."""
+
+    @wraps(measure)
+    def run(x: np.ndarray, *args, **options):
+        x = np.asarray(x, float)
+        return measure(x, *args, **options) if x.ndim > 1 else float(measure(x[None], *args, **options)[0])
+
+    return run
+
+
+def _slopes(at: list[float], values: np.ndarray) -> np.ndarray:
+    """Least-squares slope over `at` of each row's finite values; NaN for fewer than two."""
+    ok = np.isfinite(values)
+    n, t = ok.sum(1), np.array(at)
+    v = np.where(ok, values, 0.0)
+    with np.errstate(all="ignore"):
+        centre = ok @ t / n
+        away = np.where(ok, t - centre[:, None], 0.0)
+        slope = (away * v).sum(1) / (away * away).sum(1)
+    return np.where(n > 1, slope, np.nan)
+
+
+@_each
+def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> np.ndarray:
+    """-ln of the ratio of template matches of length m + 1 and m within r standard deviations (maximum norm).
+
+    Templates are sorted by their first value, so that each is compared only with those whose first value is in reach; the
+    pairs of many signals are compared at once.
+    """
+    count, length = x.shape
+    n = length - m
     if n < 2:
-        return float("nan")
-    grams = np.lib.stride_tricks.sliding_window_view(x, m + 1)[:n]
-    short = long = 0
-    for i in range(n - 1):  # one row of the distance table at a time
-        near = np.abs(grams[i + 1 :, :m] - grams[i, :m]).max(1) <= tolerance
-        short += int(near.sum())
-        long += int((near & (np.abs(grams[i + 1 :, m] - grams[i, m]) <= tolerance)).sum())
-    return float(-np.log(long / short)) if short and long else float("nan")
-
-
-def higuchi(x: np.ndarray, kmax: int = 10) -> float:
-    n = len(x)
-    logs = []
+        return np.full(count, np.nan)
+    s = x.std(1)
+    tolerance = (r if 0 < r < 1 else 0.2) * np.where(s > 0, s, 1.0)
+    order = np.argsort(x[:, :n], axis=1, kind="stable")
+    grams = np.lib.stride_tricks.sliding_window_view(x, m + 1, axis=1)[np.arange(count)[:, None], order]
+    first = grams[:, :, 0]
+    with np.errstate(invalid="ignore"):
+        reach = np.stack([np.searchsorted(a, a + t * (1 + 1e-9), side="right") for a, t in zip(first, tolerance, strict=True)])
+    partners = np.maximum(reach - 1 - np.arange(n), 0).ravel()
+    grams, ends = grams.reshape(-1, m + 1), np.cumsum(partners)
+    short, long, begin = np.zeros(count), np.zeros(count), 0
+    while begin < len(partners):
+        stop = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, side="right")), begin + 1)
+        some = partners[begin:stop]
+        i = np.repeat(np.arange(begin, stop), some)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        near = np.abs(grams[i] - grams[j]) <= tolerance[i // n][:, None]
+        alike = near[:, :m].all(1)
+        short += np.bincount(i[alike] // n, minlength=count)
+        alike &= near[:, m]
+        long += np.bincount(i[alike] // n, minlength=count)
+        begin = stop
+    with np.errstate(all="ignore"):
+        return np.where((short > 0) & (long > 0), -np.log(long / short), np.nan)
+
+
+@_each
+def higuchi(x: np.ndarray, kmax: int = 10) -> np.ndarray:
+    n, at, logs = x.shape[1], [], []
     for k in range(1, kmax + 1):
         lengths = []
         for m in range(k):
             count = (n - m - 1) // k
-            if count:
-                path = np.abs(np.diff(x[m : m + count * k + 1 : k])).sum()
+            if count > 0:
+                path = np.abs(np.diff(x[:, m : m + count * k + 1 : k], axis=1)).sum(1)
                 lengths.append(path / k * (n - 1) / (k * count))
-        if lengths and np.mean(lengths) > 0:
-            logs.append((np.log(1 / k), np.log(np.mean(lengths))))
-    return float(np.polyfit(*zip(*logs, strict=True), 1)[0]) if len(logs) > 1 else float("nan")
+        if lengths:
+            with np.errstate(divide="ignore"):
+                logs.append(np.log(np.mean(lengths, axis=0)))
+            at.append(np.log(1 / k))
+    return _slopes(at, np.stack(logs, 1)) if logs else np.full(len(x), np.nan)
 
 
 def _log_windows(low: int, high: int, factor: float) -> list[int]:
@@ -86,33 +135,37 @@ def _log_windows(low: int, high: int, factor: float) -> list[int]:
     return out
 
 
-def dfa(x: np.ndarray) -> float:
+@_each
+def dfa(x: np.ndarray) -> np.ndarray:
     """Detrended fluctuation exponent over log-spaced windows of 4 to a tenth of the signal."""
-    walk = np.cumsum(x - x.mean())
-    points = []
-    for w in _log_windows(4, max(len(x) // 10, 8), 1.2):
-        parts = walk[: len(walk) // w * w].reshape(-1, w)
+    length, at, logs = x.shape[1], [], []
+    walk = np.cumsum(x - x.mean(1, keepdims=True), axis=1)
+    for w in _log_windows(4, max(length // 10, 8), 1.2):
+        parts = walk[:, : length // w * w].reshape(len(x), -1, w)
+        if not parts.shape[1]:
+            continue
         t = np.arange(w) - (w - 1) / 2
         slope = parts @ t / (t @ t)
-        rest = parts - parts.mean(1, keepdims=True) - slope[:, None] * t
-        rms = np.sqrt((rest**2).mean(1)).mean()
-        if rms > 0:
-            points.append((np.log(w), np.log(rms)))
-    return float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) > 1 else float("nan")
+        rest = parts - parts.mean(2, keepdims=True) - slope[:, :, None] * t
+        with np.errstate(divide="ignore"):
+            logs.append(np.log(np.sqrt((rest**2).mean(2)).mean(1)))
+        at.append(np.log(w))
+    return _slopes(at, np.stack(logs, 1)) if logs else np.full(len(x), np.nan)
 
 
-def hurst(x: np.ndarray) -> float:
+@_each
+def hurst(x: np.ndarray) -> np.ndarray:
     """Rescaled-range exponent over doubling windows from 8."""
-    points = []
-    w = 8
-    while w <= len(x) // 2:
-        parts = x[: len(x) // w * w].reshape(-1, w)
-        walk = np.cumsum(parts - parts.mean(1, keepdims=True), axis=1)
-        spread, s = walk.max(1) - walk.min(1), parts.std(1)
-        if (s > 0).any():
-            points.append((np.log(w), np.log((spread[s > 0] / s[s > 0]).mean())))
+    length, at, logs, w = x.shape[1], [], [], 8
+    while w <= length // 2:
+        parts = x[:, : length // w * w].reshape(len(x), -1, w)
+        walk = np.cumsum(parts - parts.mean(2, keepdims=True), axis=2)
+        spread, s = walk.max(2) - walk.min(2), parts.std(2)
+        with np.errstate(all="ignore"):
+            logs.append(np.log(np.where(s > 0, spread / s, 0.0).sum(1) / (s > 0).sum(1)))
+        at.append(np.log(w))
         w *= 2
-    return float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) > 1 else float("nan")
+    return _slopes(at, np.stack(logs, 1)) if logs else np.full(len(x), np.nan)
 
 
 def band_pass(low: float, high: float, fs: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:

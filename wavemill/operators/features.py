@@ -41,15 +41,19 @@ def spectral(fs: float, stft: bool = False):
     return powers
 
 
-def complexity():
-    """Arrow UDF: samples -> struct of entropy, fractal and fluctuation measures."""
+def complexity(names: tuple[str, ...] = COMPLEXITY):
+    """Arrow UDF: samples -> struct of the named entropy, fractal and fluctuation measures, signals of a length at once."""
+    measure = dict(zip(COMPLEXITY, (signal.sample_entropy, signal.higuchi, signal.dfa, signal.hurst), strict=True))
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in COMPLEXITY))
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def measures(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        run = (signal.sample_entropy, signal.higuchi, signal.dfa, signal.hurst)
         for s in parts:
-            rows = [[f(np.asarray(x, float)) for f in run] if x is not None and len(x) > 3 else [np.nan] * 4 for x in s]
-            yield pd.DataFrame(rows, columns=list(COMPLEXITY), dtype=float)
+            out = np.full((len(s), len(names)), np.nan)
+            for at, x in _batches(s):
+                if x.shape[1] > 3:
+                    for k, name in enumerate(names):
+                        out[at, k] = measure[name](x)
+            yield pd.DataFrame(out, columns=list(names))
 
     return measures
 

@@ -26,12 +26,12 @@ def ordinal(spark, sf_dir):
 
 
 def complexity(spark, sf_dir):
-    e = tables.embedding_epochs(spark, sf_dir).withColumn("c", features.complexity()("samples")).select("epoch_id", "c.sampen", "c.higuchi_fd")
+    e = tables.embedding_epochs(spark, sf_dir).withColumn("c", features.complexity(("sampen", "higuchi_fd"))("samples")).select("epoch_id", "c.sampen", "c.higuchi_fd")
     return _rounded(e, ["epoch_id"], ["sampen", "higuchi_fd"])
 
 
 def fluctuation(spark, sf_dir):
-    e = tables.embedding_epochs(spark, sf_dir).withColumn("c", features.complexity()("samples")).withColumn("svd_ent", arrays.svd_entropy(F.col("samples")))
+    e = tables.embedding_epochs(spark, sf_dir).withColumn("c", features.complexity(("dfa", "hurst"))("samples")).withColumn("svd_ent", arrays.svd_entropy(F.col("samples")))
     return e.select("epoch_id", "svd_ent", "c.dfa", "c.hurst")
 
 
