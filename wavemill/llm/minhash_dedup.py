@@ -43,7 +43,7 @@ from .words import Words, mix, run_names, window_starts
 SHINGLE, CODES = 5, 128
 #: Values that a region's members have in common: at first, and after each split; depths that are looked at together.
 DEPTHS = (4, 7, 10, 14, 20, 32, 64, CODES)
-LEVELS = (DEPTHS[:4], DEPTHS[4:])
+LEVELS = (DEPTHS[1:4], DEPTHS[4:])
 #: Classes of a region that is not split further; chance to miss a link; orders whose neighbours are linked at first.
 WIDE, MISS, FIRST_ORDERS = 64, 1e-5, 3
 #: Shingles of a class' partners that one group confirms.
@@ -272,11 +272,13 @@ def _within(rows: DataFrame, by: list[str]) -> DataFrame:
 def _deeper(wide: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """The regions of each row of a wide region down to where it ends (scratch tables), and where that is, if the region is
     to be compared: the first depth at which it is small enough, unless one of one component comes first."""
-    left, tables, ends = wide.select(*_ROW, "component", "label"), [], []
+    left, ends = wide.select(*_ROW, "component", "label"), []
+    tables = [materialise(wide.select(*_ROW, F.lit(DEPTHS[0]).alias("depth"), "region", "size"), "depths")]
     for level in LEVELS:
         depths = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in level))
-        each = left.select(*_ROW, "component", F.explode(depths).alias("at")).select(*_ROW, "component", "at.*")
-        each = materialise(_within(each, ["depth", "region"]).drop("component"), "depths")
+        rows = materialise(left.select(*_ROW, "component", F.explode(depths).alias("at")).select(*_ROW, "component", "at.*"), "deeper")  # read twice
+        each = materialise(_within(rows, ["depth", "region"]).drop("component"), "depths")
+        discard(rows)
         end = F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at")
         ended = materialise(each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(end).select(*_ROW, "at.*"), "ends")
         tables.append(each)
@@ -321,7 +323,7 @@ def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -
 
 def _lost(each: list[DataFrame], with_component, percent: int) -> DataFrame:
     """id, key and what a class' certainty loses to wide regions that still have several components."""
-    rows = with_component(reduce(DataFrame.unionByName, each).select(*_ROW, "depth", "region", "size"))
+    rows = with_component(reduce(DataFrame.unionByName, (t.select(*_ROW, "depth", "region", "size") for t in each)))
     two = rows.groupBy("depth", "region").agg((F.min("component") != F.max("component")).alias("open"))
     depth = rows.join(two, ["depth", "region"]).where(f"not open or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(F.min("depth").alias("depth"))
     loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
