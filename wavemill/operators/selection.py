@@ -5,14 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite, ratio
+from ..sources.scratch import settle
 from .balance import stratified_folds
 from .linear import Products, score_candidates
 from .metrics import roc_auc
 from .models import fit
+from .ranks import with_below
 from .tabular import column_medians, elect, fill_columns, votes
 
 #: Estimators of selection by cross-validation, as models.fit names them.
@@ -37,7 +39,7 @@ def chi2(rows: DataFrame, feature: str = "feature", value: str = "value", y: str
     return c.join(t, feature).groupBy(feature).agg(F.sum(ratio((F.col("o") - e) * (F.col("o") - e), e)).alias("chi2"))
 
 
-def mutual_information(rows: DataFrame, bins: int = 16, feature: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
+def binned_information(rows: DataFrame, bins: int = 16, feature: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
     """feature, mi (nats) between equal-width bins of the feature and the class: deterministic and one aggregation."""
     v = finite(F.col(value))
     span = rows.groupBy(feature).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
@@ -50,9 +52,59 @@ def mutual_information(rows: DataFrame, bins: int = 16, feature: str = "feature"
     return full.groupBy(feature).agg(F.sum(F.col("n") / F.col("nn") * F.ln(F.col("n") * F.col("nn") / (F.col("nb") * F.col("ny")))).alias("mi"))
 
 
+def _digamma(n: Column) -> Column:
+    """Digamma of a positive whole number: ten steps up, then the asymptotic series (error under 1e-12)."""
+    x = n.cast("double")
+    z = x + 10
+    q = 1 / (z * z)
+    return F.ln(z) - 0.5 / z - q * (F.lit(1 / 12) - q * (F.lit(1 / 120) - q * (F.lit(1 / 252) - q / 240))) - sum((1 / (x + i) for i in range(1, 10)), 1 / x)
+
+
+def _radii(cells: DataFrame, by: list[str], neighbours: int, chunk: int) -> DataFrame:
+    """cells (a row per group `by` and distinct v, of n points) with k and r: the reach of the k-th nearest point of the group.
+
+    Cells are numbered in their order and looked at in chunks of `chunk`, with as many of the adjoining chunks' cells as a
+    point can have neighbours, so no window holds a whole class.
+    """
+    sizes = cells.groupBy(*by).agg(F.sum("n").alias("class_n")).where("class_n > 1")
+    placed = with_below(cells.withColumn("one", F.lit(1)), by, "v", "one", "place").drop("one")
+    places = F.array_distinct(F.transform(F.array(*(F.lit(s) for s in (0, -neighbours, neighbours))), lambda s: F.floor((F.col("place") + s) / chunk)))
+    near = Window.partitionBy(*by, "at").orderBy("place")
+    around = [f(F.struct("v", "n"), i).over(near) for f in (F.lag, F.lead) for i in range(1, neighbours + 1)]
+    seen = placed.withColumn("at", F.explode(places)).withColumn("around", F.array(*around)).where(F.col("at") == F.floor(F.col("place") / chunk))
+    others = F.flatten(F.transform(F.filter("around", lambda c: c.isNotNull()), lambda c: F.array_repeat(F.abs(c["v"] - F.col("v")), F.least(c["n"], F.lit(neighbours)).cast("int"))))
+    own = F.array_repeat(F.lit(0.0), F.least(F.col("n") - 1, F.lit(neighbours)).cast("int"))
+    k = F.least(F.lit(neighbours), F.col("class_n") - 1)
+    found = seen.join(sizes, by).withColumn("k", k).withColumn("d", F.element_at(F.array_sort(F.concat(own, others)), F.col("k").cast("int")))
+    # a distance as good as equal to the k-th neighbour's lies outside
+    reach = F.greatest(F.col("d") - (F.abs("v") + F.col("d")) * F.lit(2.0**-50), F.lit(0.0))
+    return found.select(*by, "v", "n", "class_n", "k", reach.alias("r"))
+
+
+def mutual_information(rows: DataFrame, neighbours: int = 3, feature: str = "feature", value: str = "value", y: str = "y", chunk: int = 4096) -> DataFrame:
+    """feature, mi (nats) between a feature and the class, by distances to nearest neighbours (Ross, 2014).
+
+    A point's reach is the distance to its k-th nearest point of its own class (k at most `neighbours`, and one less than
+    the class has); m counts the points of any class that are nearer. mi is the sum of digamma(points) and the means of
+    digamma(k) - digamma(class size) - digamma(m), at least 0. Equal values are points at distance 0: nothing is drawn, so
+    reruns agree. Points without class or finite value, and classes of one point, are left out; a feature that has nothing
+    left gets null. Reach and m come from running counts over distinct values (ranks.py), whatever a feature's size.
+    """
+    v = finite(F.col(value))
+    cells = rows.select(F.col(feature), F.col(y), (v + F.lit(0.0)).alias("v")).where(f"v is not null and {y} is not null").groupBy(feature, y, "v").agg(F.count(F.lit(1)).alias("n"))
+    points = settle(_radii(cells, [feature, y], neighbours, chunk).withColumns({"lo": F.col("v") - F.col("r"), "hi": F.col("v") + F.col("r")}))
+    marks = points.select(feature, F.explode(F.array(F.struct("v", "n"), F.struct(F.col("lo").alias("v"), F.lit(0).alias("n")), F.struct(F.col("hi").alias("v"), F.lit(0).alias("n")))).alias("c")).select(feature, "c.v", "c.n")
+    counted = settle(with_below(marks.groupBy(feature, "v").agg(F.sum("n").alias("n")), [feature], "v", "n"))
+    low, high = counted.select(feature, F.col("v").alias("lo"), F.col("below").alias("before")), counted.select(feature, F.col("v").alias("hi"), (F.col("below") + F.col("n")).alias("through"))
+    m = points.join(low, [feature, "lo"]).join(high, [feature, "hi"]).withColumn("m", F.col("through") - F.col("before"))
+    mean = F.sum(F.col("n") * (_digamma(F.col("k")) - _digamma(F.col("class_n")) - _digamma(F.col("m")))) / F.sum("n")
+    found = m.groupBy(feature).agg(F.greatest(_digamma(F.sum("n")) + mean, F.lit(0.0)).alias("mi"))
+    return rows.select(feature).distinct().join(found, feature, "left")
+
+
 def univariate(rows: DataFrame, method: str = "f_classif", k: int = 20) -> DataFrame:
     """method, feature, score of the k best features (ties: smaller index), by index."""
-    ways = {"f_classif": (anova_f, "f"), "chi2": (chi2, "chi2"), "mutual_info": (mutual_information, "mi")}
+    ways = {"f_classif": (anova_f, "f"), "chi2": (chi2, "chi2"), "mutual_info": (mutual_information, "mi"), "mutual_info_binned": (binned_information, "mi")}
     if method not in ways:
         raise ValueError(f"unknown method {method!r}; known: {sorted(ways)}")
     run, score = ways[method]

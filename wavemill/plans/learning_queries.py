@@ -60,6 +60,10 @@ def mutual_information(spark, sf_dir):
     return selection.mutual_information(tables.embedding_features(spark, sf_dir)).select("feature", F.round("mi", 6).alias("mi"))
 
 
+def binned_information(spark, sf_dir):
+    return selection.binned_information(tables.embedding_features(spark, sf_dir)).select("feature", F.round("mi", 6).alias("mi"))
+
+
 def variance(spark, sf_dir):
     rows = tables.embedding_features(spark, sf_dir)
     return selection.by_variance(rows, 0.01).select("feature", F.round("variance", 9).alias("variance"))
@@ -165,7 +169,7 @@ def ensemble(spark, sf_dir):
 
 QUERIES = {
     "R1_oversample": oversample, "R2_undersample": undersample, "R3_median_impute": impute, "R4_standardise": standardise, "R5_pca": components, "R6_subsample": subsample, "R7_folds": folds,
-    "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C5_elimination": elimination, "C6_model_based": model_based, "C7_variance": variance, "T6_permutation_impact": permutation_impact, "T7_ablation_impact": ablation_impact,
+    "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C4_binned_information": binned_information, "C5_elimination": elimination, "C6_model_based": model_based, "C7_variance": variance, "T6_permutation_impact": permutation_impact, "T7_ablation_impact": ablation_impact,
     "C8_forward_selection": forward_features, "C9_ensemble": ensemble, "C10_best_size": best_size, "M1_logreg": _model("logreg"), "M2_svm_rbf": _model("svm_rbf"), "M3_random_forest": _model("rf"),
     "M4_gradient_boosting": _model("gb"), "M5_knn": knn, "M5_knn_held_out": knn_held_out,
 }
@@ -182,7 +186,15 @@ ORACLE_SQL = {
  SELECT feature, round(sum(abs(v)), 6) AS total, round(max(v), 6) AS top FROM z GROUP BY feature""",
     "C2_anova_f": f"WITH {FEAT}, {ANOVA_SQL} SELECT feature, round(f, 6) AS f FROM af",
     "C3_chi2": f"WITH {FEAT}, {CHI_SQL} SELECT feature, round(chi2, 6) AS chi2 FROM cs",
-    "C4_mutual_information": f"""WITH {FEAT}, s AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM feat GROUP BY feature), b AS (SELECT feat.feature, y, least(floor((value - lo) / (hi - lo) * 16), 15) AS b FROM feat JOIN s ON s.feature = feat.feature),
+    "C4_mutual_information": f"""WITH {FEAT}, own AS (SELECT feature, y, value, count(*) OVER (PARTITION BY feature, y) AS nc,
+        [lag(value, 1) OVER w, lag(value, 2) OVER w, lag(value, 3) OVER w, lead(value, 1) OVER w, lead(value, 2) OVER w, lead(value, 3) OVER w] AS near
+        FROM feat WINDOW w AS (PARTITION BY feature, y ORDER BY value)),
+        kth AS (SELECT feature, value, nc, least(3, nc - 1) AS k, list_sort([abs(u - value) FOR u IN near IF u IS NOT NULL])[least(3, nc - 1)] AS d FROM own WHERE nc > 1),
+        reach AS (SELECT *, greatest(d - (abs(value) + d) * pow(2.0, -50), 0) AS r FROM kth),
+        met AS (SELECT feature, nc, k, count(*) OVER (PARTITION BY feature ORDER BY value RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m, count(*) OVER (PARTITION BY feature) AS nn FROM reach),
+        psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.57721566490153286 AS v FROM (SELECT unnest(range(1, (SELECT max(nn) + 1 FROM met))) AS i))
+        SELECT feature, round(greatest(avg(pn.v + pk.v - pc.v - pm.v), 0), 6) AS mi FROM met JOIN psi pn ON pn.i = nn JOIN psi pk ON pk.i = k JOIN psi pc ON pc.i = nc JOIN psi pm ON pm.i = m GROUP BY feature""",
+    "C4_binned_information": f"""WITH {FEAT}, s AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM feat GROUP BY feature), b AS (SELECT feat.feature, y, least(floor((value - lo) / (hi - lo) * 16), 15) AS b FROM feat JOIN s ON s.feature = feat.feature),
  c AS (SELECT feature, b, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY feature, b) AS nb, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS nn FROM c)
  SELECT feature, round(sum(n / nn * ln(n * nn / (nb * ny))), 6) AS mi FROM t GROUP BY feature""",
     "C7_variance": f"WITH {FEAT} SELECT feature, round(var_pop(value), 9) AS variance FROM feat GROUP BY feature HAVING var_pop(value) > 0.01",
