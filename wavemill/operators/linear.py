@@ -54,24 +54,27 @@ class Products:
         w = np.linalg.solve(a + ridge * np.eye(len(features)), b)
         return np.r_[w / spread, g[c, c + 1] / n - (w / spread) @ mean]
 
-    def importance(self, features: list[int]) -> np.ndarray:
-        g = sum(self.by_fold.values())
-        c, n = len(self.names), sum(self.by_fold.values())[len(self.names), len(self.names)]
+    def importance(self, features: list[int], without: int | None = None) -> np.ndarray:
+        """Size of each feature's weight on standardised scale, from all folds but one."""
+        g = sum(v for k, v in self.by_fold.items() if k != without)
+        c = len(self.names)
+        n = g[c, c]
         spread = np.sqrt(np.maximum(np.diag(g)[features] / n - (g[features, c] / n) ** 2, 0))
-        return np.abs(self.weights(features)[:-1]) * spread
+        return np.abs(self.weights(features, without)[:-1]) * spread
 
 
-def score_candidates(rows: DataFrame, products: Products, candidates: dict[int, list[int]], y: str = "y", fold: str = "fold") -> dict[int, float]:
+def score_candidates(rows: DataFrame, products: Products, candidates: dict[int, list[int] | dict[int, list[int]]], y: str = "y", fold: str = "fold") -> dict[int, float]:
     """Mean held-out ROC-AUC over the folds of each candidate set of features, all in one pass."""
     scores = fold_scores(rows, products, candidates, y, fold)
     return {c: float(np.mean(scores[c])) if scores.get(c) else float("nan") for c in candidates}
 
 
-def fold_scores(rows: DataFrame, products: Products, candidates: dict[int, list[int]], y: str = "y", fold: str = "fold") -> dict[int, list[float]]:
-    """Held-out ROC-AUC of each candidate on each fold that has both classes."""
+def fold_scores(rows: DataFrame, products: Products, candidates: dict[int, list[int] | dict[int, list[int]]], y: str = "y", fold: str = "fold") -> dict[int, list[float]]:
+    """Held-out ROC-AUC of each candidate (features, or features by fold) on each fold that has both classes."""
     table = {}
-    for c, features in candidates.items():
+    for c, wanted in candidates.items():
         for k in products.by_fold:
+            features = wanted[k] if isinstance(wanted, dict) else wanted
             w = products.weights(features, without=k)
             full = np.zeros(len(products.names) + 1)
             full[features], full[-1] = w[:-1], w[-1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -117,12 +119,13 @@ def by_variance(rows: DataFrame, threshold: float = 0.0, feature: str = "feature
     return rows.groupBy(feature).agg(F.var_pop(finite(F.col(value))).alias("variance")).where(F.col("variance") > threshold)
 
 
-def cross_validated(rows: DataFrame, names: list[str], candidates: dict[int, list[int]], estimator: str, y: str = "y", fold: str = "fold") -> dict[int, float]:
-    """Mean held-out ROC-AUC of a classifier of models.MODELS on each candidate set of columns: a fit per candidate and fold."""
+def cross_validated(rows: DataFrame, names: list[str], candidates: dict[int, list[int] | dict[int, list[int]]], estimator: str, y: str = "y", fold: str = "fold") -> dict[int, float]:
+    """Mean held-out ROC-AUC of a classifier of models.MODELS on each candidate set of columns (or sets by fold): a fit per candidate and fold."""
     folds, out = sorted(r[fold] for r in rows.select(fold).distinct().collect()), {}
-    for c, features in candidates.items():
-        columns, scores = [names[f] for f in features], []
+    for c, wanted in candidates.items():
+        scores = []
         for k in folds:
+            columns = [names[f] for f in (wanted[k] if isinstance(wanted, dict) else wanted)]
             test = rows.where(F.col(fold) == k)
             scored = fit(ESTIMATORS[estimator], rows.where(F.col(fold) != k), columns, y)(test.select("epoch_id", y, *columns)).select("epoch_id", "y_prob").join(test.select("epoch_id", y), "epoch_id")
             scores += [r["roc_auc"] for r in roc_auc(scored.withColumn("one", F.lit(1)), ["one"], y, "y_prob").collect() if r["roc_auc"] is not None]
@@ -153,29 +156,61 @@ def forward(rows: DataFrame, groups: dict[int, list[int]], names: list[str], mos
     return chosen
 
 
-def eliminate(products: Products, down_to: int = 1) -> list[int]:
+def eliminate(products: Products, down_to: int = 1, without: int | None = None) -> list[int]:
     """Features in the order they are kept longest: the weakest weight goes first. One path serves every size."""
     left, gone = list(range(len(products.names))), []
     while len(left) > down_to:
-        gone.append(left.pop(int(np.argmin(products.importance(left)))))
+        gone.append(left.pop(int(np.argmin(products.importance(left, without)))))
     return left + gone[::-1]
 
 
-def eliminate_by(rows: DataFrame, names: list[str], estimator: str, keep: int, share: float = 0.1, y: str = "y") -> list[int]:
-    """The `keep` features that are left when the weakest tenth (at least one) goes after each fit, strongest first."""
+def _shrinking(rows: DataFrame, names: list[str], estimator: str, keep: int, share: float, y: str) -> Iterator[list[int]]:
+    """The features left before each step, strongest first; the weakest share (at least one) goes after each fit."""
     left = list(range(len(names)))
     while True:
         weight = importances(rows, [names[k] for k in left], estimator, y)
         order = [left[i] for i in np.argsort(-weight, kind="stable")]
+        yield order
         if len(left) <= keep:
-            return order
+            return
         left = sorted(order[: max(keep, len(left) - max(1, int(len(left) * share)))])
 
 
-def best_size(rows: DataFrame, products: Products, sizes: list[int], y: str = "y", fold: str = "fold") -> tuple[int, dict[int, float]]:
-    """The number of features with the best cross-validated AUC along the elimination path (first on ties)."""
+def eliminate_by(rows: DataFrame, names: list[str], estimator: str, keep: int, share: float = 0.1, y: str = "y") -> list[int]:
+    """The `keep` features that are left when the weakest tenth (at least one) goes after each fit, strongest first."""
+    *_, last = _shrinking(rows, names, estimator, keep, share, y)
+    return last
+
+
+def eliminate_cv(rows: DataFrame, names: list[str], least: int = 20, estimator: str = "linear", share: float = 0.1, y: str = "y", fold: str = "fold") -> tuple[dict[int, float], dict[int, list[int]], int]:
+    """Recursive elimination whose number of features is chosen by cross-validation.
+
+    Each fold has a path of its own, learnt without its rows and scored on them. Returns the mean held-out AUC of each number
+    of features from `least` on, the features that the path over all rows keeps at each, and the number with the best mean
+    (ties: fewer; numbers without any score lose). Least squares drops one feature a step, and takes two passes over the
+    rows for all folds and steps; rf, svm and logreg drop a share a step, and fit twice per fold and step.
+    """
+    if estimator == "linear":
+        products = Products(rows, names, y, fold)
+        least, paths = min(least, len(names)), {k: eliminate(products, without=k) for k in products.by_fold}
+        scores = score_candidates(rows, products, {n: {k: p[:n] for k, p in paths.items()} for n in range(least, len(names) + 1)}, y, fold)
+        whole = eliminate(products)
+        kept = {n: whole[:n] for n in scores}
+    else:
+        folds = sorted(r[fold] for r in rows.select(fold).distinct().collect())
+        kept = {len(order): order for order in _shrinking(rows, names, estimator, least, share, y)}
+        by_fold = {k: {len(order): order for order in _shrinking(rows.where(F.col(fold) != k), names, estimator, least, share, y)} for k in folds}
+        scores = cross_validated(rows, names, {n: {k: by_fold[k][n] for k in folds} for n in kept}, estimator, y, fold)
+    best = max(sorted(scores), key=lambda n: -1.0 if np.isnan(scores[n]) else scores[n])
+    return scores, kept, best
+
+
+def best_size(rows: DataFrame, products: Products, sizes: list[int], y: str = "y", fold: str = "fold", estimator: str = "linear") -> tuple[int, dict[int, float]]:
+    """The number of features with the best cross-validated AUC along the elimination path (first on ties); the path is that
+    of least squares, and the estimator (linear, rf, svm, logreg) scores the sizes."""
     path = eliminate(products)
-    scores = score_candidates(rows, products, {k: path[:k] for k in sizes if k <= len(path)}, y, fold)
+    candidates = {k: path[:k] for k in sizes if k <= len(path)}
+    scores = score_candidates(rows, products, candidates, y, fold) if estimator == "linear" else cross_validated(rows, products.names, candidates, estimator, y, fold)
     return max(sorted(scores), key=lambda k: scores[k]), scores
 
 

@@ -177,12 +177,12 @@ def significance_run(train: DataFrame, s: Settings, channels: bool = True, by: s
 
 SELECTORS = {
     "univariate": ("univariate_f_classif", "univariate_mutual_info", "univariate_chi2"), "rfe": ("rfe_{estimator}",), "model": ("model_{estimator}",),
-    "ensemble": ("univariate_f_classif", "rfe_rf", "model_rf"), "sfs": (),
+    "ensemble": ("univariate_f_classif", "rfe_rf", "model_rf"), "sfs": (), "rfecv": (),
 }
 
 
 def selection_run(train: DataFrame, s: Settings, method: str = "ensemble", k: int = 20, estimator: str = "rf", sizes: tuple[int, ...] = ()) -> dict[str, DataFrame]:
-    """Channels chosen, then features of those channels chosen by a method (univariate, rfe, model, sfs, ensemble), by name;
+    """Channels chosen, then features of those channels chosen by a method (univariate, rfe, rfecv, model, sfs, ensemble), by name;
     with `sizes`, also the number of features with the best cross-validated AUC."""
     if method not in SELECTORS:
         raise ValueError(f"unknown method {method!r}; known: {sorted(SELECTORS)}")
@@ -198,6 +198,11 @@ def selection_run(train: DataFrame, s: Settings, method: str = "ensemble", k: in
         folded = settle(balance.stratified_folds(w, "epoch_id", s.folds))
         picked = selection.forward(folded, {i: [i] for i in range(len(columns))}, columns, k, estimator=estimator if estimator in selection.ESTIMATORS else "linear")
         found = spark.createDataFrame([("sfs", f, float(score)) for f, score in picked], "method string, feature int, score double")
+    elif method == "rfecv":
+        folded = settle(balance.stratified_folds(w, "epoch_id", s.folds))
+        _, kept, best = selection.eliminate_cv(folded, columns, k, estimator)
+        drop(folded)
+        found = spark.createDataFrame([("rfecv", f, float(best - place)) for place, f in enumerate(kept[best])], "method string, feature int, score double")
     else:
         found = selection.run_methods(filled, w, columns, [m.format(estimator=estimator) for m in SELECTORS[method]], k)
         if method == "ensemble":
@@ -207,7 +212,7 @@ def selection_run(train: DataFrame, s: Settings, method: str = "ensemble", k: in
     out = {"selected_features": found.join(named, "feature"), "selected_channels": spark.createDataFrame([(i, c, s.name_of(c)) for i, c in enumerate(chosen)], "place int, channel int, name string")}
     if sizes:
         folded = settle(balance.stratified_folds(w, "epoch_id", s.folds))
-        best, scores = selection.best_size(folded, linear.Products(folded, columns), [min(n, len(columns)) for n in sizes])
+        best, scores = selection.best_size(folded, linear.Products(folded, columns), [min(n, len(columns)) for n in sizes], estimator=estimator)
         out["sizes"] = spark.createDataFrame([(n, float(v), n == best) for n, v in sorted(scores.items())], "k int, auc double, best boolean")
     return out
 

@@ -116,14 +116,14 @@ def channels(spark, sf_dir):
     names = w.columns[1:]
     w = settle(balance.stratified_folds(w.join(e.select("epoch_id", "y").distinct(), "epoch_id"), "epoch_id", 3))
     groups = {c: [names.index(f"ch{c}_{n}") for n in columns] for c in range(4)}
-    chosen = selection.forward(w, groups, names, 3)
+    chosen = selection.forward(w, groups, names, 8)
     drop(w)
     return spark.createDataFrame([(k, c, float(s)) for k, (c, s) in enumerate(chosen)], "place int, channel int, auc double")
 
 
 def forward_features(spark, sf_dir):
     w, names = _folded(spark, sf_dir)
-    chosen = selection.forward(w, {k: [k] for k in range(len(names))}, names, 4)
+    chosen = selection.forward(w, {k: [k] for k in range(len(names))}, names, 20)
     drop(w)
     return spark.createDataFrame([(k, c, float(s)) for k, (c, s) in enumerate(chosen)], "place int, feature int, auc double")
 
@@ -152,9 +152,17 @@ def elimination(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(selection.eliminate(products))), "place int, feature int")
 
 
+def elimination_cv(spark, sf_dir):
+    """Every number of features from 20 on, what is kept at it, and whether it is the one chosen."""
+    w, names = _folded(spark, sf_dir)
+    scores, kept, best = selection.eliminate_cv(w, names)
+    drop(w)
+    return spark.createDataFrame([(n, float(scores[n]), n == best, kept[n]) for n in sorted(scores)], "size int, auc double, chosen boolean, features array<int>")
+
+
 def best_size(spark, sf_dir):
     w, names = _folded(spark, sf_dir)
-    best, scores = selection.best_size(w, linear.Products(w, names), [10, 20, 30, 40, 50])
+    best, scores = selection.best_size(w, linear.Products(w, names), list(range(10, 51, 5)))
     drop(w)
     return spark.createDataFrame([(k, float(s), k == best) for k, s in sorted(scores.items())], "k int, auc double, best boolean")
 
@@ -169,7 +177,7 @@ def ensemble(spark, sf_dir):
 
 QUERIES = {
     "R1_oversample": oversample, "R2_undersample": undersample, "R3_median_impute": impute, "R4_standardise": standardise, "R5_pca": components, "R6_subsample": subsample, "R7_folds": folds,
-    "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C4_binned_information": binned_information, "C5_elimination": elimination, "C6_model_based": model_based, "C7_variance": variance, "T6_permutation_impact": permutation_impact, "T7_ablation_impact": ablation_impact,
+    "C1_channel_selection": channels, "C2_anova_f": anova, "C3_chi2": chi2, "C4_mutual_information": mutual_information, "C4_binned_information": binned_information, "C5_elimination": elimination, "C5_elimination_cv": elimination_cv, "C6_model_based": model_based, "C7_variance": variance, "T6_permutation_impact": permutation_impact, "T7_ablation_impact": ablation_impact,
     "C8_forward_selection": forward_features, "C9_ensemble": ensemble, "C10_best_size": best_size, "M1_logreg": _model("logreg"), "M2_svm_rbf": _model("svm_rbf"), "M3_random_forest": _model("rf"),
     "M4_gradient_boosting": _model("gb"), "M5_knn": knn, "M5_knn_held_out": knn_held_out,
 }
