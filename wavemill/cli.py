@@ -10,6 +10,7 @@ from .operators.models import MODELS
 from .operators.sequence import Alarm
 from .plans.experiment import SELECTORS, Settings, alarm_of_best, run_grid, selection_run, significance_run, statistical_validation
 from .sources import epoch_files, sinks
+from .sources.progress import show
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--add_stft", action="store_true")
     p.add_argument("--alarm", action="store_true", help="alarms of the best model, from its scores read back")
     p.add_argument("--save_models", action="store_true")
+    p.add_argument("--quiet", action="store_true", help="no progress lines")
     p.add_argument("--stats", action="store_true")
     p.add_argument("--stats_metric", default="roc_auc")
     p.add_argument("--n_boot", type=int, default=1000)
@@ -62,6 +64,8 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     words = lambda s: tuple(x.strip() for x in s.split(",") if x.strip())
+    if not a.quiet:
+        show()
     spark = SparkSession.builder.appName("wavemill").getOrCreate()
     splits = []
     for split in ("train", "eval"):

@@ -11,12 +11,13 @@ from functools import reduce
 from itertools import combinations
 from time import perf_counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import balance, features, impact, linear, metrics, models, preprocess, selection, sequence, stats, tabular
 from ..sources import sinks
+from ..sources.progress import emit
 from ..sources.scratch import drop, settle
 
 
@@ -80,6 +81,12 @@ def _decide(scored: DataFrame, s: Settings) -> DataFrame:
     return sequence.k_of_n(out, s.post_kofn, "y_pred", "y_pred", "series") if s.post_kofn else out
 
 
+def _measures(rows: DataFrame) -> dict[str, Column]:
+    """What a progress line tells of a table of epochs: rows of the positive class, and those whose cleaning failed."""
+    out = {"positive": F.count_if(F.col("y") == 1)}
+    return out | ({"failed": F.count_if(F.col("ica_status") == "left")} if "ica_status" in rows.columns else {})
+
+
 def run_grid(train: DataFrame, test: DataFrame, s: Settings, scores_to: str | None = None, models_to: str | None = None) -> DataFrame:
     """A row per repeat, channel count, balance and model: settings, times, class counts and the twelve metrics.
 
@@ -88,7 +95,7 @@ def run_grid(train: DataFrame, test: DataFrame, s: Settings, scores_to: str | No
     """
     spark = train.sparkSession
     (tr, names), (te, _) = feature_table(train, s), feature_table(test, s, s.limit_eval)
-    tr, te = settle(tr), settle(te)
+    tr, te = settle(tr, "train", **_measures(tr)), settle(te, "eval", **_measures(te))
     out = []
     for repeat in range(s.repeats):
         seed = str(42 + repeat)
@@ -106,7 +113,7 @@ def run_grid(train: DataFrame, test: DataFrame, s: Settings, scores_to: str | No
                 if way not in ("none", "oversample", "undersample"):
                     raise ValueError(f"unknown balance {way!r}; known: none, oversample, undersample")
                 fit_on = wide_train if way == "none" else balance.oversample(wide_train, "epoch_id", seed) if way == "oversample" else balance.undersample(wide_train, "epoch_id", seed)
-                fit_on = settle(fit_on)
+                fit_on = settle(fit_on, f"balance {way}", **_measures(fit_on))
                 before, after = (balance.class_counts(d).select("counts").first()["counts"] for d in (wide_train, fit_on))
                 for model in s.models:
                     began = perf_counter()
@@ -123,6 +130,7 @@ def run_grid(train: DataFrame, test: DataFrame, s: Settings, scores_to: str | No
                         place = f"{models_to}/{repeat}-{k}-{way}-{model}"
                         fitted.save(place) if fitted.pipeline is not None else fit_on.write.mode("overwrite").parquet(place)
                     row = metrics.compute_metrics(decided, ["model"], s.beta).first()
+                    emit({"stage": f"model {model}", "repeat": repeat, "max_channels": k, "balance": way, "seconds": round(perf_counter() - began, 3), "roc_auc": row["roc_auc"]})
                     out.append({"repeat": repeat, "max_channels": k, "selected_channels": sel, "selected_names": [s.name_of(c) for c in sel], "balance": way, "model": model, "time_s": perf_counter() - began, "train_counts_before": before, "train_counts_after": after, **{f"metric_{m}": row[m] for m in row.asDict() if m != "model"}})
                 drop(fit_on)
     for table in (tr, te):

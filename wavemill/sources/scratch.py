@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from .progress import watched
 
 _OWN_FOLDER: dict[str, str] = {}
 
@@ -23,10 +25,13 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/wavemill-tables"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, written to a table of its own and read from there."""
+def settle(df: DataFrame, stage: str = "", **measures: Column) -> DataFrame:
+    """df, written to a table of its own and read from there; with a stage's name, a progress line tells what was written."""
     spark, path = df.sparkSession, f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if stage:
+        watched(df, stage, lambda seen: seen.write.parquet(path), **measures)
+    else:
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
