@@ -1,8 +1,9 @@
-"""Progress lines: what a stage wrote, measured while it is written.
+"""Progress lines: what a stage wrote.
 
 A line is one JSON object on the logger `wavemill.progress`: stage, rows, nulls by column, further measures and seconds.
-The figures come from DataFrame.observe in the job that writes the stage's table: no pass of their own, and tasks that
-run twice after a lost executor count once. Streams report through a listener, a line per batch.
+The figures of a written table come from one pass over it, made only when the logger is on. An Observation would save
+that pass, but a session that holds one can no longer ship fitted models to tasks (Spark 4.1). Streams are observed by
+name and report through a listener, a line per batch.
 """
 
 from __future__ import annotations
@@ -10,10 +11,8 @@ from __future__ import annotations
 import json
 import logging
 import sys
-from collections.abc import Callable
-from time import perf_counter
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -45,13 +44,11 @@ def emit(entry: dict) -> None:
     LOG.info(json.dumps(entry, sort_keys=True, default=str))
 
 
-def watched(df: DataFrame, stage: str, action: Callable[[DataFrame], None], **further: Column) -> dict:
-    """Run an action over all rows of df and emit its line; a table without rows has counts of 0."""
-    seen, began = Observation(), perf_counter()
-    action(df.observe(seen, *(c.alias(n) for n, c in measures(df, **further).items())))
-    entry = line(stage, seen.get, perf_counter() - began)
-    emit(entry)
-    return entry
+def report(table: DataFrame, stage: str, seconds: float, **further: Column) -> None:
+    """Emit the line of a table that was just written; costs one pass over it, and nothing when no one listens."""
+    if LOG.isEnabledFor(logging.INFO):
+        found = table.agg(*(c.alias(n) for n, c in measures(table, **further).items())).first()
+        emit(line(stage, found.asDict(), seconds))
 
 
 def watch_stream(df: DataFrame, stage: str, **further: Column) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from time import perf_counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .progress import watched
+from .progress import report
 
 _OWN_FOLDER: dict[str, str] = {}
 
@@ -28,12 +29,13 @@ def folder(spark: SparkSession) -> str:
 def settle(df: DataFrame, stage: str = "", **measures: Column) -> DataFrame:
     """df, written to a table of its own and read from there; with a stage's name, a progress line tells what was written."""
     spark, path = df.sparkSession, f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    if stage:
-        watched(df, stage, lambda seen: seen.write.parquet(path), **measures)
-    else:
-        df.write.parquet(path)
+    began = perf_counter()
+    df.write.parquet(path)
+    seconds = perf_counter() - began
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if stage:
+        report(out, stage, seconds, **measures)
     return out
 
 
