@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite
+from .kernel_svm import Machine, fit_machine
 from .tabular import column_medians, fill_columns
 
 MODELS = ("logreg", "svm_rbf", "rf", "gb", "knn")
@@ -36,19 +37,6 @@ def balanced(train: DataFrame, y: str) -> DataFrame:
     return train.join(sizes, y).withColumn("weight", F.lit(total or 0) / (F.lit(classes) * F.col("__n"))).drop("__n")
 
 
-def fourier_features(names: list[str], gamma: float, count: int = 128, seed: int = 42):
-    """Arrow UDF of random Fourier features: a linear model on them is an RBF-kernel one."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (len(names), count)), rng.uniform(0, 2 * np.pi, count)
-
-    @F.pandas_udf("array<double>")
-    def run(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in columns])
-        return pd.Series(list(np.sqrt(2 / count) * np.cos(x @ w + b)))
-
-    return run(*names)
-
-
 class Fitted:
     """A fitted model: adds y_prob to rows; Spark ML ones can be saved."""
 
@@ -61,6 +49,8 @@ class Fitted:
     def save(self, path: str) -> None:
         if self.pipeline is None:
             raise ValueError("a nearest-neighbour model is its training rows; write those instead")
+        if isinstance(self.pipeline, Machine):
+            return self.pipeline.save(path)
         self.pipeline.write().overwrite().save(path)
 
 
@@ -70,27 +60,26 @@ def fit(model: str, train: DataFrame, names: list[str], y: str = "y", trees: int
     data = balanced(apply_scale(train, scale), y).withColumn("label", F.col(y).cast("double"))
     if model == "knn":
         return Fitted(lambda rows: knn(apply_scale(train, scale), apply_scale(rows, scale), names, y))
-    inputs = names
-    prepare = lambda rows: apply_scale(rows, scale)
     if model == "svm_rbf":
-        inputs = [f"rff{k}" for k in range(128)]
-
-        def prepare(rows, base=prepare):
-            rows = base(rows).withColumn("__rff", fourier_features(names, 1 / len(names)))
-            return rows.select("*", *(F.col("__rff")[k].alias(c) for k, c in enumerate(inputs))).drop("__rff")
-
-        data = balanced(prepare(train), y).withColumn("label", F.col(y).cast("double"))
+        x = F.array(*(F.col(c).cast("double") for c in names))
+        machine = fit_machine(data.select(x.alias("x"), F.col(y).alias("y"), "weight"), seed=seed)
+        return Fitted(lambda rows: _machine_scores(rows, scale, machine), machine)
     common = {"featuresCol": "v", "labelCol": "label"}
     n = data.count()
     stage = {
         "logreg": lambda: LogisticRegression(maxIter=1000, regParam=1 / max(n, 1), elasticNetParam=0.0, standardization=False, weightCol="weight", **common),
-        "svm_rbf": lambda: LogisticRegression(maxIter=200, regParam=1 / max(n, 1), standardization=False, weightCol="weight", **common),
         "rf": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, **common),
         "gb": lambda: GBTClassifier(maxIter=min(trees, 100), stepSize=0.1, maxDepth=3, seed=seed, **common),
     }[model]()
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="v"), stage]).fit(data)
-    drop = ["v", "rawPrediction", "probability", "prediction", *(inputs if model == "svm_rbf" else [])]
-    return Fitted(lambda rows: fitted.transform(prepare(rows)).withColumn("y_prob", vector_to_array("probability")[1]).drop(*drop), fitted)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="v"), stage]).fit(data)
+    drop = ["v", "rawPrediction", "probability", "prediction"]
+    return Fitted(lambda rows: fitted.transform(apply_scale(rows, scale)).withColumn("y_prob", vector_to_array("probability")[1]).drop(*drop), fitted)
+
+
+def _machine_scores(rows: DataFrame, scale: dict, machine: Machine) -> DataFrame:
+    """rows on the model's scale with y_prob of the machine."""
+    rows = apply_scale(rows, scale)
+    return rows.withColumn("y_prob", machine.probability(F.array(*scale)))
 
 
 def knn(train: DataFrame, queries: DataFrame, names: list[str], y: str = "y", k: int = 7, row_id: str = "epoch_id", block: int = 4096) -> DataFrame:
