@@ -86,12 +86,13 @@ def knn(train: DataFrame, queries: DataFrame, names: list[str], y: str = "y", k:
     """row_id and y_prob: the share of ones among the k nearest training rows (ties: smaller id).
 
     Queries and training rows are dealt into blocks of about `block` rows; each block of queries meets each block of
-    training rows in one group, which returns k candidates per query. Nothing comes to the driver but two counts.
+    training rows in one group, which returns k candidates per query; both sides name a block by an int, since Spark sends
+    equal numbers of different types to different tasks. Nothing comes to the driver but two counts.
     """
     q_blocks, t_blocks = (max(1, -(-table.count() // block)) for table in (queries, train))
 
     def dealt(table, own, n_own, other, n_other, *columns):
-        table = table.select(F.col(row_id).alias("id"), *columns, F.array(*(F.col(c).cast("double") for c in names)).alias("x"), F.pmod(F.xxhash64(row_id), F.lit(n_own)).alias(own))
+        table = table.select(F.col(row_id).alias("id"), *columns, F.array(*(F.col(c).cast("double") for c in names)).alias("x"), F.pmod(F.xxhash64(row_id), F.lit(n_own)).cast("int").alias(own))
         return table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     def near(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
