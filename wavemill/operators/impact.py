@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .balance import ranked
 from .linear import Products, fold_scores
 from .metrics import roc_auc
-from .stats import replicates
+from .packed import SCHEMA, as_table, cells_for, packed_auc, pieces
 from .tabular import fill_columns
 
+#: Rows that a column is shuffled among; replicates that share a dealing of the rows.
+BLOCK, PER = 4096, 10
+
 
 def by_permutation(rows: DataFrame, names: list[str], n_perm: int = 200, seed: str = "42", row_id: str = "epoch_id", y: str = "y", fold: str = "fold") -> DataFrame:
     """feature, baseline, importance (mean loss of AUC when the column is shuffled), its std, p (share of shuffles without
     loss) and significant (p < 0.05).
 
-    The score is a dot product, so a shuffled column only changes its own term: rows carry the score and one term.
+    The score is a dot product, so a shuffled column only changes its own term. A column is shuffled within blocks of some
+    BLOCK rows, and the rows are dealt into blocks anew for every PER replicates: no group holds a whole column, and no row
+    is made per replicate. Each replicate's AUC is exact, over all rows (packed.py).
     """
     products = Products(rows, names, y, fold)
     w = products.weights(list(range(len(names))))
     rows = fill_columns(rows, products.fill)
     terms = F.zip_with(F.array(*names), F.array(*(F.lit(float(v)) for v in w[:-1])), lambda x, v: x * v)
-    rows = rows.select(row_id, y, terms.alias("terms"))
+    rows = rows.select(row_id, F.coalesce(F.col(y).cast("int"), F.lit(-1)).alias("y"), terms.alias("terms"))
     score = F.aggregate("terms", F.lit(float(w[-1])), lambda a, t: a + t)
-    base = rows.select(row_id, y, score.alias("s"))
-    seen = roc_auc(base.withColumn("one", F.lit(1)), ["one"], y, "s").first()["roc_auc"]
-    long = replicates(rows.select(row_id, y, score.alias("s"), F.posexplode("terms").alias("feature", "term")), n_perm)
-    long = long.withColumn("g", F.concat_ws("|", "feature", "replicate")).withColumn("id", F.concat_ws("|", "g", row_id))
-    a = ranked(long, "g", "id", f"{seed}|a", "r").select("g", "r", "feature", "replicate", y, "s", "term")
-    b = ranked(long.select("g", "id", "term"), "g", "id", f"{seed}|b", "r").select("g", "r", F.col("term").alias("other"))
-    shuffled = a.join(b, ["g", "r"]).withColumn("s", F.col("s") - F.col("term") + F.col("other"))
-    auc = roc_auc(shuffled, ["feature", "replicate"], y, "s")
+    rows = rows.select(row_id, "y", score.alias("s"), "terms")
+    base = rows.where("y >= 0").select(F.lit(1).alias("one"), "y", "s")
+    seen = roc_auc(base, ["one"], "y", "s").first()["roc_auc"]
+    n = rows.count()
+    cells = cells_for(n)
+    edges = np.unique(base.approxQuantile("s", [k / cells for k in range(1, cells)], 0.01)) if cells > 1 else np.zeros(0)
+
+    def shuffled(key: tuple, block: pa.Table) -> pa.Table:
+        batch, place = (k.as_py() for k in key)
+        s, h, label = (np.asarray(block.column(c).combine_chunks()) for c in ("s", "h", "y"))
+        order = np.lexsort((s, h))
+        s, label = s[order], label[order]
+        term = np.asarray(block.column("terms").combine_chunks().flatten()).reshape(len(s), -1)[order]
+        rng = np.random.default_rng(list(hashlib.md5(f"{seed}|{batch}|{place}".encode()).digest()))
+        out = []
+        for k in range(len(names)):
+            t = np.ascontiguousarray(term[:, k])
+            rest = s - t
+            for r in range(batch * PER, min(batch * PER + PER, n_perm)):
+                out += pieces(k * n_perm + r, rest + t[rng.permutation(len(t))], label, edges)
+        return as_table(out)
+
+    dealt = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // PER)))).select("batch", F.pmod(F.xxhash64(F.lit(seed), "batch", row_id), F.lit(max(1, round(n / BLOCK)))).alias("block"), F.xxhash64(row_id).alias("h"), "y", "s", "terms")
+    auc = packed_auc(dealt.groupBy("batch", "block").applyInArrow(shuffled, SCHEMA)).withColumn("feature", F.floor(F.col("g") / n_perm).cast("int"))
     loss = F.lit(seen) - F.col("roc_auc")
     return auc.groupBy("feature").agg(F.lit(seen).alias("baseline"), F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("std"), (F.count_if(loss <= 0) / F.count(F.lit(1))).alias("p")).withColumn("significant", F.col("p") < 0.05)
 
