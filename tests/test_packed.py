@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wavemill.operators import impact, packed
+from wavemill.operators import impact, linear, packed
 from wavemill.operators.balance import stratified_folds
 from wavemill.operators.linear import Products
 
@@ -43,3 +43,19 @@ def test_permutation_impact_in_blocks(spark, monkeypatch):
         assert got[k]["baseline"] == pytest.approx(auc(y, s))
         assert abs(got[k]["importance"] - want.mean()) < 5 * want.std() / np.sqrt(150) + 1e-3 and abs(got[k]["std"] / want.std() - 1) < 0.3
     assert got[2]["significant"] and got[2]["importance"] > got[1]["importance"]
+
+
+def test_fold_scores_are_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(packed, "CELL", 50)
+    rng = np.random.default_rng(5)
+    y, x = rng.integers(0, 2, 300), np.round(rng.normal(size=(300, 2)), 1)
+    rows = stratified_folds(spark.createDataFrame([(k, int(y[k]), *map(float, x[k])) for k in range(300)], "epoch_id long, y int, a double, b double"), "epoch_id", 3).persist()
+    products = Products(rows, ["a", "b"])
+    fold = np.array([r["fold"] for r in rows.orderBy("epoch_id").collect()])
+    passed = []
+    monkeypatch.setattr(linear, "packed_auc", lambda df: passed.append(df.count()) or packed.packed_auc(df))
+    found = linear.fold_scores(rows, products, {7: [0], 9: [0, 1]})
+    for name, columns in ((7, [0]), (9, [0, 1])):
+        w = [products.weights(columns, without=k) for k in range(3)]
+        assert found[name] == pytest.approx([auc(y[fold == k], (x[fold == k][:, columns] * w[k][:-1]).sum(1) + w[k][-1]) for k in range(3)], abs=1e-3)
+    assert passed[0] < 300  # a row per piece and cell, where 600 scores were rows

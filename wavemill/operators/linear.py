@@ -7,12 +7,15 @@ all candidates at once. Feature and channel selection stay a few passes over the
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import roc_auc
+from .packed import SCHEMA, cells_for, packed_auc, pieces
 from .tabular import column_medians, fill_columns
 
 
@@ -79,17 +82,32 @@ def fold_scores(rows: DataFrame, products: Products, candidates: dict[int, list[
             full = np.zeros(len(products.names) + 1)
             full[features], full[-1] = w[:-1], w[-1]
             table[c, k] = full
-    names = products.names
+    names, known, folds = products.names, list(candidates), list(products.by_fold)
+    total = sum(products.by_fold.values())
+    c = len(names)
+    edges = {}
+    for (candidate, k), w in table.items():  # cells of about the same number of scores, were they normal
+        cells = cells_for(products.by_fold[k][c, c])
+        mean = w @ total[: c + 1, c] / total[c, c]
+        std = math.sqrt(max(w @ total[: c + 1, : c + 1] @ w / total[c, c] - mean**2, 0.0))
+        edges[candidate, k] = np.array([mean + std * NormalDist().inv_cdf(i / cells) for i in range(1, cells)])
 
     def run(parts):
         for pdf in parts:
-            x = np.column_stack([pdf[names].to_numpy(float), np.ones(len(pdf))])
-            for c in candidates:
-                w = np.stack([table[c, k] for k in pdf[fold]]) if len(pdf) else np.zeros((0, x.shape[1]))
-                yield pd.DataFrame({"candidate": c, "fold": pdf[fold].to_numpy(), "y": pdf[y].to_numpy(), "s": (x * w).sum(1)})
-
-    scored = fill_columns(rows, products.fill).select(*names, y, fold).where(F.col(y).isNotNull()).mapInPandas(run, "candidate int, fold int, y int, s double")
+            x, label = np.column_stack([pdf[names].to_numpy(float), np.ones(len(pdf))]), pdf[y].to_numpy()
+            out = []
+            for j, k in enumerate(folds):
+                at = (pdf[fold] == k).to_numpy()
+                mine, of = x[at], label[at]
+                for i, candidate in enumerate(known):
+                    out += pieces(i * len(folds) + j, (mine * table[candidate, k]).sum(1), of, edges[candidate, k])
+            yield pd.DataFrame(out, columns=["g", "cell", "v", "pos", "neg"])
+
+    packed = fill_columns(rows, products.fill).select(*names, y, fold).where(F.col(y).isNotNull()).mapInPandas(run, SCHEMA)
+    found = {r["g"]: r["roc_auc"] for r in packed_auc(packed).where("roc_auc is not null").collect()}  # a row per candidate and fold
     out: dict[int, list[float]] = {}
-    for r in roc_auc(scored, ["candidate", "fold"], "y", "s").where("roc_auc is not null").orderBy("candidate", "fold").collect():  # a row per candidate and fold
-        out.setdefault(r["candidate"], []).append(r["roc_auc"])
+    for i, candidate in enumerate(known):
+        scores = [found[g] for _, g in sorted((k, i * len(folds) + j) for j, k in enumerate(folds)) if g in found]
+        if scores:
+            out[candidate] = scores
     return out
