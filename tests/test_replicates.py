@@ -1,6 +1,7 @@
 """Replicates without rows: their distribution, ties cut over tasks, groups, gaps and metric names."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,42 @@ def test_channels_apart_and_without_a_class(spark, scored):
     two = two.unionByName(two.where("channel = 1").withColumn("channel", F.lit(3)).withColumn("y", F.lit(1)))
     got = {r["channel"]: (r["significant"], r["roc_auc"]) for r in stats.channel_significance(two, 100).collect()}
     assert got[1][0] and not got[2][0] and got[3][1] is None
+
+
+@pytest.mark.parametrize("scheme", ["bootstrap", "swap", "labels"])
+def test_slices_of_one_score_and_of_several(scheme):
+    """What a task passes on of sorted rows, against all pairs; a score may begin, fill and end slices."""
+    from wavemill.operators import replicates as r
+
+    rng = np.random.default_rng(6)
+    s = np.sort(np.r_[np.repeat(0.5, 3 * r.SLICE), np.round(rng.random(300), 2)])
+    n = len(s)
+    h, t, y, side = rng.integers(0, r.PRIME, n), rng.integers(0, r.PRIME, n), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    coef = r.coefficients("3", 12)
+    u = r.draws(h, coef)
+    assert (u == ((h * h % r.PRIME)[:, None] * coef[0] + h[:, None] * coef[1] + coef[2]) % r.PRIME).all()
+    cut = {"x": np.sort(u << 31 | t[:, None], axis=0)[n // 3]}
+    if scheme == "bootstrap":
+        w = (u[:, :, None] >= np.array(r.poisson_cuts())).sum(2)
+        want = {"x": (w * y[:, None], w * (1 - y)[:, None])}
+    elif scheme == "swap":
+        swap = 2 * u < r.PRIME
+        swap[:, 0] = False
+        a = swap == (side == 1)[:, None]
+        want = {f"x{g}": (w * y[:, None], w * (1 - y)[:, None]) for g, w in (("a", a), ("b", ~a))}
+    else:
+        label = (u << 31 | t[:, None]) <= cut["x"]
+        want = {"x": (label, ~label)}
+    batch = pa.RecordBatch.from_pydict({"g": ["x"] * n, "s": s, "y": y, "pred": (s > 0.7).astype(int), "h": h, "t": t, "side": side})
+    rows = [row for part in r._weighted(scheme, coef, cut)([batch]) for row in part.to_pylist()]
+    for g, (pos, neg) in want.items():
+        for rep in range(12):
+            mine = sorted((row for row in rows if row["g"] == g and row["replicate"] == rep), key=lambda row: (row["low"], row["tie"]))
+            won = below = 0
+            for row in mine:
+                won += row["won"] + row["pos"] * (below + (row["neg"] / 2 if row["tie"] else 0))
+                below += row["neg"]
+            pairs = (s[None] < s[:, None]) + (s[None] == s[:, None]) / 2
+            assert won == pos[:, rep] @ pairs @ neg[:, rep]
+            assert (sum(row["tp"] for row in mine), sum(row["fp"] for row in mine)) == (pos[s > 0.7, rep].sum(), neg[s > 0.7, rep].sum())
+    assert r.SLICE * 12 * 8 < 1 << 18  # draws of a slice stay in a cache; a thousand columns of them in half a megabyte

@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite
+from ..sources.scratch import settle
 from .metrics import rates
 
-PRIME, SLICE, BINS, SPAN = (1 << 31) - 1, 1024, 64, 8.0
+PRIME, BINS, SPAN = (1 << 31) - 1, 64, 8.0
+#: Rows whose draws are made at once: with a thousand replicates they stay in a core's cache.
+SLICE = 64
 #: Metrics that a replicate can be asked for by name.
 METRICS = ("roc_auc", "accuracy", "precision", "sensitivity", "specificity", "fpr", "f1", "f_beta", "tp", "tn", "fp", "fn")
 
@@ -50,8 +53,18 @@ def coefficients(seed: str, n: int) -> np.ndarray:
 
 
 def draws(h: np.ndarray, coef: np.ndarray) -> np.ndarray:
-    """Rows by replicates, each from 0 to PRIME - 1."""
-    return ((h * h % PRIME)[:, None] * coef[0] + h[:, None] * coef[1] + coef[2]) % PRIME
+    """Rows by replicates, each from 0 to PRIME - 1. PRIME is 2^31 - 1: the upper bits of a number add to its lower ones."""
+    u = (h * h % PRIME)[:, None] * coef[0]
+    upper = h[:, None] * coef[1]
+    u += upper
+    u += coef[2]
+    for _ in range(2):
+        np.right_shift(u, 31, out=upper)
+        u &= PRIME
+        u += upper
+    if len(u) and u.max() == PRIME:
+        u[u == PRIME] = 0
+    return u
 
 
 def hashed(row_id: str | Column, seed: str, k: int) -> Column:
@@ -67,30 +80,42 @@ class _Range:
         self.first = self.last = None  # (score, positives, negatives)
         self.low, self.pos, self.neg, self.won, self.tp, self.fp = None, *(np.zeros(n) for _ in range(5))
 
-    def add(self, score: np.ndarray, pos: np.ndarray, neg: np.ndarray, pred: np.ndarray) -> None:
-        """Rows in order of their scores; pos and neg are rows by replicates."""
-        self.tp += pos[pred].sum(0)
-        self.fp += neg[pred].sum(0)
-        at = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-        if len(at) < len(score):
-            score, pos, neg = score[at], np.add.reduceat(pos, at), np.add.reduceat(neg, at)
+    def add(self, score: np.ndarray, pos, neg, won, pred: np.ndarray) -> None:
+        """Rows in order of their scores. pos and neg sum the positives and negatives of some of them per replicate; won is
+        what the positives of a stretch of rows win against the negatives of the same stretch."""
+        if pred.any():
+            self.tp += pos(pred)
+            self.fp += neg(pred)
+        f, e = 0, int(np.searchsorted(score, score[-1], side="left"))
         if self.last is not None:
-            if self.last[0] == score[0]:
-                pos[0] += self.last[1]
-                neg[0] += self.last[2]
-            else:
-                score, pos, neg = np.r_[self.last[0], score], np.vstack([self.last[1], pos]), np.vstack([self.last[2], neg])
-        self.last = score[-1], pos[-1].copy(), neg[-1].copy()
-        score, pos, neg = score[:-1], pos[:-1], neg[:-1]
-        if self.first is None and len(score):
-            self.first = score[0], pos[0].copy(), neg[0].copy()
-            score, pos, neg = score[1:], pos[1:], neg[1:]
-        if len(score):
-            self.low = score[0] if self.low is None else self.low
-            below = self.neg + np.cumsum(neg, 0) - neg / 2
-            self.won += (pos * below).sum(0)
-            self.pos += pos.sum(0)
-            self.neg += neg.sum(0)
+            f = int(np.searchsorted(score, self.last[0], side="right"))
+            if f:
+                self.last = self.last[0], self.last[1] + pos(slice(0, f)), self.last[2] + neg(slice(0, f))
+            if f == len(score):
+                return
+            self._close()
+        if self.first is None and f < e:
+            f2 = int(np.searchsorted(score, score[f], side="right"))
+            self.first = score[f], pos(slice(f, f2)), neg(slice(f, f2))
+            f = f2
+        if f < e:
+            self.low = score[f] if self.low is None else self.low
+            all_pos, all_neg = pos(slice(f, e)), neg(slice(f, e))
+            self.won += all_pos * self.neg + won(f, e)
+            self.pos += all_pos
+            self.neg += all_neg
+        self.last = score[-1], pos(slice(e, None)), neg(slice(e, None))
+
+    def _close(self) -> None:
+        """The last score is followed by a larger one."""
+        if self.first is None:
+            self.first = self.last
+            return
+        score, pos, neg = self.last
+        self.low = score if self.low is None else self.low
+        self.won += pos * (self.neg + neg / 2)
+        self.pos += pos
+        self.neg += neg
 
     def rows(self, group: str):
         n = len(self.pos)
@@ -101,22 +126,85 @@ class _Range:
                 yield pa.RecordBatch.from_arrays(columns, names=["g", "low", "tie", "replicate", "pos", "neg", "won", "tp", "fp"])
 
 
+def _below(score: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Rows by others: 1 where the other's score is smaller, 0.5 where it is equal."""
+    return (others < score[:, None]).astype(np.float32) + (others == score[:, None]) * np.float32(0.5)
+
+
+def _poisson(u: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the cuts each draw reaches; few draws reach the fourth."""
+    w = np.zeros(u.shape, np.float32)
+    for cut in cuts[:4]:
+        w += u >= cut
+    many = np.flatnonzero(u.ravel() >= cuts[4])
+    w.ravel()[many] += np.searchsorted(cuts[4:], u.ravel()[many], side="right")
+    return w
+
+
+def _fixed(w: np.ndarray, y: np.ndarray, score: np.ndarray):
+    """pos, neg and won of _Range.add, for rows of one label that count w times. Sums of a slice are exact in 32 bits."""
+    ones = y == 1
+
+    def of(label):
+        mine = ones if label else ~ones
+
+        def total(rows):
+            part = np.zeros(len(y), np.float32)
+            part[rows] = mine[rows]
+            return (part @ w).astype(float)
+
+        return total
+
+    def won(f, e):
+        pos, neg = np.flatnonzero(ones[f:e]) + f, np.flatnonzero(~ones[f:e]) + f
+        return np.einsum("ij,ij->j", w[pos], _below(score[pos], score[neg]) @ w[neg]).astype(float)
+
+    return of(1), of(0), won
+
+
+def _drawn(label: np.ndarray, score: np.ndarray):
+    """pos, neg and won of _Range.add, where the label differs between replicates."""
+    n = len(score)
+
+    def part(rows):
+        out = np.zeros(n, np.float32)
+        out[rows] = 1
+        return out
+
+    def pos(rows):
+        return (part(rows) @ label).astype(float)
+
+    def neg(rows):
+        out = part(rows)
+        return out.sum() - (out @ label).astype(float)
+
+    def won(f, e):
+        mine, below = label[f:e], _below(score[f:e], score[f:e])
+        return np.einsum("ij,ij->j", mine, below.sum(1, keepdims=True) - below @ mine).astype(float)
+
+    return pos, neg, won
+
+
 def _weighted(scheme: str, coef: np.ndarray, cut: dict[str, np.ndarray]):
     cuts = np.array(poisson_cuts())
+    high, rest = {g: c >> 31 for g, c in cut.items()}, {g: c & PRIME for g, c in cut.items()}
 
-    def matrices(group: str, h, t, y, side):
-        """Positives and negatives, rows by replicates; for `swap` of side a and of side b."""
+    def measures(group: str, h, t, y, side, score):
+        """What _Range.add takes, by group; for `swap` of side a and of side b."""
         u = draws(h, coef)
         if scheme == "bootstrap":
-            w = np.searchsorted(cuts, u.ravel(), side="right").reshape(u.shape).astype(float)
-            return {group: (w * y[:, None], w * (1 - y)[:, None])}
+            return {group: _fixed(_poisson(u, cuts), y, score)}
         if scheme == "swap":
-            swap = 2 * u < PRIME
+            swap = u < (PRIME + 1) // 2
             swap[:, 0] = False
-            a = (swap == (side == 1)[:, None]).astype(float)
-            return {f"{group}{name}": (w * y[:, None], w * (1 - y)[:, None]) for name, w in (("a", a), ("b", 1 - a))}
-        label = ((u << 31 | t[:, None]) <= cut[group]).astype(float) if group in cut else np.repeat(y[:, None].astype(float), u.shape[1], 1)
-        return {group: (label, 1 - label)}
+            a = (swap == (side == 1)[:, None]).astype(np.float32)
+            return {f"{group}a": _fixed(a, y, score), f"{group}b": _fixed(1 - a, y, score)}
+        if group not in cut:
+            return {group: _fixed(np.ones(u.shape, np.float32), y, score)}
+        label = (u < high[group]).astype(np.float32)
+        row, rep = np.nonzero(u == high[group])
+        label[row, rep] = t[row] <= rest[group][rep]
+        return {group: _drawn(label, score)}
 
     def run(batches):
         open_: dict[str, _Range] = {}
@@ -133,8 +221,8 @@ def _weighted(scheme: str, coef: np.ndarray, cut: dict[str, np.ndarray]):
                     open_, current = {}, group[a]
                 for k in range(a, b, SLICE):
                     at = slice(k, min(k + SLICE, b))
-                    for name, (pos, neg) in matrices(current, h[at], t[at], y[at], side[at]).items():
-                        open_.setdefault(name, _Range(coef.shape[1])).add(s[at], pos, neg, pred[at] > 0)
+                    for name, (pos, neg, won) in measures(current, h[at], t[at], y[at], side[at], s[at]).items():
+                        open_.setdefault(name, _Range(coef.shape[1])).add(s[at], pos, neg, won, pred[at] > 0)
         for name, found in open_.items():
             yield from found.rows(name)
 
@@ -161,14 +249,18 @@ def _cuts_of_labels(rows: DataFrame, coef: np.ndarray) -> dict[str, np.ndarray]:
             at = np.flatnonzero(group == g)
             for k in range(0, len(at), SLICE):
                 some = at[k : k + SLICE]
-                u = draws(h[some], coef)
-                yield g, u, np.searchsorted(edges[g], u.ravel(), side="right").reshape(u.shape), t[some]
+                yield g, draws(h[some], coef), t[some]
 
     def count(batches):
         total = {g: np.zeros((n_rep, len(e) + 1), np.int64) for g, e in edges.items()}
         for batch in batches:
-            for g, _, at, _ in parts(batch):
-                total[g] += np.bincount((at + np.arange(n_rep) * (len(edges[g]) + 1)).ravel(), minlength=total[g].size).reshape(total[g].shape)
+            for g, u, _ in parts(batch):
+                e, each = edges[g], total[g]
+                under, over = u < e[0], u >= e[-1]
+                each[:, 0] += under.sum(0)
+                each[:, -1] += over.sum(0)
+                row, rep = np.nonzero(~(under | over))  # few, of many rows
+                each += np.bincount(rep * each.shape[1] + np.searchsorted(e, u[row, rep], side="right"), minlength=each.size).reshape(each.shape)
         for g, each in total.items():
             rep, at = np.nonzero(each)
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(rep), pa.string()), pa.array(rep, pa.int32()), pa.array(at, pa.int32()), pa.array(each[rep, at])], names=["g", "replicate", "bin", "n"])
@@ -183,10 +275,13 @@ def _cuts_of_labels(rows: DataFrame, coef: np.ndarray) -> dict[str, np.ndarray]:
     for r in found.collect():  # a row per group and replicate
         chosen[r["g"]][r["replicate"]], left[r["g"]][r["replicate"]] = r["bin"], r["k"] - (r["upto"] - r["n"])
 
+    ends = {g: np.r_[-1, e, PRIME + 1] for g, e in edges.items()}
+    lows, highs = {g: ends[g][chosen[g]] for g in sizes}, {g: ends[g][chosen[g] + 1] for g in sizes}
+
     def keys(batches):
         for batch in batches:
-            for g, u, at, t in parts(batch):
-                row, rep = np.nonzero(at == chosen[g])
+            for g, u, t in parts(batch):
+                row, rep = np.nonzero((u >= lows[g]) & (u < highs[g]))
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(row), pa.string()), pa.array(rep, pa.int32()), pa.array(u[row, rep] << 31 | t[row]), pa.array(left[g][rep])], names=["g", "replicate", "key", "place"])
 
     place = F.row_number().over(Window.partitionBy("g", "replicate").orderBy("key"))
@@ -208,6 +303,7 @@ def replicated(rows: DataFrame, scheme: str, row_id: str, n: int, seed: str, y:
     row = F.col(row_id) if group is None else F.concat_ws("|", group, row_id)
     given = F.col(pred).cast("int") if pred else (s >= 0.5).cast("int")
     base = rows.select((F.lit("") if group is None else F.col(group).cast("string")).alias("g"), (s + F.lit(0.0)).alias("s"), F.col(y).cast("int").alias("y"), F.coalesce(given, F.lit(0)).alias("pred"), hashed(row, seed, 0).alias("h"), hashed(row, seed, 1).alias("t"), (F.col(side).cast("int") if side else F.lit(0)).alias("side")).where("s is not null and y is not null and g is not null")
+    base = settle(base)  # read once to find the ranges, once to deal the rows, and for labels three times more
     coef = coefficients(seed, n)
     cut = _cuts_of_labels(base, coef) if scheme == "labels" else {}
     dealt = base.repartitionByRange("g", "s", "h").sortWithinPartitions("g", "s", "h")
