@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.coins import tails
 from ..functions.safe import finite, ratio, uniform
 from .metrics import confusion, rates, roc_auc
 from .ranks import with_below
@@ -80,12 +83,25 @@ def sign_flip_random(pairs: DataFrame, row_id: str, n_perm: int = 1000, seed: st
     patterns, p = (patterns that reach the observed sum, and one) / (n_perm + 1); p is null without pairs. Sums within
     rounding of the observed one reach it.
     """
-    d = pairs.where(finite(F.col("a")).isNotNull() & finite(F.col("b")).isNotNull()).select(F.col(row_id), (F.col("a") - F.col("b")).alias("d"))
-    flip = (F.col("replicate") > 0) & (uniform(seed, F.col("replicate"), F.col(row_id)) < 0.5)
-    sums = replicates(d, n_perm + 1).groupBy("replicate").agg(F.sum(F.when(flip, -F.col("d")).otherwise(F.col("d"))).alias("s"))
-    seen = d.agg(F.abs(F.sum("d")).alias("seen"), (F.sum(F.abs("d")) * 1e-12).alias("slack"))
-    reached = F.count_if((F.col("replicate") > 0) & (F.abs("s") >= F.col("seen") - F.col("slack")))
-    return sums.join(F.broadcast(seen)).agg(F.lit(n_perm).cast("long").alias("patterns"), F.when(F.count(F.lit(1)) > 0, (reached + 1) / F.lit(n_perm + 1)).alias("p"))
+    d = pairs.where(finite(F.col("a")).isNotNull() & finite(F.col("b")).isNotNull()).select(F.col(row_id).cast("string").alias("row"), (F.col("a") - F.col("b")).alias("d"))
+
+    def partial(batches):
+        sums, size, some = np.zeros(n_perm + 1), 0.0, False
+        for batch in batches:
+            row, value = batch.column(0).to_pylist(), np.asarray(batch.column(1))
+            for at in range(0, len(row), 256):
+                v = value[at : at + 256]
+                sums += v.sum()
+                sums[1:] -= 2 * (v @ tails(seed, 1, n_perm, row[at : at + 256]).astype(float))
+                size, some = size + np.abs(v).sum(), True
+        if some:
+            yield pa.RecordBatch.from_pydict({"replicate": pa.array(range(-1, n_perm + 1), pa.int32()), "s": np.r_[size, sums]})
+
+    sums = d.mapInArrow(partial, "replicate int, s double").groupBy("replicate").agg(F.sum("s").alias("s"))
+    of = lambda r: F.max(F.when(F.col("replicate") == r, F.abs("s")))
+    one = sums.agg(of(0).alias("seen"), (of(-1) * 1e-12).alias("slack"), F.collect_list(F.when(F.col("replicate") > 0, F.col("s"))).alias("all"))
+    reached = F.size(F.filter("all", lambda v: F.abs(v) >= F.col("seen") - F.col("slack")))
+    return one.select(F.lit(n_perm).cast("long").alias("patterns"), F.when(F.col("seen").isNotNull(), (reached + 1) / F.lit(n_perm + 1)).alias("p"))
 
 
 def sign_flip(pairs: DataFrame, row_id: str, n_perm: int = 1000, seed: str = "42") -> DataFrame:
