@@ -41,17 +41,57 @@ def remove_artefacts(epochs: DataFrame, components: int = 10, rounds: int = 200)
     """Independent-component cleaning of each epoch; `ica_status` says whether it ran or the epoch was left as it is."""
     columns = epochs.columns
 
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel")
+    def cleaned(stacks: list[np.ndarray | None]) -> list[tuple[np.ndarray | None, str]]:
+        """Each epoch's cleaned channels; epochs of one shape at once, those that are not numbers left as they are."""
+        out = [(None, "left")] * len(stacks)
+        shapes = [x.shape if x is not None and np.isfinite(x).all() else None for x in stacks]
+        for shape in set(shapes) - {None}:
+            at = [k for k, s in enumerate(shapes) if s == shape]
+            try:
+                found = signal.drop_artefacts_each(np.stack([stacks[k] for k in at]), components, rounds)
+            except np.linalg.LinAlgError:  # one epoch stops them all
+                if len(at) > 1:
+                    for k in at:
+                        out[k] = cleaned([stacks[k]])[0]
+                continue
+            for k, x in zip(at, found, strict=True):
+                out[k] = x, "cleaned"
+        return out
+
+    def stack(rows: pd.DataFrame) -> np.ndarray | None:
         try:
-            x = np.stack(pdf["samples"].to_list()).astype(float)
-            pdf["samples"], status = list(signal.drop_artefacts(x, components, rounds)), "cleaned"
-        except (ValueError, np.linalg.LinAlgError):
-            status = "left"
-        return pdf.assign(ica_status=status)[[*columns, "ica_status"]]
+            x = np.stack(rows["samples"].to_list()).astype(float)
+        except ValueError:
+            return None
+        return x if x.ndim == 2 and x.size else None
+
+    def clean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def finished(pdf: pd.DataFrame) -> pd.DataFrame:
+            _, first = np.unique(pd.factorize(pdf["epoch_id"], use_na_sentinel=False)[0], return_index=True)
+            first = [*np.sort(first).tolist(), len(pdf)]
+            spans = list(zip(first[:-1], first[1:], strict=True))
+            samples, status = pdf["samples"].to_list(), []
+            for (lo, hi), (x, word) in zip(spans, cleaned([stack(pdf.iloc[lo:hi]) for lo, hi in spans]), strict=True):
+                if x is not None:
+                    samples[lo:hi] = list(x)
+                status += [word] * (hi - lo)
+            return pdf.assign(samples=pd.Series(samples, index=pdf.index, dtype=object), ica_status=status)[[*columns, "ica_status"]]
+
+        for part in parts:
+            pdf = part if held is None else pd.concat([held, part], ignore_index=True)
+            if len(pdf):  # the last epoch may go on
+                ids = pd.factorize(pdf["epoch_id"], use_na_sentinel=False)[0]
+                whole = int(np.flatnonzero(ids == ids[-1])[0])
+                held = pdf.iloc[whole:].reset_index(drop=True)
+                if whole:
+                    yield finished(pdf.iloc[:whole].reset_index(drop=True))
+        if held is not None:
+            yield finished(held)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in epochs.schema.fields)
-    return epochs.groupBy("epoch_id").applyInPandas(clean, f"{fields}, ica_status string")
+    return epochs.repartition("epoch_id").sortWithinPartitions("epoch_id", "channel").mapInPandas(clean, f"{fields}, ica_status string")
 
 
 def preprocess(epochs: DataFrame, fs: float, low: float = 0.5, high: float = 40.0, notch_at: float | None = 60.0, ica: bool = True, components: int = 10) -> DataFrame:
