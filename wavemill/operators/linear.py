@@ -22,9 +22,9 @@ from .tabular import column_medians, fill_columns
 class Products:
     """Cross products (with a constant) per fold and class; gaps count as the column's median."""
 
-    def __init__(self, rows: DataFrame, names: list[str], y: str = "y", fold: str = "fold"):
+    def __init__(self, rows: DataFrame, names: list[str], y: str = "y", fold: str = "fold", fill: dict[str, float] | None = None):
         self.names = names
-        self.fill = column_medians(rows, names)
+        self.fill = column_medians(rows, names) if fill is None else fill
         m = len(names) + 2
 
         def partial(parts):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite, ratio
-from ..sources.scratch import settle
+from ..sources.scratch import drop, settle
 from .balance import stratified_folds
 from .linear import Products, score_candidates
 from .metrics import roc_auc
@@ -214,9 +214,10 @@ def best_size(rows: DataFrame, products: Products, sizes: list[int], y: str = "y
     return max(sorted(scores), key=lambda k: scores[k]), scores
 
 
-def importances(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42) -> np.ndarray:
-    """A number per column: impurity importance of a forest, or the size of a linear model's weight; gaps count as medians."""
-    data = VectorAssembler(inputCols=names, outputCol="v").transform(fill_columns(rows, column_medians(rows, names))).select("v", F.col(y).cast("double").alias("label"))
+def importances(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42, fill: dict[str, float] | None = None) -> np.ndarray:
+    """A number per column: impurity importance of a forest, or the size of a linear model's weight; gaps count as medians
+    (`fill`, where they are known)."""
+    data = VectorAssembler(inputCols=names, outputCol="v").transform(fill_columns(rows, column_medians(rows, names) if fill is None else fill)).select("v", F.col(y).cast("double").alias("label"))
     if estimator == "rf":
         return RandomForestClassifier(featuresCol="v", numTrees=trees, seed=seed).fit(data).featureImportances.toArray()
     if estimator == "logreg":
@@ -226,9 +227,9 @@ def importances(rows: DataFrame, names: list[str], estimator: str = "rf", y: str
     raise ValueError(f"unknown estimator {estimator!r}; known: logreg, rf, svm")
 
 
-def model_based(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42) -> DataFrame:
+def model_based(rows: DataFrame, names: list[str], estimator: str = "rf", y: str = "y", trees: int = 100, seed: int = 42, fill: dict[str, float] | None = None) -> DataFrame:
     """method, feature, score of features whose importance is at least the median importance."""
-    weight = importances(rows, names, estimator, y, trees, seed)
+    weight = importances(rows, names, estimator, y, trees, seed, fill)
     cut = float(np.median(weight))
     kept = [(f"model_{estimator}", k, float(w)) for k, w in enumerate(weight) if w >= cut]
     return rows.sparkSession.createDataFrame(kept, "method string, feature int, score double")
@@ -238,19 +239,22 @@ def run_methods(rows: DataFrame, wide: DataFrame, names: list[str], methods: lis
     """method, feature, score of every named selector: univariate_<way>, model_<estimator>, rfe_<estimator>,
     elimination (of least-squares weights), variance.
 
-    `rows` is the long form of the columns `names` of `wide`; features are positions in `names`.
+    `rows` is the long form of the columns `names` of `wide`; features are positions in `names`. The medians that fill gaps
+    are found once for all models.
     """
-    out = None
+    out, fill = None, None
+    if any(method.startswith("model_") or method == "elimination" for method in methods):
+        fill = column_medians(wide, names)
     for method in methods:
         kind, _, way = method.partition("_")
         if kind == "univariate":
             part = univariate(rows, way, top)
         elif kind == "model":
-            part = model_based(wide, names, way, y)
+            part = model_based(wide, names, way, y, fill=fill)
         elif kind == "rfe":
             part = rows.sparkSession.createDataFrame([(method, f, float(top - k)) for k, f in enumerate(eliminate_by(wide, names, way, top, y=y))], "method string, feature int, score double")
         elif method == "elimination":
-            path = eliminate(Products(stratified_folds(wide, "epoch_id", 3, y=y), names, y))[:top]
+            path = eliminate(Products(stratified_folds(wide, "epoch_id", 3, y=y), names, y, fill=fill))[:top]
             part = rows.sparkSession.createDataFrame([(method, f, float(top - k)) for k, f in enumerate(path)], "method string, feature int, score double")
         elif method == "variance":
             part = by_variance(rows).select(F.lit(method).alias("method"), "feature", F.col("variance").alias("score"))
@@ -261,5 +265,11 @@ def run_methods(rows: DataFrame, wide: DataFrame, names: list[str], methods: lis
 
 
 def ensemble(rows: DataFrame, wide: DataFrame, names: list[str], methods: list[str], top: int = 20, threshold: float = 0.5, y: str = "y") -> DataFrame:
-    """feature, votes: what enough of the methods select, or else the most voted features."""
-    return elect(votes(run_methods(rows, wide, names, methods, top, y), rows, len(methods)), threshold, top)
+    """feature, votes: what enough of the methods select, or else the most voted features.
+
+    The wide form is written once, for every pass of the models, and so are the few rows of the votes, which are read thrice.
+    """
+    wide = settle(wide)
+    counted = settle(votes(run_methods(rows, wide, names, methods, top, y), rows, len(methods)))
+    drop(wide)
+    return elect(counted, threshold, top)
