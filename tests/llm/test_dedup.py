@@ -141,6 +141,60 @@ def test_dense_regions_take_more_forests(spark, percent, monkeypatch):
     assert linked(spark.createDataFrame(rows, "doc_id long, text string"), percent) == want
 
 
+def test_certainty_meets_components_once_per_row(spark, monkeypatch):
+    """A row of a dense region is joined with its component once, whatever the depths, and only while something is missed."""
+    monkeypatch.setattr(minhash_dedup, "WIDE", 8)
+    met, counted = [], minhash_dedup._lost
+
+    def lost(regions, with_component, percent):
+        def seen(table):
+            met.append(table.groupBy("forest", "order", "id", "key").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first())
+            return with_component(table)
+
+        return counted(regions, seen, percent)
+
+    monkeypatch.setattr(minhash_dedup, "_lost", lost)
+    rng, rows = random.Random(8), []
+    for i in range(90):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(0, 200, 7), 6 if i < 60 else 1):
+            words[k] = f"f{i}x{k}"
+        rows.append((i * 7 % 1009, " ".join(words)))
+    assert linked(spark.createDataFrame(rows, "doc_id long, text string")) == brute.components(rows)
+    assert met and all(most == 1 for rows_met, most in met if rows_met)
+
+
+def lost_by_rows(rows, component, percent):
+    """What each class loses, order by order: from the first depth to where its region is one component."""
+    sure, loss = {d: minhash_dedup.certainty(d, percent) for d in minhash_dedup.DEPTHS}, {}
+    of = {}
+    for _, i, chain in rows:
+        for _, region in chain:
+            of.setdefault(region, set()).add(component[i])
+    for _, i, chain in rows:
+        held = [d for d, region in chain if len(of[region]) > 1]
+        if held:
+            after = minhash_dedup.DEPTHS[minhash_dedup.DEPTHS.index(max(held)) + 1]
+            loss[i] = loss.get(i, 0) + sure[minhash_dedup.DEPTHS[0]] - sure[after]
+    return loss
+
+
+def test_certainty_lost_to_nested_regions(spark):
+    rng, rows = random.Random(9), []
+    for order in range(3):
+        for i in range(60):
+            depth = rng.randint(1, 5)
+            own = [min(i // 20, 1), i % 2, i % 4 // 2, 0, 0]
+            rows.append((order, i, [(minhash_dedup.DEPTHS[k], hash((order, *own[: k + 1]))) for k in range(depth)]))
+    component = {i: 0 if i < 20 else i % 2 if i % 4 < 2 else 7 for i in range(60)}
+    table = [(0, order, i, 0, chain[-1][1], chain) for order, i, chain in rows]
+    chains = spark.createDataFrame(table, "forest int, order int, id long, key long, leaf long, chain array<struct<depth:int,region:long>>")
+    labels = spark.createDataFrame(list(component.items()), "id long, component long")
+    left = minhash_dedup._lost(chains, lambda t: t.join(labels, "id"), 85)
+    got = {r["id"]: r["lost"] for r in left.groupBy("id").agg(F.sum("loss").alias("lost")).collect()}
+    assert got == pytest.approx(lost_by_rows(rows, component, 85)) and 0 < left.count() < len(rows)
+
+
 def test_near_dedup_of_odd_documents(odd_docs, no_docs):
     assert linked(odd_docs) == brute.components(rows_of(odd_docs))
     assert near_duplicates(no_docs).count() == 0

@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -269,11 +270,12 @@ def _within(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(rows.groupBy(*by).agg(*stats), by)
 
 
-def _deeper(wide: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The regions of each row of a wide region down to where it ends (scratch tables), and where that is, if the region is
-    to be compared: the first depth at which it is small enough, unless one of one component comes first."""
-    left, ends = wide.select(*_ROW, "component", "label"), []
-    tables = [materialise(wide.select(*_ROW, F.lit(DEPTHS[0]).alias("depth"), "region", "size"), "depths")]
+def _deeper(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chain of wide regions of several components that each row lies in, named by the deepest of them, its leaf (a
+    scratch table), and where the row ends, if its region is to be compared: the first depth at which it is small enough,
+    unless one of one component comes first."""
+    left, ends, tables = wide.select(*_ROW, "component", "label"), [], []
+    held = [wide.select(*_ROW, F.lit(DEPTHS[0]).alias("depth"), "region")]
     for level in LEVELS:
         depths = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in level))
         rows = materialise(left.select(*_ROW, "component", F.explode(depths).alias("at")).select(*_ROW, "component", "at.*"), "deeper")  # read twice
@@ -282,27 +284,31 @@ def _deeper(wide: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         end = F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at")
         ended = materialise(each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(end).select(*_ROW, "at.*"), "ends")
         tables.append(each)
+        held.append(each.where(f"low <> high and size > {WIDE} and depth < {CODES}").select(*_ROW, "depth", "region"))
         ends.append(ended)
         left = left.join(ended, _ROW, "left_anti")
         if not left.limit(1).count():
             break
     ended = reduce(DataFrame.unionByName, ends).where("open")
     ended = materialise(wide.select(*_ROW, "n", "component", "label").join(ended, _ROW), "regions")
-    for table in ends:
+    chain = F.array_sort(F.collect_list(F.struct("depth", "region"))).alias("chain")  # a region per depth, at most
+    chains = reduce(DataFrame.unionByName, held).groupBy(*_ROW).agg(chain)
+    chains = materialise(chains.select(*_ROW, F.element_at("chain", -1)["region"].alias("leaf"), "chain"), "chains")
+    for table in (*ends, *tables):
         discard(table)
-    return tables, ended
+    return chains, ended
 
 
-def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, list[DataFrame] | None]:
-    """Candidates in different components, and the regions of several depths of each row of a wide region (None: no region
-    is wide; else scratch tables). members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
+def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates in different components, and the chain of wide regions of each row that lies in any (None: no region is
+    wide; else a scratch table). members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
     rows = members.join(classes.select("forest", "id", "key", "component"), ["forest", "id", "key"])
     opened = _within(rows, ["region"]).where("low <> high").join(classes.select("forest", "id", "key", "n", "codes"), ["forest", "id", "key"])
     opened = materialise(opened.withColumn("label", _label(orders)).drop("codes", "low", "high"), "regions")
     wide, columns = opened.where(f"size > {WIDE}"), [*_ROW, "n", "component", "label", "region", "depth"]
-    compared, each, ended = opened.where(f"size <= {WIDE}").withColumn("depth", F.lit(DEPTHS[0])).select(*columns), None, None
+    compared, chains, ended = opened.where(f"size <= {WIDE}").withColumn("depth", F.lit(DEPTHS[0])).select(*columns), None, None
     if wide.limit(1).count():
-        each, ended = _deeper(wide)
+        chains, ended = _deeper(wide)
         compared = compared.unionByName(ended.where(f"size <= {WIDE}").select(*columns))
     compared = materialise(compared, "compared")
     at = F.map_from_entries(F.collect_list(F.struct("order", "depth")))
@@ -318,16 +324,24 @@ def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -
     for table in (opened, compared, ended):
         if table is not None:
             discard(table)
-    return pairs, each
+    return pairs, chains
 
 
-def _lost(each: list[DataFrame], with_component, percent: int) -> DataFrame:
-    """id, key and what a class' certainty loses to wide regions that still have several components."""
-    rows = with_component(reduce(DataFrame.unionByName, (t.select(*_ROW, "depth", "region", "size") for t in each)))
-    two = rows.groupBy("depth", "region").agg((F.min("component") != F.max("component")).alias("open"))
-    depth = rows.join(two, ["depth", "region"]).where(f"not open or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(F.min("depth").alias("depth"))
-    loss = F.create_map(*(x for d in DEPTHS for x in (F.lit(d), F.lit(certainty(DEPTHS[0], percent) - certainty(d, percent)))))
-    return depth.groupBy("id", "key").agg(F.sum(loss[F.col("depth")]).alias("lost"))
+def _lost(chains: DataFrame, with_component, percent: int) -> DataFrame:
+    """The rows of the chains (a scratch table) that lie in a region that still has several components, with what their
+    class' certainty loses to such regions: the certainty that it would have at a region's depth, less that at the next.
+
+    Regions are nested, so the components are gathered by leaf, and by region from the leaves, which are few: each has
+    more than WIDE rows. A row is joined with its class' component and with its leaf, whatever the depths."""
+    leaves = with_component(chains).groupBy("leaf").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("chain").alias("chain"))
+    leaves = materialise(leaves, "leaves")  # read twice
+    each = leaves.select("leaf", "low", "high", F.explode("chain").alias("at")).select("leaf", "low", "high", "at.*")
+    several = each.groupBy("depth", "region").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("depth", "region")
+    step = F.create_map(*(x for d, after in pairwise(DEPTHS) for x in (F.lit(d), F.lit(certainty(d, percent) - certainty(after, percent)))))
+    loss = each.join(several, ["depth", "region"]).groupBy("leaf").agg(F.sum(step[F.col("depth")]).alias("loss"))
+    left = materialise(chains.select(*_ROW, "leaf", "chain").join(loss, "leaf"), "chains")
+    discard(leaves)
+    return left
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -366,19 +380,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         return table.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     active, grown, more = classes.select("forest", "id", "key", "n", "codes"), 0, 1
-    full, sure, have, regions = orders * certainty(DEPTHS[0], percent), -math.log(MISS), None, []
+    full, sure, have, held = orders * certainty(DEPTHS[0], percent), -math.log(MISS), None, []
     while True:
-        pairs, each = _forest(members, with_component(active), orders, percent)
+        pairs, chains = _forest(members, with_component(active), orders, percent)
         links = _confirmed(pairs, texts, percent)
         labels = joined_components(labels, links)  # whole, before any region is called open
         grown += more
         for table in (links, members, *([active] if have is not None else [])):
             discard(table)
-        if each is None:
+        if chains is None:
             break  # every class that took part has been compared with all its neighbours
-        # earlier forests' regions count anew: components that have grown together since leave less to miss
-        regions += each
-        lost = _lost(regions, with_component, percent)
+        # earlier forests' regions count anew: components that have grown together since leave less to miss; what has
+        # become one component stays so, and is left out from then on
+        held.append(chains)
+        left = _lost(reduce(DataFrame.unionByName, (t.select(*_ROW, "leaf", "chain") for t in held)), with_component, percent)
+        for table in held:
+            discard(table)
+        held, lost = [left], left.groupBy("id", "key").agg(F.sum("loss").alias("lost"))
         certain = F.lit(grown * full) - F.coalesce("lost", F.lit(0.0))
         fresh = lost if have is None else have.select("id", "key").join(lost, ["id", "key"], "left")
         fresh = materialise(fresh.select("id", "key", certain.alias("have")).where(F.col("have") < sure), "open")
@@ -393,7 +411,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         again = signatures(texts.join(have, ["id", "key"], "left_semi").withColumnRenamed("id", "doc_id"), list(range(grown, grown + more)))
         active = materialise(again.select("forest", F.col("doc_id").alias("id"), "key", F.col("n_shingles").alias("n"), "codes"), "signatures")
         members = materialise(_placed(active, orders), "members")
-    for table in (texts, *regions):
+    for table in (texts, *held):
         discard(table)
 
     # classes, then rows; a class with very many rows is a skewed join that Spark splits
