@@ -38,8 +38,10 @@ def standardise(spark, sf_dir):
 
 
 def _wide(spark, sf_dir, width=64):
-    w = tables.embedding_features(spark, sf_dir).groupBy("epoch_id", "y").pivot("feature", list(range(width))).agg(F.first("value"))
-    return w.withColumnsRenamed({str(k): f"f{k}" for k in range(width)}), [f"f{k}" for k in range(width)]
+    """A row per epoch with a column per value; epochs without any value have none."""
+    names = [f"f{k}" for k in range(width)]
+    e = tables.embedding_epochs(spark, sf_dir).where(F.size("samples") > 0)
+    return e.groupBy("epoch_id", "y").agg(*(F.first(F.get("samples", F.lit(k)), ignorenulls=True).alias(c) for k, c in enumerate(names))), names
 
 
 def components(spark, sf_dir):
@@ -99,9 +101,11 @@ def _model(name, **options):
         scored = models.fit(name, train, names, **options)(test)
         scored = scored if "y" in scored.columns else scored.join(test.select("epoch_id", "y"), "epoch_id")
         rows = scored.select(F.lit(name).alias("model"), F.col("y").alias("y_true"), "y_prob", (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"))
-        rows = metrics.compute_metrics(rows, ["model"]).collect()  # one row
-        drop(w)
-        return spark.createDataFrame(rows, METRICS)
+        rows = settle(rows)  # scored once
+        found = metrics.compute_metrics(rows, ["model"]).collect()  # one row
+        for table in (rows, w):
+            drop(table)
+        return spark.createDataFrame(found, METRICS)
 
     return run
 
