@@ -195,6 +195,49 @@ def test_certainty_lost_to_nested_regions(spark):
     assert got == pytest.approx(lost_by_rows(rows, component, 85)) and 0 < left.count() < len(rows)
 
 
+def test_rows_of_wide_regions_go_on_only_while_open(spark, monkeypatch):
+    """A row meets its region once a depth, and no depth after the one at which its region is small or of one component."""
+    monkeypatch.setattr(minhash_dedup, "WIDE", 8)
+    met, made = [], minhash_dedup.materialise
+
+    def counted(table, name):
+        out = made(table, name)
+        if name in ("deeper", "depths"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialise", counted)
+    depths, wide = minhash_dedup.DEPTHS, 8
+    rows = []  # id, component, the values from the second depth on
+    rows += [(i, 0, (1,) * 7) for i in range(100)]  # one component
+    rows += [(i, i, (2, i, 0, 0, 0, 0, 0)) for i in range(100, 140)]  # apart at the third depth
+    rows += [(i, i % 3, (3, 0, 0, 0, 0, i % 2, i % 2)) for i in range(140, 180)]  # equal to the end, in two halves
+    rows += [(i, i % 2, (4 + i % 10, 0, 0, 0, 0, 0, 0)) for i in range(180, 220)]  # small at the second depth
+    want_chain, want_end, entered = {}, {}, 0
+    for i, _, values in rows:
+        chain = [4]
+        for k, depth in enumerate(depths[1:]):
+            entered += 1
+            region = [c for _, c, v in rows if v[: k + 1] == values[: k + 1]]
+            if len(set(region)) == 1:
+                break
+            if len(region) <= wide or depth == depths[-1]:
+                want_end[i] = (depth, len(region))
+                break
+            chain.append(depth)
+        want_chain[i] = chain
+    table = []
+    for i, component, values in rows:
+        codes = [7] * depths[0] + [v for k, v in enumerate(values) for _ in range(depths[k + 1] - depths[k])]
+        table.append((0, 0, i, 0, 1, component, b"".join(v.to_bytes(2, "big") for v in codes), 5))
+    chains, ended = minhash_dedup._deeper(spark.createDataFrame(table, "forest int, order int, id long, key long, n long, component long, label binary, region long"))
+    chains = {r["id"]: r for r in chains.collect()}
+    assert {i: [at["depth"] for at in r["chain"]] for i, r in chains.items()} == want_chain
+    assert all(r["leaf"] == r["chain"][-1]["region"] for r in chains.values())
+    assert {r["id"]: (r["depth"], r["size"]) for r in ended.collect()} == want_end
+    assert sum(met) == entered
+
+
 def test_near_dedup_of_odd_documents(odd_docs, no_docs):
     assert linked(odd_docs) == brute.components(rows_of(odd_docs))
     assert near_duplicates(no_docs).count() == 0

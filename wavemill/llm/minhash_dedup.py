@@ -42,9 +42,8 @@ from .graph import components, joined_components
 from .words import Words, mix, run_names, window_starts
 
 SHINGLE, CODES = 5, 128
-#: Values that a region's members have in common: at first, and after each split; depths that are looked at together.
+#: Values that a region's members have in common: at first, and after each split.
 DEPTHS = (4, 7, 10, 14, 20, 32, 64, CODES)
-LEVELS = (DEPTHS[1:4], DEPTHS[4:])
 #: Classes of a region that is not split further; chance to miss a link; orders whose neighbours are linked at first.
 WIDE, MISS, FIRST_ORDERS = 64, 1e-5, 3
 #: Shingles of a class' partners that one group confirms.
@@ -264,37 +263,30 @@ def _first_candidates(classes: DataFrame, orders: int, percent: int) -> DataFram
     return rows.repartitionByRange("order", "label", "id").sortWithinPartitions("order", "label", "id").drop("order").mapInArrow(_neighbours(percent, 1), _PAIR)
 
 
-def _within(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows with the number of rows, the least and the largest component of their region."""
+def _opened(rows: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows of regions of several components, with the region's number of rows and its smallest id; "left" keeps the others, with
+    nulls. A row is met once, and nothing but an aggregate of its region meets it."""
     stats = (F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.min_by("key", "id").alias("hub_key"))
-    return rows.join(rows.groupBy(*by).agg(*stats), by)
+    return rows.join(rows.groupBy("region").agg(*stats).where("low <> high").drop("low", "high"), "region", how)
 
 
 def _deeper(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The chain of wide regions of several components that each row lies in, named by the deepest of them, its leaf (a
     scratch table), and where the row ends, if its region is to be compared: the first depth at which it is small enough,
-    unless one of one component comes first."""
-    left, ends, tables = wide.select(*_ROW, "component", "label"), [], []
-    held = [wide.select(*_ROW, F.lit(DEPTHS[0]).alias("depth"), "region")]
-    for level in LEVELS:
-        depths = F.array(*(F.struct(F.lit(d).alias("depth"), _region("label", d).alias("region")) for d in level))
-        rows = materialise(left.select(*_ROW, "component", F.explode(depths).alias("at")).select(*_ROW, "component", "at.*"), "deeper")  # read twice
-        each = materialise(_within(rows, ["depth", "region"]).drop("component"), "depths")
-        discard(rows)
-        end = F.min(F.struct("depth", "region", "size", (F.col("low") != F.col("high")).alias("open"), "hub", "hub_key")).alias("at")
-        ended = materialise(each.where(f"low = high or size <= {WIDE} or depth = {CODES}").groupBy(*_ROW).agg(end).select(*_ROW, "at.*"), "ends")
+    unless one of one component comes first. Only rows whose region is still wide and open go on to the next depth."""
+    carried, tables = [*_ROW, "n", "component", "label"], []
+    left = wide.select(*carried, F.array(F.struct(F.lit(DEPTHS[0]).alias("depth"), "region")).alias("chain"))
+    for depth in DEPTHS[1:]:
+        each = materialise(_opened(left.withColumn("region", _region("label", depth)), "left").withColumn("depth", F.lit(depth)), "depths")
         tables.append(each)
-        held.append(each.where(f"low <> high and size > {WIDE} and depth < {CODES}").select(*_ROW, "depth", "region"))
-        ends.append(ended)
-        left = left.join(ended, _ROW, "left_anti")
-        if not left.limit(1).count():
+        further = each.where(f"size > {WIDE}")
+        if depth == CODES or not further.limit(1).count():
             break
-    ended = reduce(DataFrame.unionByName, ends).where("open")
-    ended = materialise(wide.select(*_ROW, "n", "component", "label").join(ended, _ROW), "regions")
-    chain = F.array_sort(F.collect_list(F.struct("depth", "region"))).alias("chain")  # a region per depth, at most
-    chains = reduce(DataFrame.unionByName, held).groupBy(*_ROW).agg(chain)
-    chains = materialise(chains.select(*_ROW, F.element_at("chain", -1)["region"].alias("leaf"), "chain"), "chains")
-    for table in (*ends, *tables):
+        left = further.select(*carried, F.concat("chain", F.array(F.struct("depth", "region"))).alias("chain"))
+    last = reduce(DataFrame.unionByName, tables).where(f"coalesce(size, 0) <= {WIDE} or depth = {CODES}")  # each row once
+    ended = materialise(last.where("size is not null").drop("chain"), "regions")
+    chains = materialise(last.select(*_ROW, F.element_at("chain", -1)["region"].alias("leaf"), "chain"), "chains")
+    for table in tables:
         discard(table)
     return chains, ended
 
@@ -303,8 +295,8 @@ def _forest(members: DataFrame, classes: DataFrame, orders: int, percent: int) -
     """Candidates in different components, and the chain of wide regions of each row that lies in any (None: no region is
     wide; else a scratch table). members(forest, order, region, id, key), classes(forest, id, key, n, codes, component)."""
     rows = members.join(classes.select("forest", "id", "key", "component"), ["forest", "id", "key"])
-    opened = _within(rows, ["region"]).where("low <> high").join(classes.select("forest", "id", "key", "n", "codes"), ["forest", "id", "key"])
-    opened = materialise(opened.withColumn("label", _label(orders)).drop("codes", "low", "high"), "regions")
+    opened = _opened(rows).join(classes.select("forest", "id", "key", "n", "codes"), ["forest", "id", "key"])
+    opened = materialise(opened.withColumn("label", _label(orders)).drop("codes"), "regions")
     wide, columns = opened.where(f"size > {WIDE}"), [*_ROW, "n", "component", "label", "region", "depth"]
     compared, chains, ended = opened.where(f"size <= {WIDE}").withColumn("depth", F.lit(DEPTHS[0])).select(*columns), None, None
     if wide.limit(1).count():
