@@ -59,3 +59,33 @@ def test_fold_scores_are_cut_into_cells(spark, monkeypatch):
         w = [products.weights(columns, without=k) for k in range(3)]
         assert found[name] == pytest.approx([auc(y[fold == k], (x[fold == k][:, columns] * w[k][:-1]).sum(1) + w[k][-1]) for k in range(3)], abs=1e-3)
     assert passed[0] < 300  # a row per piece and cell, where 600 scores were rows
+
+
+def test_auc_of_sorted_runs():
+    """Equal scores may lie in any run and at any cut."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 900)
+    for s in (np.round(rng.normal(size=900), 1), rng.normal(size=900), np.zeros(900), np.where(rng.random(900) < 0.7, -1.0, rng.normal(size=900))):
+        for parts in (1, 2, 7, 300):
+            neg, pos = ([np.sort(s[k::parts][y[k::parts] == side]) for k in range(parts)] for side in (0, 1))
+            assert packed.auc_of_runs(neg, pos) == pytest.approx(auc(y, s), abs=1e-15)
+    assert packed.auc_of_runs([s[:0], s[:0]], [s, s]) is None and packed.auc_of_runs([s], [s[:0]]) is None
+
+
+def test_permutation_impact_sends_no_scores(spark):
+    """What is sent grows with the columns, not with the replicates."""
+    rng = np.random.default_rng(4)
+    y, x = rng.integers(0, 2, 3000), rng.normal(size=(3000, 4))
+    rows = spark.createDataFrame([(k, int(y[k]), *map(float, x[k])) for k in range(3000)], "epoch_id long, y int, a double, b double, c double, d double")
+    rows = stratified_folds(rows, "epoch_id", 3).persist()
+    rows.count()
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        every = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {every.apply(k).stageId(): every.apply(k).shuffleWriteBytes() for k in range(every.size())}
+
+    before = stages()
+    got = impact.by_permutation(rows, ["a", "b", "c", "d"], 1000).collect()
+    assert len(got) == 4 and sum(v for k, v in stages().items() if k not in before) < 3000 * 5000  # 4,000 scores a row

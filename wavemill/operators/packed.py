@@ -61,3 +61,31 @@ def packed_auc(packed: DataFrame) -> DataFrame:
     below = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     won = cells.withColumn("won", F.col("won") + F.col("p") * below)
     return won.groupBy("g").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")).alias("roc_auc"))
+
+
+def auc_of_runs(neg: list[np.ndarray], pos: list[np.ndarray]) -> float | None:
+    """AUC of the scores of two classes, each in sorted runs (a pair of runs per random part of the rows); None where a class
+    is missing. The runs are merged cell by cell, cut at the first part's scores; a cell has about as many scores as a part,
+    and scores equal to a cut are only counted."""
+    cuts = np.zeros(0)
+    if len(neg) > 1:
+        first = np.sort(np.concatenate([neg[0], pos[0]]))
+        cuts = np.unique(first[:: max(1, len(first) // len(neg))])
+    sides = []  # of each class: scores in each cell, and number of scores at each cut
+    for runs in (neg, pos):
+        ends = [(np.searchsorted(x, cuts), np.searchsorted(x, cuts, "right")) for x in runs]
+        cells = lambda c, runs=runs, ends=ends: np.concatenate([x[hi[c - 1] if c else 0 : lo[c] if c < len(cuts) else len(x)] for x, (lo, hi) in zip(runs, ends, strict=True)])
+        sides.append((cells, sum(hi - lo for lo, hi in ends)))
+    (low, low_at), (high, high_at) = sides
+    below, positives, won = 0, 0, 0  # won: pairs, twice
+    for c in range(len(cuts) + 1):
+        n, p = low(c), high(c)
+        if len(neg) > 1:
+            n.sort()
+            p.sort()
+        won += 2 * below * len(p) + int(np.searchsorted(n, p).sum()) + int(np.searchsorted(n, p, "right").sum())
+        below, positives = below + len(n), positives + len(p)
+        if c < len(cuts):
+            won += int(high_at[c]) * (2 * below + int(low_at[c]))
+            below, positives = below + int(low_at[c]), positives + int(high_at[c])
+    return won / (2 * positives * below) if positives and below else None
